@@ -23,7 +23,8 @@ MARKERS = [
     Rule("swagger-ui", "Swagger UI bundle detected", r"SwaggerUIBundle", tier="Medium"),
     Rule("swagger-ui", "Swagger UI standalone preset detected", r"SwaggerUIStandalonePreset", tier="Medium"),
     Rule("swagger-ui", "Swagger JavaScript detected", r"swagger\.js", tier="Medium"),
-    Rule("swagger-json", "Swagger JSON specification", r"\{.*\"swagger\"\s*:\s*\"", tier="High"),
+    Rule("swagger-json", "Swagger JSON specification", r"\{.*\"swagger\"\s*:\s*\"", tier="High",
+         fast=r"(?m:^)[^{\n]*+\{.*\"swagger\"\s*:\s*\""),
     Rule("swagger-json", "OpenAPI specification", r"\"openapi\"\s*:\s*\"", tier="High"),
     Rule("swagger-json", "API info object", r"\"info\"\s*:\s*\{.*\"version\"", tier="High"),
     Rule("swagger-json", "API paths defined", r"\"paths\"\s*:\s*\{", tier="High"),
@@ -39,6 +40,8 @@ MARKERS = [
     Rule("graphiql", "GraphiQL interface detected", r"graphiql", tier="Medium"),
 ]
 SPECIFICATION = r"""\{.*"(?:swagger|openapi)"\s*:\s*"[^"]+".*\}"""
+# Group 1 is the same text: a match from any brace can start at the first one.
+SPECIFICATION_FAST = r"""^[^{]*+(\{.*"(?:swagger|openapi)"\s*:\s*"[^"]+".*\})"""
 
 # Evidence shape.
 LINES_AROUND = 2
