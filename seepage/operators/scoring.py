@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seepage.rules import scoring as tables
 
+MAX_OVERRIDES = 1000
+
 
 def _lookup(table: Mapping[str, object], key: Column, default) -> Column:
     # twelve entries: a literal in the plan, not a join
@@ -99,9 +101,12 @@ def score(raw: DataFrame, overrides: DataFrame | Mapping[str, str] | None = None
         if overrides:
             base = _lookup(overrides, module, None)
     elif overrides is not None:
-        # aggregated to one row per module, so the join cannot multiply rows
+        # one row per module, so the join cannot multiply rows; it is broadcast
+        # because a dozen modules would make a dozen hot keys in a shuffle
         table = overrides.groupBy("module").agg(F.min("severity").alias("_base"))
-        raw = raw.join(table, "module", "left")
+        if table.limit(MAX_OVERRIDES + 1).count() > MAX_OVERRIDES:
+            raise ValueError(f"more than {MAX_OVERRIDES} modules with a severity override")
+        raw = raw.join(F.broadcast(table), "module", "left")
         base = F.col("_base")
     scored = raw.withColumn("confidence", conf)
     scored = scored.withColumn("severity", severity(module, F.col("confidence"), base)).drop("_base")
