@@ -296,7 +296,7 @@ FROM (
   FROM (
     SELECT page_id, html, {_TARGET} AS target,
       {_list_item(listed, f"CAST((page_id * 4 + j) % {len(PROBED_PATHS)} AS INT)")} AS path
-    FROM {pages} CROSS JOIN (VALUES (0), (1), (2), (3)) AS four(j)
+    FROM (SELECT page_id, url, html, EACH_OF(0, 1, 2, 3) AS j FROM {pages}) AS repeated
   ) AS probed
 ) AS answered
 UNION ALL
@@ -360,7 +360,7 @@ def documents_sql(documents: str = "documents") -> str:
 SELECT doc_id, 'https://' || source || '.example.com' AS target,
   'https://' || source || '.example.com/' || {path} AS url,
   CASE doc_id % 11 WHEN 10 THEN 404 ELSE 200 END AS status,
-  {choose("doc_id", ["", "application/pdf", "text/plain", "application/vnd.OpenXMLformats"])} AS content_type,
+  {choose("doc_id", ["", "application/pdf", "text/plain", "application/vnd.OpenXMLformats", "image/png"])} AS content_type,
   {dictionary} || chr(10) || text AS content,
   CASE WHEN doc_id % 6 = 5 THEN NULL ELSE {xml} END AS xml
 FROM {documents}
@@ -368,11 +368,13 @@ FROM {documents}
 
 
 def for_duckdb(sql: str) -> str:
-    return sql.replace("ARRAY_OF(", "list_value(").replace("element_at(list_value(", "list_extract(list_value(")
+    sql = sql.replace("element_at(ARRAY_OF(", "list_extract(list_value(")
+    return sql.replace("EACH_OF(0, 1, 2, 3)", "unnest([0, 1, 2, 3])")
 
 
 def _spark(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("ARRAY_OF(", "array("))
+    sql = sql.replace("ARRAY_OF(", "array(")
+    return spark.sql(sql.replace("EACH_OF(0, 1, 2, 3)", "explode(array(0, 1, 2, 3))"))
 
 
 def _table(sf_dir: str, name: str) -> str:

@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seepage.functions.text import let
-
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}\z"
 
-# Private and loopback IPv4 blocks (base, prefix length) and the
-# two public addresses inside one of them.
+# Private and loopback IPv4 blocks, as the start of an address,
+# without the two public addresses inside 192.0.0.0/24.
 PRIVATE_BLOCKS = [
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
-    ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
-    ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
+    r"0\.", r"10\.", r"127\.", r"169\.254\.", r"172\.(?:1[6-9]|2[0-9]|3[01])\.",
+    r"192\.0\.0\.(?!9\z|10\z)", r"192\.0\.2\.", r"192\.168\.", r"198\.1[89]\.",
+    r"198\.51\.100\.", r"203\.0\.113\.", r"2(?:4[0-9]|5[0-5])\.",
 ]
-PUBLIC_EXCEPTIONS = ["192.0.0.9", "192.0.0.10"]
-
-
-def _number(address: str) -> int:
-    a, b, c, d = (int(part) for part in address.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
+_PRIVATE = f"^(?:{'|'.join(PRIVATE_BLOCKS)})"
 
 
 def valid_ipv4(address: Column) -> Column:
@@ -32,16 +25,7 @@ def valid_ipv4(address: Column) -> Column:
 
 def private_ipv4(address: Column) -> Column:
     """True for a valid address in a private or loopback block."""
-    number = F.aggregate(F.split(address, r"\."), F.lit(0).cast("bigint"), lambda n, octet: n * 256 + octet.cast("bigint"))
-
-    def inside(n: Column) -> Column:
-        hit = F.lit(False)
-        for base, length in PRIVATE_BLOCKS:
-            low = _number(base)
-            hit = hit | n.between(low, low + 2 ** (32 - length) - 1)
-        return hit & ~n.isin([_number(a) for a in PUBLIC_EXCEPTIONS])
-
-    return F.when(valid_ipv4(address), let(number, inside)).otherwise(False)
+    return valid_ipv4(address) & address.rlike(_PRIVATE)
 
 
 def scheme(url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seepage.functions.entropy import classify_string, is_high_entropy, shannon_entropy
 from seepage.functions.net import private_ipv4
 from seepage.functions.text import context_window, first_by, slug, strip
-from seepage.operators.matching import Body, find_all, gated, hit, no_strings, rule_matches, run
+from seepage.operators.matching import TEXT, Detector, find_all, gated, hit, per_rule, rule_matches, run, whole_body
 from seepage.rules import Rule
 from seepage.rules import cloud as cloud_rules
 from seepage.rules import errors as error_rules
@@ -18,15 +18,10 @@ from seepage.rules import secrets as secret_rules
 from seepage.rules import source as source_rules
 
 
-def _per_rule(rules: Column, keep: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
-    """Hits of every rule: ``keep`` filters its matches, ``make`` builds hits."""
-    return F.flatten(F.transform(rules, lambda r: F.transform(keep(r), lambda m, i: make(r, m, i))))
-
-
-def source_hits(rules: Sequence[Rule] = source_rules.RULES) -> Callable[[Body], Column]:
+def source_hits(rules: Sequence[Rule] = source_rules.RULES) -> Detector:
     """Comments, addresses and references in page source."""
 
-    def detect(body: Body) -> Column:
+    def detect() -> Column:
         def reported(r: Column, m: Column) -> Column:
             placeholder = F.substring_index(m, "@", -1).isin(source_rules.PLACEHOLDER_DOMAINS)
             return (
@@ -43,13 +38,13 @@ def source_hits(rules: Sequence[Rule] = source_rules.RULES) -> Callable[[Body],
             return hit(
                 source_rules.MODULE,
                 F.concat(r["label"], F.lit(": "), F.left(m, F.lit(80))),
-                context_window(body.text, m, source_rules.WINDOW),
+                context_window(F.col(TEXT), m, source_rules.WINDOW),
                 F.array(F.lit("source-code"), r["id"]),
-                body.url, body.status, rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
+                rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
             )
 
-        found = rule_matches(body, rules, lambda rule: "ms", cap=source_rules.CAP)
-        return gated(body.has_text & body.status.isin(*source_rules.STATUSES), _per_rule(found, keep, make))
+        found = rule_matches(rules, lambda rule: "ms", cap=source_rules.CAP)
+        return gated(whole_body(source_rules.STATUSES), per_rule(found, keep, make))
 
     return detect
 
@@ -60,10 +55,11 @@ def secret_hits(
     min_length: int = secret_rules.MIN_LENGTH,
     max_length: int = secret_rules.MAX_LENGTH,
     use_entropy: bool = True,
-) -> Callable[[Body], Column]:
+    found: Column | None = None,
+) -> Detector:
     """Credentials and tokens of a known format in any body."""
 
-    def detect(body: Body) -> Column:
+    def detect() -> Column:
         def keep(r: Column) -> Column:
             return F.filter(r["found"], lambda m: F.length(m).between(min_length, max_length) & (
                 is_high_entropy(m, min_entropy) if use_entropy else F.lit(True)))
@@ -72,12 +68,12 @@ def secret_hits(
             return hit(
                 secret_rules.MODULE,
                 F.concat(r["label"], F.lit(" discovered")),
-                context_window(body.text, m, 60),
+                context_window(F.col(TEXT), m, secret_rules.WINDOW),
                 F.array(F.lit("secret"), r["id"]),
-                body.url, body.status, rank=r["rank"], pos=i, rule_id=r["id"],
+                rank=r["rank"], pos=i, rule_id=r["id"],
             )
 
-        return gated(body.has_text, _per_rule(rule_matches(body, rules, lambda rule: ""), keep, make))
+        return gated(whole_body(), per_rule(rule_matches(rules) if found is None else found, keep, make))
 
     return detect
 
@@ -86,11 +82,11 @@ def token_hits(
     min_entropy: float = secret_rules.MIN_ENTROPY,
     min_length: int = secret_rules.MIN_LENGTH,
     max_length: int = secret_rules.MAX_LENGTH,
-) -> Callable[[Body], Column]:
+) -> Detector:
     """Quoted or assigned tokens that look random."""
     rule = Rule("entropy_token", "High entropy token", secret_rules.TOKEN, 1)
 
-    def detect(body: Body) -> Column:
+    def detect() -> Column:
         def random_looking(m: Column) -> Column:
             return (
                 F.length(m).between(min_length, max_length)
@@ -102,20 +98,20 @@ def token_hits(
             return hit(
                 secret_rules.MODULE,
                 F.concat(F.lit("High entropy token discovered: "), F.left(m, F.lit(12))),
-                context_window(body.text, m, 60),
+                context_window(F.col(TEXT), m, secret_rules.WINDOW),
                 F.array(F.lit("secret"), F.lit("entropy-token")),
-                body.url, body.status, section=1, pos=i, rule_id="entropy_token",
+                section=1, pos=i, rule_id="entropy_token",
             )
 
-        return gated(body.has_text, F.transform(F.filter(find_all(body, rule), random_looking), make))
+        return gated(whole_body(), F.transform(F.filter(find_all(rule), random_looking), make))
 
     return detect
 
 
-def error_hits(rules: Sequence[Rule] = error_rules.RULES) -> Callable[[Body], Column]:
+def error_hits(rules: Sequence[Rule] = error_rules.RULES) -> Detector:
     """Stack traces, debug pages and error messages."""
 
-    def detect(body: Body) -> Column:
+    def detect() -> Column:
         def keep(r: Column) -> Column:
             texts = F.transform(r["found"], lambda m: F.left(strip(m), F.lit(error_rules.EVIDENCE)))
             return F.filter(texts, lambda m: F.length(m) >= error_rules.MIN_CHARS)
@@ -126,44 +122,40 @@ def error_hits(rules: Sequence[Rule] = error_rules.RULES) -> Callable[[Body], Co
                 F.concat(F.lit("Error disclosure: "), r["label"]),
                 m,
                 F.array(F.lit("error"), slug(r["id"])),
-                body.url, body.status, rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
+                rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
             )
 
         found = rule_matches(
-            body, rules, lambda rule: "m" if rule.rule_id in error_rules.LINE_RULES else "ms", cap=error_rules.CAP)
-        return gated(body.has_text & body.status.isin(*error_rules.STATUSES), _per_rule(found, keep, make))
+            rules, lambda rule: "m" if rule.rule_id in error_rules.LINE_RULES else "ms", cap=error_rules.CAP)
+        return gated(whole_body(error_rules.STATUSES), per_rule(found, keep, make))
 
     return detect
 
 
 def cloud_hits(
     rules: Sequence[Rule] = cloud_rules.RULES, identifiers: Sequence[Rule] = cloud_rules.IDENTIFIERS
-) -> Callable[[Body], Column]:
+) -> Detector:
     """Cloud resources, then cloud identifiers."""
 
-    def detect(body: Body) -> Column:
-        def maker(section: int, prefix: str, tags: list[str]):
-            def make(r: Column, m: Column, i: Column) -> Column:
-                return hit(
-                    cloud_rules.MODULE,
-                    F.concat(F.lit(prefix), r["label"]),
-                    context_window(body.text, m, cloud_rules.WINDOW),
-                    F.array(*[F.lit(t) for t in tags], slug(r["id"])),
-                    body.url, body.status, section=section, rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
-                )
-
-            return make
-
-        parts = []
-        for section, (group, cap, prefix, tags) in enumerate((
-            (rules, cloud_rules.CAP, "Cloud resource reference: ", ["cloud"]),
-            (identifiers, cloud_rules.IDENTIFIER_CAP, "Sensitive cloud identifier: ", ["cloud", "sensitive"]),
-        )):
-            if group:
-                found = rule_matches(body, group, lambda rule: "i", cap=cap)
-                parts.append(_per_rule(found, lambda r: r["found"], maker(section, prefix, tags)))
-        hits = F.concat(*parts) if len(parts) > 1 else parts[0]
-        return gated(body.has_text & body.status.isin(*cloud_rules.STATUSES), hits)
+    def maker(section: int, prefix: str, tags: list[str]):
+        def make(r: Column, m: Column, i: Column) -> Column:
+            return hit(
+                cloud_rules.MODULE,
+                F.concat(F.lit(prefix), r["label"]),
+                context_window(F.col(TEXT), m, cloud_rules.WINDOW),
+                F.array(*[F.lit(t) for t in tags], slug(r["id"])),
+                section=section, rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
+            )
+
+        return make
+
+    def detect() -> Column:
+        resources = rule_matches(rules, lambda rule: "i", cap=cloud_rules.CAP)
+        sensitive = rule_matches(identifiers, lambda rule: "i", cap=cloud_rules.IDENTIFIER_CAP)
+        return gated(whole_body(cloud_rules.STATUSES), F.concat(
+            per_rule(resources, lambda r: r["found"], maker(0, "Cloud resource reference: ", ["cloud"])),
+            per_rule(sensitive, lambda r: r["found"], maker(1, "Sensitive cloud identifier: ", ["cloud", "sensitive"])),
+        ))
 
     return detect
 

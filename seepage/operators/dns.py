@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seepage.functions.net import hostname, private_ipv4, valid_ipv4
 from seepage.functions.text import strip
 from seepage.operators.joins import salted_join
-from seepage.operators.matching import as_raw, gated, hit
+from seepage.operators.matching import as_raw, gated, hit, literal_map, one_hit
 from seepage.rules import dns as rules
 from seepage.rules import java_pattern
 
@@ -28,12 +28,10 @@ def _holds(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def _one(title: Column, evidence: Column, tags: list[str], section: int, pos: Column | int = 0,
-         source_pos: Column | int = 0) -> Column:
-    nowhere = F.lit("")
+def _one(title: Column, evidence: Column, tags: list[str], section: int, pos: Column | None = None) -> Column:
     return hit(
-        rules.MODULE, title, evidence, F.array(*[F.lit(t) for t in tags]), nowhere, None,
-        section=section, pos=pos, source_pos=source_pos, rule_id="-".join(tags[1:]))
+        rules.MODULE, title, evidence, F.array(*[F.lit(t) for t in tags]), F.lit(0),
+        section=section, pos=pos, rule_id="-".join(tags[1:]), url=F.lit(""), with_status=False)
 
 
 def _all(text: Column, pattern: str, group: int, flags: str = "") -> Column:
@@ -106,7 +104,7 @@ def dns_subdomains(dns: DataFrame, targets: DataFrame) -> DataFrame:
     The label is read off the answer and looked up among the probed ones, so
     the join is on the host and no host x label product is formed.
     """
-    labels = F.create_map(*[F.lit(v) for i, label in enumerate(rules.SUBDOMAINS) for v in (label, i)])
+    labels = literal_map({label: i for i, label in enumerate(rules.SUBDOMAINS)})
     answers = (
         dns.filter("rtype = 'A'")
         .select(
@@ -120,13 +118,13 @@ def dns_subdomains(dns: DataFrame, targets: DataFrame) -> DataFrame:
     where = F.concat("name", F.lit(" -> "), "ip")
     evidence = F.concat(F.lit("Subdomain: "), "name", F.lit("\nIP: "), "ip")
     pos = labels[F.col("label")]
-    one = F.when(
+    found = F.when(
         private_ipv4(F.col("ip")),
-        _one(F.concat(F.lit("Development subdomain resolves to internal IP: "), where), evidence,
-             ["dns", "subdomain", "internal-ip"], 7, pos),
-    ).otherwise(
-        _one(F.concat(F.lit("Development subdomain resolves: "), where), evidence, ["dns", "subdomain"], 7, pos))
-    return _raw(answers.select("hostname", F.col("name").alias("origin"), one.alias("hit")), targets)
+        F.array(_one(F.concat(F.lit("Development subdomain resolves to internal IP: "), where), evidence,
+                     ["dns", "subdomain", "internal-ip"], 7, pos)),
+    ).otherwise(F.array(
+        _one(F.concat(F.lit("Development subdomain resolves: "), where), evidence, ["dns", "subdomain"], 7, pos)))
+    return _raw(answers.select("hostname", F.col("name").alias("origin"), F.explode(found).alias("hit")), targets)
 
 
 def dns_reverse(dns: DataFrame, targets: DataFrame) -> DataFrame:
@@ -134,9 +132,9 @@ def dns_reverse(dns: DataFrame, targets: DataFrame) -> DataFrame:
     answers = dns.filter("rtype = 'A'").select("hostname", F.col("value").alias("ip")).filter(valid_ipv4(F.col("ip")))
     private = answers.filter(private_ipv4(F.col("ip"))).select(
         "hostname", F.col("ip").alias("origin"),
-        _one(
+        one_hit(_one(
             F.concat(F.lit("Hostname resolves to internal IP: "), "hostname", F.lit(" -> "), "ip"),
-            F.concat(F.lit("Hostname: "), "hostname", F.lit("\nIP: "), "ip"), ["dns", "internal-ip"], 8).alias("hit"))
+            F.concat(F.lit("Hostname: "), "hostname", F.lit("\nIP: "), "ip"), ["dns", "internal-ip"], 8)))
     telling = (
         dns.filter("rtype = 'PTR'")
         .filter(_holds(F.lower("value"), rules.PTR_LABELS))
@@ -145,9 +143,9 @@ def dns_reverse(dns: DataFrame, targets: DataFrame) -> DataFrame:
     )
     reverse = salted_join(answers.distinct(), telling, "ip").select(
         "hostname", F.col("ip").alias("origin"),
-        _one(
+        one_hit(_one(
             F.concat(F.lit("Reverse DNS shows development hostname: "), "ip", F.lit(" -> "), "ptr"),
-            F.concat(F.lit("IP: "), "ip", F.lit("\nPTR: "), "ptr"), ["dns", "reverse-dns", "internal"], 9).alias("hit"))
+            F.concat(F.lit("IP: "), "ip", F.lit("\nPTR: "), "ptr"), ["dns", "reverse-dns", "internal"], 9)))
     return _raw(private.unionByName(reverse), targets)
 
 

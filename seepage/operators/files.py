@@ -2,61 +2,60 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seepage.functions.net import path_of
-from seepage.functions.text import let, line_context, strip, truncate
-from seepage.operators.matching import Body, gated, hit, run
-from seepage.operators.paths import API, GIT, SENSITIVE, on_list, path_position
-from seepage.rules import Rule, api, files, git, java_pattern
+from seepage.functions.text import let, line_context, strip
+from seepage.operators.matching import PATH, TEXT, first_rule, gated, hit, literal, literal_map, no_hits, one_of, run
+from seepage.operators.paths import API, GIT, SENSITIVE, path_position
+from seepage.rules import api, files, git, java_pattern
+
 
+def _text() -> Column:
+    return F.coalesce(F.col(TEXT), F.lit(""))
 
-def _case(value: Column, branches: list[tuple[object, Column]], default: Column) -> Column:
-    """CASE value WHEN ... END; only the chosen branch is evaluated."""
-    out = None
-    for key, result in branches:
-        condition = value == F.lit(key)
-        out = F.when(condition, result) if out is None else out.when(condition, result)
-    return out.otherwise(default)
 
+def _occurs(text: Column, pattern: Column) -> Column:
+    # unlike rlike, regexp_instr keeps a pattern that is not a literal compiled
+    # for as long as it stays the same, here for all lines of a file
+    return F.regexp_instr(text, pattern, 0) > 0
 
-def sensitive_file_hits(body: Body) -> Column:
+
+def sensitive_file_hits() -> Column:
     """Listed files, with content evidence where the content is recognised."""
-    path = path_of(body.url, body.target)
-    text = F.coalesce(body.text, F.lit(""))
 
-    def searched(subject: Column, flags: str) -> Column:
-        return _case(
-            path, [(r.rule_id, subject.rlike(r.java(flags))) for r in files.CONTENT], F.lit(False))
+    def patterns(flags: str) -> Column:
+        return literal_map({r.rule_id: r.java(flags) for r in files.CONTENT})
 
     def evidence() -> Column:
-        snippets = let(
-            F.split(text, "\n"),
-            lambda lines: line_context(lines, lambda line: searched(line, "i"), files.LINES_AROUND, files.SNIPPETS),
-        )
-        return F.when(searched(text, "i"), F.left(snippets, F.lit(files.EVIDENCE))).otherwise(
-            truncate(text, files.FALLBACK))
+        def snippets(pattern: Column) -> Column:
+            lines = let(F.split(_text(), "\n"), lambda all_lines: line_context(
+                all_lines, lambda line: _occurs(line, pattern), files.LINES_AROUND, files.SNIPPETS))
+            return F.when(_occurs(_text(), pattern), F.left(lines, F.lit(files.EVIDENCE))).otherwise(
+                F.left(_text(), F.lit(files.FALLBACK)))
+
+        return let(patterns("i")[path], snippets)
+
+    path = F.col(PATH)
 
     def one(exposed: Column) -> Column:
-        described = F.create_map(*[F.lit(v) for pair in files.DESCRIPTIONS.items() for v in pair])[path]
-        tiers = F.create_map(*[F.lit(v) for r in files.CONTENT for v in (r.rule_id, r.tier)])[path]
         return hit(
             files.MODULE,
             F.concat(F.lit("Sensitive file "), F.when(exposed, "exposed: ").otherwise("accessible: "), path),
             F.when(exposed, evidence()).otherwise(F.concat(
-                F.lit("URL: "), body.url, F.lit(" returned HTTP "), body.status.cast("string"),
-                F.lit(" ("), F.length(text).cast("string"), F.lit(" bytes)"))),
+                F.lit("URL: "), "url", F.lit(" returned HTTP "), F.col("status").cast("string"),
+                F.lit(" ("), F.length(_text()).cast("string"), F.lit(" bytes)"))),
             F.array(F.lit("sensitive-file"), F.translate(path, "/.", "--")),
-            body.url, body.status, source_pos=path_position(path, SENSITIVE), rule_id=path,
-            tier=F.when(exposed, tiers).otherwise(""),
+            source_pos=path_position(path, SENSITIVE), rule_id=path,
+            tier=F.when(exposed, literal_map({r.rule_id: r.tier for r in files.CONTENT})[path]).otherwise(""),
             description=F.coalesce(
-                described, F.concat(F.lit("Sensitive file "), path, F.lit(" is publicly accessible"))),
+                literal_map(files.DESCRIPTIONS)[path],
+                F.concat(F.lit("Sensitive file "), path, F.lit(" is publicly accessible"))),
         )
 
-    return gated((body.status == 200) & on_list(path, SENSITIVE), F.transform(F.array(searched(text, "")), one))
+    exposed = F.coalesce(_occurs(_text(), patterns("")[path]), F.lit(False))
+    listed = F.expr("unit = 'body' AND status = 200") & one_of(PATH, SENSITIVE)
+    return gated(listed, F.transform(F.array(exposed), one))
 
 
 def git_evidence(body: Column) -> Column:
@@ -75,119 +74,103 @@ def git_evidence(body: Column) -> Column:
     return let(F.split(strip(body), "\n"), render)
 
 
-def git_hits(body: Body) -> Column:
+def git_hits() -> Column:
     """Files of an exposed repository and its directory listing."""
-    path = path_of(body.url, body.target)
-    text = F.coalesce(body.text, F.lit(""))
-    stripped = strip(text)
 
     def any_of(markers: list[str]) -> Column:
-        return reduce(lambda a, b: a | b, [text.rlike(java_pattern(m, "m")) for m in markers])
+        return F.expr(" OR ".join(f"{TEXT} RLIKE {literal(java_pattern(m, 'm'))}" for m in markers))
+
+    path = F.col(PATH)
 
     def one(title: Column, evidence: Column, tag: str, description: str = "") -> Column:
         return F.array(hit(
-            git.MODULE, title, evidence, F.array(F.lit("git"), F.lit(tag)), body.url, body.status,
+            git.MODULE, title, evidence, F.array(F.lit("git"), F.lit(tag)),
             source_pos=path_position(path, GIT), rule_id=path, description=description,
         ))
 
-    branch = F.replace(stripped, F.lit("ref: refs/heads/"), F.lit(""))
-    config = gated(any_of(git.CONFIG_MARKERS), one(
-        F.lit("Git repository configuration exposed (.git/config)"), git_evidence(text), "git-config",
-        "The .git/config file is publicly accessible, exposing repository metadata"))
-    head = gated(any_of(git.HEAD_MARKERS), one(
-        F.concat(F.lit("Git HEAD reference exposed (branch: "), branch, F.lit(")")),
-        F.concat(F.lit("Git HEAD exposed\nBranch: "), branch, F.lit("\nContent: "), F.left(stripped, F.lit(200))),
-        "git-head"))
-    index = gated(F.length(text) > git.MIN_INDEX_CHARS, one(
-        F.lit("Git index file exposed (potential full repo download)"),
-        F.concat(F.lit("Git index file exposed ("), F.length(text).cast("string"), F.lit(" bytes)")), "git-index"))
-    listed = gated(reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in git.DIRECTORY_MARKERS]), one(
-        F.lit("Git directory listing exposed"),
-        F.concat(F.lit("URL: "), body.url, F.lit("\nDirectory listing of .git available")), "directory-listing"))
-    reference = gated(F.length(stripped) > 0, one(
-        F.concat(F.lit("Git metadata exposed: "), path),
-        F.concat(F.lit("Git reference exposed\nPath: "), path, F.lit("\nContent:\n"), F.left(stripped, F.lit(500))),
-        "git-metadata"))
-    other = gated(F.length(stripped) > 0, one(
-        F.concat(F.lit("Git repository file exposed: "), path),
-        F.concat(F.lit("Git file exposed\nPath: "), path, F.lit("\nContent preview: "), F.left(stripped, F.lit(200))),
-        "git-metadata"))
-
-    by_path = (
-        F.when(path == ".git/config", config)
-        .when(path == ".git/HEAD", head)
-        .when(path == ".git/index", index)
-        .when(path == git.DIRECTORY, listed)
-        .when(path.isin(git.REFERENCE_PATHS), reference)
-        .otherwise(other)
-    )
-    return gated((body.status == 200) & body.has_text & on_list(path, GIT), by_path)
-
+    def hits() -> Column:
+        stripped = strip(F.col(TEXT))
+        size = F.length(TEXT).cast("string")
+        branch = F.replace(stripped, F.lit("ref: refs/heads/"), F.lit(""))
+        preview = F.when(path.isin(git.REFERENCE_PATHS), F.concat(
+            F.lit("Git reference exposed\nPath: "), path, F.lit("\nContent:\n"), F.left(stripped, F.lit(500)),
+        )).otherwise(F.concat(
+            F.lit("Git file exposed\nPath: "), path, F.lit("\nContent preview: "), F.left(stripped, F.lit(200))))
+        heading = F.when(path.isin(git.REFERENCE_PATHS), "Git metadata exposed: ").otherwise(
+            "Git repository file exposed: ")
+        return (
+            F.when(path == ".git/config", F.when(any_of(git.CONFIG_MARKERS), one(
+                F.lit("Git repository configuration exposed (.git/config)"), git_evidence(F.col(TEXT)),
+                "git-config",
+                "The .git/config file is publicly accessible, exposing repository metadata")))
+            .when(path == ".git/HEAD", F.when(any_of(git.HEAD_MARKERS), one(
+                F.concat(F.lit("Git HEAD reference exposed (branch: "), branch, F.lit(")")),
+                F.concat(F.lit("Git HEAD exposed\nBranch: "), branch, F.lit("\nContent: "),
+                         F.left(stripped, F.lit(200))),
+                "git-head")))
+            .when(path == ".git/index", F.when(F.length(TEXT) > git.MIN_INDEX_CHARS, one(
+                F.lit("Git index file exposed (potential full repo download)"),
+                F.concat(F.lit("Git index file exposed ("), size, F.lit(" bytes)")), "git-index")))
+            .when(path == git.DIRECTORY, F.when(
+                F.expr(" OR ".join(f"contains({TEXT}, {literal(m)})" for m in git.DIRECTORY_MARKERS)), one(
+                    F.lit("Git directory listing exposed"),
+                    F.concat(F.lit("URL: "), "url", F.lit("\nDirectory listing of .git available")),
+                    "directory-listing")))
+            .when(F.length(stripped) > 0, one(F.concat(heading, path), preview, "git-metadata"))
+        )
 
-def _api_title(rank: Column, url: Column) -> Column:
-    def plain(rule: Rule) -> Column:
-        return F.concat(F.lit(f"API documentation exposed: {rule.label} at "), url)
+    listed = F.expr(f"unit = 'body' AND status = 200 AND length({TEXT}) > 0") & one_of(PATH, GIT)
+    return gated(listed, F.coalesce(hits(), no_hits()))
 
-    def titled(rule: Rule) -> Column:
-        if rule.rule_id == "graphql":
-            playground = F.contains(F.lower(url), F.lit("playground"))
-            return F.when(playground, F.concat(F.lit("GraphQL Playground exposed: "), url)).otherwise(plain(rule))
-        if rule.rule_id == "graphiql":
-            return F.concat(F.lit("GraphiQL IDE exposed: "), url)
-        if rule.rule_id == "swagger-ui":
-            return F.concat(F.lit("Swagger UI exposed: "), url)
-        return plain(rule)
 
-    return _case(rank, [(i, titled(rule)) for i, rule in enumerate(api.MARKERS)], F.lit(""))
+def _api_title(rank: Column, group: Column) -> Column:
+    labels = literal_map({i: r.label for i, r in enumerate(api.MARKERS)})
+    playground = (group == "graphql") & F.contains(F.lower("url"), F.lit("playground"))
+    return (
+        F.when(playground, F.concat(F.lit("GraphQL Playground exposed: "), "url"))
+        .when(group == "graphiql", F.concat(F.lit("GraphiQL IDE exposed: "), "url"))
+        .when(group == "swagger-ui", F.concat(F.lit("Swagger UI exposed: "), "url"))
+        .otherwise(F.concat(F.lit("API documentation exposed: "), labels[rank], F.lit(" at "), "url"))
+    )
 
 
-def _first_marker(text: Column) -> Column:
-    """Rank of the first marker in the text, null without one."""
-    return F.coalesce(*[F.when(text.rlike(r.java("i")), F.lit(i)) for i, r in enumerate(api.MARKERS)])
+def _on_api_path() -> Column:
+    return F.expr(f"unit = 'body' AND status = 200 AND length({TEXT}) > 0") & one_of(PATH, API)
 
 
-def api_marker_hits(body: Body) -> Column:
+def api_marker_hits() -> Column:
     """Interactive documentation and specifications at listed paths."""
-    path = path_of(body.url, body.target)
 
     def one(rank: Column) -> Column:
-        def flagged(line: Column) -> Column:
-            return _case(rank, [(i, line.rlike(r.java("i"))) for i, r in enumerate(api.MARKERS)], F.lit(False))
-
-        snippets = let(
-            F.split(body.text, "\n"), lambda lines: line_context(lines, flagged, api.LINES_AROUND, api.SNIPPETS))
+        pattern = literal_map({i: r.java("i") for i, r in enumerate(api.MARKERS)})[rank]
+        group = literal_map({i: r.rule_id for i, r in enumerate(api.MARKERS)})[rank]
+        snippets = let(pattern, lambda p: let(F.split(TEXT, "\n"), lambda lines: line_context(
+            lines, lambda line: _occurs(line, p), api.LINES_AROUND, api.SNIPPETS)))
         evidence = let(snippets, lambda s: F.when(s != "", F.left(s, F.lit(api.EVIDENCE))).otherwise(
-            F.left(body.text, F.lit(api.FALLBACK))))
-        group = F.element_at(F.array(*[F.lit(r.rule_id) for r in api.MARKERS]), rank + 1)
-        tier = F.element_at(F.array(*[F.lit(r.tier) for r in api.MARKERS]), rank + 1)
+            F.left(TEXT, F.lit(api.FALLBACK))))
         return hit(
-            api.MODULE, _api_title(rank, body.url), evidence,
-            F.array(F.lit("api"), F.lit("api-docs"), group), body.url, body.status,
-            source_pos=path_position(path, API), rank=rank, rule_id=group, tier=tier,
+            api.MODULE, _api_title(rank, group), evidence, F.array(F.lit("api"), F.lit("api-docs"), group),
+            source_pos=path_position(F.col(PATH), API), rank=rank, rule_id=group,
+            tier=literal_map({i: r.tier for i, r in enumerate(api.MARKERS)})[rank],
         )
 
-    found = F.filter(F.array(_first_marker(body.text)), lambda r: r.isNotNull())
-    return gated((body.status == 200) & body.has_text & on_list(path, API), F.transform(found, one))
+    found = F.filter(F.array(first_rule(api.MARKERS, "i")), lambda r: r.isNotNull())
+    return gated(_on_api_path(), F.transform(found, one))
 
 
-def api_spec_hits(body: Body) -> Column:
+def api_spec_hits() -> Column:
     """A specification object in a body without any marker."""
-    path = path_of(body.url, body.target)
-    spec = F.regexp_extract(body.text, java_pattern(api.SPECIFICATION_FAST, "s"), 1)
+    spec = F.regexp_extract(TEXT, java_pattern(api.SPECIFICATION_FAST, "s"), 1)
 
     def one(text: Column) -> Column:
         return hit(
-            api.MODULE, F.concat(F.lit("API specification document exposed: "), body.url),
-            F.left(text, F.lit(500)),
-            F.array(F.lit("api"), F.lit("api-docs"), F.lit("swagger-json")), body.url, body.status,
-            source_pos=path_position(path, API), section=1, rule_id="specification", tier="High",
+            api.MODULE, F.concat(F.lit("API specification document exposed: "), "url"), F.left(text, F.lit(500)),
+            F.array(F.lit("api"), F.lit("api-docs"), F.lit("swagger-json")),
+            source_pos=path_position(F.col(PATH), API), section=1, rule_id="specification", tier="High",
         )
 
-    possible = (
-        (body.status == 200) & body.has_text & on_list(path, API)
-        & (F.contains(body.text, F.lit('"swagger"')) | F.contains(body.text, F.lit('"openapi"')))
-        & _first_marker(body.text).isNull()
-    )
+    named = F.expr(f"""contains({TEXT}, '"swagger"') OR contains({TEXT}, '"openapi"')""")
+    possible = _on_api_path() & named & first_rule(api.MARKERS, "i").isNull()
     return gated(possible, F.transform(F.filter(F.array(spec), lambda s: s != ""), one))
 
 
@@ -209,5 +192,3 @@ def api_docs(responses: DataFrame) -> DataFrame:
 
 def api_specifications(responses: DataFrame) -> DataFrame:
     return run(_ok(responses), api_spec_hits)
-
-

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions.text import strip
-from seepage.operators.matching import as_raw, hit
+from seepage.operators.matching import as_raw, hit, literal_map, one_hit
 from seepage.rules import headers as rules
 
 
 def _table(names: list[str], values: list) -> Column:
-    return F.create_map(*[F.lit(v) for n, value in zip(names, values) for v in (n.lower(), value)])
+    return literal_map({n.lower(): value for n, value in zip(names, values)})
 
 
 def entry_rows(responses: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def entry_rows(responses: DataFrame) -> DataFrame:
 
 
 def _findings(entries: DataFrame, one: Column) -> DataFrame:
-    return as_raw(entries.select("target", "origin", "fetched_at", one.alias("hit")))
+    return as_raw(entries.select("target", "origin", "fetched_at", one_hit(one)))
 
 
 def disclosure_headers(responses: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def disclosure_headers(responses: DataFrame) -> DataFrame:
         rules.MODULE,
         F.concat(F.lit("Information disclosure via "), header, F.lit(" header")),
         F.concat(header, F.lit(": "), F.col("value")),
-        F.array(F.lit("header"), name), F.col("url"), F.col("status"),
+        F.array(F.lit("header"), name), F.lit(0),
         rank=_table(names, list(range(len(names))))[name], rule_id=name,
         tier=_table(names, [t for _, _, t in rules.DISCLOSURE])[name],
         description=_table(names, [d for _, d, _ in rules.DISCLOSURE])[name],
@@ -56,7 +56,7 @@ def infrastructure_headers(responses: DataFrame) -> DataFrame:
         rules.MODULE,
         F.concat(F.lit("Infrastructure information disclosed via "), header),
         F.concat(header, F.lit(": "), F.col("value")),
-        F.array(F.lit("header"), F.lit("infrastructure"), name), F.col("url"), F.col("status"),
+        F.array(F.lit("header"), F.lit("infrastructure"), name), F.lit(0),
         section=1, rank=_table(names, list(range(len(names))))[name], rule_id=name,
         description=F.concat(
             F.lit("Internal infrastructure information disclosed via the "), header, F.lit(" response header")),

@@ -1,8 +1,8 @@
 """Scripts: inline ones from pages, external ones from their own captures.
 
 Script bodies are never shuffled.  Rules run where the script was captured and
-give one small row per script with hits; pages give one small row per distinct
-(target, script URL).  Only these two meet in a join.
+give one small row per hit; pages give one small row per distinct (target,
+script URL).  Only these two meet in a join.
 """
 
 from __future__ import annotations
@@ -14,143 +14,137 @@ from pyspark.sql import functions as F
 
 from seepage.functions.entropy import is_high_entropy
 from seepage.functions.net import resolve
-from seepage.functions.text import context_window, has_text, strip
+from seepage.functions.text import context_window, strip
 from seepage.operators.joins import salted_join
 from seepage.operators.matching import (
-    Body, Text, as_raw, explode_hits, find_all, gated, hit, rule_matches, text_view,
+    TEXT, UNIT, Detector, as_raw, body_units, explode_hits, find_all, gated, hit, per_rule, rule_matches, whole_body,
 )
 from seepage.operators.scoring import confidence
 from seepage.rules import Rule, java_pattern
 from seepage.rules import javascript as js
 from seepage.rules import secrets as secret_rules
+from seepage.sources.checkpoint import reliable
 
 MIN_SECRET = 8
+PARTS = ("secrets", "endpoints", "env", "config", "cloud")
 
 
-def page_gate(body: Body) -> Column:
-    return body.has_text & body.status.isin(*js.STATUSES)
+def is_external() -> Column:
+    """The row is a captured file that a page can name as an external script."""
+    return whole_body([200]) & F.endswith("url", F.lit(".js"))
 
 
-def script_gate(body: Body) -> Column:
-    """Captures that a page can name as an external script."""
-    return (body.status == 200) & body.has_text & F.endswith(body.url, F.lit(".js"))
+def script_sources(max_scripts: int = js.MAX_SCRIPTS) -> Column:
+    """Absolute URLs of the external scripts of a page, in page order."""
+    sources = find_all(js.SCRIPT_SRC, "i", cap=max_scripts)
+    return F.transform(sources, lambda src: resolve(F.col("target"), src))
 
 
-def script_sources(body: Body, max_scripts: int = js.MAX_SCRIPTS) -> Column:
-    """Absolute URLs of the external scripts of a page, in page order."""
-    sources = F.slice(find_all(body, js.SCRIPT_SRC, "i"), 1, max_scripts)
-    return F.transform(sources, lambda src: resolve(body.target, src))
+def inline_scripts() -> Column:
+    """Non-blank inline scripts of a page, in page order."""
+    return F.filter(F.transform(find_all(js.INLINE_SCRIPT, "si"), strip), lambda s: F.length(s) > 0)
+
+
+def with_inline_units(units: DataFrame, is_page: Column | None = None, max_scripts: int = js.MAX_SCRIPTS) -> DataFrame:
+    """Body units, and behind each page one unit per inline script.
+
+    External scripts come first in a page, so inline ones are counted from
+    ``max_scripts``.
+    """
+    gate = whole_body(js.STATUSES) if is_page is None else whole_body(js.STATUSES) & is_page
 
+    def unit(kind: str, source_pos: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind), F.col("url"), F.col("status"), source_pos.cast("int"), text).cast(UNIT)
 
-def inline_scripts(body: Text) -> Column:
-    """Non-blank inline scripts in page order."""
-    found = F.transform(find_all(body, js.INLINE_SCRIPT, "si"), strip)
-    return F.filter(found, lambda s: F.length(s) > 0)
+    scripts = F.transform(inline_scripts(), lambda s, i: unit("inline", i + max_scripts, s))
+    body = F.array(unit("body", F.lit(0), F.col(TEXT)))
+    return units.select(
+        "target", "origin", "fetched_at",
+        F.explode(F.when(gate, F.concat(body, scripts)).otherwise(body)).alias("u"),
+    ).select("target", "origin", "fetched_at", "u.*")
 
 
 def script_hits(
-    script: Text,
-    url: Column,
-    source_pos: Column | int = 0,
     rules: Sequence[Rule] = secret_rules.RULES,
     min_entropy: float = secret_rules.MIN_ENTROPY,
     use_entropy: bool = True,
-    kind: str = "finding",
-    parts: Sequence[str] = ("secrets", "endpoints", "env", "config", "cloud"),
-) -> Column:
-    """Hits of all script rules in one script.  Scripts carry no status."""
+    parts: Sequence[str] = PARTS,
+    found_secrets: Column | None = None,
+) -> Detector:
+    """Hits of the script rules in inline units and captured script files.
+
+    Scripts carry no status.  Hits in a file are of kind ``script``: they
+    still have to be credited to the pages that load the file.
+    """
 
     def random_enough(text: Column) -> Column:
         return is_high_entropy(text, min_entropy) if use_entropy else F.lit(True)
 
-    def made(section: int, title: Column, found: Column, tags: list[Column], rank, pos, rule_id) -> Column:
+    def made(section: int, title: Column, found: Column, tags: Sequence[Column], pos: Column,
+             rank: Column | None = None, rule_id: Column | str = "") -> Column:
         return hit(
-            js.MODULE, title, context_window(script.text, found, js.WINDOW), F.array(*tags), url, None,
-            source_pos=source_pos, section=section, rank=rank, pos=pos, rule_id=rule_id, kind=kind,
+            js.MODULE, title, context_window(F.col(TEXT), found, js.WINDOW), F.array(F.lit("javascript"), *tags),
+            section=section, rank=rank, pos=pos, rule_id=rule_id, with_status=False,
+            kind=F.expr("CASE unit WHEN 'inline' THEN 'finding' ELSE 'script' END"),
         )
 
-    def per_rule(section: int, rules: Sequence[Rule], keep, title, tags) -> Column:
-        return F.flatten(F.transform(
-            rule_matches(script, rules, lambda rule: ""),
-            lambda r: F.transform(
-                F.filter(r["found"], keep),
-                lambda m, i: made(section, title(r, m), m, tags(r), r["rank"], i, r["id"]))))
-
-    def of(rule: Rule, group: int):
+    def in_match(rule: Rule, group: int):
         # a match holds everything its groups need, so it is matched again alone
         return lambda m: F.regexp_extract(m, rule.java(), group)
 
     def secret_part() -> Column:
         return per_rule(
-            0, rules, lambda m: (F.length(m) >= MIN_SECRET) & random_enough(m),
-            lambda r, m: F.concat(r["label"], F.lit(" exposed in JavaScript")),
-            lambda r: [F.lit("javascript"), F.lit("secret"), r["id"]])
+            rule_matches(rules) if found_secrets is None else found_secrets,
+            lambda r: F.filter(r["found"], lambda m: (F.length(m) >= MIN_SECRET) & random_enough(m)),
+            lambda r, m, i: made(
+                0, F.concat(r["label"], F.lit(" exposed in JavaScript")), m, [F.lit("secret"), r["id"]], i,
+                r["rank"], r["id"]))
 
     def endpoint_part() -> Column:
         return per_rule(
-            1, js.ENDPOINTS, lambda m: F.lit(True),
-            lambda r, m: F.concat(r["label"], F.lit(" found in JavaScript: "), F.left(m, F.lit(80))),
-            lambda r: [F.lit("javascript"), F.lit("endpoint")])
+            rule_matches(js.ENDPOINTS), lambda r: r["found"],
+            lambda r, m, i: made(
+                1, F.concat(r["label"], F.lit(" found in JavaScript: "), F.left(m, F.lit(80))), m,
+                [F.lit("endpoint")], i, r["rank"], r["id"]))
+
+    def keyed(section: int, rule: Rule, tag: str, key, keep=None) -> Column:
+        found = find_all(rule)
+        return F.transform(F.filter(found, keep) if keep else found, lambda m, i: made(
+            section, F.concat(F.lit(f"{rule.label}: "), key(m)), m, [F.lit(tag), F.lower(key(m))], i,
+            rule_id=rule.rule_id))
 
     def env_part() -> Column:
         def name(m: Column) -> Column:
-            return F.coalesce(*[F.nullif(of(js.ENV, g)(m), F.lit("")) for g in (2, 3, 4)], F.lit(""))
+            return F.coalesce(*[F.nullif(in_match(js.ENV, g)(m), F.lit("")) for g in (2, 3, 4)], F.lit(""))
 
-        return F.transform(find_all(script, js.ENV), lambda m, i: made(
-            2, F.concat(F.lit("Environment variable reference: "), name(m)), m,
-            [F.lit("javascript"), F.lit("env-var"), F.lower(name(m))], 0, i, js.ENV.rule_id))
+        return keyed(2, js.ENV, "env-var", name)
 
     def config_part() -> Column:
-        key, value = of(js.CONFIG, 2), of(js.CONFIG, 3)
-        found = F.filter(find_all(script, js.CONFIG), lambda m: random_enough(value(m)))
-        return F.transform(found, lambda m, i: made(
-            3, F.concat(F.lit("Configuration secret found: "), key(m)), m,
-            [F.lit("javascript"), F.lit("config"), F.lower(key(m))], 0, i, js.CONFIG.rule_id))
+        value = in_match(js.CONFIG, 3)
+        return keyed(3, js.CONFIG, "config", in_match(js.CONFIG, 2), lambda m: random_enough(value(m)))
 
     def cloud_part() -> Column:
-        def key(m: Column) -> Column:
-            return F.regexp_extract(m, java_pattern(js.CLOUD_CONFIG_KEY), 1)
-
-        return F.transform(find_all(script, js.CLOUD_CONFIG), lambda m, i: made(
-            4, F.concat(F.lit("Cloud configuration reference: "), key(m)), m,
-            [F.lit("javascript"), F.lit("cloud-config"), F.lower(key(m))], 0, i, js.CLOUD_CONFIG.rule_id))
-
-    builders = {
-        "secrets": secret_part, "endpoints": endpoint_part, "env": env_part, "config": config_part, "cloud": cloud_part,
-    }
-    arrays = [builders[part]() for part in parts]
-    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+        return keyed(4, js.CLOUD_CONFIG, "cloud-config",
+                     lambda m: F.regexp_extract(m, java_pattern(js.CLOUD_CONFIG_KEY), 1))
 
-
-def inline_hits(max_scripts: int = js.MAX_SCRIPTS, **options):
-    """Hits in the inline scripts of a page; they follow the external ones."""
-
-    def detect(body: Body) -> Column:
-        views = F.transform(inline_scripts(body), text_view)
-        found = F.flatten(F.transform(views, lambda v, i: script_hits(
-            Text(v["text"], v["lower"], v["folds"]), body.url, i + max_scripts, **options)))
-        return gated(page_gate(body), found)
+    def detect() -> Column:
+        builders = dict(zip(PARTS, (secret_part, endpoint_part, env_part, config_part, cloud_part)))
+        arrays = [builders[part]() for part in parts]
+        return gated(
+            F.expr("unit = 'inline'") | is_external(), F.concat(*arrays) if len(arrays) > 1 else arrays[0])
 
     return detect
 
 
-def external_hits(**options):
-    """Hits in a captured script, to be credited to the pages that load it."""
-
-    def detect(body: Body) -> Column:
-        return gated(script_gate(body), script_hits(body, body.url, kind="script", **options))
-
-    return detect
-
-
-def reference_hits(max_scripts: int = js.MAX_SCRIPTS):
+def reference_hits(max_scripts: int = js.MAX_SCRIPTS) -> Detector:
     """One row per external script of a page."""
 
-    def detect(body: Body) -> Column:
-        nothing = F.lit(None).cast("string")
-        return gated(page_gate(body), F.transform(
-            script_sources(body, max_scripts),
-            lambda url, i: hit(js.MODULE, nothing, nothing, F.lit(None), url, None, source_pos=i, kind="reference")))
+    def detect() -> Column:
+        nothing = F.expr("cast(null as string)")
+        return gated(whole_body(js.STATUSES), F.transform(
+            script_sources(max_scripts),
+            lambda url, i: hit(js.MODULE, nothing, nothing, F.expr("cast(null as array<string>)"), source_pos=i,
+                               url=url, with_status=False, kind="reference")))
 
     return detect
 
@@ -158,10 +152,9 @@ def reference_hits(max_scripts: int = js.MAX_SCRIPTS):
 def credit_scripts(hits: DataFrame) -> DataFrame:
     """Turn script hits and page references into hits of the pages.
 
-    ``hits`` has rows of kind ``script`` and ``reference``.  A target keeps the
-    first page position per script: a later one cannot come first in any
-    ordering of findings, and a script loaded by a third of all pages meets
-    the join once per target instead of once per page.
+    A target keeps the first page position per script: a later one cannot come
+    first in any ordering of findings, and a script that a third of all pages
+    load meets the join once per target instead of once per page.
     """
     first = (
         hits.filter("hit.kind = 'reference'")
@@ -188,33 +181,42 @@ def credit_scripts(hits: DataFrame) -> DataFrame:
     )
 
 
-def js_rules(responses: DataFrame, min_entropy: float = secret_rules.MIN_ENTROPY, use_entropy: bool = True,
-             parts: Sequence[str] = ("secrets", "endpoints", "env", "config", "cloud")) -> DataFrame:
-    """Raw findings of inline and external scripts."""
-    options = {"min_entropy": min_entropy, "use_entropy": use_entropy, "parts": tuple(parts)}
+def js_rules(
+    responses: DataFrame,
+    min_entropy: float = secret_rules.MIN_ENTROPY,
+    use_entropy: bool = True,
+    parts: Sequence[str] = PARTS,
+    materialize: bool = True,
+) -> DataFrame:
+    """Raw findings of inline and external scripts.
+
+    The hits of one pass feed three branches and are checkpointed in between;
+    ``materialize=False`` leaves the plan lazy and reads the captures again.
+    """
     captured = responses.filter(F.col("status").isin(*js.STATUSES))
-    inline = explode_hits(captured, [inline_hits(**options)])
-    pairs = explode_hits(captured, [reference_hits()]).unionByName(
-        explode_hits(captured.filter(F.col("url").endswith(".js")), [external_hits(**options)]))
-    return as_raw(inline.unionByName(credit_scripts(pairs)))
+    hits = explode_hits(
+        with_inline_units(body_units(captured)),
+        [script_hits(min_entropy=min_entropy, use_entropy=use_entropy, parts=parts), reference_hits()])
+    if materialize:
+        hits = reliable(hits)
+    return as_raw(hits.filter("hit.kind = 'finding'").unionByName(credit_scripts(hits)))
 
 
 def js_inputs(responses: DataFrame, max_scripts: int = js.MAX_SCRIPTS) -> DataFrame:
-    """Scripts of every page: (target, page, source_pos, script_url, external, chars).
+    """Scripts of every page: (target, page, source_pos, script_url, chars, external).
 
     External scripts without a capture are not listed.  The texts stay in the
     capture table, so no body takes part in the join.
     """
-    pages = responses.filter(F.col("status").isin(*js.STATUSES))
-    body = Body(F.col("body"), F.lower("body"), F.lit(False), F.col("target"), F.col("url"), F.col("status"))
-    references = pages.filter(has_text(F.col("body"))).select(
-        "target", F.col("url").alias("page"), F.posexplode(script_sources(body, max_scripts)).alias("source_pos", "script_url"))
-    captures = responses.filter("status = 200").filter(F.col("url").endswith(".js") & has_text(F.col("body"))).select(
-        F.col("url").alias("script_url"), F.length("body").alias("chars"))
+    pages = body_units(responses).filter(whole_body(js.STATUSES))
+    references = pages.select(
+        "target", F.col("url").alias("page"), F.posexplode(script_sources(max_scripts)).alias("source_pos", "script_url"))
+    captures = body_units(responses).filter(is_external()).select(
+        F.col("url").alias("script_url"), F.length(TEXT).alias("chars"))
     external = salted_join(references, captures, "script_url").withColumn("external", F.lit(True))
-    inline = pages.filter(has_text(F.col("body"))).select(
+    inline = pages.select(
         "target", F.col("url").alias("page"),
-        F.posexplode(F.transform(inline_scripts(body), F.length)).alias("i", "chars"),
+        F.posexplode(F.transform(inline_scripts(), F.length)).alias("i", "chars"),
     ).select(
         "target", "page", (F.col("i") + max_scripts).alias("source_pos"), F.col("page").alias("script_url"), "chars",
         F.lit(False).alias("external"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions.text import let
-from seepage.operators.matching import Body, find_all, gated, hit, run
+from seepage.operators.matching import TEXT, find_all, gated, hit, literal, run, whole_body
 from seepage.rules import Rule, listing
 
 _HREF = Rule("href", "link", listing.HREF, 1, ("<a",))
@@ -19,9 +19,10 @@ def _starts(link: Column, *prefixes: str) -> Column:
     return out
 
 
-def marker_description(body: Column) -> Column:
-    """Description of the first marker in the body, null without one."""
-    return F.coalesce(*[F.when(F.contains(body, F.lit(m)), F.lit(d)) for m, d in listing.MARKERS])
+def marker_description() -> Column:
+    """Description of the first marker in the text, null without one."""
+    return F.expr("CASE " + " ".join(
+        f"WHEN contains({TEXT}, {literal(m)}) THEN {literal(d)}" for m, d in listing.MARKERS) + " END")
 
 
 def listing_evidence(links: Column, url: Column) -> Column:
@@ -42,24 +43,23 @@ def listing_evidence(links: Column, url: Column) -> Column:
     return let(F.filter(links, lambda l: ~_starts(l, "?", "#", "javascript")), render)
 
 
-def listing_hits(body: Body) -> Column:
+def listing_hits() -> Column:
     """Pages that carry a marker of a directory index."""
 
     def one(description: Column) -> Column:
         return hit(
             listing.MODULE,
-            F.concat(F.lit("Directory listing enabled: "), body.url),
-            listing_evidence(find_all(body, _HREF, "i"), body.url),
+            F.concat(F.lit("Directory listing enabled: "), "url"),
+            listing_evidence(find_all(_HREF, "i"), F.col("url")),
             F.array(F.lit("directory-listing")),
-            body.url, body.status,
             description=F.concat(F.lit("Directory listing is enabled at this URL. "), description),
         )
 
-    found = F.filter(F.array(marker_description(body.text)), lambda d: d.isNotNull())
-    return gated((body.status == 200) & body.has_text, F.transform(found, one))
+    found = F.filter(F.array(marker_description()), lambda d: d.isNotNull())
+    return gated(whole_body([200]), F.transform(found, one))
 
 
-def suspected_listing_hits(body: Body) -> Column:
+def suspected_listing_hits() -> Column:
     """Pages without a marker whose links are mostly directories."""
 
     def counts(links: Column) -> Column:
@@ -72,20 +72,19 @@ def suspected_listing_hits(body: Body) -> Column:
     def one(n: Column) -> Column:
         return hit(
             listing.MODULE,
-            F.concat(F.lit("Possible directory listing: "), body.url),
-            F.concat(F.lit("URL: "), body.url, F.lit("\nFound "), n["directories"].cast("string"),
+            F.concat(F.lit("Possible directory listing: "), "url"),
+            F.concat(F.lit("URL: "), "url", F.lit("\nFound "), n["directories"].cast("string"),
                      F.lit(" directories and "), n["files"].cast("string"), F.lit(" files")),
             F.array(F.lit("directory-listing"), F.lit("suspected")),
-            body.url, body.status, section=1,
+            section=1,
             description="The directory appears to have directory listing enabled based on ratio of directories to files",
         )
 
     # links are counted once per body, and only where no marker was found
-    counted = F.transform(F.array(find_all(body, _HREF, "i")), counts)
+    counted = F.transform(F.array(find_all(_HREF, "i")), counts)
     found = F.filter(
         counted, lambda n: (n["directories"] > listing.MIN_DIRECTORIES) & (n["directories"] > n["files"]))
-    return gated(
-        (body.status == 200) & body.has_text & marker_description(body.text).isNull(), F.transform(found, one))
+    return gated(whole_body([200]) & marker_description().isNull(), F.transform(found, one))
 
 
 def directory_listing(responses: DataFrame) -> DataFrame:

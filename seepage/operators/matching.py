@@ -1,10 +1,10 @@
-"""Running many rules over one body column in a single pass.
+"""Running many rules over one text column in a single pass.
 
-A detector is a function from a ``Body`` to an array of hits.  Detectors are
+A detector turns the current row into an array of hits.  Detectors are
 concatenated and exploded once, so any number of them costs one scan and no
 shuffle, and only the hits leave the expression - never the body.
 
-Patterns are literals, compiled once per task.  A rule is only run on bodies
+Patterns are literals, compiled once per task.  A rule is only run on texts
 that hold one of its literals, and a rule whose matches need a closing part is
 only run on the text up to the last closing part.
 """
@@ -12,88 +12,84 @@ only run on the text up to the last closing part.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepage.functions.net import path_of
 from seepage.rules import Rule, java_pattern
 from seepage.rules.scoring import MODULES
 from seepage.schema import HIT
 
 # Characters that equal an ASCII letter when case is ignored but do not lower
-# to it; bodies with one of them skip the literal test.
-_FOLDING = "[ſİıK]"
+# to it; texts with one of them skip the literal test.
+FOLDING = "[ſİıK]"
 
+# A row of ``units``: the text to search and where it comes from.  ``unit`` is
+# "body" for a whole response and "inline" for a script inside one.
+UNIT = "struct<unit:string,url:string,status:int,source_pos:int,text:string>"
+TEXT, LOWER, FOLDS, PATH = "text", "_lower", "_folds", "_path"
 
-@dataclass(frozen=True)
-class Text:
-    """A text with its lower-cased copy and the folding flag."""
+Detector = Callable[[], Column]
 
-    text: Column
-    lower: Column
-    folds: Column
 
-
-@dataclass(frozen=True)
-class Body(Text):
-    """The body of a captured response and the columns detectors may use."""
-
-    target: Column
-    url: Column
-    status: Column
-
-    @property
-    def has_text(self) -> Column:
-        return F.coalesce(F.length(self.text) > 0, F.lit(False))
-
-
-Detector = Callable[[Body], Column]
-
-
-def no_strings() -> Column:
-    return F.array().cast("array<string>")
+def literal(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def no_hits() -> Column:
-    return F.array().cast(f"array<{HIT}>")
+    return F.expr(f"cast(array() as array<{HIT}>)")
 
 
 def ignores_case(rule: Rule, flags: str) -> bool:
     return "i" in flags or rule.pattern.startswith("(?i)")
 
 
-def find_all(view: Text, rule: Rule, flags: str = "", group: int | None = None, cap: int | None = None) -> Column:
-    """All matches of ``rule`` in order, as an array of strings."""
-    source = view.text
+def find_all_sql(rule: Rule, flags: str = "", cap: int | None = None) -> str:
+    """SQL for all matches of ``rule`` in the text, in order.
+
+    Written as SQL because a rule set has dozens of these and building them
+    call by call takes longer than running them on a small partition.
+    """
+    source = TEXT
     if rule.stop:
         case = "i" if ignores_case(rule, flags) else ""
-        source = F.regexp_extract(view.text, java_pattern(f"^.*(?:{rule.stop})", "s" + case), 0)
-    found = F.regexp_extract_all(
-        source, F.lit(rule.java(flags)), F.lit(rule.group if group is None else group)
-    )
+        source = f"regexp_extract({TEXT}, {literal(java_pattern(f'^.*(?:{rule.stop})', 's' + case))}, 0)"
+    found = f"regexp_extract_all({source}, {literal(rule.java(flags))}, {rule.group})"
     if rule.needles:
-        possible = F.lit(False)
-        for needle in rule.needles:
-            possible = possible | F.contains(view.lower, F.lit(needle))
+        tests = [f"contains({LOWER}, {literal(needle)})" for needle in rule.needles]
         if ignores_case(rule, flags):
-            possible = possible | view.folds
-        found = F.when(possible, found).otherwise(no_strings())
-    return F.slice(found, 1, cap) if cap else found
+            tests.append(FOLDS)
+        found = f"CASE WHEN {' OR '.join(tests)} THEN {found} ELSE cast(array() as array<string>) END"
+    return f"slice({found}, 1, {cap})" if cap else found
 
 
-def rule_matches(view: Text, rules: Sequence[Rule], flags: Callable[[Rule], str], cap: int | None = None) -> Column:
+def find_all(rule: Rule, flags: str = "", cap: int | None = None) -> Column:
+    return F.expr(find_all_sql(rule, flags, cap))
+
+
+def rule_matches(rules: Sequence[Rule], flags: Callable[[Rule], str] = lambda rule: "", cap: int | None = None) -> Column:
     """array<struct(rank, id, label, tier, found)>, one element per rule."""
-    return F.array(*[
-        F.struct(
-            F.lit(rank).alias("rank"),
-            F.lit(rule.rule_id).alias("id"),
-            F.lit(rule.label).alias("label"),
-            F.lit(rule.tier).alias("tier"),
-            find_all(view, rule, flags(rule), cap=cap).alias("found"),
-        )
+    return F.expr("array(" + ", ".join(
+        f"named_struct('rank', {rank}, 'id', {literal(rule.rule_id)}, 'label', {literal(rule.label)}, "
+        f"'tier', {literal(rule.tier)}, 'found', {find_all_sql(rule, flags(rule), cap)})"
         for rank, rule in enumerate(rules)
-    ])
+    ) + ")")
+
+
+def first_rule(rules: Sequence[Rule], flags: str = "") -> Column:
+    """Rank of the first rule that occurs in the text, null without one."""
+    return F.expr("CASE " + " ".join(
+        f"WHEN {TEXT} RLIKE {literal(rule.java(flags))} THEN {rank}" for rank, rule in enumerate(rules)) + " END")
+
+
+def literal_map(table: dict) -> Column:
+    """A constant map; looked up in place of a join with a tiny table."""
+    def value(v) -> str:
+        return literal(v) if isinstance(v, str) else str(v)
+
+    return F.expr("map(" + ", ".join(f"{value(k)}, {value(v)}" for k, v in table.items()) + ")")
 
 
 def hit(
@@ -101,111 +97,108 @@ def hit(
     title: Column,
     evidence: Column,
     tags: Column,
-    url: Column,
-    status: Column | None,
-    source_pos: Column | int = 0,
+    source_pos: Column | None = None,
     section: int = 0,
-    rank: Column | int = 0,
-    pos: Column | int = 0,
+    rank: Column | None = None,
+    pos: Column | None = None,
     rule_id: Column | str = "",
     tier: Column | str = "",
     description: Column | str = "",
-    kind: str = "finding",
+    url: Column | None = None,
+    with_status: bool = True,
+    kind: Column | str = "finding",
 ) -> Column:
-    def col(value):
-        return value if isinstance(value, Column) else F.lit(value)
+    """One reported match; position, URL and status default to the row's."""
+    def col(value: Column | str | None, default: str) -> Column:
+        if isinstance(value, Column):
+            return value
+        return F.expr(default if value is None else literal(value))
 
     return F.struct(
-        F.lit(kind).alias("kind"),
-        F.lit(module).alias("module"),
-        col(source_pos).cast("int").alias("source_pos"),
-        F.lit(section).alias("section"),
-        col(rank).cast("int").alias("rule_rank"),
-        col(pos).cast("int").alias("match_pos"),
-        col(rule_id).alias("rule_id"),
-        col(tier).alias("rule_severity"),
-        title.alias("title"),
-        evidence.alias("evidence"),
-        col(description).alias("description"),
-        url.alias("url"),
-        (F.lit(None) if status is None else status).cast("int").alias("status"),
-        tags.cast("array<string>").alias("tags"),
+        col(kind, ""), F.expr(literal(module)), col(source_pos, "source_pos"), F.expr(str(section)),
+        col(rank, "0"), col(pos, "0"), col(rule_id, ""), col(tier, ""),
+        title, evidence, col(description, ""), col(url, "url"),
+        F.expr("status" if with_status else "cast(null as int)"), tags,
     ).cast(HIT)
 
 
+def one_hit(hit_column: Column) -> Column:
+    """A generator for a single hit; as a plain column its fields would each
+    evaluate the whole struct again once projections are merged."""
+    return F.explode(F.array(hit_column)).alias("hit")
+
+
 def gated(condition: Column, hits: Column) -> Column:
-    return F.when(F.coalesce(condition, F.lit(False)), hits).otherwise(no_hits())
+    """``hits`` where the condition holds, otherwise none; lazily evaluated."""
+    return F.when(condition, hits).otherwise(no_hits())
 
 
-def optional_hit(condition: Column, one: Column) -> Column:
-    """Array with one hit, or empty; ``one`` is only evaluated when needed."""
-    return gated(condition, F.array(one))
+def per_rule(rules: Column, keep: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """Hits of every rule: ``keep`` filters its matches, ``make`` builds hits."""
+    return F.flatten(F.transform(rules, lambda r: F.transform(keep(r), lambda m, i: make(r, m, i))))
 
 
-def with_views(responses: DataFrame) -> DataFrame:
-    """Add the lower-cased body and the folding flag, each computed once."""
-    return responses.withColumns({
-        "_lower": F.lower("body"),
-        "_folds": F.coalesce(F.col("body").rlike(_FOLDING), F.lit(False)),
-    })
+def one_of(name: str, values: Sequence[str]) -> Column:
+    """The column has one of many constant values; false for null."""
+    return F.expr(f"coalesce({name} IN ({', '.join(literal(v) for v in dict.fromkeys(values))}), false)")
 
 
-def text_view(text: Column) -> Column:
-    """struct(text, lower, folds) for a text inside an expression."""
-    return F.struct(
-        text.alias("text"), F.lower(text).alias("lower"),
-        F.coalesce(text.rlike(_FOLDING), F.lit(False)).alias("folds"),
+def whole_body(statuses: Sequence[int] | None = None) -> Column:
+    """The row is a non-empty response body with one of the statuses."""
+    status = f" AND status IN ({', '.join(map(str, statuses))})" if statuses else ""
+    return F.expr(f"unit = 'body' AND length({TEXT}) > 0{status}")
+
+
+def body_units(responses: DataFrame) -> DataFrame:
+    """Every response as one unit."""
+    return responses.select(
+        "target", F.col("url").alias("origin"), "fetched_at", F.lit("body").alias("unit"), "url", "status",
+        F.lit(0).alias("source_pos"), F.col("body").alias(TEXT),
     )
 
 
-def body_columns() -> Body:
-    return Body(
-        F.col("body"), F.col("_lower"), F.col("_folds"), F.col("target"), F.col("url"), F.col("status")
+def with_views(units: DataFrame) -> DataFrame:
+    """Add what rules share, computed once: lower-cased text, folding flag, path."""
+    return units.withColumns({
+        LOWER: F.lower(TEXT),
+        FOLDS: F.coalesce(F.col(TEXT).rlike(FOLDING), F.lit(False)),
+        PATH: path_of(F.col("url"), F.col("target")),
+    })
+
+
+def explode_hits(units: DataFrame, detectors: Sequence[Detector], shared: dict[str, Column] | None = None) -> DataFrame:
+    """(target, origin, fetched_at, hit) rows of all detectors in one pass.
+
+    ``shared`` names arrays that several detectors use.
+    """
+    arrays = [detector() for detector in detectors]
+    rows = with_views(units)
+    if shared:
+        rows = rows.withColumns(shared)
+    # the array goes straight into explode: as a named column it would be
+    # computed a second time by a filter that the optimizer infers
+    return rows.select(
+        "target", "origin", "fetched_at",
+        F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("hit"),
     )
 
 
 def module_rank(module: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(m) for m in MODULES]), module).cast("int")
+    return F.array_position(F.expr("array(" + ", ".join(literal(m) for m in MODULES) + ")"), module).cast("int")
 
 
-def as_raw(hits: DataFrame, origin_col: str = "origin", hit_col: str = "hit") -> DataFrame:
+def as_raw(hits: DataFrame) -> DataFrame:
     """Unpack hit structs into raw findings with their emission order."""
-    h = F.col(hit_col)
     return hits.select(
-        "target",
-        h["module"].alias("module"),
-        h["title"].alias("title"),
-        h["evidence"].alias("evidence"),
-        h["url"].alias("url"),
-        h["status"].alias("status"),
-        h["description"].alias("description"),
-        h["tags"].alias("tags"),
-        h["rule_id"].alias("rule_id"),
-        h["rule_severity"].alias("rule_severity"),
-        F.col("fetched_at").alias("timestamp"),
+        "target", "hit.module", "hit.title", "hit.evidence", "hit.url", "hit.status", "hit.description", "hit.tags",
+        "hit.rule_id", "hit.rule_severity", F.col("fetched_at").alias("timestamp"),
         F.struct(
-            module_rank(h["module"]).alias("module_rank"),
-            F.col(origin_col).alias("origin"),
-            h["source_pos"].alias("source_pos"),
-            h["section"].alias("section"),
-            h["rule_rank"].alias("rule_rank"),
-            h["match_pos"].alias("match_pos"),
+            module_rank(F.col("hit.module")).alias("module_rank"),
+            "origin", "hit.source_pos", "hit.section", "hit.rule_rank", "hit.match_pos",
         ).alias("emit_seq"),
     )
 
 
-def explode_hits(responses: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
-    """(target, origin, fetched_at, hit) rows of all detectors in one scan."""
-    view = body_columns()
-    arrays = [detector(view) for detector in detectors]
-    # the array goes straight into explode: as a named column it would be
-    # computed a second time by a filter that the optimizer infers
-    return with_views(responses).select(
-        "target", F.col("url").alias("origin"), "fetched_at",
-        F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("hit"),
-    )
-
-
 def run(responses: DataFrame, *detectors: Detector) -> DataFrame:
     """Raw findings of body detectors."""
-    return as_raw(explode_hits(responses, detectors))
+    return as_raw(explode_hits(body_units(responses), detectors))

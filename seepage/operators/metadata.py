@@ -62,10 +62,9 @@ def _raw(texts: DataFrame, hits: Column) -> DataFrame:
     return as_raw(texts.select("target", F.col("target").alias("origin"), "fetched_at", F.explode(hits).alias("hit")))
 
 
-def _one(title: Column, evidence: Column, tags: list[str], section: int, pos: Column | int = 0) -> Column:
+def _one(title: Column, evidence: Column, tags: list[str], section: int, pos: Column | None = None) -> Column:
     return hit(
-        rules.MODULE, title, evidence, F.array(*[F.lit(t) for t in tags]), F.col("url"), F.col("status"),
-        source_pos=F.col("pos"), section=section, pos=pos, rule_id="-".join(tags[1:]))
+        rules.MODULE, title, evidence, F.array(*[F.lit(t) for t in tags]), F.col("pos"), section=section, pos=pos, rule_id="-".join(tags[1:]))
 
 
 def pdf_hits(text: Column) -> Column:
@@ -166,8 +165,7 @@ def office_metadata(docs: DataFrame) -> DataFrame:
     def one(found: Column) -> Column:
         return hit(
             rules.MODULE, F.concat(F.upper(file_type), F.lit(" document metadata exposed")), F.array_join(found, "\n"),
-            F.array(F.lit("metadata"), file_type), F.col("url"), F.col("status"), source_pos=F.col("pos"),
-            rule_id=file_type)
+            F.array(F.lit("metadata"), file_type), F.col("pos"), rule_id=file_type)
 
     return _raw(texts, F.transform(F.filter(F.array(lines), lambda f: F.size(f) > 0), one))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.functions.net import join_path, path_of
+from seepage.operators.matching import literal_map
 from seepage.rules import api, files, git, listing, metadata
 
 SENSITIVE = files.PATHS
@@ -33,11 +34,7 @@ def path_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def path_position(path: Column, paths: Sequence[str]) -> Column:
     """Position on the list, null when the path is not on it."""
-    return F.create_map(*[F.lit(v) for i, p in enumerate(paths) for v in (p, i)])[path]
-
-
-def on_list(path: Column, paths: Sequence[str]) -> Column:
-    return F.coalesce(path.isin(list(paths)), F.lit(False))
+    return literal_map({p: i for i, p in enumerate(paths)})[path]
 
 
 def probe(responses: DataFrame, paths: Sequence[str], targets: DataFrame | None = None) -> DataFrame:
@@ -66,8 +63,8 @@ def coverage(responses: DataFrame, targets: DataFrame, paths: Sequence[str]) ->
         .groupBy("target")
         .agg(F.collect_set("pos").alias("seen"))
     )
-    positions = F.array(*[F.lit(i) for i in range(len(paths))])
-    names = F.array(*[F.lit(p) for p in paths])
+    positions = F.sequence(F.lit(0), F.lit(len(paths) - 1))
+    names = F.split(F.lit("\n".join(paths)), "\n")
     return (
         targets.select("target").distinct()
         .join(captured, "target", "left")

@@ -7,14 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepage.operators.matching import literal_map
 from seepage.rules import scoring as tables
 
 MAX_OVERRIDES = 1000
 
 
 def _lookup(table: Mapping[str, object], key: Column, default) -> Column:
-    # twelve entries: a literal in the plan, not a join
-    found = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[key]
+    # a dozen entries: a literal in the plan, not a join
+    found = literal_map(dict(table))[key]
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 
@@ -40,7 +41,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in tables.SEVERITIES]), rank + 1)
+    return literal_map(dict(enumerate(tables.SEVERITIES)))[rank]
 
 
 def severity(module: Column, conf: Column | None = None, base: Column | None = None) -> Column:

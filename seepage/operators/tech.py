@@ -32,13 +32,14 @@ def _named(category: str, value: Column, table: list[tuple[str, str]], searched=
 def _found(responses: DataFrame) -> tuple[DataFrame, Column]:
     """Captures with headers, and the array of their technologies."""
     body = F.coalesce("body", F.lit(""))
+    text = F.col("text")
 
     def in_html(pattern: str) -> Column:
         if pattern.startswith("<meta"):
-            return F.contains("_lower", F.lit("generator")) & body.rlike(java_pattern(pattern, "i"))
+            return F.contains("_lower", F.lit("generator")) & text.rlike(java_pattern(pattern, "i"))
         # the other patterns are plain words: a search in the lower-cased text
         return F.contains("_lower", F.lit(pattern.lower())) | (
-            F.col("_folds") & body.rlike(java_pattern(pattern, "i")))
+            F.col("_folds") & text.rlike(java_pattern(pattern, "i")))
 
     cookies = F.flatten(F.transform(
         F.coalesce(F.map_keys("cookies"), F.array().cast("array<string>")),
@@ -51,11 +52,11 @@ def _found(responses: DataFrame) -> tuple[DataFrame, Column]:
     found = F.concat(
         _named("servers", F.coalesce(_header("Server"), F.lit("")), rules.SERVER),
         _named("frameworks", F.coalesce(_header("X-Powered-By"), F.lit("")), rules.POWERED_BY),
-        _named("cms", body, rules.HTML, in_html),
+        _named("cms", text, rules.HTML, in_html),
         cookies,
         infrastructure,
     )
-    rows = with_views(responses.filter(F.size("headers") > 0).withColumn("body", body))
+    rows = with_views(responses.filter(F.size("headers") > 0).withColumn("text", body))
     return rows, found
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions.net import path_of
@@ -14,36 +14,38 @@ from seepage.operators.dedup import dedup
 from seepage.operators.dns import dns as dns_findings
 from seepage.operators.files import api_marker_hits, api_spec_hits, git_hits, sensitive_file_hits
 from seepage.operators.headers import headers as header_findings
-from seepage.operators.javascript import credit_scripts, external_hits, inline_hits, reference_hits
+from seepage.operators.javascript import credit_scripts, reference_hits, script_hits, with_inline_units
 from seepage.operators.listing import listing_hits, suspected_listing_hits
-from seepage.operators.matching import Body, Detector, as_raw, explode_hits, gated
+from seepage.operators.matching import (
+    PATH, Detector, as_raw, body_units, explode_hits, gated, one_of, rule_matches,
+)
 from seepage.operators.metadata import documents_metadata
-from seepage.operators.paths import API, DOCUMENTS, GIT, SENSITIVE, on_list
+from seepage.operators.paths import API, DOCUMENTS, GIT, SENSITIVE
 from seepage.operators.scoring import score
+from seepage.rules import secrets as secret_rules
 from seepage.rules.scoring import MODULES
 from seepage.sources.checkpoint import reliable
 
 _PROBED = sorted({p.lstrip("/") for p in [*SENSITIVE, *GIT, *API, *DOCUMENTS]})
+_SECRETS, _PAGE = "_secrets", "_page"
 
 
-def on_pages(detector: Detector) -> Detector:
-    """Run a detector on captured pages only, not on probed files or scripts."""
+def is_page() -> Column:
+    """The capture is a page, not a probed file and not a script."""
+    return ~one_of(PATH, _PROBED) & ~F.endswith("url", F.lit(".js"))
 
-    def detect(body: Body):
-        probed = on_list(path_of(body.url, body.target), _PROBED)
-        script = F.endswith(body.url, F.lit(".js"))
-        return gated(~probed & ~script, detector(body))
 
-    return detect
+def on_pages(detector: Detector) -> Detector:
+    return lambda: gated(F.col(_PAGE), detector())
 
 
-def body_detectors(modules: Collection[str]) -> list[Detector]:
+def body_detectors(modules: Collection[str], found_secrets: Column | None = None) -> list[Detector]:
     """Detectors of the one pass over all captures, by module."""
     by_module: dict[str, list[Detector]] = {
         "sensitive_file": [sensitive_file_hits],
         "source_code": [on_pages(source_hits())],
-        "javascript": [on_pages(inline_hits()), on_pages(reference_hits()), external_hits()],
-        "secrets": [secret_hits(), token_hits()],
+        "javascript": [script_hits(found_secrets=found_secrets), on_pages(reference_hits())],
+        "secrets": [secret_hits(found=found_secrets), token_hits()],
         "errors": [on_pages(error_hits())],
         "directory_listing": [on_pages(listing_hits), on_pages(suspected_listing_hits)],
         "api_docs": [api_marker_hits, api_spec_hits],
@@ -53,6 +55,21 @@ def body_detectors(modules: Collection[str]) -> list[Detector]:
     return [d for module, detectors in by_module.items() if module in modules for d in detectors]
 
 
+def body_pass(responses: DataFrame, modules: Collection[str]) -> DataFrame | None:
+    """Hits of all chosen body detectors from one read of the bodies."""
+    units = body_units(responses)
+    if "javascript" not in modules:
+        detectors = body_detectors(modules)
+        return explode_hits(units, detectors, {_PAGE: is_page()}) if detectors else None
+    page = {_PAGE: is_page()}
+    units = with_inline_units(units.withColumn(PATH, path_of(F.col("url"), F.col("target"))), is_page())
+    if "secrets" not in modules:
+        return explode_hits(units, body_detectors(modules), page)
+    # scripts and bodies are searched for the same token formats: match once
+    return explode_hits(
+        units, body_detectors(modules, F.col(_SECRETS)), {**page, _SECRETS: rule_matches(secret_rules.RULES)})
+
+
 def raw_findings(
     responses: DataFrame,
     targets: DataFrame | None = None,
@@ -65,16 +82,15 @@ def raw_findings(
 
     Bodies are read once: every body detector, the scripts and the script
     references of pages come out of one pass as small rows.  These are
-    checkpointed because three branches read them; ``materialize=False``
-    (for a stream's micro-batch planner or a single module) recomputes instead.
+    checkpointed because three branches read them; with ``materialize=False``
+    the plan stays lazy and every branch reads the bodies again.
     """
     unknown = set(modules) - set(MODULES)
     if unknown:
         raise ValueError(f"unknown modules: {sorted(unknown)}")
     parts = []
-    detectors = body_detectors(modules)
-    if detectors:
-        hits = explode_hits(responses, detectors)
+    hits = body_pass(responses, modules)
+    if hits is not None:
         if "javascript" in modules:
             if materialize:
                 hits = reliable(hits)

@@ -5,9 +5,8 @@ from seepage.rules import Rule
 MODULE = "javascript"
 
 # Script references and inline scripts in HTML.
-SCRIPT_SRC = Rule("script_src", "script", r"""<script[^>]+src=["\']([^"\']+\.(?:js|min\.js|bundle\.js))["\']""", 1,
-                  ("<script",))
-INLINE_SCRIPT = Rule("inline_script", "inline script", r"<script[^>]*>(.*?)</script>", 1, ("<script",),
+SCRIPT_SRC = Rule("script_src", "script", r"""<script[^>]+src=["\']([^"\']+\.(?:js|min\.js|bundle\.js))["\']""", 1)
+INLINE_SCRIPT = Rule("inline_script", "inline script", r"<script[^>]*>(.*?)</script>", 1,
                      stop=r"</script>")
 
 # Endpoint patterns.

@@ -35,6 +35,7 @@ RULES = [
 MIN_ENTROPY = 3.5
 MIN_LENGTH = 8
 MAX_LENGTH = 2048
+WINDOW = 60
 
 # String shapes used when a token is classified.
 BASE64_SHAPE = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"

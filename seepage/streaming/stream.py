@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seepage.operators.dedup import new_only
 from seepage.operators.headers import headers as header_findings
-from seepage.operators.matching import Detector, as_raw, explode_hits
+from seepage.operators.matching import Detector, as_raw, body_units, explode_hits
 from seepage.operators.scoring import score
 from seepage.plans.detect import body_detectors, detect
 from seepage.rules.scoring import MODULES
@@ -31,7 +31,7 @@ def stream_findings(responses: DataFrame, detectors: Collection[Detector] | None
     ``write_findings``, which sees whole micro-batches.
     """
     wanted = [m for m in MODULES if m != "javascript"]
-    raw = as_raw(explode_hits(responses, list(detectors) if detectors else body_detectors(wanted)))
+    raw = as_raw(explode_hits(body_units(responses), list(detectors) if detectors else body_detectors(wanted)))
     if detectors is None and "headers" in responses.columns:
         raw = raw.unionByName(header_findings(responses))
     return score(raw)
