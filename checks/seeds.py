@@ -340,6 +340,16 @@ SELECT page_id, hostname, rtype, value FROM (
 """
 
 
+def target_lines_sql(pages: str = "pages") -> str:
+    """value: the lines of a target list, with everything that can go wrong."""
+    return f"""
+SELECT CASE page_id % 7 WHEN 0 THEN '  ' || url || '/// ' WHEN 1 THEN '# ' || url WHEN 2 THEN ' '
+  WHEN 3 THEN 'host' || CAST(page_id AS STRING) || '.example.org/' WHEN 4 THEN 'https:///nohost' || CAST(page_id AS STRING)
+  WHEN 5 THEN chr(9) || {_TARGET} || chr(13) ELSE url END AS value
+FROM {pages}
+"""
+
+
 def documents_sql(documents: str = "documents") -> str:
     """target, url, status, content_type, content (text), xml: captured files."""
     path = choose("doc_id", metadata_rules.PATHS + ["notes.txt", "a.doc", "x.PDF"])

@@ -150,12 +150,15 @@ def cloud_hits(
         return make
 
     def detect() -> Column:
-        resources = rule_matches(rules, lambda rule: "i", cap=cloud_rules.CAP)
-        sensitive = rule_matches(identifiers, lambda rule: "i", cap=cloud_rules.IDENTIFIER_CAP)
-        return gated(whole_body(cloud_rules.STATUSES), F.concat(
-            per_rule(resources, lambda r: r["found"], maker(0, "Cloud resource reference: ", ["cloud"])),
-            per_rule(sensitive, lambda r: r["found"], maker(1, "Sensitive cloud identifier: ", ["cloud", "sensitive"])),
-        ))
+        parts = []
+        if rules:
+            found = rule_matches(rules, lambda rule: "i", cap=cloud_rules.CAP)
+            parts.append(per_rule(found, lambda r: r["found"], maker(0, "Cloud resource reference: ", ["cloud"])))
+        if identifiers:
+            found = rule_matches(identifiers, lambda rule: "i", cap=cloud_rules.IDENTIFIER_CAP)
+            parts.append(per_rule(
+                found, lambda r: r["found"], maker(1, "Sensitive cloud identifier: ", ["cloud", "sensitive"])))
+        return gated(whole_body(cloud_rules.STATUSES), F.concat(*parts) if len(parts) > 1 else parts[0])
 
     return detect
 
