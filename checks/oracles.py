@@ -7,6 +7,8 @@ as written, without needles, stops or faster forms.
 
 from __future__ import annotations
 
+import re
+
 from checks import seeds
 from seepage.operators.paths import API, DOCUMENTS, GIT, SENSITIVE
 from seepage.rules import api, cloud, dns, errors, files, git, headers, javascript, listing, metadata, scoring, secrets, source, tech
@@ -65,7 +67,7 @@ def valid_ip(x: Sql) -> Sql:
 
 
 def private_ip(x: Sql) -> Sql:
-    n = " + ".join(f"TRY_CAST(split_part({x}, '.', {i + 1}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4))
+    n = " + ".join(f"TRY_CAST(left(split_part({x}, '.', {i + 1}), 3) AS BIGINT) * {256 ** (3 - i)}" for i in range(4))
     blocks = [
         ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
         ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24),
@@ -81,9 +83,13 @@ def private_ip(x: Sql) -> Sql:
 
 # --- sources -------------------------------------------------------------
 
-CAPTURES = f"({seeds.for_duckdb(seeds.captures_sql())})"
-DNS = f"({seeds.for_duckdb(seeds.dns_sql())})"
-DOCUMENTS_SQL = f"({seeds.for_duckdb(seeds.documents_sql())})"
+# Named tables of a statement; ``statement`` puts those in use in front of it.
+NAMED: dict[str, Sql] = {
+    "captures": seeds.for_duckdb(seeds.captures_sql()),
+    "answers": seeds.for_duckdb(seeds.dns_sql()),
+    "files": seeds.for_duckdb(seeds.documents_sql()),
+}
+CAPTURES, DNS, DOCUMENTS_SQL = "captures", "answers", "files"
 PAGES = "(SELECT regexp_extract(url, '^https?://[^/?#]+', 0) AS target, url, 200 AS status, html AS body FROM pages)"
 TEXTS = "(SELECT source AS target, source || '/' || CAST(doc_id AS VARCHAR) AS url, 200 AS status, text AS body FROM documents)"
 
@@ -357,7 +363,9 @@ def scripts(table: Sql = CAPTURES, pages: Sql = "true") -> Sql:
 
 
 def js_raw(table: Sql = CAPTURES, parts=("secrets", "endpoints", "env", "config", "cloud"), pages: Sql = "true") -> Sql:
-    rows = scripts(table, pages)
+    name = "scripts" if pages == "true" else "page_scripts"
+    NAMED.setdefault(name, f"SELECT * FROM {scripts(table, pages)} AS s")
+    rows = name
     common = {"url": "script_url", "origin": "page", "source_pos": "source_pos", "status": "NULL", "pos": "pos"}
 
     def keyed(rule, section: int, key, tag: str, keep: Sql = "true") -> Sql:
@@ -617,7 +625,8 @@ def findings(raw_sql: Sql, overrides: dict | None = None) -> Sql:
 
 
 IS_PAGE = (f"(coalesce({path()} NOT IN {among(sorted({*SENSITIVE, *GIT, *API, *DOCUMENTS}))}, true) AND NOT ends_with(url, '.js'))")
-PAGE_CAPTURES = f"(SELECT * FROM {CAPTURES} AS t WHERE {IS_PAGE})"
+NAMED["page_captures"] = f"SELECT * FROM {CAPTURES} AS t WHERE {IS_PAGE}"
+PAGE_CAPTURES = "page_captures"
 
 
 def everything() -> Sql:
@@ -659,20 +668,24 @@ def words(regex: str = "[A-Za-z0-9+/=_-]{6,}") -> Sql:
     return f"(SELECT unnest(regexp_extract_all(text, {q(regex)})) AS token FROM documents)"
 
 
-SAMPLE = deduped(scored(union(errors_raw(), cloud_raw(), sensitive_raw())))
-ERRORS = scored(errors_raw())
-KNOWN = deduped(scored(f"SELECT * FROM ({errors_raw()}) AS e WHERE status = 200"))
+NAMED["error_hits"] = errors_raw()
+NAMED["scored_errors"] = f"SELECT * FROM {scored('SELECT * FROM error_hits')} AS s"
+NAMED["sample"] = f"SELECT * FROM {deduped(scored(union('SELECT * FROM error_hits', cloud_raw(), sensitive_raw())))} AS s"
+SAMPLE, ERRORS = "sample", "scored_errors"
+KNOWN = deduped(scored("SELECT * FROM error_hits WHERE status = 200"))
 NEW = f"(SELECT * FROM {deduped(ERRORS)} AS d WHERE fingerprint NOT IN (SELECT fingerprint FROM {KNOWN} AS k))"
 LEVELS = "(VALUES " + ", ".join(f"({i}, {q(s)})" for i, s in enumerate(scoring.SEVERITIES)) + ")"
 NUMBERED = (f"(SELECT *, row_number() OVER (ORDER BY severity_rank, target, {ORDER}, fingerprint) AS number FROM {SAMPLE} AS s)")
-COUNTED = (f"(SELECT CAST(l.i AS BIGINT) AS severity_rank, l.s AS severity, count(f.severity) AS n "
-           f"FROM {LEVELS} AS l(i, s) LEFT JOIN {SAMPLE} AS f ON f.severity = l.s GROUP BY ALL)")
+NAMED["counted"] = (f"SELECT CAST(l.i AS BIGINT) AS severity_rank, l.s AS severity, count(f.severity) AS n "
+           f"FROM {LEVELS} AS l(i, s) LEFT JOIN {SAMPLE} AS f ON f.severity = l.s GROUP BY ALL")
+COUNTED = "counted"
 SHARES = f"(SELECT *, round(n * 100.0::DOUBLE / greatest((SELECT sum(n) FROM {COUNTED} AS a), 1), 1) AS percent FROM {COUNTED} AS c)"
 _OK = f"(SELECT target, max(status > 0) AS ok, min(fetched_s) AS f, max(fetched_s) AS l FROM {CAPTURES} AS t GROUP BY target)"
-STATS = (f"(SELECT a.*, b.* FROM (SELECT count(*) AS total_urls, count(*) FILTER (ok) AS completed_urls, "
+NAMED["stats"] = (f"SELECT a.*, b.* FROM (SELECT count(*) AS total_urls, count(*) FILTER (ok) AS completed_urls, "
          f"count(*) FILTER (NOT coalesce(ok, false)) AS failed_urls, CAST(max(l) - min(f) AS DOUBLE) AS duration_seconds "
          f"FROM {TARGETS} AS t LEFT JOIN {_OK} AS o USING (target)) AS a, (SELECT count(*) AS total_findings, "
-         + ", ".join(f"count(*) FILTER (severity = '{s}') AS \"{s}\"" for s in scoring.SEVERITIES) + f" FROM {SAMPLE} AS s) AS b)")
+         + ", ".join(f"count(*) FILTER (severity = '{s}') AS \"{s}\"" for s in scoring.SEVERITIES) + f" FROM {SAMPLE} AS s) AS b")
+STATS = "stats"
 
 
 def _v(column: str) -> Sql:
@@ -759,7 +772,26 @@ _HEAD = [
 _QUADS = "[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 _TECH = ["servers", "frameworks", "cms", "infrastructure"]
 
-ORACLES: dict[str, Sql] = {
+
+
+def statement(sql: Sql) -> Sql:
+    """The query with the named tables it needs, each computed once."""
+    needed: list[str] = []
+
+    def add(text: Sql) -> None:
+        for name, body in NAMED.items():
+            if name not in needed and re.search(rf"(?:FROM|JOIN) {name}\b", text):
+                add(body)
+                if name not in needed:
+                    needed.append(name)
+
+    add(sql)
+    if not needed:
+        return sql
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({NAMED[n]})" for n in needed) + "\n" + sql
+
+
+_QUERIES: dict[str, Sql] = {
     "first_slice": findings(only(source_raw(PAGES), "html_comment", "email", "ip_address", "phone")),
     "targets_clean": f"SELECT target FROM {_lines()} AS l WHERE regexp_extract(target, '^https?://([^/?#]*)', 1) <> ''",
     "targets_rejected": f"SELECT target FROM {_lines()} AS l WHERE regexp_extract(target, '^https?://([^/?#]*)', 1) = ''",
@@ -895,3 +927,5 @@ ORACLES: dict[str, Sql] = {
         for part in (source_raw(t), secrets_raw(t), tokens_raw(t), errors_raw(t), cloud_raw(t))])),
     "detect_all": findings(everything()),
 }
+
+ORACLES: dict[str, Sql] = {name: statement(sql) for name, sql in _QUERIES.items()}
