@@ -812,8 +812,7 @@ _QUERIES: dict[str, Sql] = {
     "source_findings_pages": findings(source_raw(PAGES)),
     "source_findings_documents": findings(source_raw(TEXTS)),
     "source_email": findings(only(source_raw(TEXTS), "email")),
-    "source_email_conversations": findings(only(source_raw(CONVERSATIONS), "email")),
-    "source_private_ip": findings(only(source_raw(TEXTS), "ip_address")),
+    "source_private_ip": findings(only(source_raw(), "ip_address")),
     "js_inputs": (f"SELECT target, page, CAST(source_pos AS BIGINT) AS source_pos, script_url, "
                   f"CAST(length(script) AS BIGINT) AS chars, external FROM {scripts()} AS s"),
     "js_secrets": findings(js_raw(parts=["secrets"])),

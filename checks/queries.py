@@ -352,9 +352,14 @@ def findings_roundtrip(spark, sf):
 
 # --- streams ---
 
+def streamed(sf: str, name: str) -> str:
+    # a glob: a stream takes a plain path for a folder, and tables may be single files
+    return f"{sf}/{name}.parque[t]"
+
+
 def page_stream(spark, sf) -> DataFrame:
     schema = table(spark, sf, "pages").schema
-    return _timed(stream.stream_responses(spark, f"{sf}/pages.parquet", schema=schema))
+    return _timed(stream.stream_responses(spark, streamed(sf, "pages"), schema=schema))
 
 
 def _timed(rows: DataFrame) -> DataFrame:
@@ -417,9 +422,10 @@ def stream_event_counts(spark, sf):
     per_page = scoring.score(run(by_id, body.source_hits())).groupBy(
         F.col("url").cast("bigint").alias("page_id"), "severity").agg(F.count(F.lit(1)).alias("hits"))
     visited = F.col("event_id") % F.lit(page_rows.count())
-    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(streamed(sf, "events"))
     counts = (
-        events.withColumn("page_id", visited).withWatermark("ts", "1 hour")
+        events.withColumns({"page_id": visited, "ts": F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")})
+        .withWatermark("ts", "1 hour")
         .join(per_page, "page_id")
         .groupBy(F.window("ts", "1 hour").alias("w"), "severity").agg(F.sum("hits").alias("n"))
         .select(F.col("w.start").alias("window_start"), "severity", "n"))
@@ -468,8 +474,7 @@ QUERIES = {
     "source_findings_pages": source_rules_on(pages),
     "source_findings_documents": source_rules_on(documents),
     "source_email": source_rules_on(documents, "email"),
-    "source_email_conversations": source_rules_on(conversations, "email"),
-    "source_private_ip": source_rules_on(documents, "ip_address"),
+    "source_private_ip": source_rules_on(seeds.captures, "ip_address"),
     "js_inputs": js_inputs,
     "js_secrets": js("secrets"),
     "js_endpoints": js("endpoints"),

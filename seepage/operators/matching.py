@@ -87,7 +87,7 @@ def first_rule(rules: Sequence[Rule], flags: str = "") -> Column:
 def literal_map(table: dict) -> Column:
     """A constant map; looked up in place of a join with a tiny table."""
     def value(v) -> str:
-        return literal(v) if isinstance(v, str) else str(v)
+        return literal(v) if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v)
 
     return F.expr("map(" + ", ".join(f"{value(k)}, {value(v)}" for k, v in table.items()) + ")")
 
