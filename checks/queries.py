@@ -27,11 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return pages_as_responses(table(spark, sf, "pages"))
+    return pages_as_responses(readers.spread(table(spark, sf, "pages")))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return documents_as_responses(table(spark, sf, "documents"))
+    return documents_as_responses(readers.spread(table(spark, sf, "documents")))
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:

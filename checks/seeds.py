@@ -15,6 +15,7 @@ from seepage.operators.paths import API, DIRECTORIES, GIT, SENSITIVE
 from seepage.rules import dns as dns_rules
 from seepage.rules import headers as header_rules
 from seepage.rules import metadata as metadata_rules
+from seepage.sources.readers import spread
 
 
 def text(value: str) -> str:
@@ -391,8 +392,14 @@ def _table(sf_dir: str, name: str) -> str:
     return f"parquet.`{sf_dir}/{name}.parquet`"
 
 
+def _view(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A view of the table with a partition per core."""
+    spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(f"spread_{name}")
+    return f"spread_{name}"
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spark(spark, captures_sql(_table(sf_dir, "pages")))
+    rows = _spark(spark, captures_sql(_view(spark, sf_dir, "pages")))
     entries = F.array(*[
         F.struct(name.alias("key"), F.col(value).alias("value"))
         for name, value in (
@@ -412,7 +419,7 @@ def dns_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark(spark, documents_sql(_table(sf_dir, "documents"))).select(
+    return _spark(spark, documents_sql(_view(spark, sf_dir, "documents"))).select(
         "doc_id", "target", "url", "status", "content_type",
         F.col("content").cast("binary").alias("body_bytes"), "xml",
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("fetched_at"))

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions.net import path_of
-from seepage.rules import Rule, java_pattern
+from seepage.rules import GATES, Rule, java_pattern
 from seepage.rules.scoring import MODULES
 from seepage.schema import HIT
 
 # Characters that equal an ASCII letter when case is ignored but do not lower
 # to it; texts with one of them skip the literal test.
-FOLDING = "[ſİıK]"
+FOLDING = ["ſ", "İ", "ı", "\u212a"]
 
 # A row of ``units``: the text to search and where it comes from.  ``unit`` is
 # "body" for a whole response and "inline" for a script inside one.
@@ -57,11 +57,12 @@ def find_all_sql(rule: Rule, flags: str = "", cap: int | None = None) -> str:
         case = "i" if ignores_case(rule, flags) else ""
         source = f"regexp_extract({TEXT}, {literal(java_pattern(f'^.*(?:{rule.stop})', 's' + case))}, 0)"
     found = f"regexp_extract_all({source}, {literal(rule.java(flags))}, {rule.group})"
+    tests = [f"_{rule.gate}"] if rule.gate else []
     if rule.needles:
-        tests = [f"contains({LOWER}, {literal(needle)})" for needle in rule.needles]
-        if ignores_case(rule, flags):
-            tests.append(FOLDS)
-        found = f"CASE WHEN {' OR '.join(tests)} THEN {found} ELSE cast(array() as array<string>) END"
+        tests.append("(" + " OR ".join(f"contains({LOWER}, {literal(needle)})" for needle in rule.needles) + ")")
+    if tests:
+        possible = " AND ".join(tests) + (f" OR {FOLDS}" if ignores_case(rule, flags) else "")
+        found = f"CASE WHEN {possible} THEN {found} ELSE cast(array() as array<string>) END"
     return f"slice({found}, 1, {cap})" if cap else found
 
 
@@ -158,12 +159,16 @@ def body_units(responses: DataFrame) -> DataFrame:
 
 
 def with_views(units: DataFrame) -> DataFrame:
-    """Add what rules share, computed once: lower-cased text, folding flag, path."""
-    return units.withColumns({
+    """Add what rules share, computed once: lower-cased text, flags, path."""
+    folds = " OR ".join(f"contains({TEXT}, '{c}')" for c in FOLDING)
+    rows = units.withColumns({
         LOWER: F.lower(TEXT),
-        FOLDS: F.coalesce(F.col(TEXT).rlike(FOLDING), F.lit(False)),
+        FOLDS: F.expr(f"coalesce({folds}, false)"),
         PATH: path_of(F.col("url"), F.col("target")),
     })
+    return rows.withColumns({
+        f"_{name}": F.expr(f"coalesce({LOWER} RLIKE {literal(pattern)}, false)") for name, pattern in GATES.items()
+    })
 
 
 def explode_hits(units: DataFrame, detectors: Sequence[Detector], shared: dict[str, Column] | None = None) -> DataFrame:

@@ -10,6 +10,19 @@ import re
 from dataclasses import dataclass
 
 
+# Tests on the lower-cased text, as patterns: a scheme separator, the name of a
+# cloud provider's host, an AWS resource name.
+GATES = {
+    "scheme": "://",
+    "host": (
+        r"[.](?:s3|rds|compute|elb|execute-api|lambda|amazonaws|cloudfront|core[.]windows|azure|azurewebsites|azureedge"
+        r"|database[.]windows|redis[.]cache|googleapis|cloudfunctions|appspot|digitaloceanspaces|ondigitalocean"
+        r"|herokuapp|firebase|us-|eu-|ap-|sa-|europe-|asia-|cloudapp|west|east|northeurope|southeastasia)"
+    ),
+    "arn": "arn:aws:",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     """One pattern.
@@ -17,6 +30,8 @@ class Rule:
     group    capture group that holds the reported text (0 = whole match)
     needles  lower-case literals; every match holds at least one of them, so a
              body without any of them is not searched
+    gate     name of a test that many rules share and that is made once per
+             text (see ``GATES``); every match passes it
     stop     expression that every match ends with; text behind its last
              occurrence cannot take part in a match
     fast     pattern with the same matches that backtracks less in Java
@@ -28,10 +43,15 @@ class Rule:
     pattern: str
     group: int = 0
     needles: tuple[str, ...] = ()
+    gate: str = ""
     stop: str = ""
     fast: str = ""
     tier: str = ""
 
+    def __post_init__(self) -> None:
+        if self.gate and self.gate not in GATES:
+            raise ValueError(f"unknown gate: {self.gate}")
+
     def java(self, flags: str = "") -> str:
         return java_pattern(self.fast or self.pattern, flags)
 

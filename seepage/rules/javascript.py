@@ -13,29 +13,29 @@ INLINE_SCRIPT = Rule("inline_script", "inline script", r"<script[^>]*>(.*?)</scr
 ENDPOINTS = [
     Rule("internal_endpoint", "Internal endpoint",
          r"(https?://(localhost|127\.0\.0\.1|0\.0\.0\.0|10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})(:\d+)?(/[^\s\"'>)\]]*)?)",
-         1, ("://",)),
+         1, gate="scheme"),
     Rule("internal_hostname", "Internal hostname",
          r"(https?://[a-zA-Z0-9-]+\.(?:local|internal|corp|lan|dev|stage|staging|qa|test|uat)(:\d+)?(/[^\s\"'>)\]]*)?)",
-         1, ("://",)),
-    Rule("websocket", "WebSocket URL", r"(wss?://[^\s\"'>)\]]+)", 1, ("ws://", "wss://")),
+         1, gate="scheme"),
+    Rule("websocket", "WebSocket URL", r"(wss?://[^\s\"'>)\]]+)", 1, ("ws://", "wss://"), "scheme"),
     Rule("s3_endpoint", "AWS S3 endpoint",
-         r"(https?://[a-zA-Z0-9-]+\.(?:s3|s3-[a-z0-9-]+)\.amazonaws\.com/[^\s\"'>)\]]+)", 1, (".amazonaws.com/",)),
+         r"(https?://[a-zA-Z0-9-]+\.(?:s3|s3-[a-z0-9-]+)\.amazonaws\.com/[^\s\"'>)\]]+)", 1, (".amazonaws.com/",), "host"),
     Rule("api_gateway", "AWS API Gateway",
          r"(https?://[a-zA-Z0-9-]+\.(?:execute-api|lambda)\.(?:[a-z0-9-]+)\.amazonaws\.com/[^\s\"'>)\]]*)", 1,
-         (".amazonaws.com/",)),
+         (".amazonaws.com/",), "host"),
     Rule("cloudfront", "CloudFront distribution", r"(https?://[a-zA-Z0-9-]+\.cloudfront\.net/[^\s\"'>)\]]*)", 1,
-         (".cloudfront.net/",)),
+         (".cloudfront.net/",), "host"),
     Rule("azure_app", "Azure App Service", r"(https?://[a-zA-Z0-9-]+\.azurewebsites\.net/[^\s\"'>)\]]*)", 1,
-         (".azurewebsites.net/",)),
+         (".azurewebsites.net/",), "host"),
     Rule("azure_cdn", "Azure CDN", r"(https?://[a-zA-Z0-9-]+\.azureedge\.net/[^\s\"'>)\]]*)", 1,
-         (".azureedge.net/",)),
+         (".azureedge.net/",), "host"),
     Rule("cloud_function", "Google Cloud Function", r"(https?://[a-zA-Z0-9-]+\.cloudfunctions\.net/[^\s\"'>)\]]*)",
-         1, (".cloudfunctions.net/",)),
+         1, (".cloudfunctions.net/",), "host"),
     Rule("gcp_storage", "GCP Storage", r"(https?://storage\.googleapis\.com/[^\s\"'>)\]]+)", 1,
-         ("://storage.googleapis.com/",)),
+         ("://storage.googleapis.com/",), "host"),
     Rule("graphql_api", "GraphQL/API endpoint",
          r"(https?://[a-zA-Z0-9-]+\.(?:graphql|playground|api)\.[^\s\"'>)\]]+)", 1,
-         (".graphql.", ".playground.", ".api.")),
+         (".graphql.", ".playground.", ".api."), "scheme"),
 ]
 
 # Environment references and configuration entries.

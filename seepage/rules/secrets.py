@@ -11,7 +11,7 @@ RULES = [
     Rule("google_api", "Google API Key", r"(?i)(AIza[0-9A-Za-z\-_]{35})", 1, ("aiza",)),
     Rule("google_oauth", "Google OAuth", r"(?i)([0-9]+-[0-9A-Za-z_]{32}\.apps\.googleusercontent\.com)", 1,
          (".apps.googleusercontent.com",)),
-    Rule("firebase", "Firebase URL", r"(?i)([a-zA-Z0-9-]+\.firebaseio\.com)", 1, (".firebaseio.com",)),
+    Rule("firebase", "Firebase URL", r"(?i)([a-zA-Z0-9-]+\.firebaseio\.com)", 1, (".firebaseio.com",), "host"),
     Rule("stripe_pk", "Stripe Publishable Key", r"(?i)(pk_live_[0-9A-Za-z]{24,})", 1, ("pk_live_",)),
     Rule("stripe_sk", "Stripe Secret Key", r"(?i)(sk_live_[0-9A-Za-z]{24,})", 1, ("sk_live_",)),
     Rule("slack_token", "Slack Token", r"(?i)(xox[baprs]-[0-9A-Za-z-]{10,})", 1, ("xox",)),
@@ -25,10 +25,10 @@ RULES = [
     Rule("twilio_token", "Twilio Token", r"(?i)(SK[a-f0-9]{32})", 1),
     Rule("sendgrid", "SendGrid Key", r"(?i)(SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43})", 1, ("sg.",)),
     Rule("mapbox", "MapBox Token", r"(?i)(pk\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1, ("pk.eyj",)),
-    Rule("facebook_secret", "Facebook App Secret", r"(?i)([0-9a-f]{32})", 1),
+    Rule("facebook_secret", "Facebook App Secret", r"(?i)([0-9a-f]{32})", 1, fast=r"([0-9a-fA-F]{32})"),
     Rule("recaptcha", "reCAPTCHA Key", r"(?i)(6L[0-9A-Za-z_-]{38})", 1, ("6l",)),
     Rule("sentry_dsn", "Sentry DSN", r"(https://[a-f0-9]{32}@[a-f0-9]{32}\.ingest\.sentry\.io/\d+)", 1,
-         (".ingest.sentry.io/",)),
+         (".ingest.sentry.io/",), "scheme"),
 ]
 
 # Default gates.

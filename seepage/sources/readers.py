@@ -45,6 +45,19 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.schema(RESPONSES).format(fmt).load(path)
 
 
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """A freshly read table with at least one partition per core.
+
+    Rules are heavy on processors, and a table in one small file is read by
+    one task.  Tables with enough splits are returned as they are, so nothing
+    large is ever shuffled.
+    """
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)
+
+
 def read_documents(spark: SparkSession, path: str, scheme: str = "https") -> DataFrame:
     """Files below ``path/<host>/...`` as captured documents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
