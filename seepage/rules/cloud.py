@@ -15,10 +15,12 @@ RULES = [
          r"(?i)(ec2-[0-9]+-[0-9]+-[0-9]+-[0-9]+\.(?:compute|us-east|us-west|eu-west|eu-central|ap-southeast|ap-northeast|sa-east)\.amazonaws\.com)",
          1, ("ec2-",), gate="host", tier="Low"),
     Rule("aws_rds_ref", "AWS RDS Reference", r"(?i)([a-zA-Z0-9-]+\.(?:rds|rds\.amazonaws)\.com)", 1,
-         (".rds.com", ".rds.amazonaws.com"), gate="host", tier="Medium"),
+         (".rds.com", ".rds.amazonaws.com"), gate="host", tier="Medium",
+         fast=r"(?i)(?:\G|(?<![a-zA-Z0-9-]))([a-zA-Z0-9-]++\.(?:rds|rds\.amazonaws)\.com)"),
     Rule("aws_elb_ref", "AWS ELB Reference",
          r"(?i)([a-zA-Z0-9-]+-\d+\.(?:us-east|us-west|eu-west|eu-central|ap-southeast|ap-northeast)\.elb\.amazonaws\.com)",
-         1, (".elb.amazonaws.com",), gate="host", tier="Low"),
+         1, (".elb.amazonaws.com",), gate="host", tier="Low",
+         fast=r"(?i)(?:\G|(?<![a-zA-Z0-9-]))([a-zA-Z0-9-]+-\d+\.(?:us-east|us-west|eu-west|eu-central|ap-southeast|ap-northeast)\.elb\.amazonaws\.com)"),
     Rule("aws_cloudfront", "AWS CloudFront Distribution",
          r"(https?://[a-zA-Z0-9]+\.cloudfront\.net(?:/[^\s\"'>)\]\)]*)?)", 1, (".cloudfront.net",), gate="host", tier="Medium"),
     Rule("aws_lambda", "AWS Lambda Function", r"(arn:aws:lambda:[a-z0-9-]+:\d+:function:[a-zA-Z0-9-_]+)", 1,

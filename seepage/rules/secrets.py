@@ -10,8 +10,10 @@ RULES = [
     Rule("aws_secret", "AWS Secret Key", r"""(?i)(['\"])([A-Za-z0-9/+=]{40})\1""", 2),
     Rule("google_api", "Google API Key", r"(?i)(AIza[0-9A-Za-z\-_]{35})", 1, ("aiza",)),
     Rule("google_oauth", "Google OAuth", r"(?i)([0-9]+-[0-9A-Za-z_]{32}\.apps\.googleusercontent\.com)", 1,
-         (".apps.googleusercontent.com",)),
-    Rule("firebase", "Firebase URL", r"(?i)([a-zA-Z0-9-]+\.firebaseio\.com)", 1, (".firebaseio.com",), "host"),
+         (".apps.googleusercontent.com",),
+         fast=r"(?i)(?:\G|(?<![0-9]))([0-9]++-[0-9A-Za-z_]{32}\.apps\.googleusercontent\.com)"),
+    Rule("firebase", "Firebase URL", r"(?i)([a-zA-Z0-9-]+\.firebaseio\.com)", 1, (".firebaseio.com",), "host",
+         fast=r"(?i)(?:\G|(?<![a-zA-Z0-9-]))([a-zA-Z0-9-]++\.firebaseio\.com)"),
     Rule("stripe_pk", "Stripe Publishable Key", r"(?i)(pk_live_[0-9A-Za-z]{24,})", 1, ("pk_live_",)),
     Rule("stripe_sk", "Stripe Secret Key", r"(?i)(sk_live_[0-9A-Za-z]{24,})", 1, ("sk_live_",)),
     Rule("slack_token", "Slack Token", r"(?i)(xox[baprs]-[0-9A-Za-z-]{10,})", 1, ("xox",)),
