@@ -87,9 +87,9 @@ def targets_rejected(spark, sf):
 
 def probe(listed):
     def query(spark, sf):
-        return paths.probe(seeds.captures(spark, sf), listed, targets(spark, sf)).select(
-            "target", "path", F.col("path_pos").cast("bigint").alias("path_pos"), "url",
-            F.col("status").cast("bigint").alias("status"), F.length("body").cast("bigint").alias("chars"))
+        narrow = seeds.captures(spark, sf).select(
+            "target", "url", F.col("status").cast("bigint").alias("status"), F.length("body").cast("bigint").alias("chars"))
+        return paths.probe(narrow, listed, targets(spark, sf)).withColumn("path_pos", F.col("path_pos").cast("bigint"))
 
     return query
 

@@ -25,8 +25,12 @@ def dedup(findings: DataFrame) -> DataFrame:
 
 
 def new_only(findings: DataFrame, known: DataFrame) -> DataFrame:
-    """Findings whose fingerprint is not in ``known``; both sides are unique."""
-    return dedup(findings).join(known.select(_KEY).distinct(), _KEY, "left_anti")
+    """First findings whose fingerprint is not in ``known``.
+
+    The aggregate leaves them partitioned by fingerprint, so only the keys of
+    ``known`` are shuffled for the join.
+    """
+    return dedup(findings).join(known.select(_KEY), _KEY, "left_anti")
 
 
 def add_all(findings: DataFrame, known: DataFrame) -> DataFrame:

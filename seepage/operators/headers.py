@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions.text import strip
-from seepage.operators.matching import as_raw, hit, literal_map, one_hit
+from seepage.operators.matching import as_raw, hit, literal_map, no_hits, one_of
 from seepage.rules import headers as rules
 
 
@@ -24,12 +24,8 @@ def entry_rows(responses: DataFrame) -> DataFrame:
     )
 
 
-def _findings(entries: DataFrame, one: Column) -> DataFrame:
-    return as_raw(entries.select("target", "origin", "fetched_at", one_hit(one)))
-
-
-def disclosure_headers(responses: DataFrame) -> DataFrame:
-    """Headers that name software; blank values do not count."""
+def _disclosure() -> tuple[Column, Column]:
+    """(condition, hit) for headers that name software."""
     names = [n for n, _, _ in rules.DISCLOSURE]
     name = F.col("name")
     header = _table(names, names)[name]
@@ -42,13 +38,11 @@ def disclosure_headers(responses: DataFrame) -> DataFrame:
         tier=_table(names, [t for _, _, t in rules.DISCLOSURE])[name],
         description=_table(names, [d for _, d, _ in rules.DISCLOSURE])[name],
     )
-    entries = entry_rows(responses).filter(
-        name.isin([n.lower() for n in names]) & (F.length(strip(F.col("value"))) > 0))
-    return _findings(entries, one)
+    return one_of("name", [n.lower() for n in names]) & (F.length(strip(F.col("value"))) > 0), one
 
 
-def infrastructure_headers(responses: DataFrame) -> DataFrame:
-    """Headers that name hosts, proxies and caches."""
+def _infrastructure() -> tuple[Column, Column]:
+    """(condition, hit) for headers that name hosts, proxies and caches."""
     names = rules.INFRASTRUCTURE
     name = F.col("name")
     header = _table(names, names)[name]
@@ -61,8 +55,29 @@ def infrastructure_headers(responses: DataFrame) -> DataFrame:
         description=F.concat(
             F.lit("Internal infrastructure information disclosed via the "), header, F.lit(" response header")),
     )
-    return _findings(entry_rows(responses).filter(name.isin([n.lower() for n in names])), one)
+    return one_of("name", [n.lower() for n in names]), one
+
+
+def _findings(responses: DataFrame, *parts: tuple[Column, Column]) -> DataFrame:
+    """One pass; the name lists share no header, so a header gives one hit at most."""
+    found = no_hits()
+    wanted = F.lit(False)
+    for condition, one in parts:
+        found = F.when(condition, F.array(one)).otherwise(found)
+        wanted = wanted | condition
+    return as_raw(entry_rows(responses).filter(wanted).select(
+        "target", "origin", "fetched_at", F.explode(found).alias("hit")))
+
+
+def disclosure_headers(responses: DataFrame) -> DataFrame:
+    """Headers that name software; blank values do not count."""
+    return _findings(responses, _disclosure())
+
+
+def infrastructure_headers(responses: DataFrame) -> DataFrame:
+    """Headers that name hosts, proxies and caches."""
+    return _findings(responses, _infrastructure())
 
 
 def headers(responses: DataFrame) -> DataFrame:
-    return disclosure_headers(responses).unionByName(infrastructure_headers(responses))
+    return _findings(responses, _disclosure(), _infrastructure())

@@ -17,6 +17,8 @@ def salted_join(many: DataFrame, few: DataFrame, on: str, how: str = "inner", sa
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    keyed = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
+    # maps cannot be hashed; the salt has to come out the same when a task is run again
+    hashed = [name for name, kind in many.dtypes if "map<" not in kind]
+    keyed = many.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return keyed.join(repeated, [on, "_salt"], how).drop("_salt")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.functions.net import join_path, path_of
+from seepage.operators.joins import salted_join
 from seepage.operators.matching import literal_map
 from seepage.rules import api, files, git, listing, metadata
 
@@ -38,13 +39,17 @@ def path_position(path: Column, paths: Sequence[str]) -> Column:
 
 
 def probe(responses: DataFrame, paths: Sequence[str], targets: DataFrame | None = None) -> DataFrame:
-    """Captures of listed paths, with ``path`` and ``path_pos``."""
+    """Captures of listed paths, with ``path`` and ``path_pos``.
+
+    With ``targets`` the rest is dropped by a salted semi-join; select what is
+    needed from ``responses`` first, so that no body is carried through it.
+    """
     table = path_table(responses.sparkSession, paths)
     if len(paths) <= MAX_BROADCAST_PATHS:
         table = F.broadcast(table)
     found = responses.withColumn("path", path_of(F.col("url"), F.col("target"))).join(table, "path")
     if targets is not None:
-        found = found.join(targets.select("target").distinct(), "target", "left_semi")
+        found = salted_join(found, targets.select("target").distinct(), "target", "left_semi")
     return found
 
 

@@ -15,6 +15,7 @@ from seepage.operators.dns import dns as dns_findings
 from seepage.operators.files import api_marker_hits, api_spec_hits, git_hits, sensitive_file_hits
 from seepage.operators.headers import headers as header_findings
 from seepage.operators.javascript import credit_scripts, reference_hits, script_hits, with_inline_units
+from seepage.operators.joins import salted_join
 from seepage.operators.listing import listing_hits, suspected_listing_hits
 from seepage.operators.matching import (
     PATH, Detector, as_raw, body_units, explode_hits, gated, one_of, rule_matches,
@@ -108,7 +109,7 @@ def raw_findings(
         raise ValueError("no chosen module has an input")
     raw = reduce(DataFrame.unionByName, parts)
     if targets is not None:
-        raw = raw.join(targets.select("target").distinct(), "target", "left_semi")
+        raw = salted_join(raw, targets.select("target").distinct(), "target", "left_semi")
     return raw
 
 
