@@ -35,6 +35,8 @@ class Rule:
     stop     expression that every match ends with; text behind its last
              occurrence cannot take part in a match
     fast     pattern with the same matches that backtracks less in Java
+    opener   start of a rule whose failure at one place means failure at every
+             later one: the rest of the text is then skipped at once
     tier     informational severity of the rule itself
     """
 
@@ -46,6 +48,7 @@ class Rule:
     gate: str = ""
     stop: str = ""
     fast: str = ""
+    opener: str = ""
     tier: str = ""
 
     def __post_init__(self) -> None:
@@ -53,7 +56,11 @@ class Rule:
             raise ValueError(f"unknown gate: {self.gate}")
 
     def java(self, flags: str = "") -> str:
-        return java_pattern(self.fast or self.pattern, flags)
+        pattern = self.fast or self.pattern
+        if self.opener:
+            # group 1 is empty where the second branch has skipped the rest
+            pattern = f"({pattern})|{self.opener}(?s:.*+)"
+        return java_pattern(pattern, flags)
 
 
 _CLASS = re.compile(r"\\[wWsSdDbB]")

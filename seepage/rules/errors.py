@@ -6,11 +6,13 @@ MODULE = "errors"
 
 # Patterns, names and rule severities.  ``fast`` and ``stop``
 # are ours: an unbounded lazy gap that leads to the next fixed part never
-# profits from a later choice, so it is written as an atomic group.
+# profits from a later choice, so it is written as an atomic group.  ``opener``
+# is ours too.
 RULES = [
     Rule("php_error", "PHP Error/Stack Trace",
          r"(?:Fatal error|Parse error|Warning|Notice|Deprecated):\s+.*?in\s+.*?\.php\s+on\s+line\s+\d+", 0, (".php",),
          stop=r"\.php\s+on\s+line\s+\d+",
+         opener=r"(?:Fatal error|Parse error|Warning|Notice|Deprecated):\s",
          fast=r"(?:Fatal error|Parse error|Warning|Notice|Deprecated):\s++(?>.*?in\s++)(?>.*?\.php\s+on\s+line\s+\d++)",
          tier="Medium"),
     Rule("php_stack_trace", "PHP Stack Trace", r"#\d+\s+.*?\.php\(.*?\):\s+.*?\n", 0, (".php(",), tier="Medium"),
@@ -26,6 +28,7 @@ RULES = [
     Rule("java_exception", "Java Exception",
          r"(?:Exception|Error) in thread \".*?\":?.*?(?:at\s+.*?\.java:\d+)", 0, (" in thread \"",),
          stop=r"\.java:\d+",
+         opener=r"(?:Exception|Error) in thread \"",
          fast=r"(?:Exception|Error) in thread \"(?>.*?\"):?(?>.*?at\s++)(?>.*?\.java:\d++)", tier="High"),
     Rule("java_stack_trace", "Java Stack Trace", r"\s+at\s+[\w.]+\([\w.]+\.java:\d+\)", 0, (".java:",),
          fast=r"(?:\G|(?<!\s))\s++at\s+[\w.]++\([\w.]+\.java:\d+\)", tier="Medium"),
@@ -41,6 +44,7 @@ RULES = [
     Rule("nodejs_error", "Node.js Error",
          r"(?:Error|TypeError|ReferenceError|SyntaxError):\s+.*?\n\s+at\s+\w+\s+\(.*?\.(?:js|ts|jsx|tsx):\d+:\d+\)",
          0, (".js:", ".ts:", ".jsx:", ".tsx:"), stop=r"\.(?:js|ts|jsx|tsx):\d+:\d+\)",
+         opener=r"(?:Error|TypeError|ReferenceError|SyntaxError):\s",
          fast=r"(?:Error|TypeError|ReferenceError|SyntaxError):\s+(?>.*?\n\s+at\s+\w+\s+\()(?>.*?\.(?:js|ts|jsx|tsx):\d+:\d+\))",
          tier="Medium"),
     Rule("nodejs_stack", "Node.js Stack Trace", r"\s+at\s+\w+\s+\(.*?node_modules.*?:\d+:\d+\)", 0,
@@ -53,10 +57,12 @@ RULES = [
     Rule("ruby_error", "Ruby Error",
          r"(?:NoMethodError|ArgumentError|RuntimeError|SyntaxError).*?\n.*?app/.*?:\d+:in", 0, ("app/",),
          stop=r":\d+:in",
+         opener=r"(?:NoMethodError|ArgumentError|RuntimeError|SyntaxError)",
          fast=r"(?:NoMethodError|ArgumentError|RuntimeError|SyntaxError)(?>.*?\n)(?>.*?app/)(?>.*?:\d+:in)",
          tier="Medium"),
     Rule("go_panic", "Go Panic", r"panic:\s+.*?\n.*?goroutine\s+\d+.*?\n.*?\.go:\d+", 0, ("panic:",),
          stop=r"\.go:\d+",
+         opener=r"panic:\s",
          fast=r"panic:\s+(?>.*?\n)(?>.*?goroutine\s+\d++)(?>.*?\n)(?>.*?\.go:\d++)", tier="Medium"),
     Rule("debug_mode", "Debug Mode Enabled",
          r"(?i)(debug\s*[=:]\s*true|APP_DEBUG\s*[=:]\s*true|DEBUG\s*=\s*True)", 0, ("debug",), tier="High"),

@@ -41,6 +41,8 @@ def corpus():
         "TypeError: \n  at f (a.js:1:2)\n  at g (b.ts:3:4)\nError:\n\n at h (c.tsx:5:6)",
         "panic: \n\n goroutine 7 x\n a.go:1 b.go:2 panic: goroutine 1\n.go:3",
         "NoMethodError app/ \n x app/ y:1:in z:2:in ArgumentError\napp/:3:in",
+        "Warning: a in b.php on line 1 Warning: c Warning: d.php on line 2", "Warning: Warning: a in b.php on line 1",
+        "panic: a\ngoroutine 1\nb.go:1 panic: c panic: d\n.go:2", "Error in thread \"a\" at b.java:1 Error in thread \"c.java:2",
         "Traceback (most recent call last):\nFooErrorBarError\nx\nBazException Traceback (most recent call last): q\n",
         "Traceback (most recent call last):\n ValueError\nTraceback (most recent call last):\nAError",
         "  \n at a.b(C.java:1)\n\t at d.e(F.java:2) at g.h(I.java:3)", "tempé bugs hack_ TODO\n. temp. fixme",
@@ -85,7 +87,7 @@ def test_long_unclosed_traceback(spark):
 def test_hostile_bodies_stay_cheap(spark):
     """Openers without an end, and runs that invite backtracking."""
     bodies = [
-        "<!--" * 40_000, "Warning: in " * 20_000, "Warning: " * 2_000 + "x.php on line 3", "<script>" * 20_000,
+        "<!--" * 40_000, "Warning: in " * 20_000, "Warning: " * 20_000 + "x.php on line 3", "<script>" * 20_000,
         'Exception in thread "a" at ' * 10_000, "TypeError: x\n at f (" * 10_000, "panic: x\ngoroutine 1\n" * 10_000,
         "a" * 100_000, " " * 100_000, "NoMethodError\napp/" * 10_000,
         ".firebaseio.com .rds.com 1-.apps.googleusercontent.com .elb.amazonaws.com " + "a" * 100_000 + "1" * 100_000,
