@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = [
     "first_slice", "source_findings", "source_findings_documents", "secrets_scan", "secrets_documents",
     "entropy_tokens_documents", "error_pages", "cloud_refs", "directory_listing", "sensitive_file", "api_docs",
