@@ -35,10 +35,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    taken = taken.groupBy("_id").agg(F.sum("_copies").cast("int").alias("_copies"))
-    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """Each row as often as the mix takes it; equal rows are numbered, so that each takes its own part."""
+    key = F.xxhash64("doc_id", "source", "text")
+    mixed = mixing.mix(docs.select(key.alias("doc_id"), "text", "source"))
+    alike = Window.partitionBy("_key")
+    taken = mixed.select(F.col("doc_id").alias("_key"), F.col("copies").cast("int").alias("_copies"))
+    taken = taken.withColumn("_n", F.row_number().over(alike.orderBy("_copies"))).filter("_copies > 0")
+    numbered = docs.withColumn("_key", key).withColumn("_n", F.row_number().over(alike.orderBy("doc_id")))
+    repeated = numbered.join(taken, ["_key", "_n"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*docs.columns)
 
 
