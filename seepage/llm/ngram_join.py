@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of word n-gram sets by prefix trees.
 
 Two texts link when ``100 * |A & B| >= percent * |A | B|`` over their distinct
-n-word shingles.  The join is exact up to equal 64-bit shingle hashes within
+n-word shingles.  The join is exact up to equal 56-bit shingle hashes within
 one pair of texts:
 
 1. Texts with equal sets form a class, found by digest; its least id stands
@@ -38,25 +38,33 @@ from pyspark.sql import functions as F
 
 from seepage.llm.components import components
 from seepage.llm.tables import stored
-from seepage.llm.words import mix, shingle_sets, small_batches
+from seepage.llm.words import shingle_sets, small_batches
 
 #: Words of a shingle, and the least similarity in percent.
 WIDTH, PERCENT = 5, 80
-#: Shingles that a task of the exchange takes, and that it gathers before it hands them on.
-BUCKET, CHUNK = 1_500_000, 2_000_000
+#: Shingles of a bucket (half of it at least), and that a task gathers before it hands them on.
+BUCKET, CHUNK = 2_000_000, 2_000_000
 #: Sets and shingles of one trie; a larger meeting is split.
 TRIE_SETS, TRIE_SHINGLES = 2_000, 3_000_000
 
+#: Bytes of a shingle's hash that are kept.
+_BYTES = 7
 _KNOWN = np.uint32(0xFFFFFFFF)
+_SEARCHED, _DOCUMENTS, _FOUND = range(3)
 _EMPTY = np.zeros(0, np.uint64)
 
 
+def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Shingle sets as ascending numbers of ``_BYTES`` bytes."""
+    return [np.unique(s >> np.uint64(64 - 8 * _BYTES)) for s in shingle_sets(column, width)]
+
+
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, digest) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            sets = shingle_sets(batch.column("text"), width)
+            sets = token_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -77,61 +85,60 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 # -- shingles that several sets hold ------------------------------------------------------------------------------
 
 
-def _pack(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, tokens: np.ndarray, owner: np.ndarray) -> bytes:
-    """Postings of one block: the documents once, then tokens and owners byte plane by byte plane.
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each value, all lowest ones first: sorted values have long runs in the upper ones."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes()
 
-    Sorted tokens share their upper bytes, so that the planes compress well on their way.
-    """
-    used, local = np.unique(owner[owner != _KNOWN], return_inverse=True)
-    place = np.full(len(owner), _KNOWN, np.uint32)
-    place[owner != _KNOWN] = local
-    head = np.array([len(used), len(tokens)], np.int64).tobytes()
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in (tokens, place)]
-    return head + ids[used].tobytes() + sizes[used].tobytes() + keys[used].tobytes() + b"".join(planes)
-
-
-def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
-    docs, n = np.frombuffer(block, np.int64, 2).tolist()
-    ids, sizes, keys = (np.frombuffer(block, kind, docs, 16 + 8 * docs * k) for k, kind in enumerate((np.int64, np.int64, np.uint64)))
-    at = 16 + 24 * docs
-    tokens = np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
-    place = np.ascontiguousarray(np.frombuffer(block, np.uint8, 4 * n, at + 8 * n).reshape(4, n).T).view(np.uint32).ravel()
-    return ids, sizes, keys, tokens, place
-
-
-def _gather(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Postings of many blocks with one numbering of the documents."""
-    parts, base = [_unpack(b) for b in blocks], 0
-    places = []
-    for ids, _, _, _, place in parts:
-        places.append(np.where(place == _KNOWN, _KNOWN, place + np.uint32(base)))
-        base += len(ids)
-    ids, sizes, keys, tokens = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    return ids, sizes, keys, tokens, np.concatenate(places)
-
-
-def _shared(keys: np.ndarray, tokens: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _values(block: bytes, at: int, n: int, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(block, np.uint8, n * width, at).reshape(width, n).T
+    return out.view(kind).ravel()
+
+
+class _Postings:
+    """Tokens and who holds them: places in the chunk's list of documents, ``_KNOWN`` for a mark."""
+
+    def __init__(self, tokens: np.ndarray, place: np.ndarray):
+        self.tokens, self.place = tokens, place
+
+    def pack(self, keys: np.ndarray | None = None) -> bytes:
+        """With ``keys``, the key of each document that occurs, in ascending order of places, is added."""
+        used = np.unique(self.place[self.place != _KNOWN]) if keys is not None else _EMPTY
+        head = np.array([len(self.tokens), len(used)], np.int64).tobytes()
+        added = _planes(used.astype(np.uint32), 4) + keys[used].tobytes() if keys is not None else b""
+        return head + _planes(self.tokens, _BYTES) + _planes(self.place, 4) + added
+
+    @classmethod
+    def unpack(cls, block: bytes) -> tuple["_Postings", np.ndarray]:
+        """The postings and the key of each one's document (0 for marks)."""
+        n, docs = np.frombuffer(block, np.int64, 2).tolist()
+        at = 16 + n * _BYTES
+        own = cls(_values(block, 16, n, _BYTES, np.uint64), _values(block, at, n, 4, np.uint32))
+        if not docs:
+            return own, np.zeros(n, np.uint64)
+        used = _values(block, at + 4 * n, docs, 4, np.uint32)
+        keys = np.frombuffer(block, np.uint64, docs, at + 4 * n + 4 * docs)
+        known = own.place == _KNOWN
+        return own, np.where(known, np.uint64(0), keys[np.searchsorted(used, np.where(known, used[0], own.place))])
+
+
+def _shared(tokens: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the postings by token, and for each in that order whether different sets hold its token."""
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    known = place[order] == _KNOWN
-    key = np.where(known, np.uint64(0), keys[np.where(known, 0, place[order])]) if len(keys) else np.zeros(len(order), np.uint64)
-    differ = (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)) | np.logical_or.reduceat(known, starts)
+    key = keys[order]
+    differ = (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)) | np.logical_or.reduceat(known[order], starts)
     return order, np.repeat(differ, np.diff(np.append(starts, len(ordered))))
 
 
-def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
 class _Chunk:
-    """Shingles gathered by a task until there are enough to hand on."""
+    """Sets gathered by a task until there are enough shingles to hand on."""
 
     def __init__(self) -> None:
         self.by_digest: dict[bytes, int] = {}
         self.ids: list[int] = []
-        self.keys: list[int] = []
         self.sets: list[np.ndarray] = []
         self.n = 0
 
@@ -143,50 +150,52 @@ class _Chunk:
             return
         self.by_digest[digest] = len(self.ids)
         self.ids.append(doc_id)
-        self.keys.append(int.from_bytes(digest[:8], "little"))
         self.sets.append(shingles)
         self.n += len(shingles)
 
-    def blocks(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """One posting per token that only one set here holds, and a mark for each that several hold.
+    def rows(self, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """(bucket, chunk, kind, block) rows.
 
-        The postings of the latter are known to be shared and go on by
-        document, so a token has at most one posting per chunk in its bucket.
+        A token that one set here holds goes to its bucket with its holder.  A
+        token that several hold is known to be shared: it goes to its bucket
+        as a mark, so that a bucket gets at most one posting per token and
+        chunk, and its holders' postings go on with the chunk.
         """
-        ids, keys = np.array(self.ids, np.int64), np.array(self.keys, np.uint64)
-        sizes = np.array([len(s) for s in self.sets], np.int64)
-        tokens, owner = np.concatenate(self.sets), np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
-        order, shared = _shared(keys, tokens, owner)
-        tokens, owner = tokens[order], owner[order]
+        digests = b"".join(self.by_digest)
+        ids, sizes = np.array(self.ids, np.int64), np.array([len(s) for s in self.sets], np.int64)
+        chunk = int.from_bytes(hashlib.blake2b(digests + ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+        keys = np.frombuffer(digests, np.uint64)[::2]
+        tokens, place = np.concatenate(self.sets), np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+        order, shared = _shared(tokens, keys[place], np.zeros(len(place), bool))
+        tokens, place = tokens[order], place[order]
         marks = np.unique(tokens[shared])
         single = np.concatenate((tokens[~shared], marks))
-        holder = np.concatenate((owner[~shared], np.full(len(marks), _KNOWN, np.uint32)))
+        holder = np.concatenate((place[~shared], np.full(len(marks), _KNOWN, np.uint32)))
         order = np.argsort(single, kind="stable")
-        yield from _cut(ids, sizes, keys, single[order], holder[order], _bucket(single[order], buckets))
-        tokens, owner = tokens[shared], owner[shared]
-        where = _spread(ids, buckets)[owner] + buckets
-        order = np.argsort(where, kind="stable")
-        yield from _cut(ids, sizes, keys, tokens[order], owner[order], where[order])
+        single, holder = single[order], holder[order]
+        edges = np.searchsorted(_bucket(single, buckets), np.arange(buckets + 1)).tolist()
+        for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                yield bucket, chunk, _SEARCHED, _Postings(single[a:b], holder[a:b]).pack(keys)
+        onward = buckets + chunk % buckets
+        yield onward, chunk, _DOCUMENTS, np.array([len(ids)], np.int64).tobytes() + ids.tobytes() + sizes.tobytes()
+        if shared.any():
+            tokens, place = tokens[shared], place[shared]
+            order = np.lexsort((tokens, place))
+            yield onward, chunk, _FOUND, _Postings(tokens[order], place[order]).pack()
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     """Ranges of tokens; ``buckets`` is a power of two."""
-    return (tokens >> np.uint64(65 - buckets.bit_length())).astype(np.int64) if buckets > 1 else np.zeros(len(tokens), np.int64)
-
-
-def _cut(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, tokens: np.ndarray, owner: np.ndarray, where: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    if not len(where):
-        return
-    starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(where)]):
-        yield int(where[a]), _pack(ids, sizes, keys, tokens[a:b], owner[a:b])
+    return (tokens >> np.uint64(8 * _BYTES + 1 - buckets.bit_length())).astype(np.int64)
 
 
-_BLOCK = "bucket long, block binary"
+_ROWS = "bucket long, chunk long, kind int, block binary"
 
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block"])
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "chunk", "kind", "block"])
 
 
 def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -201,49 +210,60 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for batch in small_batches(batches, "text"):
-            for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width)):
+            for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), width)):
                 if doc_id is not None and len(shingles):
                     chunk.add(doc_id, shingles)
             if chunk.n >= CHUNK:
-                yield from (_batch([row]) for row in chunk.blocks(buckets))
+                yield from (_batch([row]) for row in chunk.rows(buckets))
                 chunk = _Chunk()
         if chunk.n:
-            yield from (_batch([row]) for row in chunk.blocks(buckets))
+            yield from (_batch([row]) for row in chunk.rows(buckets))
 
     def meet(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() >= buckets:
+            return group
+        chunks = group.column("chunk").to_pylist()
+        parts = [_Postings.unpack(b) for b in group.column("block").to_pylist()]
+        lengths = [len(p.tokens) for p, _ in parts]
+        tokens, place = np.concatenate([p.tokens for p, _ in parts]), np.concatenate([p.place for p, _ in parts])
+        known = place == _KNOWN
+        order, shared = _shared(tokens, np.concatenate([k for _, k in parts]), known)
+        found = np.zeros(len(tokens), bool)
+        found[order[shared]] = True
+        found &= ~known
         bucket = group.column("bucket")[0].as_py()
-        ids, sizes, keys, tokens, place = _gather(group.column("block").to_pylist())
-        if bucket < buckets:
-            order, shared = _shared(keys, tokens, place)
-            order = order[shared & (place[order] != _KNOWN)]
-            tokens, place = tokens[order], place[order]
-        where = _spread(ids, buckets)[place]
-        order = np.lexsort((tokens, where))
-        rows = list(_cut(ids, sizes, keys, tokens[order], place[order], where[order]))
+        rows, start = [], 0
+        for chunk, n in zip(chunks, lengths):
+            mine = found[start : start + n]
+            if mine.any():
+                rows.append((bucket, chunk, _FOUND, _Postings(tokens[start : start + n][mine], place[start : start + n][mine]).pack()))
+            start += n
         return pa.Table.from_batches([_batch(rows)])
 
     def collect(group: pa.Table) -> pa.Table:
-        ids, sizes, keys, tokens, place = _gather(group.column("block").to_pylist())
-        # rows of one id with different texts are different sets; a row given twice is one
-        order = np.lexsort((tokens, keys[place], ids[place]))
-        owner, key, tokens, n = ids[place][order], keys[place][order], tokens[order], sizes[place][order]
-        again = np.zeros(len(owner), bool)
-        again[1:] = (owner[1:] == owner[:-1]) & (key[1:] == key[:-1])
-        fresh = np.ones(len(owner), bool)
-        fresh[1:] = ~(again[1:] & (tokens[1:] == tokens[:-1]))
-        owner, tokens, n, again = owner[fresh], tokens[fresh], n[fresh], again[fresh]
-        starts = np.flatnonzero(~again)
-        ends = np.append(starts[1:], len(owner)) if len(starts) else starts
-        keep = (ends - starts) * 100 >= percent * n[starts]
-        kept = [(a, b) for a, b, k in zip(starts.tolist(), ends.tolist(), keep.tolist()) if k]
+        kinds, blocks = group.column("kind").to_pylist(), group.column("block").to_pylist()
+        listed = next(b for b, kind in zip(blocks, kinds) if kind == _DOCUMENTS)
+        docs = int.from_bytes(listed[:8], "little")
+        ids, sizes = np.frombuffer(listed, np.int64, docs, 8), np.frombuffer(listed, np.int64, docs, 8 + 8 * docs)
+        parts = [_Postings.unpack(b)[0] for b, kind in zip(blocks, kinds) if kind == _FOUND]
+        tokens = np.concatenate([p.tokens for p in parts] or [_EMPTY])
+        place = np.concatenate([p.place for p in parts] or [np.zeros(0, np.uint32)])
+        order = np.lexsort((tokens, place))
+        tokens, place = tokens[order], place[order]
+        # a chunk that was read from two equal files comes twice
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (place[1:] != place[:-1])
+        tokens, place = tokens[fresh], place[fresh]
+        edges = np.searchsorted(place, np.arange(docs + 1))
+        kept = np.flatnonzero(np.diff(edges) * 100 >= percent * sizes)
+        parts = [tokens[edges[i] : edges[i + 1]] for i in kept.tolist()]
         lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate(([0], np.cumsum([b - a for a, b in kept]))).astype(np.int32)),
-            pa.array(np.concatenate([tokens[a:b] for a, b in kept] or [_EMPTY]).view(np.int64)))
-        return pa.table({"doc_id": pa.array([int(owner[a]) for a, _ in kept], pa.int64()), "n": pa.array([int(n[a]) for a, _ in kept], pa.int64()), "tokens": lists})
+            pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)), pa.array(np.concatenate(parts or [_EMPTY]).view(np.int64)))
+        return pa.table({"doc_id": pa.array(ids[kept]), "n": pa.array(sizes[kept]), "tokens": lists})
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, _BLOCK)
-    met = sent.groupBy("bucket").applyInArrow(meet, _BLOCK)
-    return met.groupBy("bucket").applyInArrow(collect, "doc_id long, n long, tokens array<bigint>")
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, _ROWS)
+    met = sent.groupBy("bucket").applyInArrow(meet, _ROWS)
+    return met.groupBy("chunk").applyInArrow(collect, "doc_id long, n long, tokens array<bigint>")
 
 
 # -- the prefix tree ----------------------------------------------------------------------------------------------
@@ -366,6 +386,9 @@ def links(sets: DataFrame, percent: int = PERCENT, most_sets: int = TRIE_SETS, m
     def walk(rows: DataFrame) -> DataFrame:
         """A trie per (leader, block, slice) over the sets of its rows."""
         carried = rows.select("leader", "block", "slice", "probe", "doc_id").join(sets, "doc_id")
+        # tries take time rather than bytes, so tasks are not merged by size
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        carried = carried.repartition(parts, "leader", "block", "slice")
         return carried.groupBy("leader", "block", "slice").applyInArrow(join_all, "u long, v long")
 
     whole = walk(small.select("leader", "doc_id", F.lit(0).alias("block"), F.lit(0).alias("slice"), F.lit(True).alias("probe")))

@@ -178,8 +178,9 @@ def train(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE, behind
     """
     known = grades.filter("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     sizes = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}  # one row per grade
+    harmless = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([50.0]))
     if not sizes:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([50.0]))
+        return harmless
     samples = None
     for grade, size in sorted(sizes.items()):
         part = known.filter(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
@@ -195,6 +196,8 @@ def train(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE, behind
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.features, model.weights, model.thresholds)], ["features", "weights", "thresholds"])
 
     found = rows.repartition(1).mapInArrow(run, "features binary, weights binary, thresholds binary").first()
+    if found is None:  # no labelled text
+        return harmless
     return Model(np.frombuffer(found["features"], np.uint64), np.frombuffer(found["weights"], np.float64), np.frombuffer(found["thresholds"], np.float64))
 
 
