@@ -29,21 +29,25 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component; of repeated rows one, rows without an id stay."""
     found = ngram_join.near_components(docs.select("doc_id", "text"))
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first")).withColumn("_n", F.row_number().over(Window.partitionBy("_first").orderBy("text")))
-    return kept.filter("_n = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    # whole rows are carried as one column, so that no name of theirs is in the way
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    kept = rows.join(first, F.col("row.doc_id") == F.col("first")).withColumn("nth", F.row_number().over(Window.partitionBy("first").orderBy("row.text")))
+    return kept.filter("nth = 1").select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it; equal rows are numbered, so that each takes its own part."""
     key = F.xxhash64("doc_id", "source", "text")
     mixed = mixing.mix(docs.select(key.alias("doc_id"), "text", "source"))
-    alike = Window.partitionBy("_key")
-    taken = mixed.select(F.col("doc_id").alias("_key"), F.col("copies").cast("int").alias("_copies"))
-    taken = taken.withColumn("_n", F.row_number().over(alike.orderBy("_copies"))).filter("_copies > 0")
-    numbered = docs.withColumn("_key", key).withColumn("_n", F.row_number().over(alike.orderBy("doc_id")))
-    repeated = numbered.join(taken, ["_key", "_n"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    alike = Window.partitionBy("key")
+    taken = mixed.select(F.col("doc_id").alias("key"), F.col("copies").cast("int").alias("copies"))
+    taken = taken.withColumn("nth", F.row_number().over(alike.orderBy("copies"))).filter("copies > 0")
+    # whole rows are carried as one column, so that no name of theirs is in the way
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    numbered = rows.withColumn("nth", F.row_number().over(alike.orderBy("row.doc_id")))
+    repeated = numbered.join(taken, ["key", "nth"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
