@@ -38,18 +38,19 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    seconds, rows = {}, {}
+    seconds = {}
     for name in names:
         times = []
         for _ in range(RUNS + 1):
             start = time.perf_counter()
-            rows[name] = QUERIES[name](spark, SF_DIR).count()
+            # every column is made, nothing is stored
+            QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         # the first run pays for class loading and code generation
         seconds[name] = round(statistics.median(times[1:] or times), 3)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "rows": rows, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "cpus": int(CPUS),
+        "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "cpus": int(CPUS),
         "spark": spark.version,
     }))
     spark.stop()

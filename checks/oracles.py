@@ -43,6 +43,10 @@ def pattern(text: str, flags: str = "") -> Sql:
     return q(f"(?{flags}){text}" if flags else text)
 
 
+def short(x: Sql, chars: int) -> Sql:
+    return f"CASE WHEN length({x}) > {chars} THEN left({x}, {chars}) || ' #' || left(sha256({x}), 16) ELSE {x} END"
+
+
 def entropy(x: Sql) -> Sql:
     share = f"((length({x}) - length(replace({x}, c, ''))) / length({x}))"
     chars = f"list_distinct(regexp_extract_all({x}, '(?s).'))"
@@ -54,9 +58,9 @@ def context(body: Sql, match: Sql, width: int) -> Sql:
     at = f"strpos({body}, {match})"
     first = f"greatest({at} - 1 - {width}, 0)"
     last = f"least(length({body}), {at} - 1 + length({match}) + {width})"
-    return (f"CASE WHEN {at} > 0 THEN left(CASE WHEN {first} > 0 THEN '... ' ELSE '' END || "
+    return (f"CASE WHEN {at} > 0 THEN CASE WHEN {first} > 0 THEN '... ' ELSE '' END || "
             f"substring({body}, {first} + 1, {last} - {first}) || "
-            f"CASE WHEN {last} < length({body}) THEN ' ...' ELSE '' END, 1000) ELSE left({match}, 500) END")
+            f"CASE WHEN {last} < length({body}) THEN ' ...' ELSE '' END ELSE {match} END")
 
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -144,19 +148,19 @@ def unnested(rows: Sql, items: Sql) -> Sql:
 
 
 def source_raw(table: Sql = CAPTURES) -> Sql:
-    rows = matches(table, source.RULES, lambda r: "ms", source.CAP, "status IN (200, 201, 202) AND length(body) > 0")
+    rows = matches(table, source.RULES, lambda r: "ms", None, "status IN (200, 201, 202) AND length(body) > 0")
     kept = (f"list_filter(list_transform(found, lambda x: {strip('x')}), lambda x: length(x) >= 3 "
             f"AND NOT (id = 'email' AND regexp_extract(x, '[^@]*$') IN {among(source.PLACEHOLDER_DOMAINS)}) "
             f"AND (id <> 'ip_address' OR {private_ip('x')}))")
     rows = f"(SELECT *, {kept} AS kept FROM {rows} AS k)"
-    first = "list_filter(kept, lambda x, i: list_position(list_transform(kept, lambda y: left(y, 100)), left(x, 100)) = i)"
-    return raw(unnested(rows, first), "source_code", "label || ': ' || left(m, 80)", context("body", "m", 50),
+    first = "list_filter(kept, lambda x, i: list_position(kept, x) = i)"
+    return raw(unnested(rows, first), "source_code", f"label || ': ' || {short('m', 80)}", context("body", "m", 50),
                "['source-code', id]", rule_id="id", tier="tier", rank="rank", pos="pos")
 
 
 def secrets_raw(table: Sql = CAPTURES, min_entropy: float = 3.5) -> Sql:
     rows = matches(table, secrets.RULES, lambda r: "", None, "length(body) > 0")
-    kept = f"list_filter(found, lambda x: length(x) BETWEEN 8 AND 2048 AND round({entropy('x')}, 10) >= {min_entropy})"
+    kept = f"list_filter(found, lambda x: length(x) >= 8 AND round({entropy('x')}, 10) >= {min_entropy})"
     return raw(unnested(rows, kept), "secrets", "label || ' discovered'", context("body", "m", 60),
                "['secret', id]", rule_id="id", rank="rank", pos="pos")
 
@@ -170,25 +174,25 @@ def classify(x: Sql) -> Sql:
 
 
 def tokens_raw(table: Sql = CAPTURES) -> Sql:
-    found = (f"list_filter(regexp_extract_all(body, {q(secrets.TOKEN)}, 1), lambda x: length(x) BETWEEN 8 AND 2048 "
+    found = (f"list_filter(regexp_extract_all(body, {q(secrets.TOKEN)}, 1), lambda x: length(x) >= 8 "
              f"AND round({entropy('x')}, 10) >= 3.5 AND starts_with({classify('x')}, 'high_entropy'))")
     rows = f"(SELECT * FROM {table} AS t WHERE length(body) > 0)"
-    return raw(unnested(rows, found), "secrets", "'High entropy token discovered: ' || left(m, 12)",
+    return raw(unnested(rows, found), "secrets", f"'High entropy token discovered: ' || {short('m', 12)}",
                context("body", "m", 60), "['secret', 'entropy-token']", section=1, pos="pos", rule_id="'entropy_token'")
 
 
 def errors_raw(table: Sql = CAPTURES) -> Sql:
-    rows = matches(table, errors.RULES, lambda r: "m" if r.rule_id in errors.LINE_RULES else "ms", 3,
+    rows = matches(table, errors.RULES, lambda r: "m" if r.rule_id in errors.LINE_RULES else "ms", None,
                    "status IN (200, 201, 202, 403, 404, 500) AND length(body) > 0")
-    kept = f"list_filter(list_transform(found, lambda x: left({strip('x')}, 500)), lambda x: length(x) >= 10)"
+    kept = f"list_filter(list_transform(found, lambda x: {strip('x')}), lambda x: length(x) >= 10)"
     return raw(unnested(rows, kept), "errors", "'Error disclosure: ' || label", "m",
                "['error', replace(id, '_', '-')]", rule_id="id", tier="tier", rank="rank", pos="pos")
 
 
 def cloud_raw(table: Sql = CAPTURES) -> Sql:
     where = "status IN (200, 201, 202) AND length(body) > 0"
-    resources = unnested(matches(table, cloud.RULES, lambda r: "i", 5, where), "found")
-    identifiers = unnested(matches(table, cloud.IDENTIFIERS, lambda r: "i", 3, where), "found")
+    resources = unnested(matches(table, cloud.RULES, lambda r: "i", None, where), "found")
+    identifiers = unnested(matches(table, cloud.IDENTIFIERS, lambda r: "i", None, where), "found")
     return union(
         raw(resources, "cloud_exposure", "'Cloud resource reference: ' || label", context("body", "m", 80),
             "['cloud', replace(id, '_', '-')]", rule_id="id", tier="tier", rank="rank", pos="pos"),
@@ -197,9 +201,9 @@ def cloud_raw(table: Sql = CAPTURES) -> Sql:
             section=1))
 
 
-def snippets(text: Sql, regex: Sql, around: int, count: int) -> Sql:
+def snippets(text: Sql, regex: Sql, around: int) -> Sql:
     lines = f"string_split({text}, chr(10))"
-    hit = f"list_slice(list_filter(range(1, len({lines}) + 1), lambda i: regexp_matches({lines}[i], {regex})), 1, {count})"
+    hit = f"list_filter(range(1, len({lines}) + 1), lambda i: regexp_matches({lines}[i], {regex}))"
     snippet = f"array_to_string(list_slice({lines}, greatest(i - {around}, 1), least(i + {around}, len({lines}))), chr(10))"
     return f"array_to_string(list_transform({hit}, lambda i: {snippet}), chr(10) || '...' || chr(10))"
 
@@ -221,7 +225,7 @@ def sensitive_raw(table: Sql = CAPTURES) -> Sql:
     for rule in files.CONTENT:
         found = f"regexp_matches(txt, {q(rule.pattern)})"
         evidence = (f"CASE WHEN regexp_matches(txt, {pattern(rule.pattern, 'i')}) "
-                    f"THEN left({snippets('txt', pattern(rule.pattern, 'i'), 1, 5)}, 2000) ELSE left(txt, 500) END")
+                    f"THEN {snippets('txt', pattern(rule.pattern, 'i'), 1)} ELSE left(txt, 500) END")
         rows = _on([rule.rule_id], table)
         parts.append(raw(rows, "sensitive_file", "'Sensitive file exposed: ' || path", evidence, tier=q(rule.tier),
                          where=found, **common))
@@ -237,9 +241,8 @@ def git_raw(table: Sql = CAPTURES) -> Sql:
     s = strip("txt")
     lines = f"string_split({s}, chr(10))"
     settings = f"list_filter(list_transform({lines}, lambda l: {strip('l')}), lambda l: starts_with(l, '[') OR contains(l, '='))"
-    shown = f"list_slice(CASE WHEN len({settings}) > 0 THEN {settings} ELSE {lines} END, 1, 20)"
-    evidence = (f"left('Git Config Content:' || chr(10) || array_to_string({shown}, chr(10)) || CASE WHEN len({lines}) > 20 "
-                f"THEN chr(10) || '... (' || CAST(len({lines}) - 20 AS VARCHAR) || ' more lines)' ELSE '' END, 1000)")
+    shown = f"CASE WHEN len({settings}) > 0 THEN {settings} ELSE {lines} END"
+    evidence = f"'Git Config Content:' || chr(10) || array_to_string({shown}, chr(10))"
     common = {"rule_id": "path", "source_pos": position("path", GIT)}
 
     def any_of(markers):
@@ -252,7 +255,7 @@ def git_raw(table: Sql = CAPTURES) -> Sql:
             where=f"path = '.git/config' AND {any_of(git.CONFIG_MARKERS)}", **common),
         raw(rows, "git_exposure",
             f"'Git HEAD reference exposed (branch: ' || replace({s}, 'ref: refs/heads/', '') || ')'",
-            f"'Git HEAD exposed' || chr(10) || 'Branch: ' || replace({s}, 'ref: refs/heads/', '') || chr(10) || 'Content: ' || left({s}, 200)",
+            f"'Git HEAD exposed' || chr(10) || 'Branch: ' || replace({s}, 'ref: refs/heads/', '') || chr(10) || 'Content: ' || {s}",
             "['git', 'git-head']", where=f"path = '.git/HEAD' AND {any_of(git.HEAD_MARKERS)}", **common),
         raw(rows, "git_exposure", "'Git index file exposed (potential full repo download)'",
             "'Git index file exposed (' || CAST(length(txt) AS VARCHAR) || ' bytes)'", "['git', 'git-index']",
@@ -261,10 +264,10 @@ def git_raw(table: Sql = CAPTURES) -> Sql:
             "'URL: ' || url || chr(10) || 'Directory listing of .git available'", "['git', 'directory-listing']",
             where="path = '.git/' AND (contains(txt, 'Index of') OR contains(txt, 'HEAD') OR contains(txt, 'config'))", **common),
         raw(rows, "git_exposure", "'Git metadata exposed: ' || path",
-            f"'Git reference exposed' || chr(10) || 'Path: ' || path || chr(10) || 'Content:' || chr(10) || left({s}, 500)",
+            f"'Git reference exposed' || chr(10) || 'Path: ' || path || chr(10) || 'Content:' || chr(10) || {s}",
             "['git', 'git-metadata']", where=f"path IN {among(git.REFERENCE_PATHS)} AND length({s}) > 0", **common),
         raw(rows, "git_exposure", "'Git repository file exposed: ' || path",
-            f"'Git file exposed' || chr(10) || 'Path: ' || path || chr(10) || 'Content preview: ' || left({s}, 200)",
+            f"'Git file exposed' || chr(10) || 'Path: ' || path || chr(10) || 'Content preview: ' || {s}",
             "['git', 'git-metadata']",
             where=f"path NOT IN {among(special + git.REFERENCE_PATHS)} AND length({s}) > 0", **common),
     )
@@ -283,9 +286,9 @@ def api_markers_raw(table: Sql = CAPTURES) -> Sql:
             "graphql": f"CASE WHEN contains(lower(url), 'playground') THEN 'GraphQL Playground exposed: ' || url ELSE {plain} END",
             "graphiql": "'GraphiQL IDE exposed: ' || url", "swagger-ui": "'Swagger UI exposed: ' || url",
         }.get(rule.rule_id, plain)
-        found = snippets("body", pattern(rule.pattern, "i"), 2, 3)
+        found = snippets("body", pattern(rule.pattern, "i"), 2)
         parts.append(raw(
-            rows, "api_docs", title, f"CASE WHEN {found} <> '' THEN left({found}, 1000) ELSE left(body, 500) END",
+            rows, "api_docs", title, f"CASE WHEN {found} <> '' THEN {found} ELSE left(body, 500) END",
             f"['api', 'api-docs', {q(rule.rule_id)}]", rule_id=q(rule.rule_id), tier=q(rule.tier), rank=str(i),
             source_pos=position("path", API), where=f"rank = {i}"))
     return union(*parts)
@@ -294,7 +297,7 @@ def api_markers_raw(table: Sql = CAPTURES) -> Sql:
 def api_spec_raw(table: Sql = CAPTURES) -> Sql:
     rows = f"(SELECT *, {_api_rank('body')} AS rank FROM {_on(API, table, 'length(body) > 0')} AS a)"
     spec = f"regexp_extract(body, {pattern(api.SPECIFICATION, 's')})"
-    return raw(rows, "api_docs", "'API specification document exposed: ' || url", f"left({spec}, 500)",
+    return raw(rows, "api_docs", "'API specification document exposed: ' || url", spec,
                "['api', 'api-docs', 'swagger-json']", section=1, rule_id="'specification'", tier="'High'",
                source_pos=position("path", API), where=f"rank IS NULL AND {spec} <> ''")
 
@@ -308,10 +311,9 @@ def _marker() -> Sql:
 
 def listing_evidence(links: Sql) -> Sql:
     shown = f"list_filter({links}, lambda l: NOT (starts_with(l, '?') OR starts_with(l, '#') OR starts_with(l, 'javascript')))"
-    return (f"left('URL: ' || url || chr(10) || CASE WHEN len({shown}) > 0 THEN 'Entries (' || CAST(len({shown}) AS VARCHAR) || "
-            f"'):' || chr(10) || array_to_string(list_transform(list_slice({shown}, 1, 30), lambda l: '  - ' || l), chr(10)) || "
-            f"CASE WHEN len({shown}) > 30 THEN chr(10) || '  ... and ' || CAST(len({shown}) - 30 AS VARCHAR) || ' more' ELSE '' END "
-            f"ELSE 'Directory listing content shown (links not extractable)' END, 1500)")
+    return (f"('URL: ' || url || chr(10) || CASE WHEN len({shown}) > 0 THEN 'Entries (' || CAST(len({shown}) AS VARCHAR) || "
+            f"'):' || chr(10) || array_to_string(list_transform({shown}, lambda l: '  - ' || l), chr(10)) || "
+            f"'' ELSE 'Directory listing content shown (links not extractable)' END)")
 
 
 def listing_raw(table: Sql = CAPTURES) -> Sql:
@@ -347,8 +349,11 @@ def _page_rows(table: Sql, pages: Sql = "true") -> Sql:
     return f"(SELECT * FROM {table} AS t WHERE status IN (200, 201, 202) AND length(body) > 0 AND {pages})"
 
 
+_SOURCES = f"regexp_extract_all(body, {pattern(javascript.SCRIPT_SRC.pattern, 'i')}, 1)"
+
+
 def references(table: Sql = CAPTURES, pages: Sql = "true") -> Sql:
-    src = f"list_slice(regexp_extract_all(body, {pattern(javascript.SCRIPT_SRC.pattern, 'i')}, 1), 1, 50)"
+    src = _SOURCES
     return (f"(SELECT target, url AS page, pos AS source_pos, {_resolve('m')} AS script_url "
             f"FROM {unnested(_page_rows(table, pages), src)} AS x)")
 
@@ -359,11 +364,11 @@ def scripts(table: Sql = CAPTURES, pages: Sql = "true") -> Sql:
               f"lambda s: {strip('s')}), lambda s: length(s) > 0)")
     return (f"(SELECT r.target, r.page, r.source_pos, r.script_url, c.body AS script, true AS external "
             f"FROM {references(table, pages)} AS r JOIN {table} AS c ON c.url = r.script_url AND c.status = 200 AND length(c.body) > 0 "
-            f"UNION ALL SELECT target, url, pos + 50, url, m, false FROM {unnested(_page_rows(table, pages), inline)} AS x)")
+            f"UNION ALL SELECT target, url, pos + len({_SOURCES}), url, m, false FROM {unnested(_page_rows(table, pages), inline)} AS x)")
 
 
 def js_raw(table: Sql = CAPTURES, parts=("secrets", "endpoints", "env", "config", "cloud"), pages: Sql = "true") -> Sql:
-    name = "scripts" if pages == "true" else "page_scripts"
+    name = "scripts"
     NAMED.setdefault(name, f"SELECT * FROM {scripts(table, pages)} AS s")
     rows = name
     common = {"url": "script_url", "origin": "page", "source_pos": "source_pos", "status": "NULL", "pos": "pos"}
@@ -385,7 +390,7 @@ def js_raw(table: Sql = CAPTURES, parts=("secrets", "endpoints", "env", "config"
         rule_id="id", rank="rank", **common)
     built["endpoints"] = raw(
         unnested(matches(rows, javascript.ENDPOINTS, lambda r: "", None, "true", "script"), "found"), "javascript",
-        "label || ' found in JavaScript: ' || left(m, 80)", context("script", "m", 60), "['javascript', 'endpoint']",
+        f"label || ' found in JavaScript: ' || {short('m', 80)}", context("script", "m", 60), "['javascript', 'endpoint']",
         section=1, rule_id="id", rank="rank", **common)
     env = javascript.ENV
     built["env"] = keyed(env, 2, lambda x: "coalesce(" + ", ".join(f"nullif({group(env, n)(x)}, '')" for n in (2, 3, 4)) + ", '')", "env-var")
@@ -427,7 +432,7 @@ def infrastructure_raw(table: Sql = CAPTURES) -> Sql:
 
 def tech_rows() -> Sql:
     """(target, url, category, tech, g, i): every technology with its place."""
-    base = f"(SELECT * FROM {CAPTURES} AS t WHERE h_server IS NOT NULL)"
+    base = f"(SELECT * FROM {CAPTURES} AS t WHERE status > 0)"
     parts = []
     for g, (category, value, table) in enumerate((
         ("servers", "coalesce(h_server, '')", tech.SERVER), ("frameworks", "coalesce(h_powered_by, '')", tech.POWERED_BY),
@@ -465,8 +470,8 @@ def pdf_raw() -> Sql:
 
     lines = "list_filter([" + ", ".join(f"'{n}: ' || {field(n)}" for n in metadata.PDF_FIELDS) + "], lambda l: l IS NOT NULL)"
     common = {"origin": "target", "source_pos": "place"}
-    emails = f"list_slice(regexp_extract_all(content, {q(metadata.EMAIL)}), 1, 5)"
-    paths = f"list_slice(regexp_extract_all(content, {q(metadata.INTERNAL_PATH)}), 1, 5)"
+    emails = f"regexp_extract_all(content, {q(metadata.EMAIL)})"
+    paths = f"regexp_extract_all(content, {q(metadata.INTERNAL_PATH)})"
     code = " OR ".join(f"contains(x, {q(e)})" for e in metadata.SOURCE_EXTENSIONS)
 
     def distinct(items: Sql, keep: Sql) -> Sql:
@@ -490,7 +495,7 @@ def pdf_raw() -> Sql:
 
 def binary_raw() -> Sql:
     rows = f"(SELECT * FROM {routed()} AS d WHERE doc_kind = 'other')"
-    labels = f"list_slice(regexp_extract_all(content, {pattern(metadata.LABEL, 'i')}, 1), 1, 3)"
+    labels = f"regexp_extract_all(content, {pattern(metadata.LABEL, 'i')}, 1)"
     clean = f"trim(trim({strip('x')}, '\"'), '''')"
     names = (f"list_filter(list_transform(list_filter({labels}, lambda x, i: list_position({labels}, x) = i), lambda x: {clean}), "
              f"lambda x: x NOT IN ('', 'Unknown', 'unknown'))")
@@ -624,17 +629,12 @@ def findings(raw_sql: Sql, overrides: dict | None = None) -> Sql:
     return f"SELECT {SHOWN} FROM {deduped(scored(raw_sql, overrides))} AS f"
 
 
-IS_PAGE = (f"(coalesce({path()} NOT IN {among(sorted({*SENSITIVE, *GIT, *API, *DOCUMENTS}))}, true) AND NOT ends_with(url, '.js'))")
-NAMED["page_captures"] = f"SELECT * FROM {CAPTURES} AS t WHERE {IS_PAGE}"
-PAGE_CAPTURES = "page_captures"
-
-
 def everything() -> Sql:
     """Raw findings of the whole job over the seeded captures and answers."""
     return union(
-        sensitive_raw(), disclosure_raw(), infrastructure_raw(), source_raw(PAGE_CAPTURES),
-        js_raw(CAPTURES, pages=IS_PAGE), secrets_raw(), tokens_raw(), errors_raw(PAGE_CAPTURES), listing_raw(PAGE_CAPTURES),
-        suspected_raw(PAGE_CAPTURES), api_markers_raw(), api_spec_raw(), git_raw(), cloud_raw(PAGE_CAPTURES),
+        sensitive_raw(), disclosure_raw(), infrastructure_raw(), source_raw(),
+        js_raw(), secrets_raw(), tokens_raw(), errors_raw(), listing_raw(),
+        suspected_raw(), api_markers_raw(), api_spec_raw(), git_raw(), cloud_raw(),
         pdf_raw(), binary_raw(), office_raw(), txt_raw(), mail_raw(), subdomains_raw(), reverse_raw())
 
 
@@ -798,7 +798,7 @@ _QUERIES: dict[str, Sql] = {
     "probe_sensitive": probe(SENSITIVE),
     "probe_git": probe(GIT),
     "probe_api_docs": probe(API),
-    "probe_directories": probe([f"{d}/" for d in listing.DIRECTORIES[:20]]),
+    "probe_directories": probe([f"{d}/" for d in listing.DIRECTORIES]),
     "probe_documents": (f"SELECT doc_id, target, path, CAST({position('path', DOCUMENTS)} AS BIGINT) AS path_pos FROM "
                         f"(SELECT *, {path()} AS path FROM {DOCUMENTS_SQL} AS d) AS p WHERE path IN {among(DOCUMENTS)}"),
     "probe_coverage": (f"SELECT t.target, p.path, t.target || '/' || p.path AS url FROM {TARGETS} AS t, "
@@ -856,7 +856,7 @@ _QUERIES: dict[str, Sql] = {
                       f"WHERE length(token) >= 8 AND round({entropy('token')}, 10) >= 3.5"),
     "context_window": (f"SELECT doc_id, word, {context('text', 'word', 50)} AS context FROM "
                        f"(SELECT *, regexp_extract(text, '[a-z]{{7,}}', 0) AS word FROM documents) AS d"),
-    "line_context": f"SELECT doc_id, left({snippets('text', q('the'), 1, 5)}, 2000) AS context FROM documents",
+    "line_context": f"SELECT doc_id, {snippets('text', q('the'), 1)} AS context FROM documents",
     "url_resolve": ("SELECT url, CAST(pos AS BIGINT) AS pos, " + _resolve("m") + " AS resolved, "
                     "lower(regexp_extract(target, '//([^/:]+)', 1)) AS host, target || '/' || ltrim(m, '/') AS joined, "
                     "regexp_replace(target, '//', '//dev.') AS sub FROM "

@@ -146,8 +146,7 @@ def context_window(spark, sf):
 
 def line_context(spark, sf):
     return table(spark, sf, "documents").withColumn("lines", F.split("text", "\n")).select(
-        "doc_id", F.left(text.line_context(
-            F.col("lines"), lambda line: F.contains(line, F.lit("the")), 1, 5), F.lit(2000)).alias("context"))
+        "doc_id", text.line_context(F.col("lines"), lambda line: F.contains(line, F.lit("the")), 1).alias("context"))
 
 
 def url_resolve(spark, sf):

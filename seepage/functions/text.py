@@ -20,10 +20,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
 
 
-def has_text(text: Column) -> Column:
-    return F.coalesce(F.length(text) > 0, F.lit(False))
-
-
 def context_window(body: Column, match: Column, width: int) -> Column:
     """First place of ``match`` in ``body`` with ``width`` characters around it."""
 
@@ -35,20 +31,20 @@ def context_window(body: Column, match: Column, width: int) -> Column:
             F.substring(body, first + 1, last - first),
             F.when(last < F.length(body), " ...").otherwise(""),
         )
-        return F.when(at > 0, F.left(snippet, F.lit(1000))).otherwise(F.left(match, F.lit(500)))
+        return F.when(at > 0, snippet).otherwise(match)
 
     return let(F.position(match, body), cut)
 
 
-def line_context(lines: Column, flagged: Callable[[Column], Column], around: int, snippets: int) -> Column:
-    """Flagged lines with their neighbours; '' when no line is flagged."""
+def line_context(lines: Column, flagged: Callable[[Column], Column], around: int, snippets: int | None = None) -> Column:
+    """Flagged lines with their neighbours, the first ``snippets`` of them; '' when no line is flagged."""
     places = F.filter(F.transform(lines, lambda line, i: F.when(flagged(line), i).otherwise(-1)), lambda i: i >= 0)
 
     def snippet(i: Column) -> Column:
         first = F.greatest(i - around, F.lit(0))
         return F.array_join(F.slice(lines, first + 1, F.least(F.size(lines), i + around + 1) - first), "\n")
 
-    return F.array_join(F.transform(F.slice(places, 1, snippets), snippet), "\n...\n")
+    return F.array_join(F.transform(F.slice(places, 1, snippets) if snippets else places, snippet), "\n...\n")
 
 
 def slug(text: Column) -> Column:
@@ -66,9 +62,7 @@ def truncate(text: Column, chars: int) -> Column:
     return F.left(F.coalesce(text, F.lit("")), F.lit(chars))
 
 
-def first_by(values: Column, key: Callable[[Column], Column]) -> Column:
-    """Keep the first element per key, in order (arrays here are capped)."""
-    return let(
-        F.transform(values, key),
-        lambda keys: F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1),
-    )
+def short(text: Column, chars: int) -> Column:
+    """A text for titles: a longer one is cut and marked with its hash, so that different texts stay different."""
+    marked = F.concat(F.left(text, F.lit(chars)), F.lit(" #"), F.left(F.sha2(text.cast("binary"), 256), F.lit(16)))
+    return F.when(F.length(text) > chars, marked).otherwise(text)

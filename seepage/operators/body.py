@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seepage.functions.entropy import classify_string, is_high_entropy, shannon_entropy
 from seepage.functions.net import private_ipv4
-from seepage.functions.text import context_window, first_by, slug, strip
+from seepage.functions.text import context_window, short, slug, strip
 from seepage.operators.matching import TEXT, Detector, find_all, gated, hit, per_rule, rule_matches, run, whole_body
 from seepage.rules import Rule
 from seepage.rules import cloud as cloud_rules
@@ -31,29 +31,32 @@ def source_hits(rules: Sequence[Rule] = source_rules.RULES) -> Detector:
             )
 
         def keep(r: Column) -> Column:
-            texts = F.filter(F.transform(r["found"], strip), lambda m: reported(r, m))
-            return first_by(texts, lambda m: F.left(m, F.lit(100)))
+            return F.array_distinct(F.filter(F.transform(r["found"], strip), lambda m: reported(r, m)))
 
         def make(r: Column, m: Column, i: Column) -> Column:
             return hit(
                 source_rules.MODULE,
-                F.concat(r["label"], F.lit(": "), F.left(m, F.lit(80))),
+                F.concat(r["label"], F.lit(": "), short(m, source_rules.TITLE_CHARS)),
                 context_window(F.col(TEXT), m, source_rules.WINDOW),
                 F.array(F.lit("source-code"), r["id"]),
                 rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
             )
 
-        found = rule_matches(rules, lambda rule: "ms", cap=source_rules.CAP)
+        found = rule_matches(rules, lambda rule: "ms")
         return gated(whole_body(source_rules.STATUSES), per_rule(found, keep, make))
 
     return detect
 
 
+def long_enough(m: Column, least: int, most: int | None) -> Column:
+    return F.length(m) >= least if most is None else F.length(m).between(least, most)
+
+
 def secret_hits(
     rules: Sequence[Rule] = secret_rules.RULES,
     min_entropy: float = secret_rules.MIN_ENTROPY,
     min_length: int = secret_rules.MIN_LENGTH,
-    max_length: int = secret_rules.MAX_LENGTH,
+    max_length: int | None = None,
     use_entropy: bool = True,
     found: Column | None = None,
 ) -> Detector:
@@ -61,7 +64,7 @@ def secret_hits(
 
     def detect() -> Column:
         def keep(r: Column) -> Column:
-            return F.filter(r["found"], lambda m: F.length(m).between(min_length, max_length) & (
+            return F.filter(r["found"], lambda m: long_enough(m, min_length, max_length) & (
                 is_high_entropy(m, min_entropy) if use_entropy else F.lit(True)))
 
         def make(r: Column, m: Column, i: Column) -> Column:
@@ -81,7 +84,7 @@ def secret_hits(
 def token_hits(
     min_entropy: float = secret_rules.MIN_ENTROPY,
     min_length: int = secret_rules.MIN_LENGTH,
-    max_length: int = secret_rules.MAX_LENGTH,
+    max_length: int | None = None,
 ) -> Detector:
     """Quoted or assigned tokens that look random."""
     rule = Rule("entropy_token", "High entropy token", secret_rules.TOKEN, 1)
@@ -89,7 +92,7 @@ def token_hits(
     def detect() -> Column:
         def random_looking(m: Column) -> Column:
             return (
-                F.length(m).between(min_length, max_length)
+                long_enough(m, min_length, max_length)
                 & (F.round(shannon_entropy(m), 10) >= min_entropy)
                 & F.startswith(classify_string(m), F.lit("high_entropy"))
             )
@@ -97,7 +100,7 @@ def token_hits(
         def make(m: Column, i: Column) -> Column:
             return hit(
                 secret_rules.MODULE,
-                F.concat(F.lit("High entropy token discovered: "), F.left(m, F.lit(12))),
+                F.concat(F.lit("High entropy token discovered: "), short(m, secret_rules.TOKEN_TITLE_CHARS)),
                 context_window(F.col(TEXT), m, secret_rules.WINDOW),
                 F.array(F.lit("secret"), F.lit("entropy-token")),
                 section=1, pos=i, rule_id="entropy_token",
@@ -113,7 +116,7 @@ def error_hits(rules: Sequence[Rule] = error_rules.RULES) -> Detector:
 
     def detect() -> Column:
         def keep(r: Column) -> Column:
-            texts = F.transform(r["found"], lambda m: F.left(strip(m), F.lit(error_rules.EVIDENCE)))
+            texts = F.transform(r["found"], strip)
             return F.filter(texts, lambda m: F.length(m) >= error_rules.MIN_CHARS)
 
         def make(r: Column, m: Column, i: Column) -> Column:
@@ -125,8 +128,7 @@ def error_hits(rules: Sequence[Rule] = error_rules.RULES) -> Detector:
                 rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
             )
 
-        found = rule_matches(
-            rules, lambda rule: "m" if rule.rule_id in error_rules.LINE_RULES else "ms", cap=error_rules.CAP)
+        found = rule_matches(rules, lambda rule: "m" if rule.rule_id in error_rules.LINE_RULES else "ms")
         return gated(whole_body(error_rules.STATUSES), per_rule(found, keep, make))
 
     return detect
@@ -152,10 +154,10 @@ def cloud_hits(
     def detect() -> Column:
         parts = []
         if rules:
-            found = rule_matches(rules, lambda rule: "i", cap=cloud_rules.CAP)
+            found = rule_matches(rules, lambda rule: "i")
             parts.append(per_rule(found, lambda r: r["found"], maker(0, "Cloud resource reference: ", ["cloud"])))
         if identifiers:
-            found = rule_matches(identifiers, lambda rule: "i", cap=cloud_rules.IDENTIFIER_CAP)
+            found = rule_matches(identifiers, lambda rule: "i")
             parts.append(per_rule(
                 found, lambda r: r["found"], maker(1, "Sensitive cloud identifier: ", ["cloud", "sensitive"])))
         return gated(whole_body(cloud_rules.STATUSES), F.concat(*parts) if len(parts) > 1 else parts[0])
@@ -171,7 +173,7 @@ def secrets(
     responses: DataFrame,
     min_entropy: float = secret_rules.MIN_ENTROPY,
     min_length: int = secret_rules.MIN_LENGTH,
-    max_length: int = secret_rules.MAX_LENGTH,
+    max_length: int | None = None,
     use_regex: bool = True,
     use_entropy: bool = True,
 ) -> DataFrame:

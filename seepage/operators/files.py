@@ -30,8 +30,8 @@ def sensitive_file_hits() -> Column:
     def evidence() -> Column:
         def snippets(pattern: Column) -> Column:
             lines = let(F.split(_text(), "\n"), lambda all_lines: line_context(
-                all_lines, lambda line: _occurs(line, pattern), files.LINES_AROUND, files.SNIPPETS))
-            return F.when(_occurs(_text(), pattern), F.left(lines, F.lit(files.EVIDENCE))).otherwise(
+                all_lines, lambda line: _occurs(line, pattern), files.LINES_AROUND))
+            return F.when(_occurs(_text(), pattern), lines).otherwise(
                 F.left(_text(), F.lit(files.FALLBACK)))
 
         return let(patterns("i")[path], snippets)
@@ -64,12 +64,8 @@ def git_evidence(body: Column) -> Column:
     def render(lines: Column) -> Column:
         settings = F.filter(
             F.transform(lines, strip), lambda l: F.startswith(l, F.lit("[")) | F.contains(l, F.lit("=")))
-        shown = let(settings, lambda s: F.slice(F.when(F.size(s) > 0, s).otherwise(lines), 1, 20))
-        rest = F.when(
-            F.size(lines) > 20,
-            F.concat(F.lit("\n... ("), (F.size(lines) - 20).cast("string"), F.lit(" more lines)")),
-        ).otherwise("")
-        return F.left(F.concat(F.lit("Git Config Content:\n"), F.array_join(shown, "\n"), rest), F.lit(1000))
+        shown = let(settings, lambda s: F.when(F.size(s) > 0, s).otherwise(lines))
+        return F.concat(F.lit("Git Config Content:\n"), F.array_join(shown, "\n"))
 
     return let(F.split(strip(body), "\n"), render)
 
@@ -93,9 +89,9 @@ def git_hits() -> Column:
         size = F.length(TEXT).cast("string")
         branch = F.replace(stripped, F.lit("ref: refs/heads/"), F.lit(""))
         preview = F.when(path.isin(git.REFERENCE_PATHS), F.concat(
-            F.lit("Git reference exposed\nPath: "), path, F.lit("\nContent:\n"), F.left(stripped, F.lit(500)),
+            F.lit("Git reference exposed\nPath: "), path, F.lit("\nContent:\n"), stripped,
         )).otherwise(F.concat(
-            F.lit("Git file exposed\nPath: "), path, F.lit("\nContent preview: "), F.left(stripped, F.lit(200))))
+            F.lit("Git file exposed\nPath: "), path, F.lit("\nContent preview: "), stripped))
         heading = F.when(path.isin(git.REFERENCE_PATHS), "Git metadata exposed: ").otherwise(
             "Git repository file exposed: ")
         return (
@@ -105,8 +101,7 @@ def git_hits() -> Column:
                 "The .git/config file is publicly accessible, exposing repository metadata")))
             .when(path == ".git/HEAD", F.when(any_of(git.HEAD_MARKERS), one(
                 F.concat(F.lit("Git HEAD reference exposed (branch: "), branch, F.lit(")")),
-                F.concat(F.lit("Git HEAD exposed\nBranch: "), branch, F.lit("\nContent: "),
-                         F.left(stripped, F.lit(200))),
+                F.concat(F.lit("Git HEAD exposed\nBranch: "), branch, F.lit("\nContent: "), stripped),
                 "git-head")))
             .when(path == ".git/index", F.when(F.length(TEXT) > git.MIN_INDEX_CHARS, one(
                 F.lit("Git index file exposed (potential full repo download)"),
@@ -145,8 +140,8 @@ def api_marker_hits() -> Column:
         pattern = literal_map({i: r.java("i") for i, r in enumerate(api.MARKERS)})[rank]
         group = literal_map({i: r.rule_id for i, r in enumerate(api.MARKERS)})[rank]
         snippets = let(pattern, lambda p: let(F.split(TEXT, "\n"), lambda lines: line_context(
-            lines, lambda line: _occurs(line, p), api.LINES_AROUND, api.SNIPPETS)))
-        evidence = let(snippets, lambda s: F.when(s != "", F.left(s, F.lit(api.EVIDENCE))).otherwise(
+            lines, lambda line: _occurs(line, p), api.LINES_AROUND)))
+        evidence = let(snippets, lambda s: F.when(s != "", s).otherwise(
             F.left(TEXT, F.lit(api.FALLBACK))))
         return hit(
             api.MODULE, _api_title(rank, group), evidence, F.array(F.lit("api"), F.lit("api-docs"), group),
@@ -164,7 +159,7 @@ def api_spec_hits() -> Column:
 
     def one(text: Column) -> Column:
         return hit(
-            api.MODULE, F.concat(F.lit("API specification document exposed: "), "url"), F.left(text, F.lit(500)),
+            api.MODULE, F.concat(F.lit("API specification document exposed: "), "url"), text,
             F.array(F.lit("api"), F.lit("api-docs"), F.lit("swagger-json")),
             source_pos=path_position(F.col(PATH), API), section=1, rule_id="specification", tier="High",
         )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seepage.functions.entropy import is_high_entropy
 from seepage.functions.net import resolve
-from seepage.functions.text import context_window, strip
+from seepage.functions.text import context_window, strip, short
 from seepage.operators.joins import salted_join
 from seepage.operators.matching import (
     TEXT, UNIT, Detector, as_raw, body_units, explode_hits, find_all, gated, hit, per_rule, rule_matches, whole_body,
@@ -34,10 +34,13 @@ def is_external() -> Column:
     return whole_body([200]) & F.endswith("url", F.lit(".js"))
 
 
-def script_sources(max_scripts: int = js.MAX_SCRIPTS) -> Column:
+def found_sources(max_scripts: int | None = None) -> Column:
+    return find_all(js.SCRIPT_SRC, "i", cap=max_scripts)
+
+
+def script_sources(max_scripts: int | None = None) -> Column:
     """Absolute URLs of the external scripts of a page, in page order."""
-    sources = find_all(js.SCRIPT_SRC, "i", cap=max_scripts)
-    return F.transform(sources, lambda src: resolve(F.col("target"), src))
+    return F.transform(found_sources(max_scripts), lambda src: resolve(F.col("target"), src))
 
 
 def inline_scripts() -> Column:
@@ -45,18 +48,17 @@ def inline_scripts() -> Column:
     return F.filter(F.transform(find_all(js.INLINE_SCRIPT, "si"), strip), lambda s: F.length(s) > 0)
 
 
-def with_inline_units(units: DataFrame, is_page: Column | None = None, max_scripts: int = js.MAX_SCRIPTS) -> DataFrame:
+def with_inline_units(units: DataFrame, max_scripts: int | None = None) -> DataFrame:
     """Body units, and behind each page one unit per inline script.
 
-    External scripts come first in a page, so inline ones are counted from
-    ``max_scripts``.
+    External scripts come first in a page, so inline ones are counted on from them.
     """
-    gate = whole_body(js.STATUSES) if is_page is None else whole_body(js.STATUSES) & is_page
+    gate = whole_body(js.STATUSES)
 
     def unit(kind: str, source_pos: Column, text: Column) -> Column:
         return F.struct(F.lit(kind), F.col("url"), F.col("status"), source_pos.cast("int"), text).cast(UNIT)
 
-    scripts = F.transform(inline_scripts(), lambda s, i: unit("inline", i + max_scripts, s))
+    scripts = F.transform(inline_scripts(), lambda s, i: unit("inline", i + F.size(found_sources(max_scripts)), s))
     body = F.array(unit("body", F.lit(0), F.col(TEXT)))
     return units.select(
         "target", "origin", "fetched_at",
@@ -104,7 +106,7 @@ def script_hits(
         return per_rule(
             rule_matches(js.ENDPOINTS), lambda r: r["found"],
             lambda r, m, i: made(
-                1, F.concat(r["label"], F.lit(" found in JavaScript: "), F.left(m, F.lit(80))), m,
+                1, F.concat(r["label"], F.lit(" found in JavaScript: "), short(m, js.TITLE_CHARS)), m,
                 [F.lit("endpoint")], i, r["rank"], r["id"]))
 
     def keyed(section: int, rule: Rule, tag: str, key, keep=None) -> Column:
@@ -136,7 +138,7 @@ def script_hits(
     return detect
 
 
-def reference_hits(max_scripts: int = js.MAX_SCRIPTS) -> Detector:
+def reference_hits(max_scripts: int | None = None) -> Detector:
     """One row per external script of a page."""
 
     def detect() -> Column:
@@ -202,7 +204,7 @@ def js_rules(
     return as_raw(hits.filter("hit.kind = 'finding'").unionByName(credit_scripts(hits)))
 
 
-def js_inputs(responses: DataFrame, max_scripts: int = js.MAX_SCRIPTS) -> DataFrame:
+def js_inputs(responses: DataFrame, max_scripts: int | None = None) -> DataFrame:
     """Scripts of every page: (target, page, source_pos, script_url, chars, external).
 
     External scripts without a capture are not listed.  The texts stay in the
@@ -215,9 +217,9 @@ def js_inputs(responses: DataFrame, max_scripts: int = js.MAX_SCRIPTS) -> DataFr
         F.col("url").alias("script_url"), F.length(TEXT).alias("chars"))
     external = salted_join(references, captures, "script_url").withColumn("external", F.lit(True))
     inline = pages.select(
-        "target", F.col("url").alias("page"),
+        "target", F.col("url").alias("page"), F.size(found_sources(max_scripts)).alias("external"),
         F.posexplode(F.transform(inline_scripts(), F.length)).alias("i", "chars"),
     ).select(
-        "target", "page", (F.col("i") + max_scripts).alias("source_pos"), F.col("page").alias("script_url"), "chars",
+        "target", "page", (F.col("i") + F.col("external")).alias("source_pos"), F.col("page").alias("script_url"), "chars",
         F.lit(False).alias("external"))
     return external.unionByName(inline)

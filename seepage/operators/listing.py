@@ -9,7 +9,7 @@ from seepage.functions.text import let
 from seepage.operators.matching import TEXT, find_all, gated, hit, literal, run, whole_body
 from seepage.rules import Rule, listing
 
-_HREF = Rule("href", "link", listing.HREF, 1, ("<a",))
+_HREF = Rule("href", "link", listing.HREF, 1, ("<a",), opener=r"<a\s", skip="[^>]*+")
 
 
 def _starts(link: Column, *prefixes: str) -> Column:
@@ -26,19 +26,15 @@ def marker_description() -> Column:
 
 
 def listing_evidence(links: Column, url: Column) -> Column:
-    """URL and the visible entries, at most 30 of them by name."""
+    """URL and the visible entries."""
 
     def render(entries: Column) -> Column:
         total = F.size(entries)
-        shown = F.array_join(F.transform(F.slice(entries, 1, listing.SHOWN), lambda l: F.concat(F.lit("  - "), l)), "\n")
-        more = F.when(
-            total > listing.SHOWN,
-            F.concat(F.lit("\n  ... and "), (total - listing.SHOWN).cast("string"), F.lit(" more")),
-        ).otherwise("")
+        shown = F.array_join(F.transform(entries, lambda l: F.concat(F.lit("  - "), l)), "\n")
         text = F.when(
-            total > 0, F.concat(F.lit("Entries ("), total.cast("string"), F.lit("):\n"), shown, more)
+            total > 0, F.concat(F.lit("Entries ("), total.cast("string"), F.lit("):\n"), shown)
         ).otherwise("Directory listing content shown (links not extractable)")
-        return F.left(F.concat(F.lit("URL: "), url, F.lit("\n"), text), F.lit(listing.EVIDENCE))
+        return F.concat(F.lit("URL: "), url, F.lit("\n"), text)
 
     return let(F.filter(links, lambda l: ~_starts(l, "?", "#", "javascript")), render)
 

@@ -56,7 +56,7 @@ def find_all_sql(rule: Rule, flags: str = "", cap: int | None = None) -> str:
     if rule.stop:
         case = "i" if ignores_case(rule, flags) else ""
         source = f"regexp_extract({TEXT}, {literal(java_pattern(f'^.*(?:{rule.stop})', 's' + case))}, 0)"
-    found = f"regexp_extract_all({source}, {literal(rule.java(flags))}, {1 if rule.opener else rule.group})"
+    found = f"regexp_extract_all({source}, {literal(rule.java(flags))}, {rule.group + 1 if rule.opener else rule.group})"
     if rule.opener:
         found = f"filter({found}, m -> m <> '')"
     tests = [f"_{rule.gate}"] if rule.gate else []

@@ -90,10 +90,10 @@ def pdf_hits(text: Column) -> Column:
     emails = F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(
         text, F.lit(java_pattern(rules.EMAIL_FAST)), F.lit(0))).otherwise(F.array().cast("array<string>"))
     emails = F.filter(
-        F.array_distinct(F.slice(emails, 1, rules.EMAIL_CAP)), lambda e: ~F.contains(e, F.lit("example")))
+        F.array_distinct(emails), lambda e: ~F.contains(e, F.lit("example")))
     paths = F.regexp_extract_all(text, F.lit(java_pattern(rules.INTERNAL_PATH)), F.lit(0))
     source = "|".join(e.replace(".", r"\.") for e in rules.SOURCE_EXTENSIONS)
-    paths = F.filter(F.array_distinct(F.slice(paths, 1, rules.PATH_CAP)), lambda p: ~p.rlike(source))
+    paths = F.filter(F.array_distinct(paths), lambda p: ~p.rlike(source))
     return F.concat(
         let(fields, info),
         F.transform(emails, lambda e, i: _one(
@@ -113,7 +113,7 @@ def pdf_metadata(docs: DataFrame) -> DataFrame:
 
 def binary_metadata(docs: DataFrame) -> DataFrame:
     """Author labels in files that are neither PDF nor Office."""
-    labels = F.slice(F.regexp_extract_all("text", F.lit(java_pattern(rules.LABEL, "i")), F.lit(1)), 1, rules.LABEL_CAP)
+    labels = F.regexp_extract_all("text", F.lit(java_pattern(rules.LABEL, "i")), F.lit(1))
     names = F.transform(
         F.array_distinct(labels),
         lambda a: F.regexp_replace(F.regexp_replace(strip(a), r'^"+|"+\z', ""), r"^'+|'+\z", ""))

@@ -20,7 +20,7 @@ from seepage.rules import api, files, git, listing, metadata
 SENSITIVE = files.PATHS
 GIT = [*git.PATHS, git.DIRECTORY]
 API = api.PATHS
-DIRECTORIES = [f"{name}/" for name in listing.DIRECTORIES[: listing.PROBED]]
+DIRECTORIES = [f"{name}/" for name in listing.DIRECTORIES]
 DOCUMENTS = metadata.PATHS
 
 PROBES = {"sensitive": SENSITIVE, "git": GIT, "api": API, "directory": DIRECTORIES, "document": DOCUMENTS}

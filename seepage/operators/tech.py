@@ -30,7 +30,7 @@ def _named(category: str, value: Column, table: list[tuple[str, str]], searched=
 
 
 def _found(responses: DataFrame) -> tuple[DataFrame, Column]:
-    """Captures with headers, and the array of their technologies."""
+    """Fetched captures and the array of their technologies; headers may be missing."""
     body = F.coalesce("body", F.lit(""))
     text = F.col("text")
 
@@ -56,7 +56,7 @@ def _found(responses: DataFrame) -> tuple[DataFrame, Column]:
         cookies,
         infrastructure,
     )
-    rows = with_views(responses.filter(F.size("headers") > 0).withColumn("text", body))
+    rows = with_views(responses.filter("status > 0").withColumn("text", body))
     return rows, found
 
 

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seepage.functions.net import path_of
 from seepage.operators.body import cloud_hits, error_hits, secret_hits, source_hits, token_hits
 from seepage.operators.dedup import dedup
 from seepage.operators.dns import dns as dns_findings
@@ -18,40 +17,29 @@ from seepage.operators.javascript import credit_scripts, reference_hits, script_
 from seepage.operators.joins import salted_join
 from seepage.operators.listing import listing_hits, suspected_listing_hits
 from seepage.operators.matching import (
-    PATH, Detector, as_raw, body_units, explode_hits, gated, one_of, rule_matches,
+    Detector, as_raw, body_units, explode_hits, rule_matches,
 )
 from seepage.operators.metadata import documents_metadata
-from seepage.operators.paths import API, DOCUMENTS, GIT, SENSITIVE
 from seepage.operators.scoring import score
 from seepage.rules import secrets as secret_rules
 from seepage.rules.scoring import MODULES
 from seepage.sources.checkpoint import reliable
 
-_PROBED = sorted({p.lstrip("/") for p in [*SENSITIVE, *GIT, *API, *DOCUMENTS]})
-_SECRETS, _PAGE = "_secrets", "_page"
-
-
-def is_page() -> Column:
-    """The capture is a page, not a probed file and not a script."""
-    return ~one_of(PATH, _PROBED) & ~F.endswith("url", F.lit(".js"))
-
-
-def on_pages(detector: Detector) -> Detector:
-    return lambda: gated(F.col(_PAGE), detector())
+_SECRETS = "_secrets"
 
 
 def body_detectors(modules: Collection[str], found_secrets: Column | None = None) -> list[Detector]:
     """Detectors of the one pass over all captures, by module."""
     by_module: dict[str, list[Detector]] = {
         "sensitive_file": [sensitive_file_hits],
-        "source_code": [on_pages(source_hits())],
-        "javascript": [script_hits(found_secrets=found_secrets), on_pages(reference_hits())],
+        "source_code": [source_hits()],
+        "javascript": [script_hits(found_secrets=found_secrets), reference_hits()],
         "secrets": [secret_hits(found=found_secrets), token_hits()],
-        "errors": [on_pages(error_hits())],
-        "directory_listing": [on_pages(listing_hits), on_pages(suspected_listing_hits)],
+        "errors": [error_hits()],
+        "directory_listing": [listing_hits, suspected_listing_hits],
         "api_docs": [api_marker_hits, api_spec_hits],
         "git_exposure": [git_hits],
-        "cloud_exposure": [on_pages(cloud_hits())],
+        "cloud_exposure": [cloud_hits()],
     }
     return [d for module, detectors in by_module.items() if module in modules for d in detectors]
 
@@ -61,14 +49,12 @@ def body_pass(responses: DataFrame, modules: Collection[str]) -> DataFrame | Non
     units = body_units(responses)
     if "javascript" not in modules:
         detectors = body_detectors(modules)
-        return explode_hits(units, detectors, {_PAGE: is_page()}) if detectors else None
-    page = {_PAGE: is_page()}
-    units = with_inline_units(units.withColumn(PATH, path_of(F.col("url"), F.col("target"))), is_page())
+        return explode_hits(units, detectors) if detectors else None
+    units = with_inline_units(units)
     if "secrets" not in modules:
-        return explode_hits(units, body_detectors(modules), page)
+        return explode_hits(units, body_detectors(modules))
     # scripts and bodies are searched for the same token formats: match once
-    return explode_hits(
-        units, body_detectors(modules, F.col(_SECRETS)), {**page, _SECRETS: rule_matches(secret_rules.RULES)})
+    return explode_hits(units, body_detectors(modules, F.col(_SECRETS)), {_SECRETS: rule_matches(secret_rules.RULES)})
 
 
 def raw_findings(

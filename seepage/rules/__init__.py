@@ -36,7 +36,9 @@ class Rule:
              occurrence cannot take part in a match
     fast     pattern with the same matches that backtracks less in Java
     opener   start of a rule whose failure at one place means failure at every
-             later one: the rest of the text is then skipped at once
+             later one up to the end of ``skip``, which is then skipped at once
+             (a rule with one does not report empty texts)
+    skip     what follows an opener that failed: by default the rest of the text
     tier     informational severity of the rule itself
     """
 
@@ -49,6 +51,7 @@ class Rule:
     stop: str = ""
     fast: str = ""
     opener: str = ""
+    skip: str = "(?s:.*+)"
     tier: str = ""
 
     def __post_init__(self) -> None:
@@ -58,8 +61,8 @@ class Rule:
     def java(self, flags: str = "") -> str:
         pattern = self.fast or self.pattern
         if self.opener:
-            # group 1 is empty where the second branch has skipped the rest
-            pattern = f"({pattern})|{self.opener}(?s:.*+)"
+            # group 1, and with it every group of the rule, is empty where the second branch has skipped something
+            pattern = f"({pattern})|{self.opener}{self.skip}"
         return java_pattern(pattern, flags)
 
 

@@ -45,6 +45,4 @@ SPECIFICATION_FAST = r"""^[^{]*+(\{.*"(?:swagger|openapi)"\s*:\s*"[^"]+".*\})"""
 
 # Evidence shape.
 LINES_AROUND = 2
-SNIPPETS = 3
-EVIDENCE = 1000
 FALLBACK = 500

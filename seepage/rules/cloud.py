@@ -78,6 +78,4 @@ IDENTIFIERS = [
 
 # Gates and widths.
 STATUSES = (200, 201, 202)
-CAP = 5
-IDENTIFIER_CAP = 3
 WINDOW = 80

@@ -15,7 +15,9 @@ RULES = [
          opener=r"(?:Fatal error|Parse error|Warning|Notice|Deprecated):\s",
          fast=r"(?:Fatal error|Parse error|Warning|Notice|Deprecated):\s++(?>.*?in\s++)(?>.*?\.php\s+on\s+line\s+\d++)",
          tier="Medium"),
-    Rule("php_stack_trace", "PHP Stack Trace", r"#\d+\s+.*?\.php\(.*?\):\s+.*?\n", 0, (".php(",), tier="Medium"),
+    Rule("php_stack_trace", "PHP Stack Trace", r"#\d+\s+.*?\.php\(.*?\):\s+.*?\n", 0, (".php(",),
+         opener=r"#\d+\s+", skip=r"[^\n]*+",
+         fast=r"#\d+\s+(?>.*?\.php\()(?>.*?\):(?=\s))\s+.*?\n", tier="Medium"),
     Rule("python_traceback", "Python Traceback",
          r"Traceback\s*\(most recent call last\):.*?\n(?:.*\n)*?(?:\w+Error|\w+Exception)", 0, ("traceback",),
          stop=r"(?:\w+Error|\w+Exception)",
@@ -48,7 +50,9 @@ RULES = [
          fast=r"(?:Error|TypeError|ReferenceError|SyntaxError):\s+(?>.*?\n\s+at\s+\w+\s+\()(?>.*?\.(?:js|ts|jsx|tsx):\d+:\d+\))",
          tier="Medium"),
     Rule("nodejs_stack", "Node.js Stack Trace", r"\s+at\s+\w+\s+\(.*?node_modules.*?:\d+:\d+\)", 0,
-         ("node_modules",), tier="Medium"),
+         ("node_modules",),
+         opener=r"(?:\G|(?<!\s))\s++at\s++\w++\s++\(", skip=r"[^\n]*+",
+         fast=r"(?:\G|(?<!\s))\s++at\s++\w++\s++\((?>.*?node_modules)(?>.*?:\d++:\d++\))", tier="Medium"),
     Rule("laravel_error", "Laravel Error",
          r"Laravel\s+[\d.]+\s+\(PHP\s+[\d.]+\)|Whoops\s*!\s*There\s+was\s+an\s+error", 0, ("laravel", "whoops"),
          tier="Medium"),
@@ -76,6 +80,4 @@ LINE_RULES = ("php_stack_trace", "python_traceback", "nodejs_stack", "java_stack
 
 # Gates and widths.
 STATUSES = (200, 201, 202, 403, 404, 500)
-CAP = 3
-EVIDENCE = 500
 MIN_CHARS = 10

@@ -5,9 +5,10 @@ from seepage.rules import Rule
 MODULE = "javascript"
 
 # Script references and inline scripts in HTML.
-SCRIPT_SRC = Rule("script_src", "script", r"""<script[^>]+src=["\']([^"\']+\.(?:js|min\.js|bundle\.js))["\']""", 1)
+SCRIPT_SRC = Rule("script_src", "script", r"""<script[^>]+src=["\']([^"\']+\.(?:js|min\.js|bundle\.js))["\']""", 1,
+                  opener="<script[^>]", skip="[^>]*+")
 INLINE_SCRIPT = Rule("inline_script", "inline script", r"<script[^>]*>(.*?)</script>", 1,
-                     stop=r"</script>")
+                     stop=r"</script>", opener="<script", skip="[^>]*+")
 
 # Endpoint patterns.
 ENDPOINTS = [
@@ -57,5 +58,5 @@ CLOUD_CONFIG_KEY = r"^['\"]([^'\"]+)['\"]"
 
 # Gates and widths.
 STATUSES = (200, 201, 202)
-MAX_SCRIPTS = 50
 WINDOW = 60
+TITLE_CHARS = 80

@@ -31,11 +31,8 @@ DIRECTORIES = [
     "phpmyadmin", "phpPgAdmin", "adminer",
     "server-status", "server-info",
 ]
-PROBED = 20
 
 HREF = r"""<a\s+[^>]*href\s*=\s*["\']([^"\']+)["\']"""
 
 # Thresholds and evidence shape.
 MIN_DIRECTORIES = 5
-SHOWN = 30
-EVIDENCE = 1500

@@ -40,6 +40,3 @@ OFFICE_EXTENSIONS = [".docx", ".xlsx", ".pptx"]
 LABEL = r"(?:Author|Creator)\s*[:\-]\s*([^\r\n]{1,100})"
 
 # Caps.
-EMAIL_CAP = 5
-PATH_CAP = 5
-LABEL_CAP = 3

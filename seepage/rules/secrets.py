@@ -36,7 +36,7 @@ RULES = [
 # Default gates.
 MIN_ENTROPY = 3.5
 MIN_LENGTH = 8
-MAX_LENGTH = 2048
+TOKEN_TITLE_CHARS = 12
 WINDOW = 60
 
 # String shapes used when a token is classified.

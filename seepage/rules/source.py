@@ -32,7 +32,7 @@ RULES = [
          r"\b(?:dev-|stage-|qa-|test-|uat-)[a-zA-Z0-9-]+\.(?:local|internal|corp|lan)\b", 0,
          ("dev-", "stage-", "qa-", "test-", "uat-"), tier="Low"),
     Rule("s3_bucket", "S3 bucket URL exposed", r"\b[a-zA-Z0-9.-]+\.s3\.amazonaws\.com\b", 0,
-         (".s3.amazonaws.com",), "host", tier="High"),
+         (".s3.amazonaws.com",), "host", opener=r"\b", skip=r"[a-zA-Z0-9.-]++", tier="High"),
     Rule("s3_bucket_name", "S3 bucket reference exposed", r"\b(?:s3://|amazonaws\.com/)[a-zA-Z0-9._-]+", 0,
          ("s3://", "amazonaws.com/"), tier="Low"),
     Rule("connection_string", "Database connection string exposed",
@@ -48,6 +48,6 @@ PLACEHOLDER_DOMAINS = [
 
 # Gates and widths.
 STATUSES = (200, 201, 202)
-CAP = 20
 WINDOW = 50
 MIN_CHARS = 3
+TITLE_CHARS = 80

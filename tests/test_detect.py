@@ -33,14 +33,36 @@ def test_secret_gates(responses):
     assert titles(body.secrets(page, use_entropy=False, max_length=10)) == []
 
 
-def test_source_caps_filters_and_duplicates(responses):
+def test_source_takes_every_match_once(responses):
     many = " ".join(f"user{i}@mail.io" for i in range(30))
     same = "x " + " ".join(["a@b.io"] * 30) + " late@b.io"
     got = body.source_text(responses((SITE, f"{SITE}/1", 200, many), (SITE, f"{SITE}/2", 201, same),
                                      (SITE, f"{SITE}/3", 404, many), (SITE, f"{SITE}/4", 200, None), (SITE, f"{SITE}/5", 200, "")))
     by_url = {u: n for u, n in got.filter("rule_id = 'email'").groupBy("url").count().collect()}
-    # twenty matches are taken before anything is dropped
-    assert by_url == {f"{SITE}/1": 20, f"{SITE}/2": 1}
+    assert by_url == {f"{SITE}/1": 30, f"{SITE}/2": 2}
+    hidden = body.source_text(responses((SITE, SITE, 200, " ".join(f"u{i}@example.com" for i in range(20)) + " ops@corp.io")))
+    assert [r.title for r in hidden.filter("rule_id = 'email'").collect()] == ["Email address exposed in source: ops@corp.io"]
+
+
+def test_long_matches_with_equal_starts_stay_apart(responses):
+    tokens = ["Zx9kQ2mB7vTa" + tail for tail in ("Lp4sWn8dRf6gHj3cYu1e", "Uy5tEw0qIo9pAs8dGh2k")]
+    got = body.secrets(responses((SITE, SITE, 200, " ".join(f'token = "{t}"' for t in tokens))))
+    assert len([t for t in titles(dedup.dedup(scoring.score(got))) if t.startswith("High entropy token discovered: Zx9kQ2mB7vTa #")]) == 2
+    urls = [f"http://10.0.0.1/{'long/' * 30}{i}" for i in (1, 2)]
+    page = responses((SITE, SITE, 200, "<script>" + " ".join(f'a="{u}";' for u in urls) + "</script>"))
+    found = [r.title for r in javascript.js_rules(page).filter("rule_id <> ''").collect()]
+    assert len(set(found)) >= 2
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "eyJ" + "aZ9kQ2mB7vTxLp4s" * 150 + "." + "Wn8dRf6gHj3cYu1eUy5tEw0q" * 3
+    assert "JWT" in " ".join(titles(body.secrets(responses((SITE, SITE, 200, f"x {jwt} y")))))
+
+
+def test_every_script_of_a_page_is_credited(responses):
+    page = "".join(f'<script src="/s{i}.js"></script>' for i in range(60)) + "<script>process.env.LAST</script>"
+    captures = responses((SITE, f"{SITE}/p", 200, page), *[(SITE, f"{SITE}/s{i}.js", 200, f"process.env.NAME_{i}") for i in range(60)])
+    found = titles(javascript.js_rules(captures))
+    assert len([t for t in found if "NAME_" in t]) == 60 and "Environment variable reference: LAST" in found
+    inputs = {r.script_url: r.source_pos for r in javascript.js_inputs(captures).collect()}
+    assert inputs[f"{SITE}/s59.js"] == 59 and inputs[f"{SITE}/p"] == 60
 
 
 def test_source_placeholder_mail_and_public_addresses(responses):
@@ -52,13 +74,13 @@ def test_source_placeholder_mail_and_public_addresses(responses):
     assert rows["html_comment"] == "HTML comment contains: TODO: remove"
 
 
-def test_errors_are_capped_and_cut(responses):
+def test_errors_are_whole(responses):
     text = " ".join(f"Notice: a in b.php on line {i}" for i in range(9)) + " Full Trace " + "x" * 700
     long = "Fatal error: " + "y" * 900 + " in z.php on line 1"
     got = body.error_pages(responses((SITE, f"{SITE}/1", 500, text), (SITE, f"{SITE}/2", 200, long), (SITE, f"{SITE}/3", 301, text)))
     rows = got.collect()
-    assert len([r for r in rows if r.rule_id == "php_error" and r.url.endswith("/1")]) == 3
-    assert max(len(r.evidence) for r in rows) == 500
+    assert len([r for r in rows if r.rule_id == "php_error" and r.url.endswith("/1")]) == 9
+    assert max(len(r.evidence) for r in rows) == len(long)
     assert not [r for r in rows if r.url.endswith("/3")]
 
 
@@ -104,10 +126,10 @@ def test_headers_ignore_case_and_blank_values(responses):
 
 
 def test_tech(responses):
-    page = responses((SITE, SITE, 200, "wp-content Wıx", {"server": "nginx/1.2 Apache", "X-Cache": "HIT"}), (SITE, SITE, 200, "joomla"))
-    assert [r.tech for r in tech.tech(page).orderBy("seq").collect()] == ["Nginx", "Apache", "WordPress", "Wix", "X-Cache: HIT"]
-    assert [r.summary for r in tech.tech_summary(page).collect()] == [
-        "Servers: Apache, Nginx; Cms: Wix, WordPress; Infrastructure: X-Cache: HIT"]
+    page = responses((SITE, SITE, 200, "wp-content Wıx", {"server": "nginx/1.2 Apache", "X-Cache": "HIT"}), (SITE, f"{SITE}/2", 200, "joomla"), (SITE, f"{SITE}/3", 0, "joomla"))
+    assert [r.tech for r in tech.tech(page).orderBy("url", "seq").collect()][:5] == ["Nginx", "Apache", "WordPress", "Wix", "X-Cache: HIT"]
+    assert [r.summary for r in tech.tech_summary(page).orderBy("url").collect()] == [
+        "Servers: Apache, Nginx; Cms: Wix, WordPress; Infrastructure: X-Cache: HIT", "Cms: Joomla"]
 
 
 def test_scripts_are_credited_to_pages(responses):
@@ -182,18 +204,24 @@ def test_own_rules(responses):
 
 def test_one_pass_equals_single_detectors(spark):
     captures = seeds.captures(spark, SF)
-    together = detect(captures, modules=["sensitive_file", "secrets", "api_docs", "git_exposure", "http_header", "javascript"])
+    together = detect(captures)
     parts = [files.sensitive_files(captures), body.secrets(captures), files.api_docs(captures), files.git_exposure(captures),
-             headers.headers(captures)]
+             headers.headers(captures), body.source_text(captures), body.error_pages(captures), body.cloud(captures),
+             listing.directory_listing(captures), javascript.js_rules(captures)]
     raw = parts[0]
     for part in parts[1:]:
         raw = raw.unionByName(part)
     alone = dedup.dedup(scoring.score(raw))
     columns = ["target", "module", "title", "severity", "evidence", "url"]
-    left = together.filter("module != 'javascript'").select(*columns)
+    left = together.select(*columns)
     assert left.exceptAll(alone.select(*columns)).count() == 0 and alone.select(*columns).exceptAll(left).count() == 0
-    pages = captures.filter(~F.endswith("url", F.lit(".js")))
-    assert together.filter("module = 'javascript'").count() > 0 and pages.count() > 0
+    assert left.select("module").distinct().count() == len(parts)
+
+
+def test_probed_paths_are_pages_too(responses):
+    trace = "Traceback (most recent call last):\n  File x\nValueError"
+    found = detect(responses((SITE, f"{SITE}/graphql", 500, trace)))
+    assert [r.title for r in found.filter("module = 'errors'").collect()] == ["Error disclosure: Python Traceback"]
 
 
 def test_bodies_are_read_once_and_never_shuffled(spark, tmp_path):

@@ -86,9 +86,9 @@ def test_urls(spark):
 def python_context(body, match, width):
     at = body.find(match)
     if at == -1:
-        return match[:500]
+        return match
     first, last = max(0, at - width), min(len(body), at + len(match) + width)
-    return (("... " if first > 0 else "") + body[first:last] + (" ..." if last < len(body) else ""))[:1000]
+    return ("... " if first > 0 else "") + body[first:last] + (" ..." if last < len(body) else "")
 
 
 def test_context_window(spark):
