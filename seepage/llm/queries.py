@@ -72,4 +72,81 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_token_lengths, op3_url_filter, op4_pack, op5_toxicity, op6_top_k, op7_ngram_join, op8_outliers, op9_language, op10_token_files)}
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_MIX = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {WORDS})), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS weight FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) AS budget,
+  CAST(coalesce(sum(2 * source_size) OVER before, 0) AS BIGINT) AS given,
+  CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS BIGINT) AS open
+  FROM w WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (budget - given) * weight >= 2 * source_size * open AS is_full FROM l),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(2 * source_size AS DOUBLE) ELSE
+  (budget - CAST(coalesce(sum(CASE WHEN is_full THEN 2 * source_size END) OVER (), 0) AS BIGINT)) * weight
+  / CAST(sum(CASE WHEN NOT is_full THEN weight END) OVER () AS BIGINT) END AS target FROM f),
+u AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(round(target / source_size * 16777216) AS BIGINT) ELSE 0 END AS units,
+  CAST('0x' || left(md5('mix' || coalesce('=' || d.source, 'null')), 6) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CAST(start + sum(units) OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM u)
+SELECT doc_id, size, source_size, target, (stop // 16777216 - (stop - units) // 16777216) * size AS taken FROM e"""
+
+
+def _shrunk(children: str, parents: str, key: str) -> str:
+    """Posterior counts of ``children`` from the mean and the fitted strength of ``parents``."""
+    noise = "mean * (1 - mean)"
+    spread = f"""SELECT {key}, mean, sum(total * pow(bad / total - mean, 2)) AS scatter, count(*) AS k, sum(total) AS n, sum(total * total) AS squares
+      FROM (SELECT c.*, p.mean FROM {children} AS c JOIN {parents} AS p USING ({key}) WHERE c.total > 0) AS r GROUP BY {key}, mean"""
+    rho = f"SELECT {key}, CASE WHEN room > 0 THEN greatest((scatter - {noise} * (k - 1)) / room, 0) ELSE 0 END AS rho FROM (SELECT *, {noise} * (n - squares / n - (k - 1)) AS room FROM ({spread}) AS x) AS y"
+    prior = f"SELECT p.{key}, p.mean AS m, greatest(1, least(1000, coalesce(CASE WHEN rho > 0 THEN (1 - rho) / rho END, 1000))) AS s FROM {parents} AS p LEFT JOIN ({rho}) AS q USING ({key})"
+    return f"""SELECT *, a / (a + b) AS mean FROM (SELECT c.*, m * s + c.bad AS a, (1 - m) * s + c.total - c.bad AS b FROM {children} AS c JOIN ({prior}) AS p USING ({key})) AS z"""
+
+
+def _rules() -> tuple[str, str]:
+    name, verdict = "NULL", "NULL"
+    for kind, rule in sorted(RULES, key=lambda r: len(r[1])):
+        own, start = rule.split("/", 1)
+        fits = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{start}')"
+        name, verdict = f"CASE WHEN {fits} THEN '{rule}' ELSE {name} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
+    return name, verdict
+
+
+_URLS = rf"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+k AS (SELECT doc_id, max(greatest(CAST(quality = 0 AS INT), CAST(toxic = 1 AS INT))) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, split_part(host, '.', -1) AS suffix,
+  CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain, bad, total FROM (
+  SELECT host, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, CAST(count(bad) AS DOUBLE) AS total FROM p
+  LEFT JOIN k ON k.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.\w+)?/?$', 1), '') AS BIGINT) GROUP BY host) AS c),
+d AS (SELECT domain, suffix, sum(bad) AS bad, sum(total) AS total FROM h GROUP BY ALL),
+s AS (SELECT suffix, '' AS root, sum(bad) AS bad, sum(total) AS total FROM d GROUP BY ALL),
+r AS (SELECT root, CAST(sum(bad) + 0.5 AS DOUBLE) / CAST(sum(total) + 1.0 AS DOUBLE) AS mean FROM s GROUP BY root),
+s2 AS ({_shrunk('s', 'r', 'root')}),
+d2 AS ({_shrunk('d', 's2', 'suffix')}),
+h2 AS ({_shrunk('h', 'd2', 'domain')}),
+j AS (SELECT host, mean, greatest(0, mean - CAST(1.645 AS DOUBLE) * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bound FROM h2)
+SELECT page_id, host, path, {_rules()[0]} AS rule, coalesce({_rules()[1]}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(mean, 6) AS bad_share, round(bound, 6) AS bound FROM p JOIN j USING (host)"""
+
+_TOP = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) AS r WHERE rank <= 20"""
+
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {WORDS}) AS w FROM documents),
+x AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS x FROM w),
+s AS (SELECT doc_id, unnest(x) AS s FROM x),
+o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM o JOIN x AS a ON a.doc_id = u JOIN x AS b ON b.doc_id = v WHERE 100 * n >= 80 * (len(a.x) + len(b.x) - n)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM x UNION SELECT reach.u, l.v FROM reach JOIN l ON l.u = reach.v)
+SELECT doc_id, len(x) AS n_shingles, component_id FROM x JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) AS c ON c.u = doc_id"""
+
+#: Encoding, regression, search trees, profiles and robust estimates are not SQL; tests hold those against brute force.
+ORACLES = {"op1_mix_sources": _MIX, "op3_url_filter": _URLS, "op6_top_k": _TOP, "op7_ngram_join": _NEAR}
