@@ -913,7 +913,10 @@ _QUERIES: dict[str, Sql] = {
     "findings_roundtrip": f"SELECT {_JSON_COLUMNS}, array_to_string(tags, '; ') AS tags FROM {SAMPLE} AS s",
     "stream_findings": findings(source_raw(PAGES)),
     "stream_distinct": f"SELECT DISTINCT target, module, title, severity, fingerprint FROM {scored(source_raw(PAGES))} AS s",
-    "stream_counts": f"SELECT severity, count(*) AS n FROM {scored(source_raw(PAGES))} AS s GROUP BY severity",
+    "stream_counts": (
+        "SELECT severity, count(DISTINCT fingerprint) AS n "
+        f"FROM {scored(union(source_raw(), secrets_raw(), errors_raw()))} AS s GROUP BY severity"),
+    "stream_scripts": f"SELECT DISTINCT target, module, title, severity, fingerprint FROM {scored(js_raw())} AS s",
     "stream_windowed_counts": (
         "SELECT (1704067200 + CAST(origin AS BIGINT) * 60) // 600 * 600 AS window_start, severity, count(*) AS n "
         f"FROM {scored(source_raw(PAGE_IDS))} AS s GROUP BY ALL"),

@@ -393,12 +393,29 @@ def stream_distinct(spark, sf):
     return spark.read.parquet(f"{folder}/table")
 
 
+def capture_stream(spark, sf, folder: str) -> DataFrame:
+    """The seeded captures as several files, one per micro-batch."""
+    rows = seeds.captures(spark, sf)
+    rows.repartition(4, "url").write.parquet(folder)
+    return stream.stream_responses(spark, folder, schema=rows.schema, files_per_batch=1)
+
+
 def stream_counts(spark, sf):
     folder = fresh_folder(spark, "stream-counts")
-    _finished(stream.write_latest(stream.live_counts(_stream_source(spark, sf)), f"{folder}/table", f"{folder}/state"))
+    found = stream.stream_findings(
+        capture_stream(spark, sf, f"{folder}/in"), [body.source_hits(), body.secret_hits(), body.error_hits()])
+    _finished(stream.write_latest(stream.live_counts(found), f"{folder}/table", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/table")
 
 
+def stream_scripts(spark, sf):
+    """Findings in scripts that arrive before or after the pages that load them."""
+    folder = fresh_folder(spark, "stream-scripts")
+    _finished(stream.write_findings(
+        capture_stream(spark, sf, f"{folder}/in"), f"{folder}/table", f"{folder}/state", modules=["javascript"]))
+    return spark.read.parquet(f"{folder}/table").select("target", "module", "title", "severity", "fingerprint")
+
+
 def _latest_windows(df: DataFrame, *keys: str) -> DataFrame:
     # updates only ever raise a count
     return df.groupBy(F.unix_timestamp("window_start").alias("window_start"), *keys).agg(F.max("n").alias("n"))
@@ -539,6 +556,7 @@ QUERIES = {
     "stream_findings": stream_findings,
     "stream_distinct": stream_distinct,
     "stream_counts": stream_counts,
+    "stream_scripts": stream_scripts,
     "stream_windowed_counts": stream_windowed_counts,
     "stream_event_counts": stream_event_counts,
     "detect_natural": detect_natural,

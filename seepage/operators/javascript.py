@@ -151,20 +151,23 @@ def reference_hits(max_scripts: int | None = None) -> Detector:
     return detect
 
 
-def credit_scripts(hits: DataFrame) -> DataFrame:
-    """Turn script hits and page references into hits of the pages.
+def page_references(hits: DataFrame) -> DataFrame:
+    """(target, script_url, first): the first page position per target and script.
 
-    A target keeps the first page position per script: a later one cannot come
-    first in any ordering of findings, and a script that a third of all pages
-    load meets the join once per target instead of once per page.
+    A later one cannot come first in any ordering of findings, and a script
+    that a third of all pages load meets the join once per target instead of
+    once per page.
     """
-    first = (
+    return (
         hits.filter("hit.kind = 'reference'")
         .groupBy("target", F.col("hit.url").alias("script_url"))
         .agg(F.min(F.struct("origin", F.col("hit.source_pos").alias("source_pos"), "fetched_at")).alias("first"))
     )
-    # the same for scripts captured many times: one hit per title and confidence
-    found = (
+
+
+def script_findings(hits: DataFrame) -> DataFrame:
+    """(script_url, title, confidence, found): one hit each, however often the script was captured."""
+    return (
         hits.filter("hit.kind = 'script'")
         .groupBy(
             F.col("hit.url").alias("script_url"),
@@ -172,9 +175,17 @@ def credit_scripts(hits: DataFrame) -> DataFrame:
             confidence(F.col("hit.module"), F.col("hit.evidence"), F.col("hit.status")).alias("confidence"),
         )
         .agg(F.min("hit").alias("found"))
-        .select("script_url", "found")
     )
-    return salted_join(first, found, "script_url").select(
+
+
+def credit_scripts(hits: DataFrame) -> DataFrame:
+    """Turn script hits and page references into hits of the pages."""
+    return credit(page_references(hits), script_findings(hits))
+
+
+def credit(references: DataFrame, found: DataFrame) -> DataFrame:
+    """Hits of the pages that load a script with hits."""
+    return salted_join(references, found.select("script_url", "found"), "script_url").select(
         "target",
         F.col("first.origin").alias("origin"),
         F.col("first.fetched_at").alias("fetched_at"),

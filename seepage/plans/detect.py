@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,14 +63,17 @@ def raw_findings(
     dns: DataFrame | None = None,
     documents: DataFrame | None = None,
     modules: Collection[str] = tuple(MODULES),
-    materialize: bool = True,
+    materialize: bool | Callable[[DataFrame], DataFrame] = True,
+    credit: Callable[[DataFrame], DataFrame] = credit_scripts,
 ) -> DataFrame:
     """Hits of all chosen detectors.
 
     Bodies are read once: every body detector, the scripts and the script
     references of pages come out of one pass as small rows.  These are
     checkpointed because three branches read them; with ``materialize=False``
-    the plan stays lazy and every branch reads the bodies again.
+    the plan stays lazy and every branch reads the bodies again, and a function
+    may keep the rows elsewhere.  ``credit`` turns references and script hits
+    into hits of the pages.
     """
     unknown = set(modules) - set(MODULES)
     if unknown:
@@ -80,8 +83,8 @@ def raw_findings(
     if hits is not None:
         if "javascript" in modules:
             if materialize:
-                hits = reliable(hits)
-            parts.append(as_raw(credit_scripts(hits)))
+                hits = (materialize if callable(materialize) else reliable)(hits)
+            parts.append(as_raw(credit(hits)))
             hits = hits.filter("hit.kind = 'finding'")
         parts.append(as_raw(hits))
     if "http_header" in modules and "headers" in responses.columns:
@@ -106,8 +109,9 @@ def detect(
     documents: DataFrame | None = None,
     modules: Collection[str] = tuple(MODULES),
     overrides: DataFrame | Mapping[str, str] | None = None,
-    materialize: bool = True,
+    materialize: bool | Callable[[DataFrame], DataFrame] = True,
+    credit: Callable[[DataFrame], DataFrame] = credit_scripts,
 ) -> DataFrame:
     """Findings table: one row per fingerprint, first one in emission order."""
-    raw = raw_findings(responses, targets, dns, documents, modules, materialize)
+    raw = raw_findings(responses, targets, dns, documents, modules, materialize, credit)
     return dedup(score(raw, overrides))

@@ -30,6 +30,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete what a job has written to a folder of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     if not spark.sparkContext.getCheckpointDir():

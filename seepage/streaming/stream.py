@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from seepage.operators import javascript
 from seepage.operators.dedup import new_only
 from seepage.operators.headers import headers as header_findings
 from seepage.operators.matching import Detector, as_raw, body_units, explode_hits
@@ -16,6 +17,7 @@ from seepage.operators.scoring import score
 from seepage.plans.detect import body_detectors, detect
 from seepage.rules.scoring import MODULES
 from seepage.schema import RESPONSES
+from seepage.sources.checkpoint import remove_folder
 
 
 def stream_responses(
@@ -48,9 +50,9 @@ def distinct_findings(findings: DataFrame, delay: str | None = None) -> DataFram
     return findings.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def live_counts(findings: DataFrame) -> DataFrame:
-    """Running totals per severity (complete or update mode)."""
-    return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+def live_counts(findings: DataFrame, delay: str | None = None) -> DataFrame:
+    """Running totals per severity after de-duplication (complete or update mode)."""
+    return distinct_findings(findings, delay).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def windowed_counts(findings: DataFrame, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
@@ -63,6 +65,28 @@ def windowed_counts(findings: DataFrame, width: str = "10 minutes", delay: str =
     )
 
 
+def _credit_over_batches(folder: str, batch_id: int) -> Callable[[DataFrame], DataFrame]:
+    """Credit the scripts of this and all earlier batches to the pages of all of them.
+
+    New references meet all scripts.  Earlier references meet only script hits
+    that no earlier capture of the script had.
+    """
+    key = ["script_url", "title", "confidence"]
+
+    def kept(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        every = rows.sparkSession.read.parquet(f"{folder}/{name}")
+        return every.filter(F.col("batch") == batch_id).drop("batch"), every.filter(F.col("batch") < batch_id).drop("batch")
+
+    def credited(hits: DataFrame) -> DataFrame:
+        references, earlier = kept(javascript.page_references(hits), "references")
+        found, known = kept(javascript.script_findings(hits), "scripts")
+        fresh = found.join(known.select(*key), key, "left_anti")
+        return javascript.credit(references, found.unionByName(known)).unionByName(javascript.credit(earlier, fresh))
+
+    return credited
+
+
 def write_findings(
     responses: DataFrame,
     path: str,
@@ -75,21 +99,33 @@ def write_findings(
 
     A batch is de-duplicated in emission order, then reduced to fingerprints
     that no earlier batch has written.  A batch that is run again replaces its
-    own folder, so a lost driver neither drops nor repeats a finding.
+    own folders, so a lost driver neither drops nor repeats a finding.
+
+    Script hits and script references stay in ``path``-links, so that a page
+    and its script may arrive in different batches, in either order.  The hits
+    of a running batch lie in ``path``-hits and are deleted after it.
     """
     spark = responses.sparkSession
-    find = find or (lambda batch: detect(batch, modules=modules))
     started = False
 
+    def detected(batch: DataFrame, batch_id: int, scratch: str) -> DataFrame:
+        def held(hits: DataFrame) -> DataFrame:
+            hits.write.mode("overwrite").parquet(scratch)
+            return spark.read.schema(hits.schema).parquet(scratch)
+
+        return detect(batch, modules=modules, materialize=held, credit=_credit_over_batches(f"{path}-links", batch_id))
+
     def add(batch: DataFrame, batch_id: int) -> None:
         nonlocal started
-        found = find(batch)
+        scratch = f"{path}-hits/{batch_id}"
+        found = find(batch) if find else detected(batch, batch_id, scratch)
         if not started:
             # an empty first folder makes the table readable from the start
             found.limit(0).write.mode("ignore").parquet(f"{path}/batch=-1")
             started = True
         known = spark.read.parquet(path).filter(F.col("batch") < batch_id)
         new_only(found, known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        remove_folder(spark, scratch)
 
     writer = responses.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
