@@ -7,11 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepage.operators.joins import salted_join
 from seepage.operators.matching import literal_map
 from seepage.rules import scoring as tables
 
-MAX_OVERRIDES = 1000
-
 
 def _lookup(table: Mapping[str, object], key: Column, default) -> Column:
     # a dozen entries: a literal in the plan, not a join
@@ -102,12 +101,12 @@ def score(raw: DataFrame, overrides: DataFrame | Mapping[str, str] | None = None
         if overrides:
             base = _lookup(overrides, module, None)
     elif overrides is not None:
-        # one row per module, so the join cannot multiply rows; it is broadcast
-        # because a dozen modules would make a dozen hot keys in a shuffle
-        table = overrides.groupBy("module").agg(F.min("severity").alias("_base"))
-        if table.limit(MAX_OVERRIDES + 1).count() > MAX_OVERRIDES:
-            raise ValueError(f"more than {MAX_OVERRIDES} modules with a severity override")
-        raw = raw.join(F.broadcast(table), "module", "left")
+        # one row per module, so the join cannot multiply rows; a dozen modules
+        # would be hot keys, so they are salted and Spark chooses the join
+        given = F.col("severity")
+        known = given.isNull() | given.isin(tables.SEVERITIES)
+        checked = F.when(known, given).otherwise(F.raise_error(F.concat(F.lit("unknown severity: "), given)).cast("string"))
+        raw = salted_join(raw, overrides.groupBy("module").agg(F.min(checked).alias("_base")), "module", "left")
         base = F.col("_base")
     scored = raw.withColumn("confidence", conf)
     scored = scored.withColumn("severity", severity(module, F.col("confidence"), base)).drop("_base")

@@ -59,6 +59,9 @@ def test_overrides(spark):
     assert set(r.severity for r in by_dict.select("severity").distinct().collect()) <= {"Critical", "High"}
     with pytest.raises(ValueError):
         scoring.score(raw, {"errors": "Awful"})
+    awful = scoring.score(raw, spark.createDataFrame([("errors", "Awful")], "module string, severity string"))
+    with pytest.raises(Exception, match="unknown severity: Awful"):
+        awful.select("severity").collect()
 
 
 def test_dedup_does_not_depend_on_partitions(spark):
