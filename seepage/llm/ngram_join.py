@@ -6,10 +6,12 @@ one pair of texts:
 
 1. Texts with equal sets form a class, found by digest; its least id stands
    for it, copies are never expanded into pairs.
-2. A shingle that no other set holds cannot be shared, and a set that can have
+2. A shingle that no other text holds cannot be shared, and a set that can have
    a partner needs ``percent`` of its shingles shared.  One exchange of packed
-   shingles finds the shared ones; all other sets leave here.
-3. The global order is: shingles held by one set only, then by hash.  Partners
+   shingles finds the shared ones; all other sets leave here.  Copies in
+   different chunks of rows count as other texts, so that no key of a set has
+   to travel with its shingles; a set that has copies only stays until 3.
+3. The global order is: shingles held by one text only, then by hash.  Partners
    share a shingle among the first ``n - need + 1`` of either set.  The sets
    that hold such a shingle meet under the least id among them, once each.
 4. Within a meeting the ordered sets are stored in a trie.  A set walks it
@@ -102,35 +104,22 @@ class _Postings:
     def __init__(self, tokens: np.ndarray, place: np.ndarray):
         self.tokens, self.place = tokens, place
 
-    def pack(self, keys: np.ndarray | None = None) -> bytes:
-        """With ``keys``, the key of each document that occurs, in ascending order of places, is added."""
-        used = np.unique(self.place[self.place != _KNOWN]) if keys is not None else _EMPTY
-        head = np.array([len(self.tokens), len(used)], np.int64).tobytes()
-        added = _planes(used.astype(np.uint32), 4) + keys[used].tobytes() if keys is not None else b""
-        return head + _planes(self.tokens, _BYTES) + _planes(self.place, 4) + added
+    def pack(self) -> bytes:
+        return np.int64(len(self.tokens)).tobytes() + _planes(self.tokens, _BYTES) + _planes(self.place, 4)
 
     @classmethod
-    def unpack(cls, block: bytes) -> tuple["_Postings", np.ndarray]:
-        """The postings and the key of each one's document (0 for marks)."""
-        n, docs = np.frombuffer(block, np.int64, 2).tolist()
-        at = 16 + n * _BYTES
-        own = cls(_values(block, 16, n, _BYTES, np.uint64), _values(block, at, n, 4, np.uint32))
-        if not docs:
-            return own, np.zeros(n, np.uint64)
-        used = _values(block, at + 4 * n, docs, 4, np.uint32)
-        keys = np.frombuffer(block, np.uint64, docs, at + 4 * n + 4 * docs)
-        known = own.place == _KNOWN
-        return own, np.where(known, np.uint64(0), keys[np.searchsorted(used, np.where(known, used[0], own.place))])
-
-
-def _shared(tokens: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the postings by token, and for each in that order whether different sets hold its token."""
+    def unpack(cls, block: bytes) -> "_Postings":
+        n = int.from_bytes(block[:8], "little")
+        return cls(_values(block, 8, n, _BYTES, np.uint64), _values(block, 8 + n * _BYTES, n, 4, np.uint32))
+
+
+def _shared(tokens: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the postings by token, and for each in that order whether its token comes several times or is marked."""
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    key = keys[order]
-    differ = (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)) | np.logical_or.reduceat(known[order], starts)
-    return order, np.repeat(differ, np.diff(np.append(starts, len(ordered))))
+    times = np.diff(np.append(starts, len(ordered)))
+    return order, np.repeat((times > 1) | np.logical_or.reduceat(known[order], starts), times)
 
 
 class _Chunk:
@@ -164,9 +153,8 @@ class _Chunk:
         digests = b"".join(self.by_digest)
         ids, sizes = np.array(self.ids, np.int64), np.array([len(s) for s in self.sets], np.int64)
         chunk = int.from_bytes(hashlib.blake2b(digests + ids.tobytes(), digest_size=8).digest(), "little", signed=True)
-        keys = np.frombuffer(digests, np.uint64)[::2]
         tokens, place = np.concatenate(self.sets), np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
-        order, shared = _shared(tokens, keys[place], np.zeros(len(place), bool))
+        order, shared = _shared(tokens, np.zeros(len(place), bool))
         tokens, place = tokens[order], place[order]
         marks = np.unique(tokens[shared])
         single = np.concatenate((tokens[~shared], marks))
@@ -176,7 +164,7 @@ class _Chunk:
         edges = np.searchsorted(_bucket(single, buckets), np.arange(buckets + 1)).tolist()
         for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
             if b > a:
-                yield bucket, chunk, _SEARCHED, _Postings(single[a:b], holder[a:b]).pack(keys)
+                yield bucket, chunk, _SEARCHED, _Postings(single[a:b], holder[a:b]).pack()
         onward = buckets + chunk % buckets
         yield onward, chunk, _DOCUMENTS, np.array([len(ids)], np.int64).tobytes() + ids.tobytes() + sizes.tobytes()
         if shared.any():
@@ -199,7 +187,7 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, tokens) of sets of which at least ``percent`` is held by other sets too.
+    """(doc_id, n, tokens) of sets of which at least ``percent`` is held by other sets, or copies in other chunks, too.
 
     ``tokens`` are the shared shingles in ascending order, ``n`` is the size
     of the whole set, ``total`` the number of shingles in all of ``docs``.
@@ -224,10 +212,10 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
             return group
         chunks = group.column("chunk").to_pylist()
         parts = [_Postings.unpack(b) for b in group.column("block").to_pylist()]
-        lengths = [len(p.tokens) for p, _ in parts]
-        tokens, place = np.concatenate([p.tokens for p, _ in parts]), np.concatenate([p.place for p, _ in parts])
+        lengths = [len(p.tokens) for p in parts]
+        tokens, place = np.concatenate([p.tokens for p in parts]), np.concatenate([p.place for p in parts])
         known = place == _KNOWN
-        order, shared = _shared(tokens, np.concatenate([k for _, k in parts]), known)
+        order, shared = _shared(tokens, known)
         found = np.zeros(len(tokens), bool)
         found[order[shared]] = True
         found &= ~known
@@ -245,7 +233,7 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
         listed = next(b for b, kind in zip(blocks, kinds) if kind == _DOCUMENTS)
         docs = int.from_bytes(listed[:8], "little")
         ids, sizes = np.frombuffer(listed, np.int64, docs, 8), np.frombuffer(listed, np.int64, docs, 8 + 8 * docs)
-        parts = [_Postings.unpack(b)[0] for b, kind in zip(blocks, kinds) if kind == _FOUND]
+        parts = [_Postings.unpack(b) for b, kind in zip(blocks, kinds) if kind == _FOUND]
         tokens = np.concatenate([p.tokens for p in parts] or [_EMPTY])
         place = np.concatenate([p.place for p in parts] or [np.zeros(0, np.uint32)])
         order = np.lexsort((tokens, place))
