@@ -692,10 +692,6 @@ def _v(column: str) -> Sql:
     return f"CAST({column} AS VARCHAR)"
 
 
-def _cut(column: str, chars: int) -> Sql:
-    return f"left(coalesce({column}, ''), {chars})"
-
-
 def _block() -> Sql:
     icon = lookup("severity", {"Critical": "🔴", "High": "🟠", "Medium": "🟡", "Low": "🔵"}, "'⚪'")
 
@@ -711,7 +707,7 @@ def _block() -> Sql:
         row("Confidence", "confidence"), row("CWE", "cwe"), row("OWASP", "owasp"),
         optional("URL", "url", "'`' || url || '`'"), optional("CVSS", "cvss_estimate", "'`' || cvss_estimate || '`'"),
         optional("Description", "description", "description"), optional("Recommendation", "recommendation", "recommendation"),
-        f"CASE WHEN coalesce(evidence, '') <> '' THEN '| **Evidence** | |' || chr(10) || chr(10) || '```' || chr(10) || {_cut('evidence', 800)} || chr(10) || '```' END",
+        f"CASE WHEN coalesce(evidence, '') <> '' THEN '| **Evidence** | |' || chr(10) || chr(10) || '```' || chr(10) || evidence || chr(10) || '```' END",
         "''", "'---'", "''",
     ]
     return f"concat_ws(chr(10), {', '.join(lines)})"
@@ -728,7 +724,7 @@ def _fragment() -> Sql:
     def field(label: str, value: Sql) -> Sql:
         return f"'<span><strong>{label}:</strong> ' || {value} || '</span>'"
 
-    tags = (f"CASE WHEN len(tags) > 0 THEN '<div class=\"finding-tags\">' || array_to_string(list_transform(list_slice(tags, 1, 10), "
+    tags = (f"CASE WHEN len(tags) > 0 THEN '<div class=\"finding-tags\">' || array_to_string(list_transform(tags, "
             f"lambda t: '<span class=\"tag\">' || {_escaped('t')} || '</span>'), '') || '</div>' END")
     lines = [
         "'<div class=\"finding\">'", "'<div class=\"finding-header\">'",
@@ -736,7 +732,7 @@ def _fragment() -> Sql:
         "'<span class=\"severity-badge sev-' || severity || '\">' || severity || '</span>'", "'</div>'",
         "'<div class=\"finding-meta\">'", field("Target", _escaped("target")), field("Module", "module"),
         field("Confidence", "confidence"), field("CWE", "cwe"), field("OWASP", "owasp"), "'</div>'",
-        f"CASE WHEN coalesce(evidence, '') <> '' THEN '<div class=\"finding-evidence\">' || {_escaped(_cut('evidence', 1500))} || '</div>' END",
+        f"CASE WHEN coalesce(evidence, '') <> '' THEN '<div class=\"finding-evidence\">' || {_escaped('evidence')} || '</div>' END",
         f"'<div class=\"finding-recommendation\">💡 ' || {_escaped('recommendation')} || '</div>'", tags, "'</div>'",
     ]
     return f"concat_ws(chr(10), {', '.join(lines)})"
@@ -748,12 +744,12 @@ def _console() -> Sql:
         f"'#' || {_v('number')} || ' ' || severity || ' ' || title", f"'{pad}Target: ' || target", f"'{pad}Module: ' || module",
         f"CASE WHEN coalesce(url, '') <> '' THEN '{pad}URL: ' || url END", f"'{pad}Confidence: ' || confidence",
         f"'{pad}CWE: ' || cwe || ' | OWASP: ' || owasp",
-        f"CASE WHEN coalesce(evidence, '') <> '' THEN '{pad}Evidence: ' || {_cut('evidence', 300)} END",
+        f"CASE WHEN coalesce(evidence, '') <> '' THEN '{pad}Evidence: ' || evidence END",
     ]
     return f"concat_ws(chr(10), {', '.join(lines)})"
 
 
-_JSON_COLUMNS = ("target, module, title, severity, confidence, left(evidence, 1000) AS evidence, cwe, owasp, recommendation, "
+_JSON_COLUMNS = ("target, module, title, severity, confidence, evidence, cwe, owasp, recommendation, "
                  "coalesce(url, '') AS url, '' AS parameter, coalesce(description, '') AS description, cvss_estimate")
 _SUMMARY_ROWS = [
     ("URLs Scanned", f"{_v('completed_urls')} || '/' || {_v('total_urls')}"), ("Failed URLs", _v("failed_urls")),
@@ -896,7 +892,7 @@ _QUERIES: dict[str, Sql] = {
     "report_rows_csv": (
         "SELECT target AS \"Target\", module AS \"Module\", title AS \"Title\", severity AS \"Severity\", confidence AS \"Confidence\", "
         "cwe AS \"CWE\", owasp AS \"OWASP\", coalesce(url, '') AS \"URL\", coalesce(description, '') AS \"Description\", "
-        "recommendation AS \"Recommendation\", cvss_estimate AS \"CVSS\", left(evidence, 500) AS \"Evidence\", "
+        "recommendation AS \"Recommendation\", cvss_estimate AS \"CVSS\", evidence AS \"Evidence\", "
         f"array_to_string(tags, '; ') AS \"Tags\" FROM {SAMPLE} AS s"),
     "report_rows_json": f"SELECT {_JSON_COLUMNS}, CAST(to_json(tags) AS VARCHAR) AS tags FROM {SAMPLE} AS s",
     "report_summary_json": (

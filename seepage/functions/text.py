@@ -58,8 +58,10 @@ def html_escape(text: Column) -> Column:
     return out
 
 
-def truncate(text: Column, chars: int) -> Column:
-    return F.left(F.coalesce(text, F.lit("")), F.lit(chars))
+def truncate(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; the whole text without a limit."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole if chars is None else F.left(whole, F.lit(chars))
 
 
 def short(text: Column, chars: int) -> Column:

@@ -1,7 +1,8 @@
 """Sinks: JSON, CSV, Markdown, HTML and console forms of a findings table.
 
 Every form is a table of rows that tasks write on their own; the part files
-in name order, put one behind the other, are the report.
+in name order, put one behind the other, are the report.  Evidence is whole; ``chars`` cuts it
+for those who want short rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from seepage.rules.scoring import SEVERITIES
 
 TOOL = "seepage"
 
-# Columns and evidence lengths of the forms.
+# Columns of the forms.
 JSON_FIELDS = [
     "target", "module", "title", "severity", "confidence", "evidence", "cwe", "owasp", "recommendation", "url",
     "parameter", "description", "cvss_estimate", "timestamp", "tags",
@@ -26,8 +27,6 @@ CSV_FIELDS = [
     ("Description", "description"), ("Recommendation", "recommendation"), ("CVSS", "cvss_estimate"),
     ("Evidence", "evidence"), ("Tags", "tags"),
 ]
-JSON_EVIDENCE, CSV_EVIDENCE, MARKDOWN_EVIDENCE, HTML_EVIDENCE, CONSOLE_EVIDENCE = 1000, 500, 800, 1500, 300
-HTML_TAGS = 10
 ICONS = {"Critical": "🔴", "High": "🟠", "Medium": "🟡", "Low": "🔵", "Informational": "⚪"}
 CSS_CLASSES = {
     "Critical": "sev-critical", "High": "sev-high", "Medium": "sev-medium", "Low": "sev-low",
@@ -47,10 +46,10 @@ def _iso(stamp: Column) -> Column:
     return F.coalesce(F.date_format(F.to_utc_timestamp(stamp, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit(""))
 
 
-def json_rows(findings: DataFrame) -> DataFrame:
+def json_rows(findings: DataFrame, chars: int | None = None) -> DataFrame:
     """The 15 fields of the JSON form."""
     columns = {
-        "evidence": truncate(F.col("evidence"), JSON_EVIDENCE),
+        "evidence": truncate(F.col("evidence"), chars),
         "timestamp": _iso(F.col("timestamp")) if dict(findings.dtypes).get("timestamp") == "timestamp" else _text("timestamp"),
         "tags": F.coalesce("tags", F.array().cast("array<string>")),
     }
@@ -75,9 +74,9 @@ def write_json(findings: DataFrame, stats: DataFrame, path: str) -> None:
     json_summary(stats).write.mode("overwrite").text(f"{path}/summary")
 
 
-def csv_rows(findings: DataFrame) -> DataFrame:
+def csv_rows(findings: DataFrame, chars: int | None = None) -> DataFrame:
     columns = {
-        "evidence": truncate(F.col("evidence"), CSV_EVIDENCE),
+        "evidence": truncate(F.col("evidence"), chars),
         "tags": F.concat_ws("; ", "tags"),
     }
     return findings.select(*[columns.get(c, _text(c)).alias(name) for name, c in CSV_FIELDS])
@@ -100,7 +99,7 @@ def _icon() -> Column:
     return F.coalesce(F.create_map(*[F.lit(v) for p in ICONS.items() for v in p])[F.col("severity")], F.lit("⚪"))
 
 
-def markdown_block(number: Column) -> Column:
+def markdown_block(number: Column, chars: int | None = None) -> Column:
     """Heading, field table and evidence of one finding."""
     return F.concat_ws(
         "\n",
@@ -119,14 +118,14 @@ def markdown_block(number: Column) -> Column:
         _optional("description", _line("| **Description** | ", _text("description"), " |")),
         _optional("recommendation", _line("| **Recommendation** | ", _text("recommendation"), " |")),
         _optional("evidence", _line(
-            "| **Evidence** | |\n\n```\n", truncate(F.col("evidence"), MARKDOWN_EVIDENCE), "\n```")),
+            "| **Evidence** | |\n\n```\n", truncate(F.col("evidence"), chars), "\n```")),
         F.lit(""), F.lit("---"), F.lit(""),
     )
 
 
-def markdown_rows(findings: DataFrame) -> DataFrame:
+def markdown_rows(findings: DataFrame, chars: int | None = None) -> DataFrame:
     """(number, value): one block per finding, numbered in report order."""
-    return numbered(findings).select("number", markdown_block(F.col("number")).alias("value"))
+    return numbered(findings).select("number", markdown_block(F.col("number"), chars).alias("value"))
 
 
 def markdown_summary(findings: DataFrame) -> DataFrame:
@@ -160,13 +159,13 @@ def write_markdown(findings: DataFrame, stats: DataFrame, path: str) -> None:
     _write_parts(markdown_head(stats), markdown_rows(findings), path)
 
 
-def html_fragment() -> Column:
+def html_fragment(chars: int | None = None) -> Column:
     evidence = F.when(
         F.length(_text("evidence")) > 0,
-        _line('<div class="finding-evidence">', html_escape(truncate(F.col("evidence"), HTML_EVIDENCE)), "</div>"))
+        _line('<div class="finding-evidence">', html_escape(truncate(F.col("evidence"), chars)), "</div>"))
     tags = F.when(F.size("tags") > 0, _line(
         '<div class="finding-tags">',
-        F.array_join(F.transform(F.slice("tags", 1, HTML_TAGS), lambda t: _line(
+        F.array_join(F.transform("tags", lambda t: _line(
             '<span class="tag">', html_escape(t), "</span>")), ""),
         "</div>"))
 
@@ -194,9 +193,9 @@ def html_fragment() -> Column:
     )
 
 
-def html_rows(findings: DataFrame) -> DataFrame:
+def html_rows(findings: DataFrame, chars: int | None = None) -> DataFrame:
     """(number, value): one fragment per finding in report order."""
-    return numbered(findings).select("number", html_fragment().alias("value"))
+    return numbered(findings).select("number", html_fragment(chars).alias("value"))
 
 
 def html_bar(shares: DataFrame) -> DataFrame:
@@ -215,7 +214,7 @@ def write_html(findings: DataFrame, stats: DataFrame, path: str) -> None:
     _write_parts(head, html_rows(findings), path)
 
 
-def console_rows(findings: DataFrame) -> DataFrame:
+def console_rows(findings: DataFrame, chars: int | None = None) -> DataFrame:
     """(number, value): the lines printed for a finding."""
     lines = F.concat_ws(
         "\n",
@@ -225,7 +224,7 @@ def console_rows(findings: DataFrame) -> DataFrame:
         _optional("url", _line("      URL: ", _text("url"))),
         _line("      Confidence: ", _text("confidence")),
         _line("      CWE: ", _text("cwe"), " | OWASP: ", _text("owasp")),
-        _optional("evidence", _line("      Evidence: ", truncate(F.col("evidence"), CONSOLE_EVIDENCE))),
+        _optional("evidence", _line("      Evidence: ", truncate(F.col("evidence"), chars))),
     )
     return numbered(findings).select("number", lines.alias("value"))
 
