@@ -4,8 +4,9 @@ Every text gives a vector of transformed statistics.  For each language and
 source the minimum-covariance-determinant estimate of location and scatter is
 found by concentration: starting from medians, the share ``CORE`` of rows with
 the smallest distances gives the next mean and covariance, and so on.  A text
-is rejected if its squared Mahalanobis distance from that core, scaled down so
-that the median distance is at most that of a normal vector, lies beyond ``CUTOFF``.
+is rejected if its squared Mahalanobis distance from that core, scaled so that
+the median distance is that of a normal vector of as many statistics as vary in
+the group, lies beyond ``CUTOFF``.
 
 Each round sums moments per group before they are shuffled; a group is only a
 row of 20 numbers, so one with most of the texts costs no task more.
@@ -25,12 +26,13 @@ from seepage.llm.tables import stored
 CORE, ROUNDS = 0.75, 3
 #: Groups with fewer texts are judged together with the other small ones of their language, then with all small ones.
 LEAST_GROUP = 100
-#: Squared distance beyond which a text is rejected; under one clean text in a million if vectors are normal.
-CUTOFF = 40.0
-#: Median of the chi-squared distribution with five degrees of freedom.
-MEDIAN_DISTANCE = 4.351460191
-#: Names of the transformed statistics, and the deviation that each may always have, added to the scatter.
-FEATURES = {"z_words": 0.5, "z_length": 0.1, "z_symbols": 0.5, "z_lines": 0.2, "z_repeats": 0.2}
+#: Squared distance beyond which a text is rejected: the 0.999 quantile of the chi-squared distribution with five degrees of freedom.
+CUTOFF = 20.515006
+#: Least degrees of freedom and least factor that distances are divided by; texts that are all alike have neither.
+LEAST_FREEDOM = LEAST_SCALE = 0.5
+#: Names of the transformed statistics, and the deviation that each may always have, added to the scatter, which stays
+#: regular where the core's texts are alike in a statistic.
+FEATURES = {"z_words": 0.05, "z_length": 0.01, "z_symbols": 0.1, "z_lines": 0.05, "z_repeats": 0.05}
 
 NAMES = list(FEATURES)
 PAIRS = list(combinations_with_replacement(range(len(NAMES)), 2))
@@ -172,19 +174,29 @@ def estimates(rows: DataFrame) -> DataFrame:
     return stored(groups.join(middle, "grp"), "estimates")
 
 
+def _scale() -> Column:
+    """Median distance over that of a normal vector of the statistics that vary; those at the allowed deviation only do not."""
+    freedom = F.lit(float(len(NAMES)))
+    for i, allowed in enumerate(FEATURES.values()):
+        for j in range(i, len(NAMES)):
+            freedom = freedom - allowed**2 * F.pow(F.col(f"w{j}_{i}"), F.lit(2))
+    freedom = F.greatest(freedom, F.lit(LEAST_FREEDOM))
+    # Wilson and Hilferty's median of the chi-squared distribution
+    return F.greatest(F.col("middle") / (freedom * F.pow(1 - 2 / (9 * freedom), F.lit(3))), F.lit(LEAST_SCALE))
+
+
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Statistics, ``base_failed``, ``distance`` and ``kept`` per row of ``docs`` (doc_id, text, lang, source).
 
     Rows that fail the base rules take no part in the estimates.  A pool of
     fewer than ``LEAST_GROUP`` texts is not judged: distance null, kept.  Null
     languages and sources are groups of their own.  A group whose texts are
-    all alike keeps what lies within the allowed deviations.
+    all alike keeps what lies within about three times the allowed deviations.
     """
     stats = stored(statistics(docs).withColumn("base_failed", base_failed()), "statistics")
     rows = stored(grouped(vector(stats.filter("not base_failed"))), "vectors")
     judged = rows.join(estimates(rows), "grp").withColumn("_d", _distance())
-    scale = F.greatest(F.col("middle") / MEDIAN_DISTANCE, F.lit(1.0))
-    distance = F.when(F.col("members") >= LEAST_GROUP, F.col("_d") / scale)
+    distance = F.when(F.col("members") >= LEAST_GROUP, F.col("_d") / _scale())
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = judged.select(*out, distance.alias("distance")).withColumn("kept", F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
     bad = stats.filter("base_failed").select(*out, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))

@@ -69,6 +69,36 @@ def test_planted_outliers_go_and_the_others_stay(documents):
     assert not got[900].kept and got[901].kept and got[901].distance is None
 
 
+def test_moderate_outliers_go_from_clean_groups(documents):
+    rng = random.Random(9)
+
+    def words(n, least=2, most=9):
+        return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(least, most))) for _ in range(n)]
+
+    def lines(own):
+        return [" ".join(own[k : k + 10]) for k in range(0, len(own), 10)]
+
+    rows = [(i, "\n".join(lines(words(rng.randint(80, 300)))), "en", "s") for i in range(400)]
+    twice = words(50)
+    own = lines(words(200))
+    odd = {
+        "boilerplate": own[:10] + lines(words(100))[:5] + own[:5],
+        "repeats": lines(words(75) + [w for _ in range(2) for w in twice] + words(25)),
+        "same lines": lines(words(100)) + ["-"] * 10,
+        "symbols": lines([w + "#" if k % 20 == 0 else w for k, w in enumerate(words(200))]),
+        "long": lines(words(200, 6, 13)), "many": lines(words(4000))}
+    docs = documents(*rows, *[(1000 + k, "\n".join(x), "en", "s") for k, x in enumerate(odd.values())])
+    got = {r.doc_id: r for r in outliers.judge(docs).collect()}
+    assert [name for k, name in enumerate(odd) if got[1000 + k].kept or got[1000 + k].base_failed] == []
+    assert sum(not got[i].kept for i in range(400)) <= 2
+
+
+def test_texts_that_are_all_alike_stay(documents):
+    text = " ".join(f"word{i}" for i in range(80))
+    got = outliers.judge(documents(*[(i, text, "en", "s") for i in range(150)], (500, text + " more", "en", "s"))).collect()
+    assert len(got) == 151 and all(r.kept for r in got)
+
+
 def test_empty_and_native(spark, documents):
     docs = documents((1, "a", "en", "s")).filter("false")
     judged = outliers.judge(docs)
