@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a letter that resemble one of the languages that the corpus names."""
-    return language.keep_known(docs, language.learn(docs))
+    profiles = language.learn(docs)
+    return language.keep_known(docs, profiles, limits=language.learn_limits(docs, profiles))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,9 @@ PROFILE = 300
 MOST_LANGUAGES = 2000
 #: Texts whose n-grams are nearer to being out of place everywhere than this are rejected.
 LEAST_SCORE = 0.05
+#: Limit of a language as a share of the median score of its learned texts, with room for short ones, and the highest
+#: limit: the texts of a language with few of them fit its profile too well.
+LIMIT_SHARE, MOST_LIMIT = 0.6, 0.45
 UNKNOWN = "und"
 
 #: Characters whose n-grams are counted at once.
@@ -160,11 +163,24 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` in one of the languages, with all columns, without a shuffle."""
+def learn_limits(docs: DataFrame, profiles: Profiles) -> dict[str, float]:
+    """Least score per language, from all rows (doc_id, text, lang) whose lang is not null."""
+    found = predict(docs.filter("lang is not null"), profiles).filter(F.col("lang_pred") != UNKNOWN)
+    # one row per language
+    middles = found.groupBy("lang_pred").agg(F.percentile_approx("score", 0.5, 10000).alias("middle")).collect()
+    return {r["lang_pred"]: min(LIMIT_SHARE * r["middle"], MOST_LIMIT) for r in middles}
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, limits: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` in one of the languages, with all columns, without a shuffle.
+
+    A language has its own least score in ``limits``, or ``least``.
+    """
+    own = limits or {}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.nearest(t) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= own.get(lang, least) for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

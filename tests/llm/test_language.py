@@ -41,6 +41,21 @@ def test_edges(spark, documents):
     assert language.predict(docs, nothing).filter("lang_pred <> 'und'").count() == 0 and language.predict(docs.filter("false"), nothing).collect() == []
 
 
+def test_limits_reject_random_letters_and_unlearned_languages(small):
+    import random
+
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 200)]
+    other = ["Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw. Sa oni obdarzeni rozumem i sumieniem i powinni postepowac wobec innych w duchu braterstwa.",
+             "Butun insanlar hur, haysiyet ve haklar bakimindan esit dogarlar. Akil ve vicdana sahiptirler ve birbirlerine karsi kardeslik zihniyeti ile hareket etmelidirler."]
+    spark = small.sparkSession
+    odd = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(noise + other)], "doc_id long, text string")
+    docs = small.select("doc_id", "text", "lang").unionByName(odd.withColumn("lang", F.lit(None).cast("string")))
+    profiles = language.learn(docs)
+    kept = {r.doc_id for r in language.keep_known(docs, profiles, limits=language.learn_limits(docs, profiles)).collect()}
+    assert kept == {r.doc_id for r in small.collect()}
+
+
 def test_split_uses_the_id_as_text(spark):
     import zlib
 
