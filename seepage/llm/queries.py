@@ -32,7 +32,7 @@ def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf, "documents"))
+    return packing.pack_near_documents(table(spark, sf, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:

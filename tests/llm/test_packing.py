@@ -49,6 +49,13 @@ def test_whole_table_is_packed(small):
     assert sorted(again, key=key) == sorted(packed, key=key)
 
 
+def test_near_copies_do_not_share_a_sequence(documents):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:30] + [f"x{i}"] + base[31:]), None, f"s{i}") for i in range(4)] + [(None, " ".join(base).upper(), None, "s9"), (9, " ".join(base), None, "s8")]
+    packed = packing.pack_near_documents(documents(*rows)).collect()
+    assert len(packed) == 6 and len({(r.bin_group, r.bin) for r in packed}) == 6
+
+
 def test_edges(documents):
     docs = documents((1, "a b c", None, "s"), (1, "a b c", None, "s"), (2, None, None, "s"), (3, " ", None, None), (None, "x y", None, None), (4, "x " * 25, None, "u"))
     packed = packing.pack_documents(docs, capacity=10).collect()
