@@ -186,8 +186,9 @@ def train(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE, behind
         part = known.filter(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
         part = part.withColumn("weight", F.lit(size / min(size, per_grade) * (behind if grade else 1.0)))
         samples = part if samples is None else samples.unionByName(part)
-    # at most per_grade ids of each grade are sent to the tasks, so no text is shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(samples), "doc_id")
+    # at most per_grade ids of each grade are sent to the tasks; of an id with several rows the least text counts
+    found = docs.select("doc_id", "text").join(F.broadcast(samples), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"), F.min("weight").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(r["doc_id"], r["text"] or "", r["grade"], r["weight"]) for b in batches for r in b.to_pylist()]

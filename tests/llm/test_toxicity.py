@@ -46,6 +46,14 @@ def test_train_and_predict(spark, documents):
     assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in found)
 
 
+def test_copies_of_a_row_weigh_as_one_label(spark, documents):
+    rows = corpus(60, 5)
+    labels = spark.createDataFrame([(i, int(g > 0)) for i, _, g in rows], "doc_id long, grade int")
+    once = toxicity.train(documents(*[(i, t) for i, t, _ in rows]), labels)
+    often = toxicity.train(documents(*[(i, t) for i, t, _ in rows + rows[:1] * 40]), labels)
+    assert np.array_equal(once.features, often.features) and np.array_equal(once.weights, often.weights)
+
+
 def test_without_labels_or_rows(spark, documents):
     docs = documents((1, "a"), (2, None))
     none = spark.createDataFrame([], "doc_id long, toxic int")
