@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seepage.llm import (
     host_reputation, language, mixing, ngram_join, outliers, packing, token_files, token_lengths, topk, toxicity,
+    vector_codes,
 )
 from seepage.llm.tables import table
 from seepage.sources.checkpoint import fresh_folder
@@ -69,8 +70,15 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read(spark, folder, manifest)
 
 
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf, "embeddings"), ["label"])
+    return vector_codes.label_errors(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_token_lengths, op3_url_filter, op4_pack, op5_toxicity, op6_top_k, op7_ngram_join, op8_outliers, op9_language, op10_token_files)}
+    op1_mix_sources, op2_token_lengths, op3_url_filter, op4_pack, op5_toxicity, op6_top_k, op7_ngram_join, op8_outliers, op9_language, op10_token_files,
+    op13_vector_codes)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -148,5 +156,31 @@ l AS (SELECT u, v FROM o JOIN x AS a ON a.doc_id = u JOIN x AS b ON b.doc_id = v
 reach AS (SELECT doc_id AS u, doc_id AS v FROM x UNION SELECT reach.u, l.v FROM reach JOIN l ON l.u = reach.v)
 SELECT doc_id, len(x) AS n_shingles, component_id FROM x JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) AS c ON c.u = doc_id"""
 
+
+
+def _codes(rounds: int = 2) -> str:
+    def assigned(name: str, books: str) -> str:
+        apart = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - e.x[i]) * (p.x[i] - e.x[i])))"
+        return f"{name} AS (SELECT vec_id, part, CAST(min({apart} * 64 + e) AS BIGINT) AS best FROM p JOIN {books} AS e USING (part) GROUP BY ALL)"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(assigned(f"a{r}", f"e{r}"))
+        steps.append(f"""e{r + 1} AS (SELECT o.part, o.e, coalesce(m.x, o.x) AS x FROM e{r} AS o LEFT JOIN (
+          SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+            SELECT part, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (
+              SELECT p.part, best % 64 AS e, unnest(p.x) AS v, unnest(range(len(p.x))) AS i FROM a{r} JOIN p USING (vec_id, part)) AS u GROUP BY ALL) AS t GROUP BY ALL) AS m USING (part, e))""")
+    steps.append(assigned("done", f"e{rounds}"))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, c[part * (len(c) // 16) + 1 : (part + 1) * (len(c) // 16)] AS x FROM v, range(16) AS t(part)),
+e0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY e < 64),
+{", ".join(steps)},
+s AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM done GROUP BY vec_id),
+l AS (SELECT s.*, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error FROM s JOIN v USING (vec_id))
+SELECT *, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM e{rounds}) AS codebooks_sha256 FROM l"""
+
+
 #: Encoding, regression, search trees, profiles and robust estimates are not SQL; tests hold those against brute force.
-ORACLES = {"op1_mix_sources": _MIX, "op3_url_filter": _URLS, "op6_top_k": _TOP, "op7_ngram_join": _NEAR}
+ORACLES = {"op1_mix_sources": _MIX, "op3_url_filter": _URLS, "op6_top_k": _TOP, "op7_ngram_join": _NEAR, "op13_vector_codes": _codes()}
