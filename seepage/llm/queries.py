@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seepage.functions.text import let
 from seepage.llm import (
-    host_reputation, language, mixing, ngram_join, outliers, packing, token_files, token_lengths, topk, toxicity,
+    host_reputation, language, mixing, ngram_join, outliers, packing, periodic, token_files, token_lengths, topk, toxicity,
     vector_codes,
 )
 from seepage.llm.tables import table
@@ -70,6 +71,23 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read(spark, folder, manifest)
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def planted(words: Column) -> Column:
+        g, n = F.floor(draw / 10), F.size(words)
+        first = (g % n).cast("int")
+        return F.when(n > 0, periodic.repeated_tail(words, first, (F.floor((n - first) / (3 + g % 8)) + 1).cast("int"))).otherwise("")
+
+    text = F.when(draw % 10 == 0, let(periodic.words_of(F.col("text")), planted)).otherwise(F.col("text"))
+    found = periodic.periodic(table(spark, sf, "documents").select("doc_id", text.alias("text"))).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf, "embeddings"), ["label"])
     return vector_codes.label_errors(coded).select(
@@ -78,7 +96,7 @@ def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_token_lengths, op3_url_filter, op4_pack, op5_toxicity, op6_top_k, op7_ngram_join, op8_outliers, op9_language, op10_token_files,
-    op13_vector_codes)}
+    op11_periodic_runs, op13_vector_codes)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"'[^\x20\x09-\x0D]+'"
