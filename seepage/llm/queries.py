@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seepage.functions.text import let
 from seepage.llm import (
-    host_reputation, language, mixing, ngram_join, outliers, packing, periodic, token_files, token_lengths, topk, toxicity,
+    host_reputation, language, mixing, ngram_join, ngram_lm, outliers, packing, periodic, token_files, token_lengths, topk, toxicity,
     vector_codes,
 )
 from seepage.llm.tables import table
@@ -88,6 +88,14 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op12_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = ngram_lm.held_out(F.col("doc_id"))
+    model = ngram_lm.train(docs.filter(~held))
+    return ngram_lm.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf, "embeddings"), ["label"])
     return vector_codes.label_errors(coded).select(
@@ -96,7 +104,7 @@ def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_token_lengths, op3_url_filter, op4_pack, op5_toxicity, op6_top_k, op7_ngram_join, op8_outliers, op9_language, op10_token_files,
-    op11_periodic_runs, op13_vector_codes)}
+    op11_periodic_runs, op12_ngram_lm, op13_vector_codes)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"'[^\x20\x09-\x0D]+'"
