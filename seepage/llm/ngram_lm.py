@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyarrow import dataset, fs
+from pyarrow import fs, parquet
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -294,28 +294,40 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 
 
 class _Whole:
-    """All segments of a model in one worker."""
+    """All segments of a model in one worker, each byte of them once."""
 
     def __init__(self, folder: str, order: int, bits: int):
         store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
-        rows = dataset.dataset(base, filesystem=store, format="parquet", exclude_invalid_files=False)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
         self.bits = bits
         self.start, self.size = np.zeros((order + 1, 1 << bits), np.int64), np.full((order + 1, 1 << bits), 64, np.uint64)
-        pieces: list[np.ndarray] = [np.zeros(8, np.uint8)]
-        filled, words = 8, {}
-        for batch in rows.to_batches(columns=["order", "segment", "size", "data", "counts"], batch_size=8):
-            for row in batch.to_pylist():
-                if row["order"] == 1:
-                    words[row["segment"]] = np.frombuffer(row["data"], np.uint64), np.frombuffer(row["counts"], np.int64)
-                else:
-                    self.start[row["order"], row["segment"]], self.size[row["order"], row["segment"]] = 8 * filled, row["size"]
-                    pieces.append(np.frombuffer(row["data"], np.uint8))
-                    filled += len(row["data"])
+        words = np.zeros((1 << bits) + 1, np.int64)
         # segments that nothing fell into point at the empty first bytes
-        self.data = np.concatenate(pieces)
-        ordered = [words[s] for s in sorted(words)]
-        self.keys = np.concatenate([w[0] for w in ordered]) if ordered else np.zeros(0, np.uint64)
-        self.counts = np.concatenate([w[1] for w in ordered]) if ordered else np.zeros(0, np.int64)
+        filled = 8
+        for row in self._rows(store, files, ["order", "segment", "size"]):
+            if row["order"] == 1:
+                words[row["segment"] + 1] = row["size"]
+            else:
+                self.start[row["order"], row["segment"]], self.size[row["order"], row["segment"]] = 8 * filled, row["size"]
+                filled += -(-row["size"] // 8)
+        words = np.cumsum(words)
+        self.data, self.keys, self.counts = np.zeros(filled, np.uint8), np.zeros(words[-1], np.uint64), np.zeros(words[-1], np.int64)
+        for row in self._rows(store, files, ["order", "segment", "data", "counts"]):
+            n, segment = row["order"], row["segment"]
+            if n == 1:
+                self.keys[words[segment] : words[segment + 1]] = np.frombuffer(row["data"], np.uint64)
+                self.counts[words[segment] : words[segment + 1]] = np.frombuffer(row["counts"], np.int64)
+            else:
+                first = self.start[n, segment] >> 3
+                self.data[first : first + len(row["data"])] = np.frombuffer(row["data"], np.uint8)
+        pa.default_memory_pool().release_unused()
+
+    @staticmethod
+    def _rows(store: fs.FileSystem, files: list[str], columns: list[str]) -> Iterator[dict]:
+        for file in files:
+            with store.open_input_file(file) as f:
+                for batch in parquet.ParquetFile(f).iter_batches(1, columns=columns):
+                    yield from batch.to_pylist()
 
     def find(self, order: int, keys: np.ndarray) -> np.ndarray:
         if order == 1:
