@@ -25,13 +25,13 @@ def context_window(body: Column, match: Column, width: int) -> Column:
 
     def cut(at: Column) -> Column:
         first = F.greatest(at - 1 - width, F.lit(0))
-        last = F.least(F.length(body), at - 1 + F.length(match) + width)
-        snippet = F.concat(
+        # one character more than is shown tells whether the text goes on
+        seen = F.substring(body, first + 1, at - 1 - first + F.length(match) + width + 1)
+        shown = at - 1 - first + F.length(match) + width
+        return let(seen, lambda s: F.when(at > 0, F.concat(
             F.when(first > 0, "... ").otherwise(""),
-            F.substring(body, first + 1, last - first),
-            F.when(last < F.length(body), " ...").otherwise(""),
-        )
-        return F.when(at > 0, snippet).otherwise(match)
+            F.when(F.length(s) > shown, F.concat(F.left(s, shown), F.lit(" ..."))).otherwise(s),
+        )).otherwise(match))
 
     return let(F.position(match, body), cut)
 

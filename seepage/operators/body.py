@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from seepage.functions.entropy import classify_string, is_high_entropy, shannon_entropy
 from seepage.functions.net import private_ipv4
-from seepage.functions.text import context_window, short, slug, strip
-from seepage.operators.matching import TEXT, Detector, find_all, gated, hit, per_rule, rule_matches, run, whole_body
+from seepage.functions.text import short, slug, strip
+from seepage.operators.matching import Detector, gated, hit, per_placed_rule, per_rule, placed_matches, rule_matches, run, whole_body
 from seepage.rules import Rule
 from seepage.rules import cloud as cloud_rules
 from seepage.rules import errors as error_rules
@@ -30,20 +30,17 @@ def source_hits(rules: Sequence[Rule] = source_rules.RULES) -> Detector:
                 & F.when(r["id"] == "ip_address", private_ipv4(m)).otherwise(True)
             )
 
-        def keep(r: Column) -> Column:
-            return F.array_distinct(F.filter(F.transform(r["found"], strip), lambda m: reported(r, m)))
-
-        def make(r: Column, m: Column, i: Column) -> Column:
+        def make(r: Column, m: Column, i: Column, context: Column) -> Column:
             return hit(
                 source_rules.MODULE,
                 F.concat(r["label"], F.lit(": "), short(m, source_rules.TITLE_CHARS)),
-                context_window(F.col(TEXT), m, source_rules.WINDOW),
+                context,
                 F.array(F.lit("source-code"), r["id"]),
                 rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
             )
 
-        found = rule_matches(rules, lambda rule: "ms")
-        return gated(whole_body(source_rules.STATUSES), per_rule(found, keep, make))
+        found = placed_matches(rules, lambda rule: "ms")
+        return gated(whole_body(source_rules.STATUSES), per_placed_rule(found, source_rules.WINDOW, reported, make, strip))
 
     return detect
 
@@ -63,20 +60,20 @@ def secret_hits(
     """Credentials and tokens of a known format in any body."""
 
     def detect() -> Column:
-        def keep(r: Column) -> Column:
-            return F.filter(r["found"], lambda m: long_enough(m, min_length, max_length) & (
-                is_high_entropy(m, min_entropy) if use_entropy else F.lit(True)))
+        def keep(r: Column, m: Column) -> Column:
+            return long_enough(m, min_length, max_length) & (is_high_entropy(m, min_entropy) if use_entropy else F.lit(True))
 
-        def make(r: Column, m: Column, i: Column) -> Column:
+        def make(r: Column, m: Column, i: Column, context: Column) -> Column:
             return hit(
                 secret_rules.MODULE,
                 F.concat(r["label"], F.lit(" discovered")),
-                context_window(F.col(TEXT), m, secret_rules.WINDOW),
+                context,
                 F.array(F.lit("secret"), r["id"]),
                 rank=r["rank"], pos=i, rule_id=r["id"],
             )
 
-        return gated(whole_body(), per_rule(rule_matches(rules) if found is None else found, keep, make))
+        return gated(whole_body(), per_placed_rule(
+            placed_matches(rules) if found is None else found, secret_rules.WINDOW, keep, make))
 
     return detect
 
@@ -90,23 +87,23 @@ def token_hits(
     rule = Rule("entropy_token", "High entropy token", secret_rules.TOKEN, 1)
 
     def detect() -> Column:
-        def random_looking(m: Column) -> Column:
+        def random_looking(r: Column, m: Column) -> Column:
             return (
                 long_enough(m, min_length, max_length)
                 & (F.round(shannon_entropy(m), 10) >= min_entropy)
                 & F.startswith(classify_string(m), F.lit("high_entropy"))
             )
 
-        def make(m: Column, i: Column) -> Column:
+        def make(r: Column, m: Column, i: Column, context: Column) -> Column:
             return hit(
                 secret_rules.MODULE,
                 F.concat(F.lit("High entropy token discovered: "), short(m, secret_rules.TOKEN_TITLE_CHARS)),
-                context_window(F.col(TEXT), m, secret_rules.WINDOW),
+                context,
                 F.array(F.lit("secret"), F.lit("entropy-token")),
                 section=1, pos=i, rule_id="entropy_token",
             )
 
-        return gated(whole_body(), F.transform(F.filter(find_all(rule), random_looking), make))
+        return gated(whole_body(), per_placed_rule(placed_matches([rule]), secret_rules.WINDOW, random_looking, make))
 
     return detect
 
@@ -140,11 +137,11 @@ def cloud_hits(
     """Cloud resources, then cloud identifiers."""
 
     def maker(section: int, prefix: str, tags: list[str]):
-        def make(r: Column, m: Column, i: Column) -> Column:
+        def make(r: Column, m: Column, i: Column, context: Column) -> Column:
             return hit(
                 cloud_rules.MODULE,
                 F.concat(F.lit(prefix), r["label"]),
-                context_window(F.col(TEXT), m, cloud_rules.WINDOW),
+                context,
                 F.array(*[F.lit(t) for t in tags], slug(r["id"])),
                 section=section, rank=r["rank"], pos=i, rule_id=r["id"], tier=r["tier"],
             )
@@ -152,14 +149,14 @@ def cloud_hits(
         return make
 
     def detect() -> Column:
+        def hits(some: Sequence[Rule], make) -> Column:
+            return per_placed_rule(placed_matches(some, lambda rule: "i"), cloud_rules.WINDOW, lambda r, m: F.lit(True), make)
+
         parts = []
         if rules:
-            found = rule_matches(rules, lambda rule: "i")
-            parts.append(per_rule(found, lambda r: r["found"], maker(0, "Cloud resource reference: ", ["cloud"])))
+            parts.append(hits(rules, maker(0, "Cloud resource reference: ", ["cloud"])))
         if identifiers:
-            found = rule_matches(identifiers, lambda rule: "i")
-            parts.append(per_rule(
-                found, lambda r: r["found"], maker(1, "Sensitive cloud identifier: ", ["cloud", "sensitive"])))
+            parts.append(hits(identifiers, maker(1, "Sensitive cloud identifier: ", ["cloud", "sensitive"])))
         return gated(whole_body(cloud_rules.STATUSES), F.concat(*parts) if len(parts) > 1 else parts[0])
 
     return detect

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from seepage.functions.entropy import is_high_entropy
 from seepage.functions.net import resolve
-from seepage.functions.text import context_window, strip, short
+from seepage.functions.text import let, short, strip
 from seepage.operators.joins import salted_join
 from seepage.operators.matching import (
-    TEXT, UNIT, Detector, as_raw, body_units, explode_hits, find_all, gated, hit, per_rule, rule_matches, whole_body,
+    TEXT, UNIT, Detector, as_raw, body_units, explode_hits, find_all, gated, hit, per_placed_rule, placed_matches, whole_body,
 )
 from seepage.operators.scoring import confidence
 from seepage.rules import Rule, java_pattern
@@ -58,7 +58,9 @@ def with_inline_units(units: DataFrame, max_scripts: int | None = None) -> DataF
     def unit(kind: str, source_pos: Column, text: Column) -> Column:
         return F.struct(F.lit(kind), F.col("url"), F.col("status"), source_pos.cast("int"), text).cast(UNIT)
 
-    scripts = F.transform(inline_scripts(), lambda s, i: unit("inline", i + F.size(found_sources(max_scripts)), s))
+    # counted once per page, not once per inline script
+    scripts = let(F.size(found_sources(max_scripts)), lambda external: F.transform(
+        inline_scripts(), lambda s, i: unit("inline", i + external, s)))
     body = F.array(unit("body", F.lit(0), F.col(TEXT)))
     return units.select(
         "target", "origin", "fetched_at",
@@ -82,10 +84,10 @@ def script_hits(
     def random_enough(text: Column) -> Column:
         return is_high_entropy(text, min_entropy) if use_entropy else F.lit(True)
 
-    def made(section: int, title: Column, found: Column, tags: Sequence[Column], pos: Column,
+    def made(section: int, title: Column, context: Column, tags: Sequence[Column], pos: Column,
              rank: Column | None = None, rule_id: Column | str = "") -> Column:
         return hit(
-            js.MODULE, title, context_window(F.col(TEXT), found, js.WINDOW), F.array(F.lit("javascript"), *tags),
+            js.MODULE, title, context, F.array(F.lit("javascript"), *tags),
             section=section, rank=rank, pos=pos, rule_id=rule_id, with_status=False,
             kind=F.expr("CASE unit WHEN 'inline' THEN 'finding' ELSE 'script' END"),
         )
@@ -95,25 +97,26 @@ def script_hits(
         return lambda m: F.regexp_extract(m, rule.java(), group)
 
     def secret_part() -> Column:
-        return per_rule(
-            rule_matches(rules) if found_secrets is None else found_secrets,
-            lambda r: F.filter(r["found"], lambda m: (F.length(m) >= MIN_SECRET) & random_enough(m)),
-            lambda r, m, i: made(
-                0, F.concat(r["label"], F.lit(" exposed in JavaScript")), m, [F.lit("secret"), r["id"]], i,
+        return per_placed_rule(
+            placed_matches(rules) if found_secrets is None else found_secrets, js.WINDOW,
+            lambda r, m: (F.length(m) >= MIN_SECRET) & random_enough(m),
+            lambda r, m, i, context: made(
+                0, F.concat(r["label"], F.lit(" exposed in JavaScript")), context, [F.lit("secret"), r["id"]], i,
                 r["rank"], r["id"]))
 
     def endpoint_part() -> Column:
-        return per_rule(
-            rule_matches(js.ENDPOINTS), lambda r: r["found"],
-            lambda r, m, i: made(
-                1, F.concat(r["label"], F.lit(" found in JavaScript: "), short(m, js.TITLE_CHARS)), m,
+        return per_placed_rule(
+            placed_matches(js.ENDPOINTS), js.WINDOW, lambda r, m: F.lit(True),
+            lambda r, m, i, context: made(
+                1, F.concat(r["label"], F.lit(" found in JavaScript: "), short(m, js.TITLE_CHARS)), context,
                 [F.lit("endpoint")], i, r["rank"], r["id"]))
 
     def keyed(section: int, rule: Rule, tag: str, key, keep=None) -> Column:
-        found = find_all(rule)
-        return F.transform(F.filter(found, keep) if keep else found, lambda m, i: made(
-            section, F.concat(F.lit(f"{rule.label}: "), key(m)), m, [F.lit(tag), F.lower(key(m))], i,
-            rule_id=rule.rule_id))
+        return per_placed_rule(
+            placed_matches([rule]), js.WINDOW, lambda r, m: keep(m) if keep else F.lit(True),
+            lambda r, m, i, context: made(
+                section, F.concat(F.lit(f"{rule.label}: "), key(m)), context, [F.lit(tag), F.lower(key(m))], i,
+                rule_id=rule.rule_id))
 
     def env_part() -> Column:
         def name(m: Column) -> Column:

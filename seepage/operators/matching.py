@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions.net import path_of
+from seepage.functions.text import context_window, let
 from seepage.rules import GATES, Rule, java_pattern
 from seepage.rules.scoring import MODULES
 from seepage.schema import HIT
@@ -46,18 +47,28 @@ def ignores_case(rule: Rule, flags: str) -> bool:
     return "i" in flags or rule.pattern.startswith("(?i)")
 
 
-def find_all_sql(rule: Rule, flags: str = "", cap: int | None = None) -> str:
+def stop_pattern(rule: Rule, flags: str) -> str:
+    """Pattern of the text up to the last closing part; empty without one."""
+    case = "i" if ignores_case(rule, flags) else ""
+    return java_pattern(f"^.*(?:{rule.stop})", "s" + case) if rule.stop else ""
+
+
+def found_group(rule: Rule) -> int:
+    return rule.group + 1 if rule.opener else rule.group
+
+
+def find_all_sql(rule: Rule, flags: str = "", cap: int | None = None, skipped: bool = False) -> str:
     """SQL for all matches of ``rule`` in the text, in order.
 
     Written as SQL because a rule set has dozens of these and building them
-    call by call takes longer than running them on a small partition.
+    call by call takes longer than running them on a small partition.  With
+    ``skipped`` an empty text stands where an opener failed.
     """
     source = TEXT
     if rule.stop:
-        case = "i" if ignores_case(rule, flags) else ""
-        source = f"regexp_extract({TEXT}, {literal(java_pattern(f'^.*(?:{rule.stop})', 's' + case))}, 0)"
-    found = f"regexp_extract_all({source}, {literal(rule.java(flags))}, {rule.group + 1 if rule.opener else rule.group})"
-    if rule.opener:
+        source = f"regexp_extract({TEXT}, {literal(stop_pattern(rule, flags))}, 0)"
+    found = f"regexp_extract_all({source}, {literal(rule.java(flags))}, {found_group(rule)})"
+    if rule.opener and not skipped:
         found = f"filter({found}, m -> m <> '')"
     tests = [f"_{rule.gate}"] if rule.gate else []
     if rule.needles:
@@ -81,6 +92,171 @@ def rule_matches(rules: Sequence[Rule], flags: Callable[[Rule], str] = lambda ru
     ) + ")")
 
 
+def placed_matches(rules: Sequence[Rule], flags: Callable[[Rule], str] = lambda rule: "") -> Column:
+    """As ``rule_matches``, with what is needed to find the places of the matches again.
+
+    ``found`` has an empty text where an opener failed, so that its elements
+    stand in line with the matches of the whole pattern.
+    """
+    return F.expr("array(" + ", ".join(
+        f"named_struct('rank', {rank}, 'id', {literal(rule.rule_id)}, 'label', {literal(rule.label)}, "
+        f"'tier', {literal(rule.tier)}, 'pattern', {literal(rule.java(flags(rule)))}, 'stop', {literal(stop_pattern(rule, flags(rule)))}, "
+        f"'found', {find_all_sql(rule, flags(rule), skipped=True)})"
+        for rank, rule in enumerate(rules)
+    ) + ")")
+
+
+# Up to this many matches of a rule are looked up one by one in the text.
+_FEW = 256
+# Characters of a match's end by which occurrences elsewhere are told, and those in front of it that are compared.
+_END, _NEAR = 8, 64
+_ENDS = f"(?s)(?=(.{{{_END}}}))"
+
+
+def _sections(rule: Column, some: int) -> Column:
+    """The text cut at the matches of one rule, in one sweep.
+
+    ``whole`` are the matches, ``start`` the text before the first, ``item``
+    the text from each match up to the next, ``head`` the last ``some``
+    characters of the start and of the items, ``tail`` the first ones of the
+    items.
+    """
+    text = F.col(TEXT)
+
+    def cut(source: Column) -> Column:
+        pieces = F.split(source, rule["pattern"], -1)
+        rest = F.substring(text, F.length(source) + 1, F.length(text))
+        with_rest = let(pieces, lambda p: F.concat(F.slice(p, F.lit(1), F.size(p) - 1), F.array(F.concat(F.element_at(p, -1), rest))))
+        return let(F.struct(
+            F.regexp_extract_all(source, rule["pattern"], F.lit(0)).alias("whole"),
+            F.when(rule["stop"] == "", pieces).otherwise(with_rest).alias("piece"),
+        ), items)
+
+    def items(cut_: Column) -> Column:
+        item = F.transform(cut_["whole"], lambda w, i: F.concat(w, F.get(cut_["piece"], i + 1)))
+        return let(item, lambda t: F.struct(
+            cut_["whole"].alias("whole"), cut_["piece"][0].alias("start"), t.alias("item"),
+            F.concat(F.array(F.right(cut_["piece"][0], F.lit(some))), F.transform(t, lambda x: F.right(x, F.lit(some)))).alias("head"),
+            F.transform(t, lambda x: F.left(x, F.lit(some))).alias("tail")))
+
+    return let(F.when(rule["stop"] == "", text).otherwise(F.regexp_extract_all(text, rule["stop"], F.lit(0))[0]), cut)
+
+
+def _joined(parts: Column, first: Column, count: Column) -> Column:
+    return F.array_join(F.slice(parts, first + 1, count), "")
+
+
+def _front(cut: Column, place: Column, chars: int) -> Column:
+    """At least ``chars`` characters in front of an item, if there are so many.
+
+    Each item has at least one character, so as many items are enough however
+    dense the matches are, and one is if it is long.
+    """
+    near, first = F.get(cut["head"], place), F.greatest(place - chars, F.lit(0))
+    return F.when(F.length(near) >= chars, near).otherwise(_joined(cut["head"], first, place - first + 1))
+
+
+def _around(cut: Column, place: Column, match: Column, width: int) -> Column:
+    """(before, after): the text around a match at its own place, more than ``width`` characters where there are more."""
+    whole, item = F.get(cut["whole"], place), F.get(cut["item"], place)
+    at = F.position(match, whole)
+    own = F.substring(item, at + F.length(match), F.lit(width + 1))
+    return F.struct(
+        F.right(F.concat(_front(cut, place, max(width, _NEAR) + 1), F.left(whole, at - 1)), F.lit(max(width, _NEAR) + 1)).alias("before"),
+        F.when(F.length(own) > width, own).otherwise(F.concat(own, _joined(cut["tail"], place + 1, F.lit(width + 1)))).alias("after"))
+
+
+def _snippet(match: Column, around: Column, width: int) -> Column:
+    return F.concat(
+        F.when(F.length(around["before"]) > width, F.concat(F.lit("... "), F.right(around["before"], F.lit(width)))).otherwise(around["before"]),
+        match,
+        F.when(F.length(around["after"]) > width, F.concat(F.left(around["after"], F.lit(width)), F.lit(" ..."))).otherwise(around["after"]))
+
+
+def _other_ends(cut: Column, matches: Column, kept: Callable[[Column], Column]) -> Column:
+    """What stands at the end of any place of the text other than the ends of the kept matches."""
+    def of_item(match: Column, place: Column) -> Column:
+        front = let(_front(cut, place, _END - 1), lambda f: F.right(f, F.lit(_END - 1)))
+        end = F.position(match, F.get(cut["whole"], place)) - 1 + F.length(match)
+        own = F.when(kept(match), end - _END)
+        return let(F.struct(front.alias("front"), own.alias("own")), lambda x: let(F.coalesce(x["own"] + F.length(x["front"]), F.lit(-1)), lambda left_out: F.filter(
+            F.regexp_extract_all(F.concat(x["front"], F.get(cut["item"], place)), F.lit(_ENDS), F.lit(1)), lambda _, k: k != left_out)))
+
+    return F.concat(F.regexp_extract_all(cut["start"], F.lit(_ENDS), F.lit(1)), F.flatten(F.transform(matches, of_item)))
+
+
+def _doubtful(placed: Column) -> Column:
+    """Matches that are also the end of the text up to another match's end."""
+    def ending(x: Column) -> Column:
+        return F.reverse(F.right(F.concat(x["around"]["before"], x["m"]), F.lit(_NEAR)))
+
+    def beside(s: Column, x: Column, k: Column) -> Column:
+        # all texts that end alike stand side by side
+        own = F.reverse(F.right(x["m"], F.lit(_NEAR)))
+        return F.coalesce((F.get(s, k)["m"] != x["m"]) & F.startswith(F.get(s, k)["ending"], own), F.lit(False))
+
+    ordered = F.array_sort(F.transform(placed, lambda x: F.struct(ending(x).alias("ending"), x["m"].alias("m"))))
+    return let(ordered, lambda s: F.array_distinct(F.transform(
+        F.filter(s, lambda x, k: beside(s, x, k - 1) | beside(s, x, k + 1)), lambda x: x["m"])))
+
+
+def _firsts(numbered: Column) -> Column:
+    """The first of equal matches each, in order."""
+    sorted_ = F.array_sort(F.transform(numbered, lambda x: F.struct(x["m"].alias("m"), x["n"].alias("n"), x["i"].alias("i"))))
+    firsts = let(sorted_, lambda s: F.filter(s, lambda x, k: (k == 0) | (F.get(s, k - 1)["m"] != x["m"])))
+    return F.array_sort(F.transform(firsts, lambda x: F.struct(x["n"].alias("n"), x["m"].alias("m"), x["i"].alias("i"))))
+
+
+def _contexts(rule: Column, numbered: Column, keep: Callable[[Column], Column], clean: Callable[[Column], Column], width: int) -> Column:
+    """(n, m, context) of the first of equal matches each, in time in proportion to the text.
+
+    A match's own place is where its text occurs first, unless the text occurs
+    elsewhere, too: then its end stands at a place that is no match's end, or
+    it is the end of the text up to another match.  Only such matches, and
+    very short ones, are searched for in the text.
+    """
+    def searched(cut: Column) -> Column:
+        placed = F.transform(numbered, lambda x: F.struct(
+            x["n"].alias("n"), x["m"].alias("m"), x["i"].alias("i"), _around(cut, x["i"], x["m"], width).alias("around")))
+        ends = F.array_intersect(_other_ends(cut, F.transform(rule["found"], clean), keep), F.transform(numbered, lambda x: F.right(x["m"], F.lit(_END))))
+        return let(placed, lambda p: let(F.struct(ends.alias("ends"), _doubtful(p).alias("doubtful")), lambda known: F.transform(
+            _firsts(numbered), lambda x: F.struct(x["n"].alias("n"), x["m"].alias("m"), F.when(
+                (F.length(x["m"]) < _END) | F.array_contains(known["ends"], F.right(x["m"], F.lit(_END))) | F.array_contains(known["doubtful"], x["m"]),
+                context_window(F.col(TEXT), x["m"], width)).otherwise(
+                    _snippet(x["m"], F.get(p, x["n"])["around"], width)).alias("context")))))
+
+    return let(_sections(rule, max(width, _NEAR) + 1), searched)
+
+
+def per_placed_rule(
+    rules: Column,
+    width: int,
+    keep: Callable[[Column, Column], Column],
+    make: Callable[[Column, Column, Column, Column], Column],
+    clean: Callable[[Column], Column] = lambda m: m,
+) -> Column:
+    """Hits of every rule of ``placed_matches``, each with the text around the first place where its match occurs.
+
+    ``clean`` trims a match, ``keep`` chooses among them, ``make`` gets rule,
+    match, number and context.  Equal matches of a rule give one hit.  A few
+    matches are looked up in the text one after the other; from many on the
+    text is cut at all of them at once, with the same results.
+    """
+    def hits(rule: Column) -> Column:
+        cleaned = F.filter(F.transform(rule["found"], lambda m, i: F.struct(clean(m).alias("m"), i.alias("i"))), lambda x: keep(rule, x["m"]))
+        numbered = F.transform(cleaned, lambda x, n: F.struct(n.alias("n"), x["m"].alias("m"), x["i"].alias("i")))
+
+        def made(kept: Column) -> Column:
+            one_by_one = F.transform(_firsts(kept), lambda x: F.struct(
+                x["n"].alias("n"), x["m"].alias("m"), context_window(F.col(TEXT), x["m"], width).alias("context")))
+            found = F.when(F.size(kept) <= _FEW, one_by_one).otherwise(_contexts(rule, kept, lambda m: keep(rule, m), clean, width))
+            return F.when(F.size(kept) > 0, F.transform(found, lambda x: make(rule, x["m"], x["n"], x["context"]))).otherwise(no_hits())
+
+        return let(numbered, made)
+
+    return F.flatten(F.transform(rules, hits))
+
+
 def first_rule(rules: Sequence[Rule], flags: str = "") -> Column:
     """Rank of the first rule that occurs in the text, null without one."""
     return F.expr("CASE " + " ".join(

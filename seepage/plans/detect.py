@@ -17,7 +17,7 @@ from seepage.operators.javascript import credit_scripts, reference_hits, script_
 from seepage.operators.joins import salted_join
 from seepage.operators.listing import listing_hits, suspected_listing_hits
 from seepage.operators.matching import (
-    Detector, as_raw, body_units, explode_hits, rule_matches,
+    Detector, as_raw, body_units, explode_hits, placed_matches,
 )
 from seepage.operators.metadata import documents_metadata
 from seepage.operators.scoring import score
@@ -54,7 +54,7 @@ def body_pass(responses: DataFrame, modules: Collection[str]) -> DataFrame | Non
     if "secrets" not in modules:
         return explode_hits(units, body_detectors(modules))
     # scripts and bodies are searched for the same token formats: match once
-    return explode_hits(units, body_detectors(modules, F.col(_SECRETS)), {_SECRETS: rule_matches(secret_rules.RULES)})
+    return explode_hits(units, body_detectors(modules, F.col(_SECRETS)), {_SECRETS: placed_matches(secret_rules.RULES)})
 
 
 def raw_findings(
