@@ -35,16 +35,18 @@ from pyspark.sql import functions as F
 from seepage.llm.words import mix, small_batches, text_bytes
 from seepage.sources.checkpoint import fresh_folder
 
-#: Longest n-grams, hash functions per level, exponent of the weight of shorter n-grams.
-ORDER, HASHES, WEIGHT = 3, 7, 0.85
+#: Longest n-grams, exponent of the weight of shorter n-grams.
+ORDER, WEIGHT = 3, 0.85
+#: Hash functions of the first level, where an error invents an n-gram, and of the others, where it raises a count.
+HASHES = 6, 4
 #: What is added to the count of each token.
 ADDED = 0.1
 #: Bytes of vocabulary and filter that a worker may hold.
 HELD = 320 << 20
 #: N-gram tokens per segment, at most about this many; n-grams that a task counts before it hands them on.
-SEGMENT, FLUSH = 1 << 22, 1 << 23
-#: Bits of an n-gram's hash behind its segment.
-_REST = 40
+SEGMENT, FLUSH = 1 << 20, 1 << 22
+#: Bits of an n-gram's hash behind its segment, and of the segment at most.
+_REST, _MOST = 40, 24
 _LEVELS = 48
 _START, _END = np.uint64(xxhash.xxh3_64_intdigest(b" start")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -130,19 +132,19 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def bloom(keys: np.ndarray, counts: np.ndarray, hashes: int = HASHES) -> tuple[int, bytes]:
+def bloom(keys: np.ndarray, counts: np.ndarray, hashes: tuple[int, int] = HASHES) -> tuple[int, bytes]:
     """(bits, packed bits) of a filter that holds each key once per level of its count."""
     levels = levels_of(counts)
-    size = max(64, int(np.ceil(levels.sum() * hashes / np.log(2))))
+    size = max(64, int(np.ceil((len(keys) * hashes[0] + (levels - 1).sum() * hashes[1]) / np.log(2))))
     flags = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         first, second = _hashed(keys[levels >= level], level)
-        for i in range(hashes):
+        for i in range(hashes[min(level, 2) - 1]):
             flags[_bit(first, second, i, size)] = True
     return size, np.packbits(flags, bitorder="little").tobytes()
 
 
-def probe(bits: np.ndarray, base: np.ndarray | int, size: np.ndarray | int, keys: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+def probe(bits: np.ndarray, base: np.ndarray | int, size: np.ndarray | int, keys: np.ndarray, hashes: tuple[int, int] = HASHES) -> np.ndarray:
     """Level of each key: the last one before the first that is missing; 0 if none is there.
 
     ``base`` (first bit) and ``size`` are one number or one per key.
@@ -155,7 +157,7 @@ def probe(bits: np.ndarray, base: np.ndarray | int, size: np.ndarray | int, keys
             break
         start, own, place = base[alive], size[alive], np.arange(len(alive))
         first, second = _hashed(keys[alive], level)
-        for i in range(hashes):
+        for i in range(hashes[min(level, 2) - 1]):
             at = _bit(first[place], second[place], i, own[place]) + start[place]
             place = place[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         alive = alive[place]
@@ -236,11 +238,11 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     # six bytes a word
-    bits = max(0, int(np.ceil(np.log2(max(1, size / 6 * max(1, order - 1) / SEGMENT)))))
-    if bits + _REST > 64:
-        raise ValueError("too many segments")
+    bits = min(_MOST, max(0, int(np.ceil(np.log2(max(1, size / 6 * max(1, order - 1) / SEGMENT))))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker that trains drops the model that it scored with
+        _whole.cache_clear()
         waiting: list[list[np.ndarray]] = [[] for _ in range(order)]
         total = 0
 
@@ -296,7 +298,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 class _Whole:
     """All segments of a model in one worker, each byte of them once."""
 
-    def __init__(self, folder: str, order: int, bits: int):
+    def __init__(self, folder: str, order: int, bits: int, most: int):
         store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
         files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
         self.bits = bits
@@ -311,7 +313,8 @@ class _Whole:
                 self.start[row["order"], row["segment"]], self.size[row["order"], row["segment"]] = 8 * filled, row["size"]
                 filled += -(-row["size"] // 8)
         words = np.cumsum(words)
-        self.data, self.keys, self.counts = np.zeros(filled, np.uint8), np.zeros(words[-1], np.uint64), np.zeros(words[-1], np.int64)
+        kind = np.uint32 if most < 1 << 32 else np.int64
+        self.data, self.keys, self.counts = np.zeros(filled, np.uint8), np.zeros(words[-1], np.uint64), np.zeros(words[-1], kind)
         for row in self._rows(store, files, ["order", "segment", "data", "counts"]):
             n, segment = row["order"], row["segment"]
             if n == 1:
@@ -338,9 +341,9 @@ class _Whole:
 
 
 @lru_cache(1)
-def _whole(folder: str, order: int, bits: int) -> _Whole:
-    """One per worker process, kept between its tasks."""
-    return _Whole(folder, order, bits)
+def _whole(folder: str, order: int, bits: int, most: int) -> _Whole:
+    """One per worker process, kept between its tasks; ``most`` bounds the counts."""
+    return _Whole(folder, order, bits, most)
 
 
 def looked_up(known: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -381,7 +384,7 @@ def score(docs: DataFrame, model: Model, held: int = HELD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            own = _whole(folder, scorer.order, scorer.bits)
+            own = _whole(folder, scorer.order, scorer.bits, scorer.tokens)
             yield _scored(batch.column("doc_id"), batch.column("text"), scorer, own.find)
 
     return rows.mapInArrow(run, _SCORED)
