@@ -135,7 +135,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 def bloom(keys: np.ndarray, counts: np.ndarray, hashes: tuple[int, int] = HASHES) -> tuple[int, bytes]:
     """(bits, packed bits) of a filter that holds each key once per level of its count."""
     levels = levels_of(counts)
-    size = max(64, int(np.ceil((len(keys) * hashes[0] + (levels - 1).sum() * hashes[1]) / np.log(2))))
+    size = max(1 << 12, int(np.ceil((len(keys) * hashes[0] + (levels - 1).sum() * hashes[1]) / np.log(2))))
     flags = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         first, second = _hashed(keys[levels >= level], level)
