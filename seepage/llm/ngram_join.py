@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,16 +134,21 @@ def _shared(tokens: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np
 
 
 class _Chunk:
-    """Sets gathered by a task until there are enough shingles to hand on."""
+    """Sets gathered by a task until there are enough shingles to hand on.
 
-    def __init__(self) -> None:
+    Equal sets are one, or with ``by_id`` the sets of one id.
+    """
+
+    def __init__(self, by_id: bool = False) -> None:
+        self.by_id = by_id
         self.by_digest: dict[bytes, int] = {}
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
         self.n = 0
 
     def add(self, doc_id: int, shingles: np.ndarray) -> None:
-        digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+        told_by = doc_id.to_bytes(8, "little", signed=True) if self.by_id else shingles.tobytes()
+        digest = hashlib.blake2b(told_by, digest_size=16).digest()
         at = self.by_digest.get(digest)
         if at is not None:  # a copy: only the least id can stand for its class
             self.ids[at] = min(self.ids[at], doc_id)
@@ -198,24 +203,27 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "chunk", "kind", "block"])
 
 
-def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT, ids: Callable[[pa.Array], list[int]] | None = None) -> DataFrame:
     """(doc_id, n, tokens) of sets of which at least ``percent`` is held by other sets too.
 
     ``tokens`` are the shared shingles in ascending order, ``n`` is the size
     of the whole set, ``total`` the number of shingles in all of ``docs``.
-    Of equal sets one may be left out, never the one with the least id.
+    Of equal sets one may be left out, never the one with the least id.  With
+    ``ids``, which makes ids of texts, ``docs`` needs none; then sets of
+    different ids are different sets, and an id may come more than once.
     """
     buckets = 1 << max(0, (total // BUCKET).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk()
+        chunk = _Chunk(ids is not None)
         for batch in small_batches(batches, "text"):
-            for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), width)):
+            own = ids(batch.column("text")) if ids else batch.column("doc_id").to_pylist()
+            for doc_id, shingles in zip(own, token_sets(batch.column("text"), width)):
                 if doc_id is not None and len(shingles):
                     chunk.add(doc_id, shingles)
             if chunk.n >= CHUNK:
                 yield from (_batch([row]) for row in chunk.rows(buckets))
-                chunk = _Chunk()
+                chunk = _Chunk(ids is not None)
         if chunk.n:
             yield from (_batch([row]) for row in chunk.rows(buckets))
 
@@ -261,7 +269,7 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
             pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)), pa.array(np.concatenate(parts or [_EMPTY]).view(np.int64)))
         return pa.table({"doc_id": pa.array(ids[kept]), "n": pa.array(sizes[kept]), "tokens": lists})
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, _ROWS)
+    sent = (docs.select("text") if ids else docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(send, _ROWS)
     met = sent.groupBy("bucket").applyInArrow(meet, _ROWS)
     return met.groupBy("chunk").applyInArrow(collect, "doc_id long, n long, tokens array<bigint>")
 
@@ -424,6 +432,18 @@ def _split_links(large: DataFrame, sets: DataFrame, walk, percent: int, most_set
     return stars.unionByName(stored(walk(probes.unionByName(stay).unionByName(guests)), "links"))
 
 
+def text_clusters(docs: DataFrame, ids: Callable[[pa.Array], list[int]], width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of those texts of ``docs`` (text) that link with another one, by the ids that ``ids`` makes of them.
+
+    One pass over the texts: no digests of sets are made first, so texts with
+    equal sets and different ids meet in the join like other near copies.
+    """
+    # six bytes a word; only the number of buckets follows from it
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    sets = stored(partnered(docs, total, width, percent, ids).dropDuplicates(["doc_id"]), "sets")
+    return components(links(sets, percent))
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
 

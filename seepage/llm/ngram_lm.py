@@ -26,13 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyarrow import fs, parquet
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seepage.llm.words import mix, small_batches, text_bytes
+from seepage.llm.words import Words, mix, small_batches
 from seepage.sources.checkpoint import fresh_folder
 
 #: Longest n-grams, exponent of the weight of shorter n-grams.
@@ -48,8 +47,8 @@ SEGMENT, FLUSH = 1 << 20, 1 << 22
 #: Bits of an n-gram's hash behind its segment, and of the segment at most.
 _REST, _MOST = 40, 24
 _LEVELS = 48
-_START, _END = np.uint64(xxhash.xxh3_64_intdigest(b" start")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+# numbers in place of word hashes
+_START, _END = np.uint64(0x5EED0000000057A7), np.uint64(0x5EED00000000E4D5)
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _PART = "order int, segment int, keys binary, counts binary"
 _KEPT = "order int, segment int, size long, data binary, counts binary, n array<long>, total array<long>"
@@ -59,21 +58,14 @@ class Sequences:
     """Texts as token hashes: a start, the lower-cased words, an end."""
 
     def __init__(self, column: pa.Array):
-        data, places = text_bytes(column)
-        whole = data.tobytes().translate(_LOWER)
-        texts = [whole[a:b].split() for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
-        known: dict[bytes, int] = {}
-        place = known.setdefault
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        ids = np.fromiter((place(w, len(known)) for words in texts for w in words), np.int64, int(sizes.sum()))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        words = Words(column)
         #: Text i is ``tokens[offsets[i]:offsets[i + 1]]``.
-        self.offsets = np.concatenate(([0], np.cumsum(sizes + 2)))
+        self.offsets = words.offsets + 2 * np.arange(words.n_rows + 1)
         self.tokens = np.empty(int(self.offsets[-1]), np.uint64)
         inside = np.ones(len(self.tokens), bool)
         inside[self.offsets[:-1]] = inside[self.offsets[1:] - 1] = False
         self.tokens[self.offsets[:-1]], self.tokens[self.offsets[1:] - 1] = _START, _END
-        self.tokens[inside] = hashes[ids]
+        self.tokens[inside] = words.hashes
         #: Place of each token in its text; the start has 0.
         self.depth = np.arange(len(self.tokens)) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
 

@@ -14,20 +14,25 @@ row spread over the groups as well.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seepage.llm.mixing import n_words
-from seepage.llm.ngram_join import near_components
+from seepage.llm.ngram_join import text_clusters
 from seepage.llm.tables import stored
+from seepage.llm.words import small_batches, text_bytes
+from seepage.operators.joins import salted_join
 
 #: Words of a sequence, and pieces that one task packs together.
 CAPACITY, GROUP = 2048, 4096
 #: Rests of one source that a sequence may hold.
 LANES = 3
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int, lanes: int = 1) -> list[int]:
@@ -111,15 +116,39 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, lanes: i
     return packed.unionByName(alone)
 
 
+def text_keys(column: pa.Array) -> list[int]:
+    """A 64-bit hash of each text's words, lower-cased from A to Z; null is empty."""
+    data, places = text_bytes(column)
+    lowered = data.tobytes().translate(_LOWER)
+    return [_key(lowered[a:b].split()) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+
+
+def _key(words: list[bytes]) -> int:
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, _key, size) per row of (doc_id, text, source)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            data, places = text_bytes(batch.column("text"))
+            lowered = data.tobytes().translate(_LOWER)
+            words = [lowered[a:b].split() for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("source"), pa.array([_key(w) for w in words], pa.int64()), pa.array([len(w) for w in words], pa.int64())],
+                ["doc_id", "source", "_key", "size"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, _key long, size long")
+
+
 def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pack`` for (doc_id, text, source): sizes in words, and the texts of a component of near copies are a cluster."""
-    # texts that are equal but for ASCII case are one document of the join, whatever their ids
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    key = F.xxhash64(lowered)
-    near = near_components(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
-    rows = docs.select(F.col("doc_id").cast("long"), "source", key.alias("_key"), n_words(F.col("text")).alias("size"))
-    joined = rows.join(near.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
-    return pack(stored(joined, "sizes"), capacity, group)
+    # texts of the same words are one document of the join, whatever their ids
+    near = text_clusters(docs, text_keys).select(F.col("node").alias("_key"), "component")
+    # a text may be repeated in a third of all rows
+    joined = salted_join(stored(_sized(docs), "keys"), near, "_key", "left")
+    rows = joined.select("doc_id", "source", F.coalesce("component", "_key").alias("cluster"), "size")
+    return pack(stored(rows, "sizes"), capacity, group)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
