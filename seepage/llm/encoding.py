@@ -38,8 +38,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        # the strings of special tokens are ordinary text in a document
-        self.whole.encode_special_tokens = True
+        # a text that holds the string of an added token is given to the library as a whole
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
         self.model = self.whole.model
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
@@ -80,6 +81,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added.search(text):
+            return self._plain(text)
         if _IRREGULAR.search(text):
             return self._irregular(text)
         pieces = text.replace("\n", " \n").split(" ")

@@ -130,15 +130,16 @@ def learn(docs: DataFrame, length: int = PROFILE) -> Profiles:
         for lang, (found, counts) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
+    named = docs.filter("lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if named > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; one profile each is sent to the tasks")
     counted = docs.filter("lang is not null").select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(_SHARDS)))
     best = (F.col("n").desc(), F.col("gram"))
     tops = summed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "shard").orderBy(*best))).filter(F.col("place") <= length)
-    # at most PROFILE n-grams of each shard of each language
+    # at most PROFILE n-grams of each shard of each of MOST_LANGUAGES languages
     rows = tops.select("lang", "gram", "n").toPandas()
     languages = sorted(rows["lang"].unique().tolist())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} profiles are sent to the tasks")
     profiles = []
     for lang in languages:
         own = rows[rows["lang"] == lang].sort_values(["n", "gram"], ascending=[False, True])["gram"].to_numpy(np.int64)

@@ -49,8 +49,9 @@ def _moved_in(store: fs.FileSystem, name: str, write) -> None:
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
     """Write ``docs`` (doc_id, text) to ``folder``; returns (shard, n_docs, n_ids) per shard.
 
-    Ids ascend, rows without an id come first, rows with equal ids keep the
-    order of their texts.  Null texts are empty documents: the end id alone.
+    Ids ascend, rows without an id come first, rows with equal ids are ordered
+    by a hash of their texts, then by the texts, wherever the rows lie.  Null
+    texts are empty documents: the end id alone.
     """
     path = path or default_path()
 
@@ -92,9 +93,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
     store.create_dir(base)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the row's place tells equal rows apart, so that they spread over shards, too
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_row", F.monotonically_increasing_id())
-    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("_row"))
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_row").select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row"))
+    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_hash", "text", "_row").select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
     return stored(ordered.mapInArrow(run, "shard long, n_docs long, n_ids long"), "manifest")
 
 

@@ -6,7 +6,9 @@ After each group the score so far plus the most that the remaining dimensions
 can add (the product of both remaining norms) is compared with the k-th best
 score that the query has already; candidates that cannot reach it are dropped
 and the surviving columns are moved together.  Scores are integers, so equal
-bounds are kept and the result is exact.
+bounds are kept and the result is exact.  Where components are so large that
+float64 rounds the products, bounds leave room for that and what survives is
+multiplied again as whole numbers.
 
 Queries and candidates meet as blocks: every slice of candidate blocks takes
 every query block, in tasks of bounded size.  Neither side is broadcast.
@@ -27,11 +29,16 @@ from seepage.llm.tables import stored
 K, STEP, BLOCK, QUERIES, SLICE = 20, 16, 4096, 1024, 8
 
 
+#: Whole numbers up to this are exact in float64.
+_EXACT = 2.0**53
+
+
 def quantized(embedding: Column, scale: int) -> Column:
-    """floor(scale * x) of every component, or null if a component is null or not finite."""
+    """floor(scale * x) of every component as a double, or null if a component is null or not finite (or beyond 1e300)."""
     wide = F.transform(embedding, lambda x: x.cast("double"))
-    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
+    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e300))
+    # a double beyond 2^52 is a whole number
+    return F.when(~bad, F.transform(wide, lambda x: F.when(F.abs(x * scale) < 2**52, F.floor(x * scale).cast("double")).otherwise(x * scale)))
 
 
 def _tail_norms(vertical: np.ndarray, step: int) -> np.ndarray:
@@ -52,7 +59,10 @@ class Best:
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.concatenate((self.scores[q], scores)), np.concatenate((self.ids[q], ids))
-        order = np.lexsort((ids, -scores))[: self.k]
+        if scores.dtype == object:
+            order = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[: self.k], np.int64)
+        else:
+            order = np.lexsort((ids, -scores))[: self.k]
         self.scores[q], self.ids[q] = scores[order], ids[order]
         if len(order) == self.k:
             self.floor[q] = self.scores[q][-1]
@@ -92,6 +102,28 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, query_tails: np.nda
     return made
 
 
+def search_wide(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, best: Best) -> None:
+    """``search_block`` for components whose products float64 rounds: rounded scores leave out what is surely too low."""
+    rough = queries.T @ candidates
+    room = np.abs(queries).T @ np.abs(candidates) * (4 * len(queries) * 2.0**-52) + 1
+    for q in range(len(query_ids)):
+        sure = (rough[q] - room[q])[ids != query_ids[q]]
+        # at least k candidates reach this
+        least = np.partition(sure, len(sure) - best.k)[len(sure) - best.k] if len(sure) >= best.k else -np.inf
+        keep = np.flatnonzero((rough[q] + room[q] >= max(least, float(best.floor[q]) * (1 - 2.0**-50 * np.sign(float(best.floor[q]))))) & (ids != query_ids[q]))
+        own = [int(x) for x in queries[:, q].tolist()]
+        scores = np.empty(len(keep), object)
+        scores[:] = [sum(a * int(b) for a, b in zip(own, column)) for column in candidates[:, keep].T.tolist()]
+        best.add(q, scores, ids[keep])
+
+
+def _is_exact(queries: np.ndarray, candidates: np.ndarray) -> bool:
+    """All sums of products are whole numbers that float64 holds."""
+    if not queries.size or not candidates.size:
+        return True
+    return float(np.abs(queries).max()) * float(np.abs(candidates).max()) * len(queries) < _EXACT
+
+
 def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
     """(block, n, ids, dims, cells): at most ``size`` vectors each, of one length, dimension by dimension."""
 
@@ -102,32 +134,38 @@ def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
                 part = batch.filter(pa.array(widths == width))
                 for start in range(0, part.num_rows, size):
                     some = part.slice(start, size)
-                    cells = some.column("codes").flatten().to_numpy().reshape(some.num_rows, width).T
+                    cells = some.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, width).T
                     yield pa.RecordBatch.from_arrays([
                         pa.array([int(some.column("vec_id")[0].as_py())], pa.int64()), pa.array([width], pa.int32()),
                         pa.array([some.column("vec_id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                        pa.array([np.ascontiguousarray(cells).astype(np.int32).tobytes()], pa.binary())], ["block", "dims", "ids", "cells"])
+                        pa.array([np.ascontiguousarray(cells, _kind(cells)).tobytes()], pa.binary())], ["block", "dims", "ids", "cells"])
 
     return stored(vectors.mapInArrow(run, "block long, dims int, ids binary, cells binary"), name)
 
 
+def _kind(cells: np.ndarray) -> type:
+    """The narrowest type that holds all components."""
+    return np.int32 if not cells.size or np.abs(cells).max() < 2**31 else np.float64
+
+
 def _open(ids: bytes, cells: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(cells, np.int32).reshape(dims, len(own)).astype(np.float64)
+    kind = np.int32 if len(cells) <= 4 * dims * len(own) else np.float64
+    return own, np.frombuffer(cells, kind).reshape(dims, len(own)).astype(np.float64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query with other vectors.
 
-    Both tables hold (vec_id long, codes array<long>).  Rows with null ids or
+    Both tables hold (vec_id long, codes array<double>) of whole numbers.  Rows with null ids or
     codes take no part; vectors of another length than the query's are no
     candidates.  A query never finds a vector of its own id; vectors that are
-    given twice are found twice; a query that is given twice asks once.  Ties go to the smaller id.  Components up to
-    2^20 are exact (sums stay below 2^53).
+    given twice are found twice; a query that is given twice asks once.  Ties go to the smaller id.  Scores are exact
+    for whole components of any size; one beyond the range of a long is given as the nearest long.
     """
     usable = "vec_id is not null and codes is not null"
-    held = _blocks(vectors.filter(usable).select(F.col("vec_id").cast("long"), "codes"), BLOCK, "candidates")
-    asked = _blocks(queries.filter(usable).select(F.col("vec_id").cast("long"), "codes").distinct(), QUERIES, "queries")
+    held = _blocks(vectors.filter(usable).select(F.col("vec_id").cast("long"), F.col("codes").cast("array<double>")), BLOCK, "candidates")
+    asked = _blocks(queries.filter(usable).select(F.col("vec_id").cast("long"), F.col("codes").cast("array<double>")).distinct(), QUERIES, "queries")
     slices = max(1, -(-held.count() // SLICE))
     sides = max(1, asked.count())
 
@@ -146,10 +184,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, step: int = STEP)
             for places, cells, dims in zip(offered.column("ids"), offered.column("cells"), offered.column("dims")):
                 if dims.as_py() == q["dims"]:
                     ids, block = _open(places.as_py(), cells.as_py(), q["dims"])
-                    search_block(wanted, query_ids, tails, block, ids, best, step)
+                    if _is_exact(wanted, block):
+                        search_block(wanted, query_ids, tails, block, ids, best, step)
+                    else:
+                        search_wide(wanted, query_ids, block, ids, best)
             for i, query_id in enumerate(query_ids.tolist()):
                 rows.append((np.full(len(best.ids[i]), query_id), best.ids[i], best.scores[i]))
         columns = [np.concatenate([r[c] for r in rows]) if rows else np.zeros(0, np.int64) for c in range(3)]
+        if columns[2].dtype == object:
+            columns[2] = np.array([max(-(2**63), min(2**63 - 1, s)) for s in columns[2].tolist()], np.int64)
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     found = askers.groupBy("slice", "side").cogroup(candidates.groupBy("slice", "side")).applyInArrow(search, "query_id long, vec_id long, score long")

@@ -111,7 +111,7 @@ def _select(per_row: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str | None], grades: list[int], row_weights: list[float], steps: int = 400, ridge: float = 1e-5) -> Model:
     """Maximum likelihood with a ridge, by full-batch Adam steps; the thresholds stay ordered."""
-    grades, row_weights = np.asarray(grades), np.asarray(row_weights, float)
+    grades, row_weights = np.asarray(grades, np.int64), np.asarray(row_weights, float)
     per_row: list[np.ndarray] = []
     counted: list[tuple[np.ndarray, np.ndarray]] = []
     column = pa.array(texts, pa.large_string())
@@ -192,6 +192,8 @@ def train(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE, behind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(r["doc_id"], r["text"] or "", r["grade"], r["weight"]) for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
         rows.sort(key=lambda r: (r[0], r[1]))
         model = fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.features, model.weights, model.thresholds)], ["features", "weights", "thresholds"])

@@ -61,3 +61,44 @@ def test_split_uses_the_id_as_text(spark):
 
     rows = spark.range(50).select(F.col("id").alias("doc_id"), held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+def plain_grams(text):
+    """N-grams of lower-cased words, letter by letter."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    padded = " " + " ".join(words) + " " if words else ""
+    out = [c for c in padded if c != " "] + [padded[i : i + 2] for i in range(len(padded) - 1)]
+    return out + [padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " "]
+
+
+def plain_ranks(grams, most):
+    from collections import Counter
+
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return [g for g, _ in sorted(Counter(grams).items(), key=lambda x: (-x[1], number(x[0])))[:most]]
+
+
+def test_out_of_place_sums_by_hand(spark, small):
+    learned = small.filter("doc_id % 3 > 0 and lang is not null")
+    profiles = language.learn(learned, 80)
+    texts = {}
+    for r in learned.collect():
+        texts.setdefault(r.lang, []).append(r.text or "")
+    wanted = {lang: plain_ranks([g for t in own for g in plain_grams(t)], 80) for lang, own in texts.items()}
+    assert profiles.languages == sorted(wanted)
+    for r in small.filter("doc_id % 3 = 0").limit(25).collect():
+        own = plain_ranks(plain_grams(r.text or ""), 80)
+        if own:
+            apart = {lang: sum(abs(w.index(g) - i) if g in w else 80 for i, g in enumerate(own)) for lang, w in wanted.items()}
+            best = min(sorted(apart), key=apart.get)
+            assert profiles.nearest(r.text) == (best, 1 - apart[best] / (len(own) * 80))
+
+
+def test_too_many_languages(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "ab", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language.learn(docs)
+    assert len(language.learn(docs.filter("doc_id < 3")).languages) == 3

@@ -12,7 +12,6 @@ ODD = ["", None, "a", " a", "a ", "a  b", "a\n\nb", "a\nb c.\nD", "don't stop",
 @pytest.fixture(scope="module")
 def plain():
     own = Tokenizer.from_file(encoding.default_path())
-    own.encode_special_tokens = True
     return lambda text: own.encode(text or "", add_special_tokens=False).ids
 
 

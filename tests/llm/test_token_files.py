@@ -28,7 +28,6 @@ def test_elias_fano_round_trip():
 
 def round_trip(spark, docs):
     own = Tokenizer.from_file(encoding.default_path())
-    own.encode_special_tokens = True
     folder = fresh_folder(spark, "ids")
     manifest = token_files.write(docs, folder)
     found = sorted(token_files.read(spark, folder, manifest).collect(), key=lambda r: r.start)
@@ -58,3 +57,21 @@ def test_edges(spark, documents):
     docs = documents((5, None), (5, ""), (-3, "a b"), (7, "same"), (7, "same"), (None, "x"), (None, None), (2**62, "x " * 30000))
     round_trip(spark, docs)
     assert token_files.read(spark, *(lambda f: (f, token_files.write(docs.filter("false"), f)))(fresh_folder(spark, "ids"))).collect() == []
+
+
+def test_strings_of_added_tokens_are_what_the_library_makes_of_them(spark, documents):
+    own = Tokenizer.from_file(encoding.default_path())
+    added = [t.content for t in own.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f"a {t} b{t}{t}c\n{t}" for t in added] + [t[:-1] + " x" for t in added]
+    round_trip(spark, documents(*enumerate(texts)))
+
+
+def test_files_do_not_depend_on_the_order_of_rows(spark, documents):
+    rows = [(i % 3 if i % 4 else None, f"text {i % 7} " * (i % 5)) for i in range(60)]
+    found = []
+    for some in (rows, rows[::-1]):
+        folder = fresh_folder(spark, "ids")
+        manifest = token_files.write(documents(*some, partitions=2), folder)
+        found.append(sorted((r.start, str(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_files.read(spark, folder, manifest).collect()))
+    assert [f[::2] for f in found[0]] == [f[::2] for f in found[1]] and [f[3] for f in found[0]] == [f[3] for f in found[1]]

@@ -50,3 +50,21 @@ def test_edges(spark):
     assert [r for r in found if r[0] == 0] == [(0, 1, 6, 1313), (0, 2, 6, 1313), (0, 3, 20, 960)]
     assert len([r for r in found if r[0] == 20]) == 3
     assert topk.top_k(codes.filter("false"), codes.filter("false")).collect() == []
+
+
+def test_large_components_are_exact(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([1e9, -3e9, 64.0, 2.0**40 + 1, 0.0, float(rng.randrange(10**6))]) for _ in range(6)]) for i in range(120)]
+    rows += [(500, [1e9, 0.0, 0.0, 0.0, 0.0, 0.0]), (501, [64.0, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, codes array<double>").repartition(3)
+    found = sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 20 = 0"), 6).collect())
+    plain = []
+    for q, v in [r for r in rows if r[0] % 20 == 0]:
+        hits = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:6]
+        plain += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(hits)]
+    wanted = sorted(plain)
+    # scores beyond a long are equal in the result; the others and their order are not
+    assert [r[:2] + r[3:] for r in found] == [r[:2] + r[3:] for r in wanted]
+    assert [r for r in found if abs(r[3]) < 2**63 - 1] == [r for r in wanted if abs(r[3]) < 2**63 - 1]
+    codes = spark.createDataFrame([(0, [1e9]), (1, [64.0]), (2, [3e38])], "vec_id long, embedding array<double>").select("vec_id", topk.quantized(F.col("embedding"), 64).alias("codes"))
+    assert {r.vec_id: r.codes for r in codes.collect()} == {0: [64e9], 1: [4096.0], 2: [3e38 * 64]}

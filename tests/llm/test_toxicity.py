@@ -62,3 +62,54 @@ def test_without_labels_or_rows(spark, documents):
     assert toxicity.predict(docs.filter("false"), model).collect() == []
     one_class = toxicity.train_from_labels(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert toxicity.keep_harmless(docs, one_class).count() == 2
+
+
+def test_tables_without_rows(spark, tmp_path):
+    # read from files, so that the optimizer can't see that they are empty
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(77, 1), (78, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    empty, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    assert toxicity.predict(empty, toxicity.train_from_labels(empty, labels)).collect() == []
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert toxicity.keep_harmless(docs, toxicity.train_from_labels(docs, labels)).count() == 2
+
+
+def scores_by_hand(texts, grades, weights, features, row_weights, thresholds):
+    """Average loss of a cumulative-link model, written out row by row."""
+    import math
+
+    out = 0.0
+    for text, grade, weight in zip(texts, grades, row_weights):
+        score = sum(weights[f] * (1 + math.log2(n)) for f, n in text.items() if f in features)
+        above = [1.0, *(1 / (1 + math.exp(-(score - t))) for t in thresholds), 0.0]
+        out -= weight * math.log(max(above[grade] - above[grade + 1], 1e-12))
+    return out / sum(row_weights)
+
+
+def test_fitted_weights_are_at_the_least_loss():
+    import pyarrow as pa
+
+    rows = corpus(150, 9)
+    texts, grades = [t for _, t, _ in rows], [g for _, _, g in rows]
+    model = toxicity.fit(texts, grades, [1.0] * len(rows), steps=3000, ridge=0.01)
+    found, hashes, _ = toxicity._features(pa.array(texts))
+    counted = [{} for _ in texts]
+    for row, h in zip(found.tolist(), hashes.tolist()):
+        counted[row][h] = counted[row].get(h, 0) + 1
+    features = model.features.tolist()
+    own = dict(zip(features, model.weights.tolist()))
+
+    def loss(weights, thresholds):
+        return scores_by_hand(counted, grades, weights, own, [1.0] * len(rows), thresholds) + 0.005 * sum(w * w for w in weights.values())
+
+    least = loss(own, model.thresholds)
+    for f in features[:: max(1, len(features) // 6)]:
+        for step in (-0.2, 0.2):
+            assert loss({**own, f: own[f] + step}, model.thresholds) > least - 1e-6
+    for k in range(len(model.thresholds)):
+        for step in (-0.2, 0.2):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            if (np.diff(moved) > 0).all():
+                assert loss(own, moved) > least - 1e-6
