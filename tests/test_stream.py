@@ -1,10 +1,13 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from seepage.operators import body, dedup, scoring
 from seepage.operators.matching import run
 from seepage.plans.detect import detect
-from seepage.streaming import stream
+from seepage.streaming import clustered, stream
+from seepage.streaming.clustered import ClusteredTable, KnownFingerprints
 from tests.conftest import SF
 
 SCHEMA = "target string, url string, status int, body string, fetched_at timestamp"
@@ -114,3 +117,119 @@ def test_late_rows_are_dropped_from_windows(spark, tmp_path):
     assert add(7200) == {600: 2, 7200: 1}
     # the watermark stands at 3600 now: 800 is too late, 7300 is not
     assert add(800, 7300) == {600: 2, 7200: 2}
+
+
+def prints(spark, *numbers):
+    return spark.createDataFrame([(hashlib.sha256(b"%d" % n).hexdigest(), n) for n in numbers], "fingerprint string, n int")
+
+
+def opened(df):
+    """How many files the scan of ``df`` opens."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().get("numFiles").get().value()
+
+
+def test_a_batch_opens_only_the_clusters_that_it_needs(spark, tmp_path):
+    known = KnownFingerprints(spark, f"{tmp_path}/known", digits=2, rows=1, merge_every=0)
+    for batch in range(3):
+        known.add(prints(spark, *range(200 * batch, 200 * batch + 200)), batch)
+    assert opened(known.table.read(3)) > 300
+    fresh = prints(spark, 5, 404, 9001, 9002)
+    maybe = known.maybe_known(fresh, 3)
+    prefixes = known.table.prefixes(maybe)
+    wanted = set(known.table.prefixes(prints(spark, 5, 404)))
+    # a bitmap may be wrong, but not often
+    assert wanted <= set(prefixes) and len(prefixes) <= 3
+    # three parts, one folder of a prefix each
+    assert opened(known.table.read(3, prefixes)) <= 3 * len(prefixes)
+    assert sorted(r.n for r in known.new_only(fresh, 3).collect()) == [9001, 9002]
+    # a batch that runs again doesn't see itself
+    assert known.new_only(prints(spark, 450), 2).count() == 1
+    assert known.new_only(prints(spark, 450), 3).count() == 0
+
+
+def test_bitmaps_of_large_parts(spark, tmp_path):
+    known = KnownFingerprints(spark, f"{tmp_path}/known", digits=1, merge_every=0, rows=1, keys=10)
+    known.add(prints(spark, *range(1000)), 0)
+    known.add(prints(spark, *range(1000, 1005)), 1)
+    assert {r.depth for r in known.filters.read(2).select("depth").distinct().collect()} == {0, 2}
+    found = known.new_only(prints(spark, *range(900, 1100)), 2)
+    assert sorted(r.n for r in found.collect()) == list(range(1005, 1100))
+
+
+def test_twenty_batches_with_merges_equal_one(spark, tmp_path):
+    known = KnownFingerprints(spark, f"{tmp_path}/known", digits=1, merge_every=4, rows=5)
+    kept = []
+    for batch in range(20):
+        own = prints(spark, *range(7 * batch, 7 * batch + 12))
+        new = known.new_only(own, batch)
+        numbers = sorted(r.n for r in new.collect())
+        known.add(new, batch)
+        kept += numbers
+    assert kept == list(range(7 * 19 + 12))
+    assert len(known.table.live(20)) <= 6 and len(known.filters.live(20)) <= 6
+    assert known.table.read(20).count() == len(kept)
+
+
+def test_an_unfinished_merge_does_not_count(spark, tmp_path):
+    table = ClusteredTable(spark, f"{tmp_path}/t", "k", "k string, v int", digits=1, merge_every=0)
+    for batch in range(3):
+        table.write(spark.createDataFrame([(f"k{batch}", batch)], "k string, v int"), batch)
+    table._write(spark.createDataFrame([("x", 9)], "k string, v int"), "part=u000000000001")
+    (tmp_path / "t" / "part=u000000000001" / "_SUCCESS").unlink()
+    assert sorted(r.v for r in table.read(3).collect()) == [0, 1, 2]
+    table.merge(3)
+    assert table.live(3) == ["part=u000000000002"] and sorted(r.v for r in table.read(4).collect()) == [0, 1, 2]
+    assert table.read(0) is None and table.read(3, []).collect() == []
+
+
+def test_table_of_an_earlier_version(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    captures(spark).coalesce(1).write.parquet(folder)
+    finish(stream.write_findings(source(spark, folder), f"{tmp_path}/table", f"{tmp_path}/state", find=find))
+    before = spark.read.parquet(f"{tmp_path}/table").count()
+    clustered.remove_folder(spark, f"{tmp_path}/table-known")
+    captures(spark).coalesce(1).write.mode("append").parquet(folder)
+    finish(stream.write_findings(source(spark, folder), f"{tmp_path}/table", f"{tmp_path}/state", find=find))
+    assert spark.read.parquet(f"{tmp_path}/table").count() == before
+
+
+def test_a_frequent_fingerprint_reaches_the_state_once_per_task(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = spark.range(0, 3000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 700).cast("string"))).alias("fingerprint"),
+        F.lit("Low").alias("severity"), F.timestamp_seconds(F.col("id")).alias("timestamp"))
+    rows.write.parquet(folder)
+    seen = stream.first_in_task(rows).groupBy("fingerprint").count().filter("fingerprint = 'hot'").first()["count"]
+    # by the task it may come again with a later time, once per Arrow batch
+    assert seen <= 4
+    found = spark.readStream.schema(rows.schema).parquet(folder)
+    finish(stream.write_latest(stream.live_counts(found), f"{tmp_path}/c", f"{tmp_path}/s"))
+    wanted = rows.select("fingerprint").distinct().count()
+    assert spark.read.parquet(f"{tmp_path}/c").first().n == wanted
+    latest = stream.first_in_task(rows).filter("fingerprint = 'hot'").agg(F.max("timestamp").alias("t")).first().t
+    assert latest == rows.filter("fingerprint = 'hot'").agg(F.max("timestamp").alias("t")).first().t
+
+
+@pytest.mark.parametrize("script_first", [False, True])
+def test_pages_meet_scripts_in_a_stream_join(spark, tmp_path, script_first):
+    key = "AK" + "IA" + "IOSFODNN7EXAMPLE"
+    rows = [("https://a.io", "https://a.io/", 200, "<script src='/x.js'></script><script src='https://c.io/y.js'></script>", 1000),
+            ("https://a.io", "https://a.io/x.js", 200, f'k="{key}"', 1600),
+            ("https://b.io", "https://b.io/", 200, "<script src='https://a.io/x.js'></script>", 2000),
+            # two days later: too far from the pages
+            ("https://c.io", "https://c.io/y.js", 200, f'k="{key}"', 2000 + 2 * 86400)]
+    folder = str(tmp_path / "in")
+    for row in (rows[:3][::-1] + rows[3:] if script_first else rows):
+        spark.createDataFrame([row], "target string, url string, status int, body string, at long").select(
+            "target", "url", "status", "body", F.timestamp_seconds("at").alias("fetched_at")).coalesce(1).write.mode("append").parquet(folder)
+        found = stream.stream_script_findings(source(spark, folder), "2 hours", "1 day").select("target", "title", "url")
+        query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        finish(query)
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    title = "AWS Access Key exposed in JavaScript"
+    assert got == [("https://a.io", title, "https://a.io/x.js"), ("https://b.io", title, "https://a.io/x.js")]
+    # the last file has moved the watermark past what the first three can meet
+    last = [p for p in query.recentProgress if p.stateOperators]
+    assert last and last[-1].stateOperators[0].numRowsTotal <= 1
