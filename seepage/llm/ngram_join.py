@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from seepage.llm.components import components
 from seepage.llm.tables import stored
 from seepage.llm.words import shingle_sets, small_batches
+from seepage.operators.joins import salted_join
 
 #: Words of a shingle, and the least similarity in percent.
 WIDTH, PERCENT = 5, 80
@@ -87,7 +88,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _planes(values: np.ndarray, width: int) -> bytes:
     """The lower ``width`` bytes of each value, all lowest ones first: sorted values have long runs in the upper ones."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T).tobytes()
 
 
 def _values(block: bytes, at: int, n: int, width: int, kind: type) -> np.ndarray:
@@ -435,13 +436,21 @@ def _split_links(large: DataFrame, sets: DataFrame, walk, percent: int, most_set
 def text_clusters(docs: DataFrame, ids: Callable[[pa.Array], list[int]], width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(node, component) of those texts of ``docs`` (text) that link with another one, by the ids that ``ids`` makes of them.
 
-    One pass over the texts: no digests of sets are made first, so texts with
-    equal sets and different ids meet in the join like other near copies.
+    One pass over the texts: no digests of all sets are made first; equal sets
+    of different ids are found among the sets that share all their shingles.
     """
     # six bytes a word; only the number of buckets follows from it
     total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     sets = stored(partnered(docs, total, width, percent, ids).dropDuplicates(["doc_id"]), "sets")
-    return components(links(sets, percent))
+    # a set that equals another one has only shared shingles; the least id stands for all that are equal
+    whole = sets.filter("n = size(tokens)").select("doc_id", F.struct("n", F.xxhash64("tokens"), F.get("tokens", F.lit(0))).alias("_set"))
+    least = whole.groupBy("_set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    alike = stored(salted_join(whole, least, "_set").select("doc_id", "rep"), "alike")
+    single = sets.join(alike.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    found = components(links(stored(single, "single"), percent))
+    others = alike.filter("doc_id <> rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
+    return found.select("node", "component").unionByName(others)
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
