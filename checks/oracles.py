@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from checks import seeds
+from checks.queries import OWN_RULES
 from seepage.operators.paths import API, DOCUMENTS, GIT, SENSITIVE
 from seepage.rules import api, cloud, dns, errors, files, git, headers, javascript, listing, metadata, scoring, secrets, source, tech
 
@@ -147,8 +148,8 @@ def unnested(rows: Sql, items: Sql) -> Sql:
     return f"(SELECT *, unnest(items) AS m, generate_subscripts(items, 1) - 1 AS pos FROM (SELECT *, {items} AS items FROM {rows} AS r) AS r)"
 
 
-def source_raw(table: Sql = CAPTURES) -> Sql:
-    rows = matches(table, source.RULES, lambda r: "ms", None, "status IN (200, 201, 202) AND length(body) > 0")
+def source_raw(table: Sql = CAPTURES, rules=source.RULES) -> Sql:
+    rows = matches(table, rules, lambda r: "ms", None, "status IN (200, 201, 202) AND length(body) > 0")
     kept = (f"list_filter(list_transform(found, lambda x: {strip('x')}), lambda x: length(x) >= 3 "
             f"AND NOT (id = 'email' AND regexp_extract(x, '[^@]*$') IN {among(source.PLACEHOLDER_DOMAINS)}) "
             f"AND (id <> 'ip_address' OR {private_ip('x')}))")
@@ -225,7 +226,7 @@ def sensitive_raw(table: Sql = CAPTURES) -> Sql:
     for rule in files.CONTENT:
         found = f"regexp_matches(txt, {q(rule.pattern)})"
         evidence = (f"CASE WHEN regexp_matches(txt, {pattern(rule.pattern, 'i')}) "
-                    f"THEN {snippets('txt', pattern(rule.pattern, 'i'), 1)} ELSE left(txt, 500) END")
+                    f"THEN {snippets('txt', pattern(rule.pattern, 'i'), 1)} ELSE txt END")
         rows = _on([rule.rule_id], table)
         parts.append(raw(rows, "sensitive_file", "'Sensitive file exposed: ' || path", evidence, tier=q(rule.tier),
                          where=found, **common))
@@ -288,7 +289,7 @@ def api_markers_raw(table: Sql = CAPTURES) -> Sql:
         }.get(rule.rule_id, plain)
         found = snippets("body", pattern(rule.pattern, "i"), 2)
         parts.append(raw(
-            rows, "api_docs", title, f"CASE WHEN {found} <> '' THEN {found} ELSE left(body, 500) END",
+            rows, "api_docs", title, f"CASE WHEN {found} <> '' THEN {found} ELSE body END",
             f"['api', 'api-docs', {q(rule.rule_id)}]", rule_id=q(rule.rule_id), tier=q(rule.tier), rank=str(i),
             source_pos=position("path", API), where=f"rank = {i}"))
     return union(*parts)
@@ -765,6 +766,27 @@ _HEAD = [
     *[f"""'| {s} | ' || {_v(f'"{s}"')} || ' |'""" for s in scoring.SEVERITIES],
     "''", "'## Detailed Findings'", "''", "'---'", "''", "CASE WHEN total_findings = 0 THEN '*No findings discovered.*' || chr(10) END",
 ]
+_HEAD_AT = [*_HEAD[:2], "'**Generated:** 2024-01-02 03:04:05 UTC'", *_HEAD[2:]]
+_CSS = {"Critical": "sev-critical", "High": "sev-high", "Medium": "sev-medium", "Low": "sev-low", "Informational": "sev-info"}
+_HTML_HEAD = "concat_ws(chr(10), " + ", ".join([
+    "'<h1>seepage Scan Report</h1>'", "'<div class=\"scan-meta\">'", "'<span>Generated: 2024-01-02 03:04:05 UTC</span>'",
+    f"'<span>URLs: ' || {_v('completed_urls')} || '/' || {_v('total_urls')} || '</span>'",
+    f"'<span>Failed: ' || {_v('failed_urls')} || '</span>'", "'<span>Duration: ' || printf('%.1f', duration_seconds) || 's</span>'",
+    f"'<span>Findings: ' || {_v('total_findings')} || '</span>'", "'</div>'", "'<div class=\"severity-bar\">'",
+    *[f"""'<div class="{c}" style="width: ' || printf('%.1f', round("{s}" * 100.0::DOUBLE / greatest(total_findings, 1), 1)) || '%;"></div>'"""
+      for s, c in _CSS.items()],
+    "'</div>'", "'<div class=\"counters\">'",
+    *[f"""'<div class="counter {c}">{s}: ' || {_v(f'"{s}"')} || '</div>'""" for s, c in _CSS.items()],
+    "'</div>'", "CASE WHEN total_findings = 0 THEN '<div class=\"no-findings\"><h2>No findings discovered</h2></div>' END",
+]) + ")"
+
+
+def _report_lines(head: Sql, block: Sql) -> Sql:
+    """The lines of a report and how often each occurs."""
+    return (f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(value, chr(10))) AS line FROM "
+            f"(SELECT {head} AS value FROM {STATS} AS s UNION ALL SELECT {block} FROM {NUMBERED} AS n) AS v) AS l GROUP BY line")
+
+
 _QUADS = "[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 _TECH = ["servers", "frameworks", "cms", "infrastructure"]
 
@@ -800,7 +822,7 @@ _QUERIES: dict[str, Sql] = {
     "probe_coverage": (f"SELECT t.target, p.path, t.target || '/' || p.path AS url FROM {TARGETS} AS t, "
                        f"(SELECT unnest({[p for p in SENSITIVE]}) AS path) AS p WHERE t.target || '/' || p.path NOT IN "
                        f"(SELECT url FROM {CAPTURES} AS c WHERE status > 0)"),
-    "uncaptured_targets": f"SELECT target FROM {TARGETS} AS t WHERE NOT ends_with(target, '.org')",
+    "uncaptured_targets": f"SELECT target FROM {TARGETS} AS t WHERE target NOT IN (SELECT target FROM {CAPTURES} AS c WHERE status = 500)",
     "sensitive_file": findings(sensitive_raw()),
     "disclosure_headers": findings(disclosure_raw()),
     "infrastructure_headers": findings(infrastructure_raw()),
@@ -851,7 +873,7 @@ _QUERIES: dict[str, Sql] = {
     "likely_secret": (f"SELECT token, round({entropy('token')}, 9) AS entropy FROM (SELECT DISTINCT token FROM {words()} AS w) AS g "
                       f"WHERE length(token) >= 8 AND round({entropy('token')}, 10) >= 3.5"),
     "context_window": (f"SELECT doc_id, word, {context('text', 'word', 50)} AS context FROM "
-                       f"(SELECT *, regexp_extract(text, '[a-z]{{7,}}', 0) AS word FROM documents) AS d"),
+                       f"(SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[a-z]{{12,}}'))) AS word FROM documents) AS d"),
     "line_context": f"SELECT doc_id, {snippets('text', q('the'), 1)} AS context FROM documents",
     "url_resolve": ("SELECT url, CAST(pos AS BIGINT) AS pos, " + _resolve("m") + " AS resolved, "
                     "lower(regexp_extract(target, '//([^/:]+)', 1)) AS host, target || '/' || ltrim(m, '/') AS joined, "
@@ -906,6 +928,12 @@ _QUERIES: dict[str, Sql] = {
     "report_summary_console": union(*[
         f"SELECT CAST({i} AS BIGINT) AS pos, {q(name)} AS metric, {value} AS value FROM {STATS} AS s"
         for i, (name, value) in enumerate(_SUMMARY_ROWS)]),
+    "report_file_md": _report_lines(f"concat_ws(chr(10), {', '.join(_HEAD_AT)})", _block()),
+    "report_file_html": _report_lines(_HTML_HEAD, _fragment()),
+    "responses_read": f"SELECT target, url, CAST(status AS BIGINT) AS status, coalesce(length(body), -1) AS chars, fetched_s FROM {CAPTURES} AS c",
+    "dns_read": f"SELECT hostname, rtype, value FROM {DNS} AS d",
+    "documents_from_responses": f"SELECT doc_id, target, url, CAST(status AS BIGINT) AS status, content_type, strlen(content) AS bytes FROM {DOCUMENTS_SQL} AS d",
+    "own_rules": findings(source_raw(rules=OWN_RULES)),
     "findings_roundtrip": f"SELECT {_JSON_COLUMNS}, array_to_string(tags, '; ') AS tags FROM {SAMPLE} AS s",
     "stream_findings": findings(source_raw(PAGES)),
     "stream_distinct": f"SELECT DISTINCT target, module, title, severity, fingerprint FROM {scored(source_raw(PAGES))} AS s",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +17,30 @@ def _text() -> Column:
     return F.coalesce(F.col(TEXT), F.lit(""))
 
 
-def _occurs(text: Column, pattern: Column) -> Column:
-    # unlike rlike, regexp_instr keeps a pattern that is not a literal compiled
-    # for as long as it stays the same, here for all lines of a file
-    return F.regexp_instr(text, pattern, 0) > 0
+def _by(key: Column, rules: dict, flags: str) -> Callable[[Column], Column]:
+    """Whether the pattern that belongs to the row's key occurs in a text; each pattern is a literal and compiled once."""
+    def occurs(text: Column) -> Column:
+        out = F.lit(False)
+        for name, rule in rules.items():
+            out = F.when(key == name, text.rlike(rule.java(flags))).otherwise(out)
+        return out
+
+    return occurs
 
 
 def sensitive_file_hits() -> Column:
-    """Listed files, with content evidence where the content is recognised."""
+    """Listed files, with content evidence where the content is recognised.
 
-    def patterns(flags: str) -> Column:
-        return literal_map({r.rule_id: r.java(flags) for r in files.CONTENT})
+    Evidence is the flagged lines with their neighbours, or the whole text
+    where the pattern spans lines and no single one is flagged.
+    """
+    path = F.col(PATH)
+    by_path = {r.rule_id: r for r in files.CONTENT}
+    flagged = _by(path, by_path, "i")
 
     def evidence() -> Column:
-        def snippets(pattern: Column) -> Column:
-            lines = let(F.split(_text(), "\n"), lambda all_lines: line_context(
-                all_lines, lambda line: _occurs(line, pattern), files.LINES_AROUND))
-            return F.when(_occurs(_text(), pattern), lines).otherwise(
-                F.left(_text(), F.lit(files.FALLBACK)))
-
-        return let(patterns("i")[path], snippets)
-
-    path = F.col(PATH)
+        lines = let(F.split(_text(), "\n"), lambda all_lines: line_context(all_lines, flagged, files.LINES_AROUND))
+        return F.when(flagged(_text()), lines).otherwise(_text())
 
     def one(exposed: Column) -> Column:
         return hit(
@@ -53,7 +57,7 @@ def sensitive_file_hits() -> Column:
                 F.concat(F.lit("Sensitive file "), path, F.lit(" is publicly accessible"))),
         )
 
-    exposed = F.coalesce(_occurs(_text(), patterns("")[path]), F.lit(False))
+    exposed = F.coalesce(_by(path, by_path, "")(_text()), F.lit(False))
     listed = F.expr("unit = 'body' AND status = 200") & one_of(PATH, SENSITIVE)
     return gated(listed, F.transform(F.array(exposed), one))
 
@@ -137,12 +141,11 @@ def api_marker_hits() -> Column:
     """Interactive documentation and specifications at listed paths."""
 
     def one(rank: Column) -> Column:
-        pattern = literal_map({i: r.java("i") for i, r in enumerate(api.MARKERS)})[rank]
         group = literal_map({i: r.rule_id for i, r in enumerate(api.MARKERS)})[rank]
-        snippets = let(pattern, lambda p: let(F.split(TEXT, "\n"), lambda lines: line_context(
-            lines, lambda line: _occurs(line, p), api.LINES_AROUND)))
-        evidence = let(snippets, lambda s: F.when(s != "", s).otherwise(
-            F.left(TEXT, F.lit(api.FALLBACK))))
+        flagged = _by(rank, dict(enumerate(api.MARKERS)), "i")
+        snippets = let(F.split(TEXT, "\n"), lambda lines: line_context(lines, flagged, api.LINES_AROUND))
+        # a marker that spans lines flags none of them
+        evidence = let(snippets, lambda s: F.when(s != "", s).otherwise(F.col(TEXT)))
         return hit(
             api.MODULE, _api_title(rank, group), evidence, F.array(F.lit("api"), F.lit("api-docs"), group),
             source_pos=path_position(F.col(PATH), API), rank=rank, rule_id=group,

@@ -45,4 +45,3 @@ SPECIFICATION_FAST = r"""^[^{]*+(\{.*"(?:swagger|openapi)"\s*:\s*"[^"]+".*\})"""
 
 # Evidence shape.
 LINES_AROUND = 2
-FALLBACK = 500

@@ -134,12 +134,17 @@ def markdown_summary(findings: DataFrame) -> DataFrame:
         "severity_rank", _line("| ", F.col("severity"), " | ", F.col("n").cast("string"), " |").alias("value"))
 
 
-def markdown_head(stats: DataFrame) -> DataFrame:
-    """One row: title, totals and severity table."""
+def _moment(generated: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(generated, F.current_timezone()), "yyyy-MM-dd HH:mm:ss' UTC'")
+
+
+def markdown_head(stats: DataFrame, generated: Column | None = None) -> DataFrame:
+    """One row: title, time of the report, totals and severity table."""
     number = lambda c: F.col(c).cast("string")
     return stats.select(F.concat_ws(
         "\n",
         F.lit(f"# {TOOL} Scan Report"), F.lit(""),
+        *([] if generated is None else [_line("**Generated:** ", _moment(generated))]),
         F.lit(f"**Tool:** {TOOL}"), F.lit(""),
         F.lit("## Executive Summary"), F.lit(""),
         _line("- **Total URLs Scanned:** ", number("completed_urls"), "/", number("total_urls")),
@@ -154,9 +159,9 @@ def markdown_head(stats: DataFrame) -> DataFrame:
     ).alias("value"))
 
 
-def write_markdown(findings: DataFrame, stats: DataFrame, path: str) -> None:
-    """Whole report as ordered text parts: the head is number 0."""
-    _write_parts(markdown_head(stats), markdown_rows(findings), path)
+def write_markdown(findings: DataFrame, stats: DataFrame, path: str, generated: Column | None = None) -> None:
+    """Whole report as ordered text parts, the head first; ``generated`` is the present time if it is not given."""
+    _write_parts(markdown_head(stats, F.current_timestamp() if generated is None else generated), markdown_rows(findings), path)
 
 
 def html_fragment(chars: int | None = None) -> Column:
@@ -205,13 +210,34 @@ def html_bar(shares: DataFrame) -> DataFrame:
         '<div class="', css, '" style="width: ', F.format_string("%.1f", F.col("percent")), '%;"></div>').alias("value"))
 
 
-def write_html(findings: DataFrame, stats: DataFrame, path: str) -> None:
-    """Fragments of all findings behind a one-line head, as ordered parts."""
-    empty = '<div class="no-findings"><h2>No findings discovered</h2></div>'
-    head = stats.select(F.concat_ws(
-        "\n", _line(f"<h1>{TOOL}: ", F.col("total_findings").cast("string"), " findings</h1>"),
-        F.when(F.col("total_findings") == 0, F.lit(empty))).alias("value"))
-    _write_parts(head, html_rows(findings), path)
+def html_head(stats: DataFrame, generated: Column | None = None) -> DataFrame:
+    """One row: title, time and totals, severity bar and a counter per severity."""
+    number = lambda c: F.col(c).cast("string")
+    share = lambda s: F.round(F.col(s) * 100.0 / F.greatest("total_findings", F.lit(1)), 1)
+    facts = [
+        *([] if generated is None else [_line("<span>Generated: ", _moment(generated), "</span>")]),
+        _line("<span>URLs: ", number("completed_urls"), "/", number("total_urls"), "</span>"),
+        _line("<span>Failed: ", number("failed_urls"), "</span>"),
+        _line("<span>Duration: ", F.format_string("%.1f", F.col("duration_seconds")), "s</span>"),
+        _line("<span>Findings: ", number("total_findings"), "</span>"),
+    ]
+    return stats.select(F.concat_ws(
+        "\n",
+        F.lit(f"<h1>{TOOL} Scan Report</h1>"),
+        F.lit('<div class="scan-meta">'), *facts, F.lit("</div>"),
+        F.lit('<div class="severity-bar">'),
+        *[_line(f'<div class="{CSS_CLASSES[s]}" style="width: ', F.format_string("%.1f", share(s)), '%;"></div>') for s in SEVERITIES],
+        F.lit("</div>"),
+        F.lit('<div class="counters">'),
+        *[_line(f'<div class="counter {CSS_CLASSES[s]}">{s}: ', number(s), "</div>") for s in SEVERITIES],
+        F.lit("</div>"),
+        F.when(F.col("total_findings") == 0, F.lit('<div class="no-findings"><h2>No findings discovered</h2></div>')),
+    ).alias("value"))
+
+
+def write_html(findings: DataFrame, stats: DataFrame, path: str, generated: Column | None = None) -> None:
+    """Fragments of all findings behind the head, as ordered parts; ``generated`` is the present time if it is not given."""
+    _write_parts(html_head(stats, F.current_timestamp() if generated is None else generated), html_rows(findings), path)
 
 
 def console_rows(findings: DataFrame, chars: int | None = None) -> DataFrame:
@@ -245,5 +271,9 @@ def console_summary(stats: DataFrame) -> DataFrame:
 
 
 def _write_parts(head: DataFrame, rows: DataFrame, path: str) -> None:
-    parts = head.select(F.lit(0).cast("bigint").alias("number"), "value").unionByName(rows.select("number", "value"))
-    parts.orderBy("number").select("value").write.mode("overwrite").text(path)
+    """Text files whose order by name is that of the report.
+
+    Numbered rows lie in partitions in report order already, so each is written
+    as it is, without another sort; the head is the first partition.
+    """
+    head.select("value").coalesce(1).unionByName(rows.select("value")).write.mode("overwrite").text(path)

@@ -201,3 +201,26 @@ def test_dns_and_responses_readers(spark, tmp_path):
     assert row.headers == {"Server": "x"} and row.status == 200
     spread = readers.spread(spark.read.parquet(f"{SF}/pages.parquet"), 6)
     assert spread.rdd.getNumPartitions() == 6 and readers.spread(spread, 4) is spread
+
+
+def test_report_files_are_in_order_without_another_sort(spark, tmp_path):
+    from seepage.sources import sinks
+
+    rows = [(f"t{i % 5}", "errors", f"Title {i:03d}", f"evidence {i}", f"u{i}", 200, "", ["a"], "", "", None, (3, f"u{i}", 0, 0, 0, 0)) for i in range(60)]
+    raw = spark.createDataFrame(rows, (
+        "target string, module string, title string, evidence string, url string, status int, description string, tags array<string>, "
+        "rule_id string, rule_severity string, timestamp timestamp, "
+        "emit_seq struct<module_rank:int,origin:string,source_pos:int,section:int,rule_rank:int,match_pos:int>")).repartition(6)
+    found = dedup.dedup(scoring.score(raw))
+    stats = spark.createDataFrame([(5, 5, 0, 60, 1.0, 0, 0, 60, 0, 0)], (
+        "total_urls long, completed_urls long, failed_urls long, total_findings long, duration_seconds double, "
+        "Critical long, High long, Medium long, Low long, Informational long"))
+    for write, head, rows_of in ((sinks.write_markdown, sinks.markdown_head, sinks.markdown_rows), (sinks.write_html, sinks.html_head, sinks.html_rows)):
+        folder = tmp_path / write.__name__
+        at = F.timestamp_seconds(F.lit(1704164645))
+        write(found, stats, str(folder), at)
+        text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+        blocks = [r.value for r in rows_of(found).orderBy("number").collect()]
+        assert text == "".join(v + "\n" for v in [head(stats, at).first().value, *blocks]) and "2024-01-02 03:04:05 UTC" in text
+    numbered = sinks.markdown_rows(found)
+    assert "Exchange rangepartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
