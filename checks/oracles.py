@@ -951,6 +951,8 @@ _QUERIES: dict[str, Sql] = {
     "detect_natural": findings(union(*[
         part for t in (PAGES, TEXTS, CONVERSATIONS)
         for part in (source_raw(t), secrets_raw(t), tokens_raw(t), errors_raw(t), cloud_raw(t))])),
+    "scan_findings": findings(union(source_raw(), errors_raw())),
+    "scan_technologies": f"SELECT target, url, category, tech, count(*) AS n FROM {tech_rows()} AS t GROUP BY ALL",
     "detect_all": findings(everything()),
 }
 

@@ -14,7 +14,7 @@ from seepage.operators import (
     body, dedup, dns, files, headers, javascript, listing, metadata, paths, rollup, scoring, tech,
 )
 from seepage.operators.matching import run
-from seepage.plans.detect import detect
+from seepage.plans.detect import detect, scan
 from seepage.rules import Rule
 from seepage.rules import source as source_rules
 from seepage.schema import documents_as_responses, pages_as_responses
@@ -507,6 +507,17 @@ def detect_all(spark, sf):
             seeds.documents(spark, sf).drop("doc_id", "xml").filter(metadata.kind(F.col("url"), F.col("content_type")) != "office"))))
 
 
+def scan_findings(spark, sf):
+    """Findings of the job that also gives technologies."""
+    found, _ = scan(seeds.captures(spark, sf), modules=["source_code", "errors"])
+    return shown(found)
+
+
+def scan_technologies(spark, sf):
+    _, technologies = scan(seeds.captures(spark, sf), modules=["source_code", "errors"])
+    return technologies.groupBy("target", "url", "category", "tech").agg(F.count(F.lit(1)).alias("n"))
+
+
 def detect_natural(spark, sf):
     """Source text, secrets and cloud rules over the natural tables."""
     rows = pages(spark, sf).select("target", "url", "status", "body", "fetched_at")
@@ -614,6 +625,8 @@ QUERIES = {
     "stream_scripts": stream_scripts,
     "stream_windowed_counts": stream_windowed_counts,
     "stream_event_counts": stream_event_counts,
+    "scan_findings": scan_findings,
+    "scan_technologies": scan_technologies,
     "detect_natural": detect_natural,
     "detect_all": detect_all,
 }

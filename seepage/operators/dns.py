@@ -17,6 +17,8 @@ from seepage.operators.joins import salted_join
 from seepage.operators.matching import as_raw, gated, hit, literal_map, one_hit
 from seepage.rules import dns as rules
 from seepage.rules import java_pattern
+from seepage.schema import HIT
+from seepage.sources.checkpoint import reliable
 
 
 def hosts(targets: DataFrame) -> DataFrame:
@@ -98,60 +100,114 @@ def dns_records_rules(dns: DataFrame, targets: DataFrame) -> DataFrame:
     return txt_records(dns, targets).unionByName(mail_labels(dns, targets))
 
 
+def _is_subdomain() -> Column:
+    """The answer is for a probed label below some host."""
+    label = F.substring_index("hostname", ".", 1)
+    return F.coalesce(
+        (F.col("rtype") == "A") & label.isin(rules.SUBDOMAINS) & F.contains("hostname", F.lit(".")) & valid_ipv4(F.col("value")), F.lit(False))
+
+
+def subdomain_hit() -> Column:
+    labels = literal_map({label: i for i, label in enumerate(rules.SUBDOMAINS)})
+    where = F.concat("hostname", F.lit(" -> "), "value")
+    evidence = F.concat(F.lit("Subdomain: "), "hostname", F.lit("\nIP: "), "value")
+    pos = labels[F.substring_index("hostname", ".", 1)]
+    return F.when(
+        private_ipv4(F.col("value")),
+        _one(F.concat(F.lit("Development subdomain resolves to internal IP: "), where), evidence, ["dns", "subdomain", "internal-ip"], 7, pos),
+    ).otherwise(_one(F.concat(F.lit("Development subdomain resolves: "), where), evidence, ["dns", "subdomain"], 7, pos))
+
+
+def _parent() -> Column:
+    """The host that a probed label stands in front of."""
+    return F.expr("substring(hostname, length(substring_index(hostname, '.', 1)) + 2)")
+
+
 def dns_subdomains(dns: DataFrame, targets: DataFrame) -> DataFrame:
     """Probed labels below the host of a target that resolve.
 
     The label is read off the answer and looked up among the probed ones, so
     the join is on the host and no host x label product is formed.
     """
-    labels = literal_map({label: i for i, label in enumerate(rules.SUBDOMAINS)})
-    answers = (
-        dns.filter("rtype = 'A'")
-        .select(
-            F.col("hostname").alias("name"), F.col("value").alias("ip"),
-            F.substring_index("hostname", ".", 1).alias("label"),
-        )
-        .filter(F.col("label").isin(rules.SUBDOMAINS) & F.contains("name", F.lit(".")))
-        .filter(valid_ipv4(F.col("ip")))
-        .withColumn("hostname", F.expr("substring(name, length(label) + 2)"))
-    )
-    where = F.concat("name", F.lit(" -> "), "ip")
-    evidence = F.concat(F.lit("Subdomain: "), "name", F.lit("\nIP: "), "ip")
-    pos = labels[F.col("label")]
-    found = F.when(
-        private_ipv4(F.col("ip")),
-        F.array(_one(F.concat(F.lit("Development subdomain resolves to internal IP: "), where), evidence,
-                     ["dns", "subdomain", "internal-ip"], 7, pos)),
-    ).otherwise(F.array(
-        _one(F.concat(F.lit("Development subdomain resolves: "), where), evidence, ["dns", "subdomain"], 7, pos)))
-    return _raw(answers.select("hostname", F.col("name").alias("origin"), F.explode(found).alias("hit")), targets)
+    answers = dns.filter(_is_subdomain())
+    return _raw(answers.select(_parent().alias("hostname"), F.col("hostname").alias("origin"), F.explode(F.array(subdomain_hit())).alias("hit")), targets)
 
 
-def dns_reverse(dns: DataFrame, targets: DataFrame) -> DataFrame:
-    """Hosts on private addresses, and addresses with telling reverse names."""
-    answers = dns.filter("rtype = 'A'").select("hostname", F.col("value").alias("ip")).filter(valid_ipv4(F.col("ip")))
-    private = answers.filter(private_ipv4(F.col("ip"))).select(
-        "hostname", F.col("ip").alias("origin"),
-        one_hit(_one(
-            F.concat(F.lit("Hostname resolves to internal IP: "), "hostname", F.lit(" -> "), "ip"),
-            F.concat(F.lit("Hostname: "), "hostname", F.lit("\nIP: "), "ip"), ["dns", "internal-ip"], 8)))
-    telling = (
-        dns.filter("rtype = 'PTR'")
-        .filter(_holds(F.lower("value"), rules.PTR_LABELS))
-        .select(F.col("hostname").alias("ip"), F.col("value").alias("ptr"))
-        .distinct()
-    )
-    reverse = salted_join(answers.distinct(), telling, "ip").select(
+def _is_private() -> Column:
+    return F.coalesce((F.col("rtype") == "A") & valid_ipv4(F.col("value")) & private_ipv4(F.col("value")), F.lit(False))
+
+
+def private_hit() -> Column:
+    return _one(
+        F.concat(F.lit("Hostname resolves to internal IP: "), "hostname", F.lit(" -> "), "value"),
+        F.concat(F.lit("Hostname: "), "hostname", F.lit("\nIP: "), "value"), ["dns", "internal-ip"], 8)
+
+
+def _reverse(answers: DataFrame, telling: DataFrame) -> DataFrame:
+    """(hostname, origin, hit) of addresses (hostname, ip) with a telling reverse name (ip, ptr)."""
+    return salted_join(answers.distinct(), telling.distinct(), "ip").select(
         "hostname", F.col("ip").alias("origin"),
         one_hit(_one(
             F.concat(F.lit("Reverse DNS shows development hostname: "), "ip", F.lit(" -> "), "ptr"),
             F.concat(F.lit("IP: "), "ip", F.lit("\nPTR: "), "ptr"), ["dns", "reverse-dns", "internal"], 9)))
-    return _raw(private.unionByName(reverse), targets)
 
 
-def dns(records: DataFrame, targets: DataFrame) -> DataFrame:
-    return (
-        dns_records_rules(records, targets)
-        .unionByName(dns_subdomains(records, targets))
-        .unionByName(dns_reverse(records, targets))
+def _is_telling() -> Column:
+    return F.coalesce((F.col("rtype") == "PTR") & _holds(F.lower("value"), rules.PTR_LABELS), F.lit(False))
+
+
+def dns_reverse(dns: DataFrame, targets: DataFrame) -> DataFrame:
+    """Hosts on private addresses, and addresses with telling reverse names."""
+    private = dns.filter(_is_private()).select("hostname", F.col("value").alias("origin"), one_hit(private_hit()))
+    answers = dns.filter("rtype = 'A'").filter(valid_ipv4(F.col("value"))).select("hostname", F.col("value").alias("ip"))
+    telling = dns.filter(_is_telling()).select(F.col("hostname").alias("ip"), F.col("value").alias("ptr"))
+    return _raw(private.unionByName(_reverse(answers, telling)), targets)
+
+
+_ROW = f"struct<kind:string,hostname:string,origin:string,hit:{HIT}>"
+
+
+def record_rows(records: DataFrame) -> DataFrame:
+    """(kind, hostname, origin, hit) of every record in one pass.
+
+    A ``finding`` belongs to its host.  Addresses (``answer``) and telling
+    reverse names (``reverse``) have no hit yet: they are the two sides of the
+    only join between records.
+    """
+    value, none = F.col("value"), F.lit(None).cast(HIT)
+
+    def rows(host: Column, origin: Column, hits: Column) -> Column:
+        return F.transform(hits, lambda h: F.struct(F.lit("finding"), host, origin, h).cast(_ROW))
+
+    def plain(kind: str, host: Column, origin: Column) -> Column:
+        return F.array(F.struct(F.lit(kind), host, origin, none).cast(_ROW))
+
+    def only(condition: Column, some: Column) -> Column:
+        return F.when(condition, some).otherwise(F.expr(f"cast(array() as array<{_ROW}>)"))
+
+    name, rtype = F.col("hostname"), F.col("rtype")
+    made = F.concat(
+        only(rtype == "TXT", rows(name, value, txt_hits(value))),
+        only(rtype == "MX", rows(name, value, _label_hits(value, "MX", rules.MX_LABELS, 5))),
+        only(rtype == "CNAME", rows(name, value, _label_hits(value, "CNAME", rules.CNAME_LABELS, 6))),
+        only(_is_subdomain(), rows(_parent(), name, F.array(subdomain_hit()))),
+        only(_is_private(), rows(name, value, F.array(private_hit()))),
+        only(F.coalesce((rtype == "A") & valid_ipv4(value), F.lit(False)), plain("answer", name, value)),
+        only(_is_telling(), plain("reverse", name, value)),
     )
+    return records.select(F.explode(made).alias("r")).select("r.*")
+
+
+def dns(records: DataFrame, targets: DataFrame, materialize: bool = True) -> DataFrame:
+    """Findings of all rules: the records are read once, and all hits meet the hosts in one join.
+
+    The rows of the pass are checkpointed, because the join between addresses
+    and reverse names reads them, too; ``materialize=False`` keeps the plan lazy.
+    """
+    rows = record_rows(records)
+    if materialize:
+        rows = reliable(rows)
+    answers = rows.filter("kind = 'answer'").select("hostname", F.col("origin").alias("ip"))
+    telling = rows.filter("kind = 'reverse'").select(F.col("hostname").alias("ip"), F.col("origin").alias("ptr"))
+    found = rows.filter("kind = 'finding'").select("hostname", "origin", "hit")
+    return _raw(found.unionByName(_reverse(answers, telling)), targets)

@@ -62,10 +62,10 @@ def with_inline_units(units: DataFrame, max_scripts: int | None = None) -> DataF
     scripts = let(F.size(found_sources(max_scripts)), lambda external: F.transform(
         inline_scripts(), lambda s, i: unit("inline", i + external, s)))
     body = F.array(unit("body", F.lit(0), F.col(TEXT)))
+    own = [c for c in units.columns if c not in ("unit", "url", "status", "source_pos", TEXT)]
     return units.select(
-        "target", "origin", "fetched_at",
-        F.explode(F.when(gate, F.concat(body, scripts)).otherwise(body)).alias("u"),
-    ).select("target", "origin", "fetched_at", "u.*")
+        *own, F.explode(F.when(gate, F.concat(body, scripts)).otherwise(body)).alias("u"),
+    ).select(*own, "u.*")
 
 
 def script_hits(

@@ -328,11 +328,11 @@ def whole_body(statuses: Sequence[int] | None = None) -> Column:
     return F.expr(f"unit = 'body' AND length({TEXT}) > 0{status}")
 
 
-def body_units(responses: DataFrame) -> DataFrame:
-    """Every response as one unit."""
+def body_units(responses: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Every response as one unit; columns named in ``also`` stay."""
     return responses.select(
         "target", F.col("url").alias("origin"), "fetched_at", F.lit("body").alias("unit"), "url", "status",
-        F.lit(0).alias("source_pos"), F.col("body").alias(TEXT),
+        F.lit(0).alias("source_pos"), F.col("body").alias(TEXT), *also,
     )
 
 

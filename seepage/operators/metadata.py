@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from seepage.functions.net import path_of
 from seepage.functions.text import let, strip
@@ -111,15 +112,19 @@ def pdf_metadata(docs: DataFrame) -> DataFrame:
     return _raw(texts, pdf_hits(F.col("text")))
 
 
-def binary_metadata(docs: DataFrame) -> DataFrame:
-    """Author labels in files that are neither PDF nor Office."""
-    labels = F.regexp_extract_all("text", F.lit(java_pattern(rules.LABEL, "i")), F.lit(1))
+def label_hits(text: Column) -> Column:
+    labels = F.regexp_extract_all(text, F.lit(java_pattern(rules.LABEL, "i")), F.lit(1))
     names = F.transform(
         F.array_distinct(labels),
         lambda a: F.regexp_replace(F.regexp_replace(strip(a), r'^"+|"+\z', ""), r"^'+|'+\z", ""))
     names = F.filter(names, lambda a: ~a.isin(rules.NO_AUTHOR))
-    return _raw(_texts(docs, "other"), F.transform(names, lambda a, i: _one(
-        F.concat(F.lit("Document metadata author: "), a), F.concat(F.lit("Author: "), a), ["metadata", "author"], 0, i)))
+    return F.transform(names, lambda a, i: _one(
+        F.concat(F.lit("Document metadata author: "), a), F.concat(F.lit("Author: "), a), ["metadata", "author"], 0, i))
+
+
+def binary_metadata(docs: DataFrame) -> DataFrame:
+    """Author labels in files that are neither PDF nor Office."""
+    return _raw(_texts(docs, "other"), label_hits(F.col("text")))
 
 
 def _core_xml(content: bytes) -> str | None:
@@ -151,12 +156,11 @@ def core_properties(docs: DataFrame) -> DataFrame:
     return office.mapInPandas(unpack, schema).filter("text is not null")
 
 
-def office_metadata(docs: DataFrame) -> DataFrame:
-    texts = core_properties(docs)
+def office_hits(text: Column) -> Column:
     lines = F.filter(
         F.array(*[
-            F.when(F.col("text").rlike(java_pattern(p)), F.concat(
-                F.lit(f"{name}: "), F.regexp_extract("text", java_pattern(p), 1)))
+            F.when(text.rlike(java_pattern(p)), F.concat(
+                F.lit(f"{name}: "), F.regexp_extract(text, java_pattern(p), 1)))
             for name, p in rules.OFFICE_FIELDS
         ]),
         lambda l: l.isNotNull())
@@ -167,8 +171,29 @@ def office_metadata(docs: DataFrame) -> DataFrame:
             rules.MODULE, F.concat(F.upper(file_type), F.lit(" document metadata exposed")), F.array_join(found, "\n"),
             F.array(F.lit("metadata"), file_type), F.col("pos"), rule_id=file_type)
 
-    return _raw(texts, F.transform(F.filter(F.array(lines), lambda f: F.size(f) > 0), one))
+    return F.transform(F.filter(F.array(lines), lambda f: F.size(f) > 0), one)
+
+
+def office_metadata(docs: DataFrame) -> DataFrame:
+    return _raw(core_properties(docs), office_hits(F.col("text")))
+
+
+@F.pandas_udf(StringType())
+def _core_text(content: pd.Series) -> pd.Series:
+    """Property part of each Office file; null stays null."""
+    return content.map(lambda b: None if b is None else _core_xml(bytes(b)))
 
 
 def documents_metadata(docs: DataFrame) -> DataFrame:
-    return pdf_metadata(docs).unionByName(office_metadata(docs)).unionByName(binary_metadata(docs))
+    """Hits of all kinds of documents from one scan; only Office files travel to Python."""
+    routed = route(docs).select(
+        "target", "url", "status", "fetched_at", "doc_kind",
+        F.coalesce(path_position(path_of(F.col("url"), F.col("target")), DOCUMENTS), F.lit(len(DOCUMENTS))).alias("pos"),
+        F.when(F.col("doc_kind") != "office", decoded(F.col("body_bytes"))).alias("plain"),
+        _core_text(F.when(F.col("doc_kind") == "office", F.col("body_bytes"))).alias("core"),
+    )
+    return _raw(routed, (
+        F.when(F.col("doc_kind") == "pdf", pdf_hits(F.col("plain")))
+        .when(F.col("doc_kind") == "other", label_hits(F.col("plain")))
+        .when(F.col("core").isNotNull(), office_hits(F.col("core")))
+        .otherwise(no_hits())))

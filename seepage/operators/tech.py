@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.functions.text import let
-from seepage.operators.matching import with_views
+from seepage.operators.matching import TEXT, gated, hit, with_views
 from seepage.rules import java_pattern
 from seepage.rules import tech as rules
 
@@ -29,10 +29,9 @@ def _named(category: str, value: Column, table: list[tuple[str, str]], searched=
     ).cast(_TECH)
 
 
-def _found(responses: DataFrame) -> tuple[DataFrame, Column]:
-    """Fetched captures and the array of their technologies; headers may be missing."""
-    body = F.coalesce("body", F.lit(""))
-    text = F.col("text")
+def technologies() -> Column:
+    """The technologies of a unit with its views, ``headers`` and ``cookies``; an array in order."""
+    text = F.coalesce(TEXT, F.lit(""))
 
     def in_html(pattern: str) -> Column:
         if pattern.startswith("<meta"):
@@ -49,15 +48,31 @@ def _found(responses: DataFrame) -> tuple[DataFrame, Column]:
     infrastructure = F.transform(
         F.filter(verbatim, lambda t: t.isNotNull()),
         lambda t: F.struct(F.lit("infrastructure").alias("category"), t.alias("tech"))).cast(_TECH)
-    found = F.concat(
+    return F.concat(
         _named("servers", F.coalesce(_header("Server"), F.lit("")), rules.SERVER),
         _named("frameworks", F.coalesce(_header("X-Powered-By"), F.lit("")), rules.POWERED_BY),
         _named("cms", text, rules.HTML, in_html),
         cookies,
         infrastructure,
     )
-    rows = with_views(responses.filter("status > 0").withColumn("text", body))
-    return rows, found
+
+
+def tech_hits() -> Column:
+    """One row of kind ``technology`` per technology of a fetched response: title and evidence are its name and category."""
+    return gated(F.expr("unit = 'body' AND status > 0"), F.transform(technologies(), lambda t, i: hit(
+        "technology", t["tech"], t["category"], F.expr("cast(null as array<string>)"), pos=i, kind="technology")))
+
+
+def tech_rows(hits: DataFrame) -> DataFrame:
+    """(target, url, category, tech, seq) of rows of kind ``technology``."""
+    return hits.filter("hit.kind = 'technology'").select(
+        "target", "hit.url", F.col("hit.evidence").alias("category"), F.col("hit.title").alias("tech"), F.col("hit.match_pos").alias("seq"))
+
+
+def _found(responses: DataFrame) -> tuple[DataFrame, Column]:
+    """Fetched captures and the array of their technologies; headers may be missing."""
+    body = F.coalesce("body", F.lit(""))
+    return with_views(responses.filter("status > 0").withColumn(TEXT, body)), technologies()
 
 
 def tech(responses: DataFrame) -> DataFrame:

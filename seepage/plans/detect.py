@@ -21,6 +21,7 @@ from seepage.operators.matching import (
 )
 from seepage.operators.metadata import documents_metadata
 from seepage.operators.scoring import score
+from seepage.operators.tech import tech_hits, tech_rows
 from seepage.rules import secrets as secret_rules
 from seepage.rules.scoring import MODULES
 from seepage.sources.checkpoint import reliable
@@ -44,17 +45,22 @@ def body_detectors(modules: Collection[str], found_secrets: Column | None = None
     return [d for module, detectors in by_module.items() if module in modules for d in detectors]
 
 
-def body_pass(responses: DataFrame, modules: Collection[str]) -> DataFrame | None:
-    """Hits of all chosen body detectors from one read of the bodies."""
-    units = body_units(responses)
+def body_pass(responses: DataFrame, modules: Collection[str], technologies: bool = False) -> DataFrame | None:
+    """Hits of all chosen body detectors, and on request technologies, from one read of the bodies."""
+    extra: list[Detector] = [tech_hits] if technologies else []
+    if technologies:
+        for name in ("headers", "cookies"):
+            if name not in responses.columns:
+                responses = responses.withColumn(name, F.lit(None).cast("map<string,string>"))
+    units = body_units(responses, ("headers", "cookies") if technologies else ())
     if "javascript" not in modules:
-        detectors = body_detectors(modules)
+        detectors = body_detectors(modules) + extra
         return explode_hits(units, detectors) if detectors else None
     units = with_inline_units(units)
     if "secrets" not in modules:
-        return explode_hits(units, body_detectors(modules))
+        return explode_hits(units, body_detectors(modules) + extra)
     # scripts and bodies are searched for the same token formats: match once
-    return explode_hits(units, body_detectors(modules, F.col(_SECRETS)), {_SECRETS: placed_matches(secret_rules.RULES)})
+    return explode_hits(units, body_detectors(modules, F.col(_SECRETS)) + extra, {_SECRETS: placed_matches(secret_rules.RULES)})
 
 
 def raw_findings(
@@ -65,6 +71,7 @@ def raw_findings(
     modules: Collection[str] = tuple(MODULES),
     materialize: bool | Callable[[DataFrame], DataFrame] = True,
     credit: Callable[[DataFrame], DataFrame] = credit_scripts,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """Hits of all chosen detectors.
 
@@ -73,18 +80,22 @@ def raw_findings(
     checkpointed because three branches read them; with ``materialize=False``
     the plan stays lazy and every branch reads the bodies again, and a function
     may keep the rows elsewhere.  ``credit`` turns references and script hits
-    into hits of the pages.
+    into hits of the pages.  ``hits`` are rows of ``body_pass`` that were kept
+    already.
     """
     unknown = set(modules) - set(MODULES)
     if unknown:
         raise ValueError(f"unknown modules: {sorted(unknown)}")
     parts = []
-    hits = body_pass(responses, modules)
+    kept = hits is not None
+    if not kept:
+        hits = body_pass(responses, modules)
     if hits is not None:
         if "javascript" in modules:
-            if materialize:
+            if materialize and not kept:
                 hits = (materialize if callable(materialize) else reliable)(hits)
             parts.append(as_raw(credit(hits)))
+        if kept or "javascript" in modules:
             hits = hits.filter("hit.kind = 'finding'")
         parts.append(as_raw(hits))
     if "http_header" in modules and "headers" in responses.columns:
@@ -115,3 +126,21 @@ def detect(
     """Findings table: one row per fingerprint, first one in emission order."""
     raw = raw_findings(responses, targets, dns, documents, modules, materialize, credit)
     return dedup(score(raw, overrides))
+
+
+def scan(
+    responses: DataFrame,
+    targets: DataFrame | None = None,
+    dns: DataFrame | None = None,
+    documents: DataFrame | None = None,
+    modules: Collection[str] = tuple(MODULES),
+    overrides: DataFrame | Mapping[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, technologies) of the captures, from one read of the bodies.
+
+    Technologies are (target, url, category, tech, seq); they are no findings
+    and stand beside them.
+    """
+    hits = reliable(body_pass(responses, modules, technologies=True))
+    raw = raw_findings(responses, targets, dns, documents, modules, hits=hits)
+    return dedup(score(raw, overrides)), tech_rows(hits)

@@ -241,3 +241,62 @@ def test_bodies_are_read_once_and_never_shuffled(spark, tmp_path):
 def test_unknown_module(responses):
     with pytest.raises(ValueError):
         detect(responses((SITE, SITE, 200, "x")), modules=["nothing"])
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_documents_are_scanned_once(spark, tmp_path):
+    import io
+    import zipfile
+
+    from seepage.operators import metadata
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("docProps/core.xml", "<cp><dc:creator>Jane</dc:creator></cp>")
+    rows = [(SITE, f"{SITE}/a.pdf", 200, "", b"%PDF /Author (Jane Roe)", None), (SITE, f"{SITE}/b.docx", 200, "", packed.getvalue(), None),
+            (SITE, f"{SITE}/c.docx", 200, "", b"no archive", None), (SITE, f"{SITE}/d.bin", 200, "", b"Author: Jo Doe", None), (SITE, f"{SITE}/e.pdf", 404, "", b"x", None)]
+    spark.createDataFrame(rows, "target string, url string, status int, content_type string, body_bytes binary, fetched_at timestamp").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    found = metadata.documents_metadata(docs)
+    single = metadata.pdf_metadata(docs).unionByName(metadata.office_metadata(docs)).unionByName(metadata.binary_metadata(docs))
+    key = lambda df: sorted((r.title, r.evidence, str(r.tags), str(r.emit_seq)) for r in df.collect())
+    assert key(found) == key(single) and len(key(found)) == 4
+    assert scans(found) == 1 and scans(single) == 3
+
+
+def test_records_are_scanned_once_and_hits_meet_hosts_once(spark, tmp_path):
+    from seepage.operators import dns
+
+    rows = [("a.io", "TXT", "v=DMARC1; p=none; 10.0.0.1"), ("a.io", "MX", "mail.internal.a.io"), ("dev.a.io", "A", "10.1.2.3"), ("a.io", "A", "10.9.9.9"),
+            ("10.9.9.9", "PTR", "dev-box.a.io"), ("a.io", "CNAME", "staging.b.io"), ("b.io", "A", "8.8.8.8"), (None, "A", None)]
+    spark.createDataFrame(rows, "hostname string, rtype string, value string").write.parquet(str(tmp_path / "dns"))
+    records = spark.read.parquet(str(tmp_path / "dns"))
+    targets = spark.createDataFrame([("https://a.io",), ("https://b.io",)], "target string")
+    assert scans(dns.record_rows(records)) == 1
+    found = dns.dns(records, targets)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert scans(found) == 0 and plan.count("Join ") == 2
+    single = dns.dns_records_rules(records, targets).unionByName(dns.dns_subdomains(records, targets)).unionByName(dns.dns_reverse(records, targets))
+    key = lambda df: sorted((r.target, r.title, r.evidence, str(r.emit_seq)) for r in df.collect())
+    assert key(found) == key(single) and len(key(found)) >= 6
+    assert key(dns.dns(records, targets, materialize=False)) == key(found)
+
+
+def test_technologies_come_from_the_pass_over_the_bodies(spark, tmp_path):
+    from seepage.operators import tech
+    from seepage.plans.detect import body_pass, scan
+
+    rows = [(SITE, f"{SITE}/", 200, "<html>wp-content <!-- some remark --><script>var a=1</script></html>", {"server": "nginx/1.2"}, {"PHPSESSID": "1"}, None),
+            (SITE, f"{SITE}/x", 404, None, {"Server": "Apache"}, None, None), (SITE, f"{SITE}/y", 0, "wp-content", None, None, None)]
+    spark.createDataFrame(rows, (
+        "target string, url string, status int, body string, headers map<string,string>, cookies map<string,string>, fetched_at timestamp")).write.parquet(str(tmp_path / "r"))
+    captured = spark.read.parquet(str(tmp_path / "r"))
+    assert scans(body_pass(captured, ["source_code", "javascript", "secrets"], technologies=True)) == 1
+    found, technologies = scan(captured, modules=["source_code", "javascript", "secrets"])
+    key = lambda df: sorted((r.url, r.seq, r.category, r.tech) for r in df.collect())
+    assert key(technologies) == key(tech.tech(captured)) and len(key(technologies)) >= 3
+    assert {r.module for r in found.collect()} == {"source_code"}
+    assert scan(captured.drop("headers", "cookies"), modules=["errors"])[1].count() >= 1
