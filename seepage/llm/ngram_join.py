@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from seepage.llm.components import components
 from seepage.llm.tables import stored
 from seepage.llm.words import shingle_sets, small_batches
-from seepage.operators.joins import salted_join
+
+Ids = Callable[[pa.Array], list[int]]
 
 #: Words of a shingle, and the least similarity in percent.
 WIDTH, PERCENT = 5, 80
@@ -60,24 +61,32 @@ def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(s >> np.uint64(64 - 8 * _BYTES)) for s in shingle_sets(column, width)]
 
 
-def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def _texts(docs: DataFrame, ids: Ids | None) -> DataFrame:
+    return docs.select("text") if ids else docs.select(F.col("doc_id").cast("long"), "text")
+
+
+def _ids(batch: pa.RecordBatch, ids: Ids | None) -> pa.Array:
+    return pa.array(ids(batch.column("text")), pa.int64()) if ids else batch.column("doc_id")
+
+
+def digests(docs: DataFrame, width: int = WIDTH, ids: Ids | None = None) -> DataFrame:
     """(doc_id, n_shingles, digest) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sets = token_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
+                _ids(batch, ids),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
             ], ["doc_id", "n_shingles", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+    return _texts(docs, ids).mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
-def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, ids: Ids | None = None) -> DataFrame:
     """(doc_id, n_shingles, rep) per row: ``rep`` is the least id with the same set."""
-    rows = stored(digests(docs, width), "digests")
+    rows = stored(digests(docs, width, ids), "digests")
     least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     tied = rows.join(least, "digest", "left")
     return stored(tied.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
@@ -135,21 +144,16 @@ def _shared(tokens: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np
 
 
 class _Chunk:
-    """Sets gathered by a task until there are enough shingles to hand on.
+    """Sets gathered by a task until there are enough shingles to hand on."""
 
-    Equal sets are one, or with ``by_id`` the sets of one id.
-    """
-
-    def __init__(self, by_id: bool = False) -> None:
-        self.by_id = by_id
+    def __init__(self) -> None:
         self.by_digest: dict[bytes, int] = {}
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
         self.n = 0
 
     def add(self, doc_id: int, shingles: np.ndarray) -> None:
-        told_by = doc_id.to_bytes(8, "little", signed=True) if self.by_id else shingles.tobytes()
-        digest = hashlib.blake2b(told_by, digest_size=16).digest()
+        digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
         at = self.by_digest.get(digest)
         if at is not None:  # a copy: only the least id can stand for its class
             self.ids[at] = min(self.ids[at], doc_id)
@@ -204,27 +208,25 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "chunk", "kind", "block"])
 
 
-def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT, ids: Callable[[pa.Array], list[int]] | None = None) -> DataFrame:
+def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT, ids: Ids | None = None) -> DataFrame:
     """(doc_id, n, tokens) of sets of which at least ``percent`` is held by other sets too.
 
     ``tokens`` are the shared shingles in ascending order, ``n`` is the size
     of the whole set, ``total`` the number of shingles in all of ``docs``.
     Of equal sets one may be left out, never the one with the least id.  With
-    ``ids``, which makes ids of texts, ``docs`` needs none; then sets of
-    different ids are different sets, and an id may come more than once.
+    ``ids``, which makes ids of texts, ``docs`` needs none.
     """
     buckets = 1 << max(0, (total // BUCKET).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(ids is not None)
+        chunk = _Chunk()
         for batch in small_batches(batches, "text"):
-            own = ids(batch.column("text")) if ids else batch.column("doc_id").to_pylist()
-            for doc_id, shingles in zip(own, token_sets(batch.column("text"), width)):
+            for doc_id, shingles in zip(_ids(batch, ids).to_pylist(), token_sets(batch.column("text"), width)):
                 if doc_id is not None and len(shingles):
                     chunk.add(doc_id, shingles)
             if chunk.n >= CHUNK:
                 yield from (_batch([row]) for row in chunk.rows(buckets))
-                chunk = _Chunk(ids is not None)
+                chunk = _Chunk()
         if chunk.n:
             yield from (_batch([row]) for row in chunk.rows(buckets))
 
@@ -270,7 +272,7 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
             pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)), pa.array(np.concatenate(parts or [_EMPTY]).view(np.int64)))
         return pa.table({"doc_id": pa.array(ids[kept]), "n": pa.array(sizes[kept]), "tokens": lists})
 
-    sent = (docs.select("text") if ids else docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(send, _ROWS)
+    sent = _texts(docs, ids).mapInArrow(send, _ROWS)
     met = sent.groupBy("bucket").applyInArrow(meet, _ROWS)
     return met.groupBy("chunk").applyInArrow(collect, "doc_id long, n long, tokens array<bigint>")
 
@@ -433,35 +435,15 @@ def _split_links(large: DataFrame, sets: DataFrame, walk, percent: int, most_set
     return stars.unionByName(stored(walk(probes.unionByName(stay).unionByName(guests)), "links"))
 
 
-def text_clusters(docs: DataFrame, ids: Callable[[pa.Array], list[int]], width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of those texts of ``docs`` (text) that link with another one, by the ids that ``ids`` makes of them.
-
-    One pass over the texts: no digests of all sets are made first; equal sets
-    of different ids are found among the sets that share all their shingles.
-    """
-    # six bytes a word; only the number of buckets follows from it
-    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    sets = stored(partnered(docs, total, width, percent, ids).dropDuplicates(["doc_id"]), "sets")
-    # a set that equals another one has only shared shingles; the least id stands for all that are equal
-    whole = sets.filter("n = size(tokens)").select("doc_id", F.struct("n", F.xxhash64("tokens"), F.get("tokens", F.lit(0))).alias("_set"))
-    least = whole.groupBy("_set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    alike = stored(salted_join(whole, least, "_set").select("doc_id", "rep"), "alike")
-    single = sets.join(alike.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    found = components(links(stored(single, "single"), percent))
-    others = alike.filter("doc_id <> rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
-    return found.select("node", "component").unionByName(others)
-
-
-def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
+def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ids: Ids | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text), or (text) with ``ids``, which makes ids of texts.
 
     ``component_id`` is the least id that links reach; without links it is the own id.
     """
-    tied = classes(docs, width)
+    tied = classes(docs, width, ids)
     total = tied.agg(F.sum("n_shingles")).first()[0] or 0
     reps = tied.filter("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    sets = stored(partnered(docs, total, width, percent).join(reps, "doc_id", "left_semi"), "sets")
+    sets = stored(partnered(docs, total, width, percent, ids).join(reps, "doc_id", "left_semi"), "sets")
     found = components(links(sets, percent))
     out = tied.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

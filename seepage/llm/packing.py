@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seepage.llm.mixing import n_words
-from seepage.llm.ngram_join import text_clusters
+from seepage.llm.ngram_join import near_components
 from seepage.llm.tables import stored
 from seepage.llm.words import small_batches, text_bytes
 from seepage.operators.joins import salted_join
@@ -144,7 +144,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pack`` for (doc_id, text, source): sizes in words, and the texts of a component of near copies are a cluster."""
     # texts of the same words are one document of the join, whatever their ids
-    near = text_clusters(docs, text_keys).select(F.col("node").alias("_key"), "component")
+    near = near_components(docs, ids=text_keys).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component")).filter("component <> _key")
     # a text may be repeated in a third of all rows
     joined = salted_join(stored(_sized(docs), "keys"), near, "_key", "left")
     rows = joined.select("doc_id", "source", F.coalesce("component", "_key").alias("cluster"), "size")

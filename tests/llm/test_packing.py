@@ -58,15 +58,15 @@ def test_near_copies_do_not_share_a_sequence(documents):
     assert len(packed) == 6 and len({(r.bin_group, r.bin) for r in packed}) == 6
 
 
-def test_clusters_are_the_components_of_the_join(spark, small, documents):
+def test_clusters_by_text_are_those_by_id(spark, small, documents):
     unit = " ".join(f"u{i}" for i in range(9))
     odd = [(5000 + k, (unit + " ") * k) for k in range(1, 7)] + [(6000, (unit + "\n").upper() * 4), (6001, unit + " other end"), (6002, "solo text here only once more")]
     docs = documents(*odd).select("doc_id", "text").unionByName(small.select("doc_id", "text"))
     wanted = {r.doc_id: r.component_id for r in ngram_join.near_components(docs).collect()}
-    found = {r.node: r.component for r in ngram_join.text_clusters(docs, packing.text_keys).collect()}
+    found = {r.doc_id: r.component_id for r in ngram_join.near_components(docs.select("text"), ids=packing.text_keys).collect()}
     rows = docs.collect()
     keys = dict(zip([r.doc_id for r in rows], packing.text_keys(pa.array([r.text for r in rows]))))
-    mine = {i: found.get(k, k) for i, k in keys.items()}
+    mine = {i: found[k] for i, k in keys.items()}
     has_words = [r.doc_id for r in rows if (r.text or "").split()]
     pairs = {(wanted[i], mine[i]) for i in has_words}
     assert len(pairs) == len({w for w, _ in pairs}) == len({m for _, m in pairs})
