@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seepage.functions.net import hostname, private_ipv4, valid_ipv4
 from seepage.functions.text import strip
-from seepage.operators.joins import salted_join
+from seepage.operators.joins import measured_join
 from seepage.operators.matching import as_raw, gated, hit, literal_map, one_hit
 from seepage.rules import dns as rules
 from seepage.rules import java_pattern
@@ -74,9 +74,9 @@ def _label_hits(text: Column, rtype: str, labels: Sequence[str], section: int) -
         ["dns", rtype.lower(), "internal"], section)))
 
 
-def _raw(found: DataFrame, targets: DataFrame) -> DataFrame:
+def _raw(found: DataFrame, targets: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Findings of (hostname, origin, hit) rows for every target on the host."""
-    joined = salted_join(found, hosts(targets), "hostname")
+    joined = measured_join(found, hosts(targets), "hostname", counted=counted)
     return as_raw(joined.withColumn("fetched_at", F.lit(None).cast("timestamp")))
 
 
@@ -145,7 +145,7 @@ def private_hit() -> Column:
 
 def _reverse(answers: DataFrame, telling: DataFrame) -> DataFrame:
     """(hostname, origin, hit) of addresses (hostname, ip) with a telling reverse name (ip, ptr)."""
-    return salted_join(answers.distinct(), telling.distinct(), "ip").select(
+    return measured_join(answers.distinct(), telling.distinct(), "ip").select(
         "hostname", F.col("ip").alias("origin"),
         one_hit(_one(
             F.concat(F.lit("Reverse DNS shows development hostname: "), "ip", F.lit(" -> "), "ptr"),
@@ -210,4 +210,5 @@ def dns(records: DataFrame, targets: DataFrame, materialize: bool = True) -> Dat
     answers = rows.filter("kind = 'answer'").select("hostname", F.col("origin").alias("ip"))
     telling = rows.filter("kind = 'reverse'").select(F.col("hostname").alias("ip"), F.col("origin").alias("ptr"))
     found = rows.filter("kind = 'finding'").select("hostname", "origin", "hit")
-    return _raw(found.unionByName(_reverse(answers, telling)), targets)
+    # the hits of single records tell which hosts are hot
+    return _raw(found.unionByName(_reverse(answers, telling)), targets, found)

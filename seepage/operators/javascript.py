@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seepage.functions.entropy import is_high_entropy
 from seepage.functions.net import resolve
 from seepage.functions.text import let, short, strip
-from seepage.operators.joins import salted_join
+from seepage.operators.joins import measured_join
 from seepage.operators.matching import (
     TEXT, UNIT, Detector, as_raw, body_units, explode_hits, find_all, gated, hit, per_placed_rule, placed_matches, whole_body,
 )
@@ -188,7 +188,7 @@ def credit_scripts(hits: DataFrame) -> DataFrame:
 
 def credit(references: DataFrame, found: DataFrame) -> DataFrame:
     """Hits of the pages that load a script with hits."""
-    return salted_join(references, found.select("script_url", "found"), "script_url").select(
+    return measured_join(references, found.select("script_url", "found"), "script_url").select(
         "target",
         F.col("first.origin").alias("origin"),
         F.col("first.fetched_at").alias("fetched_at"),
@@ -229,7 +229,7 @@ def js_inputs(responses: DataFrame, max_scripts: int | None = None) -> DataFrame
         "target", F.col("url").alias("page"), F.posexplode(script_sources(max_scripts)).alias("source_pos", "script_url"))
     captures = body_units(responses).filter(is_external()).select(
         F.col("url").alias("script_url"), F.length(TEXT).alias("chars"))
-    external = salted_join(references, captures, "script_url").withColumn("external", F.lit(True))
+    external = measured_join(references, captures, "script_url").withColumn("external", F.lit(True))
     inline = pages.select(
         "target", F.col("url").alias("page"), F.size(found_sources(max_scripts)).alias("external"),
         F.posexplode(F.transform(inline_scripts(), F.length)).alias("i", "chars"),

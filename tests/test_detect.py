@@ -278,7 +278,7 @@ def test_records_are_scanned_once_and_hits_meet_hosts_once(spark, tmp_path):
     assert scans(dns.record_rows(records)) == 1
     found = dns.dns(records, targets)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert scans(found) == 0 and plan.count("Join ") == 2
+    assert scans(found) == 0 and plan.count("Join Inner") == 2
     single = dns.dns_records_rules(records, targets).unionByName(dns.dns_subdomains(records, targets)).unionByName(dns.dns_reverse(records, targets))
     key = lambda df: sorted((r.target, r.title, r.evidence, str(r.emit_seq)) for r in df.collect())
     assert key(found) == key(single) and len(key(found)) >= 6
@@ -300,3 +300,24 @@ def test_technologies_come_from_the_pass_over_the_bodies(spark, tmp_path):
     assert key(technologies) == key(tech.tech(captured)) and len(key(technologies)) >= 3
     assert {r.module for r in found.collect()} == {"source_code"}
     assert scan(captured.drop("headers", "cookies"), modules=["errors"])[1].count() >= 1
+
+
+def test_only_hot_keys_are_split(spark, monkeypatch):
+    from seepage.operators import joins
+
+    many = spark.range(0, 9000, 1, 8).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 600).cast("string"))).alias("key"), "id")
+    many = many.unionByName(spark.createDataFrame([(None, 1)], "key string, id long"))
+    few = many.select("key").distinct().filter("key <> 'k7'").withColumn("v", F.length("key"))
+    hot = {r.key: r._salts for r in joins.hot_keys(many, "key", 100).collect()}
+    assert hot == {"hot": 30}
+    joined = joins.measured_join(many, few, "key", 100)
+    wanted = many.join(few, "key")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, wanted.collect())) and joined.columns == wanted.columns
+    # dealt out as the join deals: no task gets a third of the rows, and only the hot key's row is repeated
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    hot_rows = F.broadcast(joins.hot_keys(many, "key", 100))
+    dealt = many.filter("key is not null").join(hot_rows, "key", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("key", "id"), F.col("_salts")).cast("int"), F.lit(0)))
+    sizes = [r["count"] for r in dealt.repartition(64, "key", "_salt").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 9000 / 8
+    repeated = few.join(hot_rows, "key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    assert repeated.count() == few.filter("key is not null").count() + 29
