@@ -103,3 +103,12 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in (3, 9, 11)] + [(5, 5), (None, 4)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **dict.fromkeys((3, 7, 9, 11), 3)}
+
+
+def test_texts_that_share_all_their_shingles(spark):
+    # every shingle is held by several texts of one chunk, so buckets get marks and no holders
+    unit = " ".join(f"u{i}" for i in range(9))
+    rows = [(k, (unit + " ") * k) for k in range(1, 7)] + [(9, (unit + "\n").upper() * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.component_id for r in N.near_components(docs).collect()}
+    assert found == {c[0][1]: c[2] for c in brute(rows)}
