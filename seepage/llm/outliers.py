@@ -107,10 +107,14 @@ def _named(*parts: Column) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), p), F.lit("?")) for p in parts])
 
 
-def _meet(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
-    """Rows with the one or few rows of their group; ``groups`` is a written table."""
-    size = groups.agg(F.sum(F.octet_length(on) + F.lit(16 * len(groups.columns)))).first()[0] or 0
-    return rows.join(F.broadcast(groups), on) if size <= SENT else salted_join(rows, groups, on)
+def _sent(groups: DataFrame, on: str) -> bool:
+    """Whether three rows of each group, of 64 numbers each, are few enough to be sent to all tasks; ``groups`` is a written table."""
+    return (groups.agg(F.sum(3 * (F.octet_length(on) + F.lit(16 * 64)))).first()[0] or 0) <= SENT
+
+
+def _meet(rows: DataFrame, groups: DataFrame, on: str, sent: bool) -> DataFrame:
+    """Rows with the one or few rows of their group."""
+    return rows.join(F.broadcast(groups), on) if sent else salted_join(rows, groups, on)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -131,7 +135,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     feeds = F.array(judge, F.when(F.col("lone") & F.col("large"), pool), everything if all_rows else judge)
     groups = sizes.alias("s").join(langs.alias("l"), F.expr("s.lang <=> l.lang")).select(
         _named(lang, F.col("s.source")).alias("_own"), judge.alias("grp"), F.array_distinct(F.array_compact(feeds)).alias("feeds"))
-    return _meet(rows.withColumn("_own", _named(F.col("lang"), F.col("source"))), stored(groups, "groups"), "_own").drop("_own")
+    groups = stored(groups, "groups")
+    return _meet(rows.withColumn("_own", _named(F.col("lang"), F.col("source"))), groups, "_own", _sent(groups, "_own")).drop("_own")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -178,16 +183,17 @@ def _distance() -> Column:
     return total
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Three first estimates of each group, around its medians."""
+def _starts(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Three first estimates of each group, around its medians, and whether tables of groups are sent."""
     places = range(len(NAMES))
     medians = stored(rows.groupBy("grp").agg(*[F.percentile_approx(name, 0.5).alias(f"s{i}") for i, name in enumerate(NAMES)]), "medians")
-    spread = _meet(rows, medians, "grp").groupBy("grp", *[f"s{i}" for i in places]).agg(
+    sent = _sent(medians, "grp")
+    spread = _meet(rows, medians, "grp", sent).groupBy("grp", *[f"s{i}" for i in places]).agg(
         *[F.percentile_approx(F.abs(F.col(name) - F.col(f"s{i}")), 0.5).alias(f"d{i}") for i, name in enumerate(NAMES)])
     # 1.4826 turns a median absolute deviation into a standard deviation
     scales = [F.sqrt(F.pow(F.col(f"d{i}") * 1.4826, F.lit(2)) + F.lit(allowed**2)).alias(f"v{i}") for i, allowed in enumerate(FEATURES.values())]
     spread = stored(spread.select("grp", *[f"s{i}" for i in places], *scales), "spreads")
-    centred = _meet(rows, spread, "grp").withColumns({f"z{i}": (F.col(name) - F.col(f"s{i}")) / F.col(f"v{i}") for i, name in enumerate(NAMES)})
+    centred = _meet(rows, spread, "grp", sent).withColumns({f"z{i}": (F.col(name) - F.col(f"s{i}")) / F.col(f"v{i}") for i, name in enumerate(NAMES)})
     length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in places), F.lit(0.0)))
     shapes = {"t": [F.tanh(f"z{i}") for i in places], "g": [F.when(length > 0, F.col(f"z{i}") / length).otherwise(0.0) for i in places]}
     products = centred.groupBy("grp", *[f"{x}{i}" for x in "sv" for i in places]).agg(
@@ -205,35 +211,35 @@ def _starts(rows: DataFrame) -> DataFrame:
     first = [products.select(
         "grp", F.lit(k).alias("start"), *[f"s{i}" for i in places], *[F.col(f"s{i}").alias(f"m{i}") for i in places],
         *[covariance(shape, i, j).alias(f"c{i}_{j}") for i, j in PAIRS]) for k, shape in enumerate((None, *shapes))]
-    return stored(_whitened(first[0].unionByName(first[1]).unionByName(first[2])), "estimates")
+    return stored(_whitened(first[0].unionByName(first[1]).unionByName(first[2])), "estimates"), sent
 
 
-def _concentrated(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _concentrated(rows: DataFrame, groups: DataFrame, sent: bool) -> DataFrame:
     """Estimates from the rows that lie nearest to the last ones."""
     few = F.count("*") <= ROWS_EACH * len(NAMES)
-    edge = _meet(rows, groups, "grp").withColumn("_d", _distance()).groupBy("grp", "start").agg(
+    edge = _meet(rows, groups, "grp", sent).withColumn("_d", _distance()).groupBy("grp", "start").agg(
         F.when(few, F.max("_d")).otherwise(F.percentile_approx("_d", CORE, 10000)).alias("_edge"))
-    bounded = stored(groups.join(edge, ["grp", "start"]), "edges")
-    return stored(_whitened(_moments(_meet(rows, bounded, "grp").filter(_distance() <= F.col("_edge")))), "estimates")
+    bounded = groups.join(edge, ["grp", "start"])
+    return stored(_whitened(_moments(_meet(rows, bounded, "grp", sent).filter(_distance() <= F.col("_edge")))), "estimates")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Per group the mean, the whitening factor and the median distance ``middle``, for rows with ``grp``.
+def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Per group the mean, the whitening factor and the median distance ``middle``, for rows with ``grp``; whether they are sent.
 
     A round takes the core of the last one, which does not raise the
     determinant (but for ties and approximate quantiles at the core's edge).
     """
-    groups = _starts(rows)
+    groups, sent = _starts(rows)
     for _ in range(EARLY):
-        groups = _concentrated(rows, groups)
+        groups = _concentrated(rows, groups, sent)
     best = groups.groupBy("grp").agg(F.min(F.struct("size", "start")).alias("_best")).select("grp", "_best.start")
     groups = stored(groups.join(best, ["grp", "start"]), "estimates")
     for _ in range(EARLY, MOST_ROUNDS):
-        last, groups = groups, _concentrated(rows, groups)
+        last, groups = groups, _concentrated(rows, groups, sent)
         if groups.join(last.select("grp", F.col("size").alias("_last")), "grp").filter(F.col("size") < F.col("_last") - STILL).isEmpty():
             break
-    middle = _meet(rows, groups, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10000).alias("middle"))
-    return stored(groups.join(middle, "grp"), "estimates")
+    middle = _meet(rows, groups, "grp", sent).groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10000).alias("middle"))
+    return stored(groups.join(middle, "grp"), "estimates"), sent
 
 
 def _scale() -> Column:
@@ -259,7 +265,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     stats = stored(statistics(docs).withColumn("base_failed", base_failed()), "statistics")
     rows = stored(grouped(vector(stats.filter("not base_failed"))), "vectors")
     feeding = stored(rows.select(F.explode("feeds").alias("grp"), *NAMES), "members")
+    groups, sent = estimates(feeding)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = _meet(rows, estimates(feeding), "grp").select(*out, (_distance() / _scale()).alias("distance")).withColumn("kept", F.col("distance") <= cutoff)
+    good = _meet(rows, groups, "grp", sent).select(*out, (_distance() / _scale()).alias("distance")).withColumn("kept", F.col("distance") <= cutoff)
     bad = stats.filter("base_failed").select(*out, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return good.unionByName(bad)
