@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from seepage.llm.components import components
 from seepage.llm.tables import stored
-from seepage.llm.words import shingle_sets, small_batches
+from seepage.llm.words import Words, small_batches, word_shingles
 
 #: Words of a shingle, and the least similarity in percent.
 WIDTH, PERCENT = 5, 80
@@ -50,13 +50,13 @@ TRIE_SETS, TRIE_SHINGLES = 2_000, 3_000_000
 #: Bytes of a shingle's hash that are kept.
 _BYTES = 7
 _KNOWN = np.uint32(0xFFFFFFFF)
-_SEARCHED, _DOCUMENTS, _FOUND = range(3)
+_SEARCHED, _DOCUMENTS, _FOUND, _CARRIED = range(4)
 _EMPTY = np.zeros(0, np.uint64)
 
 
-def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+def token_sets(words: Words, width: int) -> list[np.ndarray]:
     """Shingle sets as ascending numbers of ``_BYTES`` bytes."""
-    return [np.unique(s >> np.uint64(64 - 8 * _BYTES)) for s in shingle_sets(column, width)]
+    return [np.unique(s >> np.uint64(64 - 8 * _BYTES)) for s in word_shingles(words, width)]
 
 
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -64,7 +64,7 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            sets = token_sets(batch.column("text"), width)
+            sets = token_sets(Words(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -140,18 +140,34 @@ class _Chunk:
         self.by_digest: dict[bytes, int] = {}
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
+        self.carried: list[pa.RecordBatch] = []
         self.n = 0
 
-    def add(self, doc_id: int, shingles: np.ndarray) -> None:
+    def add(self, doc_id: int | None, shingles: np.ndarray) -> int:
+        """The id of the set: ``doc_id``, or a part of its digest if that is null."""
         digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+        if doc_id is None:
+            doc_id = int.from_bytes(digest[:8], "little", signed=True)
         at = self.by_digest.get(digest)
         if at is not None:  # a copy: only the least id can stand for its class
             self.ids[at] = min(self.ids[at], doc_id)
-            return
+            return doc_id
         self.by_digest[digest] = len(self.ids)
         self.ids.append(doc_id)
         self.sets.append(shingles)
         self.n += len(shingles)
+        return doc_id
+
+    def carry(self, batch: pa.RecordBatch, words: Words, width: int) -> None:
+        """Add the sets of a batch (row_id, source, text) under ids of their own, and keep the rows with words."""
+        sets = token_sets(words, width)
+        kept = [i for i, s in enumerate(sets) if len(s)]
+        rows = batch.select(["row_id", "source"]).take(pa.array(kept, pa.int64()))
+        own = pa.array([self.add(None, sets[i]) for i in kept], pa.int64())
+        size = pa.array(np.diff(words.offsets)[kept].astype(np.int64))
+        self.carried.append(pa.RecordBatch.from_arrays([own, *rows.columns, size], schema=_ROW))
+        # copies bring no shingles, but are not gathered without end
+        self.n += len(kept)
 
     def rows(self, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
         """(bucket, chunk, kind, block) rows.
@@ -183,6 +199,12 @@ class _Chunk:
             tokens, place = tokens[shared], place[shared]
             order = np.lexsort((tokens, place))
             yield onward, chunk, _FOUND, _Postings(tokens[order], place[order]).pack()
+        if self.carried:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _ROW) as out:
+                for batch in self.carried:
+                    out.write_batch(batch)
+            yield onward, chunk, _CARRIED, sink.getvalue().to_pybytes()
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -191,6 +213,8 @@ def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
 
 
 _ROWS = "bucket long, chunk long, kind int, block binary"
+#: A row of the input that travels with the chunk of its set.
+_ROW = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
 
 
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -198,21 +222,29 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "chunk", "kind", "block"])
 
 
-def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT, carry: bool = False) -> DataFrame:
     """(doc_id, n, tokens) of sets of which at least ``percent`` is held by other sets too.
 
     ``tokens`` are the shared shingles in ascending order, ``n`` is the size
     of the whole set, ``total`` the number of shingles in all of ``docs``.
     Of equal sets one may be left out, never the one with the least id.
+
+    With ``carry``, ``docs`` is (doc_id, source, text): the id of a set is made
+    of its digest, and the result also has a row (doc_id of its set, row_id,
+    source, size in words) without tokens for each row of ``docs`` with words.
     """
     buckets = 1 << max(0, (total // BUCKET).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for batch in small_batches(batches, "text"):
-            for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), width)):
-                if doc_id is not None and len(shingles):
-                    chunk.add(doc_id, shingles)
+            words = Words(batch.column("text"))
+            if carry:
+                chunk.carry(batch, words, width)
+            else:
+                for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), token_sets(words, width)):
+                    if doc_id is not None and len(shingles):
+                        chunk.add(doc_id, shingles)
             if chunk.n >= CHUNK:
                 yield from (_batch([row]) for row in chunk.rows(buckets))
                 chunk = _Chunk()
@@ -259,11 +291,16 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
         parts = [tokens[edges[i] : edges[i + 1]] for i in kept.tolist()]
         lists = pa.ListArray.from_arrays(
             pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)), pa.array(np.concatenate(parts or [_EMPTY]).view(np.int64)))
-        return pa.table({"doc_id": pa.array(ids[kept]), "n": pa.array(sizes[kept]), "tokens": lists})
-
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, _ROWS)
+        found = pa.table({"doc_id": pa.array(ids[kept]), "n": pa.array(sizes[kept]), "tokens": lists})
+        if not carry:
+            return found
+        rows = [pa.ipc.open_stream(b).read_all() for b, kind in zip(blocks, kinds) if kind == _CARRIED]
+        return pa.concat_tables([found, *rows], promote_options="default").select(["doc_id", "n", "tokens", "row_id", "source", "size"])
+
+    columns = [F.col("doc_id").cast("long").alias("row_id"), F.col("source").cast("string").alias("source")] if carry else [F.col("doc_id").cast("long")]
+    sent = docs.select(*columns, "text").mapInArrow(send, _ROWS)
     met = sent.groupBy("bucket").applyInArrow(meet, _ROWS)
-    return met.groupBy("chunk").applyInArrow(collect, "doc_id long, n long, tokens array<bigint>")
+    return met.groupBy("chunk").applyInArrow(collect, "doc_id long, n long, tokens array<bigint>" + ", row_id long, source string, size long" * carry)
 
 
 # -- the prefix tree ----------------------------------------------------------------------------------------------
@@ -384,46 +421,71 @@ def links(sets: DataFrame, percent: int = PERCENT, most_sets: int = TRIE_SETS, m
         return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
 
     def walk(rows: DataFrame) -> DataFrame:
-        """A trie per (leader, block, slice) over the sets of its rows."""
-        carried = rows.select("leader", "block", "slice", "probe", "doc_id").join(sets, "doc_id")
+        """A trie per (leader, block, slice) over the sets (probe, doc_id, n, tokens) of its rows."""
         # tries take time rather than bytes, so tasks are not merged by size
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        carried = carried.repartition(parts, "leader", "block", "slice")
-        return carried.groupBy("leader", "block", "slice").applyInArrow(join_all, "u long, v long")
+        return rows.repartition(parts, "leader", "block", "slice").groupBy("leader", "block", "slice").applyInArrow(join_all, "u long, v long")
 
-    whole = walk(small.select("leader", "doc_id", F.lit(0).alias("block"), F.lit(0).alias("slice"), F.lit(True).alias("probe")))
+    carried = small.select("leader", "doc_id").join(sets, "doc_id")
+    whole = walk(carried.select("leader", F.lit(0).alias("block"), F.lit(0).alias("slice"), F.lit(True).alias("probe"), "doc_id", "n", "tokens"))
     if large.isEmpty():
         return stored(whole, "links")
-    return stored(whole, "links").unionByName(_split_links(large, sets, walk, percent, most_sets, most_shingles))
+    # written by one job, which deals the sets out by id once for both
+    checked = _checked(large, sets, percent)
+    both = stored(whole.unionByName(checked, allowMissingColumns=True), "links")
+    split = _split_links(both.filter("leader is not null").drop("u", "v"), walk, most_sets, most_shingles)
+    return both.filter("leader is null").select("u", "v").unionByName(split)
+
+
+def _checked(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``large`` with n and tokens, and ``near``: whether the set is linked to the leader's, or is it."""
+    leaders = large.select(F.col("leader").alias("doc_id")).distinct()
+    head = sets.join(F.broadcast(leaders), "doc_id", "left_semi").select(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"), F.col("tokens").alias("leader_tokens"))
+    # of rows that share an id one is enough here: what is not linked to it is compared with all
+    head = head.dropDuplicates(["leader"])
+    own = large.select("leader", "doc_id", "members", "weight").distinct().join(sets, "doc_id").join(head, "leader")
+    overlap = F.size(F.array_intersect("tokens", "leader_tokens")).cast("long")
+    near = (F.col("doc_id") == F.col("leader")) | ((100 + percent) * overlap >= percent * (F.col("n") + F.col("leader_n")))
+    return own.select("leader", "doc_id", "n", "tokens", "members", "weight", near.alias("near"))
 
 
-def _split_links(large: DataFrame, sets: DataFrame, walk, percent: int, most_sets: int, most_shingles: int) -> DataFrame:
+def _split_links(checked: DataFrame, walk, most_sets: int, most_shingles: int) -> DataFrame:
     """Links of meetings that are too large for one trie.
 
-    First each set is compared with its leader, one row per set.  The sets
-    that are not linked to it are the probes: a block of them walks the tries
-    of all slices of the meeting.
+    The sets that are not linked to their leader are the probes: a block of
+    them walks the tries of all slices of the meeting.
     """
-    head = sets.select(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"), F.col("tokens").alias("leader_tokens"))
-    own = large.join(sets.select("doc_id", "tokens"), "doc_id").join(head, "leader")
-    overlap = F.size(F.array_intersect("tokens", "leader_tokens")).cast("long")
-    near = (F.col("doc_id") == F.col("leader")) | ((100 + percent) * overlap >= percent * (F.col("n") + F.col("leader_n")))
-    checked = stored(own.select("leader", "doc_id", "n", "members", "weight", near.alias("near")).distinct(), "checked")
     far = checked.groupBy("leader").agg(F.sum(F.when(~F.col("near"), 1).otherwise(0)).alias("far"), F.sum(F.when(~F.col("near"), F.col("n")).otherwise(0)).alias("far_weight"))
     sized = checked.join(far.filter("far > 0"), "leader").select(
-        "leader", "doc_id", "near",
+        "leader", "doc_id", "n", "tokens", "near",
         F.expr(f"cast(greatest(ceil(members / {most_sets}), ceil(weight / {most_shingles})) as int)").alias("slices"),
         F.expr(f"cast(greatest(ceil(far / {most_sets}), ceil(far_weight / {most_shingles})) as int)").alias("blocks"))
     number = F.xxhash64("doc_id")
-    probes = sized.filter("not near").select("leader", "doc_id", F.pmod(number, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("probe"))
-    stay = sized.filter("near").select("leader", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(number, "slices").cast("int").alias("slice"), F.lit(False).alias("probe"))
+    row = ["leader", "doc_id", "n", "tokens"]
+    probes = sized.filter("not near").select(*row, F.pmod(number, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("probe"))
+    stay = sized.filter("near").select(*row, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(number, "slices").cast("int").alias("slice"), F.lit(False).alias("probe"))
     # probes of different blocks have to meet as well: each block's probes are also rows of their slice in the other blocks
-    other = sized.filter("not near").select("leader", "doc_id", F.pmod(number, "slices").cast("int").alias("slice"), F.pmod(number, "blocks").cast("int").alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("block < home")
-    guests = other.select("leader", "doc_id", "block", "slice", F.lit(True).alias("probe"))
+    other = sized.filter("not near").select(*row, F.pmod(number, "slices").cast("int").alias("slice"), F.pmod(number, "blocks").cast("int").alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("block < home")
+    guests = other.select(*row, "block", "slice", F.lit(True).alias("probe"))
     stars = checked.filter("near and doc_id <> leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
     return stars.unionByName(stored(walk(probes.unionByName(stay).unionByName(guests)), "links"))
 
 
+def sized_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, source, size, component) per row of ``docs`` (doc_id, text, source) with words, from one pass over the texts.
+
+    ``size`` is the number of words.  Rows have one component if links or equal
+    sets connect them; its number says no more than that.
+    """
+    # about seven bytes a word; only the number of buckets follows from it
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 7
+    found = stored(partnered(docs, total, width, percent, carry=True), "carried")
+    # equal sets of different chunks have one id
+    sets = stored(found.filter("tokens is not null").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"]), "sets")
+    rows = found.filter("tokens is null").select(F.col("doc_id").alias("node"), F.col("row_id").alias("doc_id"), "source", "size")
+    return rows.join(components(links(sets, percent)), "node", "left").select("doc_id", "source", "size", F.coalesce("component", "node").alias("component"))
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
 

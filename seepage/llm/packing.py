@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seepage.llm.mixing import n_words
-from seepage.llm.ngram_join import near_components
+from seepage.llm.ngram_join import sized_components
 from seepage.llm.tables import stored
 
 #: Words of a sequence, and pieces that one task packs together.
@@ -113,13 +113,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, lanes: i
 
 def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pack`` for (doc_id, text, source): sizes in words, and the texts of a component of near copies are a cluster."""
-    # texts that are equal but for ASCII case are one document of the join, whatever their ids
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    key = F.xxhash64(lowered)
-    near = near_components(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
-    rows = docs.select(F.col("doc_id").cast("long"), "source", key.alias("_key"), n_words(F.col("text")).alias("size"))
-    joined = rows.join(near.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
-    return pack(stored(joined, "sizes"), capacity, group)
+    sized = sized_components(docs)
+    return pack(stored(sized.withColumnRenamed("component", "cluster"), "sizes"), capacity, group)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

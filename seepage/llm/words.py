@@ -144,7 +144,11 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 
     A row with fewer words gives one hash of them all, a row without words none.
     """
-    words = Words(column)
+    return word_shingles(Words(column), width)
+
+
+def word_shingles(words: Words, width: int) -> list[np.ndarray]:
+    """``shingle_sets`` of words that are known already."""
     marked = mix(words.hashes + np.uint64(_BASE))
     n = len(marked)
     factors = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)

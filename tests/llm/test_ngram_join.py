@@ -112,3 +112,22 @@ def test_texts_that_share_all_their_shingles(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     found = {r.doc_id: r.component_id for r in N.near_components(docs).collect()}
     assert found == {c[0][1]: c[2] for c in brute(rows)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_with_sizes(documents, seed, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(N, "CHUNK", 300)
+        monkeypatch.setattr(N, "BUCKET", 400)
+        monkeypatch.setattr(N.links, "__defaults__", (80, 3, 400))
+    rows = corpus(seed)
+    # ids play no part here, so the plain side numbers the rows
+    want = {}
+    for (i, _, c), (_, text) in zip(brute([(k, text) for k, (_, text) in enumerate(rows)]), rows):
+        if text and text.split():
+            want.setdefault(c, set()).add((str(i[1]), rows[i[1]][0], len(text.split())))
+    got = {}
+    for r in N.sized_components(documents(*[(i, text, None, str(k)) for k, (i, text) in enumerate(rows)])).collect():
+        got.setdefault(r.component, set()).add((r.source, r.doc_id, r.size))
+    assert sorted(map(sorted, got.values()), key=str) == sorted(map(sorted, want.values()), key=str)
+    assert N.sized_components(documents((1, "a")).filter("false")).collect() == []

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from seepage.llm import packing
 
 
@@ -64,3 +66,16 @@ def test_edges(documents):
     assert sorted(r.n_words for r in packed if r.doc_id == 4) == [5, 10, 10]
     assert {r.doc_id for r in packed} == {1, None, 4}
     assert packing.pack_documents(docs.filter("false")).collect() == []
+
+
+def test_texts_are_read_once_beside_their_length(spark, small):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = small.limit(60).select("doc_id", "source", F.udf(seen, "string").asNondeterministic()("text").alias("text"))
+    assert {r.doc_id for r in packing.pack_near_documents(docs).collect()} == {r.doc_id for r in packing.pack_documents(small.limit(60)).collect()}
+    # a pass for the total length, one for sizes, clusters and shingles
+    assert read.value <= 2 * 60
