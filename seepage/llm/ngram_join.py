@@ -9,9 +9,12 @@ one pair of texts:
 2. A shingle that no other set holds cannot be shared, and a set that can have
    a partner needs ``percent`` of its shingles shared.  One exchange of packed
    shingles finds the shared ones; all other sets leave here.
-3. The global order is: shingles held by one set only, then by hash.  Partners
-   share a shingle among the first ``n - need + 1`` of either set.  The sets
-   that hold such a shingle meet under the least id among them, once each.
+3. The global order is: shingles held by one set only, then the shared ones by
+   the power of two of their number of holders, then by hash.  Partners share
+   a shingle among the first ``n - need + 1`` of either set.  The sets that hold
+   such a shingle meet under the least id among them, once each.  A line that
+   very many texts hold comes last, so that only texts made of such lines meet
+   by it, and meetings do not grow with the corpus.
 4. Within a meeting the ordered sets are stored in a trie.  A set walks it
    once, sharing the overlap counted so far with all sets below a node, and
    leaves a subtree when the shingles that remain on either side cannot bring
@@ -46,11 +49,14 @@ WIDTH, PERCENT = 5, 80
 BUCKET, CHUNK = 2_000_000, 2_000_000
 #: Sets and shingles of one trie; a larger meeting is split.
 TRIE_SETS, TRIE_SHINGLES = 2_000, 3_000_000
+#: A shingle with fewer holders than two to this power is rare; rare ones are ordered by hash alone.
+RARE = 3
 
 #: Bytes of a shingle's hash that are kept.
 _BYTES = 7
-_KNOWN = np.uint32(0xFFFFFFFF)
-_SEARCHED, _DOCUMENTS, _FOUND, _CARRIED = range(4)
+#: From here on a place is a mark: this plus the number of holders.
+_KNOWN = np.uint32(1 << 31)
+_SEARCHED, _DOCUMENTS, _FOUND, _CARRIED, _COMMON = range(5)
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -97,14 +103,14 @@ def _values(block: bytes, at: int, n: int, width: int, kind: type) -> np.ndarray
 
 
 class _Postings:
-    """Tokens and who holds them: places in the chunk's list of documents, ``_KNOWN`` for a mark."""
+    """Tokens and who holds them: places in the chunk's list of documents, or marks from ``_KNOWN`` on."""
 
     def __init__(self, tokens: np.ndarray, place: np.ndarray):
         self.tokens, self.place = tokens, place
 
     def pack(self, keys: np.ndarray | None = None) -> bytes:
         """With ``keys``, the key of each document that occurs, in ascending order of places, is added."""
-        used = np.unique(self.place[self.place != _KNOWN]) if keys is not None else _EMPTY
+        used = np.unique(self.place[self.place < _KNOWN]) if keys is not None else _EMPTY
         head = np.array([len(self.tokens), len(used)], np.int64).tobytes()
         added = _planes(used.astype(np.uint32), 4) + keys[used].tobytes() if keys is not None else b""
         return head + _planes(self.tokens, _BYTES) + _planes(self.place, 4) + added
@@ -119,18 +125,45 @@ class _Postings:
             return own, np.zeros(n, np.uint64)
         used = _values(block, at + 4 * n, docs, 4, np.uint32)
         keys = np.frombuffer(block, np.uint64, docs, at + 4 * n + 4 * docs)
-        known = own.place == _KNOWN
+        known = own.place >= _KNOWN
         return own, np.where(known, np.uint64(0), keys[np.searchsorted(used, np.where(known, used[0], own.place))])
 
 
-def _shared(tokens: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the postings by token, and for each in that order whether different sets hold its token."""
+def _shared(tokens: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the postings by token, for each in that order whether different sets hold its token, and where tokens start."""
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     key = keys[order]
     differ = (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)) | np.logical_or.reduceat(known[order], starts)
-    return order, np.repeat(differ, np.diff(np.append(starts, len(ordered))))
+    return order, np.repeat(differ, np.diff(np.append(starts, len(ordered)))), starts
+
+
+def _commonness(tokens: np.ndarray, place: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each posting, how many powers of two the holders of its token are beyond a rare one's; ``order`` sorts by token.
+
+    Equal sets of different chunks count as often as they are there: only the order follows from it.
+    """
+    many = np.diff(np.append(starts, len(tokens)))
+    marks = np.flatnonzero(place >= _KNOWN)
+    # a mark is one posting, but stands for all its holders
+    total = many + np.bincount(np.searchsorted(tokens[order[starts]], tokens[marks]), place[marks] - _KNOWN - np.uint32(1), len(starts)).astype(np.int64)
+    out = np.zeros(len(tokens), np.uint32)
+    common = total >= 1 << RARE
+    many, rank = many[common], np.frexp(total[common].astype(np.float64))[1] - RARE
+    out[order[np.repeat(starts[common] - np.cumsum(many) + many, many) + np.arange(many.sum())]] = np.repeat(rank, many)
+    return out
+
+
+def _looked_up(ranked: list[_Postings], tokens: np.ndarray) -> np.ndarray:
+    """What ``ranked`` says of each token, 0 for those that it does not have."""
+    if not ranked:
+        return np.zeros(len(tokens), np.uint32)
+    known, ranks = np.concatenate([p.tokens for p in ranked]), np.concatenate([p.place for p in ranked])
+    order = np.argsort(known, kind="stable")
+    known, ranks = known[order], ranks[order]
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, ranks[at], np.uint32(0))
 
 
 class _Chunk:
@@ -174,19 +207,19 @@ class _Chunk:
 
         A token that one set here holds goes to its bucket with its holder.  A
         token that several hold is known to be shared: it goes to its bucket
-        as a mark, so that a bucket gets at most one posting per token and
-        chunk, and its holders' postings go on with the chunk.
+        as a mark with their number, so that a bucket gets at most one posting
+        per token and chunk, and its holders' postings go on with the chunk.
         """
         digests = b"".join(self.by_digest)
         ids, sizes = np.array(self.ids, np.int64), np.array([len(s) for s in self.sets], np.int64)
         chunk = int.from_bytes(hashlib.blake2b(digests + ids.tobytes(), digest_size=8).digest(), "little", signed=True)
         keys = np.frombuffer(digests, np.uint64)[::2]
         tokens, place = np.concatenate(self.sets), np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
-        order, shared = _shared(tokens, keys[place], np.zeros(len(place), bool))
+        order, shared, _ = _shared(tokens, keys[place], np.zeros(len(place), bool))
         tokens, place = tokens[order], place[order]
-        marks = np.unique(tokens[shared])
+        marks, held = np.unique(tokens[shared], return_counts=True)
         single = np.concatenate((tokens[~shared], marks))
-        holder = np.concatenate((place[~shared], np.full(len(marks), _KNOWN, np.uint32)))
+        holder = np.concatenate((place[~shared], _KNOWN + held.astype(np.uint32)))
         order = np.argsort(single, kind="stable")
         single, holder = single[order], holder[order]
         edges = np.searchsorted(_bucket(single, buckets), np.arange(buckets + 1)).tolist()
@@ -225,7 +258,7 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT, carry: bool = False) -> DataFrame:
     """(doc_id, n, tokens) of sets of which at least ``percent`` is held by other sets too.
 
-    ``tokens`` are the shared shingles in ascending order, ``n`` is the size
+    ``tokens`` are the shared shingles in the global order, ``n`` is the size
     of the whole set, ``total`` the number of shingles in all of ``docs``.
     Of equal sets one may be left out, never the one with the least id.
 
@@ -258,17 +291,21 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
         parts = [_Postings.unpack(b) for b in group.column("block").to_pylist()]
         lengths = [len(p.tokens) for p, _ in parts]
         tokens, place = np.concatenate([p.tokens for p, _ in parts]), np.concatenate([p.place for p, _ in parts])
-        known = place == _KNOWN
-        order, shared = _shared(tokens, np.concatenate([k for _, k in parts]), known)
+        known = place >= _KNOWN
+        order, shared, starts = _shared(tokens, np.concatenate([k for _, k in parts]), known)
         found = np.zeros(len(tokens), bool)
         found[order[shared]] = True
         found &= ~known
+        common = _commonness(tokens, place, order, starts)
         bucket = group.column("bucket")[0].as_py()
         rows, start = [], 0
         for chunk, n in zip(chunks, lengths):
             mine = found[start : start + n]
             if mine.any():
                 rows.append((bucket, chunk, _FOUND, _Postings(tokens[start : start + n][mine], place[start : start + n][mine]).pack()))
+            mine = common[start : start + n] > 0
+            if mine.any():
+                rows.append((bucket, chunk, _COMMON, _Postings(tokens[start : start + n][mine], common[start : start + n][mine]).pack()))
             start += n
         return pa.Table.from_batches([_batch(rows)])
 
@@ -280,7 +317,8 @@ def partnered(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PE
         parts = [_Postings.unpack(b)[0] for b, kind in zip(blocks, kinds) if kind == _FOUND]
         tokens = np.concatenate([p.tokens for p in parts] or [_EMPTY])
         place = np.concatenate([p.place for p in parts] or [np.zeros(0, np.uint32)])
-        order = np.lexsort((tokens, place))
+        ranked = [_Postings.unpack(b)[0] for b, kind in zip(blocks, kinds) if kind == _COMMON]
+        order = np.lexsort((tokens, _looked_up(ranked, tokens), place))
         tokens, place = tokens[order], place[order]
         # a chunk that was read from two equal files comes twice
         fresh = np.ones(len(tokens), bool)
@@ -376,7 +414,7 @@ def trie_links(sets: list[np.ndarray], sizes: list[int], percent: int, probes: l
     """
     vocabulary, flat = np.unique(np.concatenate(sets) if sets else _EMPTY, return_inverse=True)
     bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
-    local = [flat[a:b].astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
+    local = [np.sort(flat[a:b].astype(np.int64)) for a, b in zip(bounds[:-1], bounds[1:])]
     order = sorted(range(len(sets)), key=lambda i: local[i].astype(">u4").tobytes())
     trie = Trie([local[i] for i in order], [sizes[i] for i in order])
     comp = np.arange(len(sets))

@@ -131,3 +131,29 @@ def test_components_with_sizes(documents, seed, monkeypatch):
         got.setdefault(r.component, set()).add((r.source, r.doc_id, r.size))
     assert sorted(map(sorted, got.values()), key=str) == sorted(map(sorted, want.values()), key=str)
     assert N.sized_components(documents((1, "a")).filter("false")).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [250, 2_000_000])
+def test_a_line_of_all_texts_does_not_make_them_meet(spark, monkeypatch, chunk):
+    monkeypatch.setattr(N, "CHUNK", chunk)
+    monkeypatch.setattr(N, "BUCKET", 400)
+    met = []
+
+    def noted(df, name, stored=N.stored):
+        out = stored(df, name)
+        if name == "meetings":
+            met.extend(r["count"] for r in out.groupBy("leader").count().collect())
+        return out
+
+    monkeypatch.setattr(N, "stored", noted)
+    rng = random.Random(3)
+    line = " ".join(f"line{i}" for i in range(30))
+    rows = []
+    for k in range(40):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * k, " ".join([*own, line])), (2 * k + 1, " ".join([*own, line, f"z{k}"]))]
+    # texts of the line alone do meet
+    rows += [(100, line), (101, line + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(docs) == brute(rows)
+    assert max(met) <= 4
