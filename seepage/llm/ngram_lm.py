@@ -15,23 +15,27 @@ of the corpus, so a segment has a bounded size.  While vocabulary and segments
 stay below ``HELD`` bytes, every worker loads all of them once from the shared
 folder and texts are scored where they lie.  Above that, texts are cut into
 blocks, the distinct n-grams of each block go to the segments, and the levels come
-back to the block: the same numbers in bounded memory, whatever the corpus.
+back to the block: the same numbers in bounded memory, whatever the corpus.  A
+block asks ``1 << GROUP`` segments at once, so that there are few and long lists of
+keys, and its texts are read again where they were written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs, parquet
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.words import Words, mix, small_batches
+from seepage.llm.words import Words, distinct, mix, small_batches
 from seepage.sources.checkpoint import fresh_folder
 
 #: Longest n-grams, exponent of the weight of shorter n-grams.
@@ -44,6 +48,8 @@ ADDED = 0.1
 HELD = 320 << 20
 #: N-gram tokens per segment, at most about this many; n-grams that a task counts before it hands them on.
 SEGMENT, FLUSH = 1 << 20, 1 << 22
+#: Bytes of text of a block that asks segments, power of two of the segments that it asks at once, and keys looked up at once.
+BLOCK, GROUP, ASKED = 8 << 20, 5, 1 << 16
 #: Bits of an n-gram's hash behind its segment, and of the segment at most.
 _REST, _MOST = 40, 24
 _LEVELS = 48
@@ -84,9 +90,9 @@ def _segments(keys: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits if order == 1 else _REST)).astype(np.int64) if bits or order > 1 else np.zeros(len(keys), np.int64)
 
 
-def _cut(keys: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, slice]]:
-    """(segment, its place in the ascending ``keys``)."""
-    own = _segments(keys, order, bits)
+def _cut(keys: np.ndarray, order: int, bits: int, group: int = 0) -> Iterator[tuple[int, slice]]:
+    """(segment, its place in the ascending ``keys``), or groups of ``1 << group`` segments."""
+    own = _segments(keys, order, bits) >> group
     starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else []
     for a, b in zip(starts, [*starts[1:], len(own)]):
         yield int(own[a]), slice(int(a), int(b))
@@ -108,6 +114,21 @@ def _opened(data: bytes, order: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending distinct keys: the first, the width of the differences, and these with all lowest bytes first."""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return keys[:1].tobytes() + bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _keys(data: bytes) -> np.ndarray:
+    """Keys of ``_steps``."""
+    width, rest = data[8], np.frombuffer(data, np.uint8)[9:]
+    steps = np.zeros((len(rest) // width, 8), np.uint8)
+    steps[:, :width] = rest.reshape(width, -1).T
+    return np.cumsum(np.concatenate((np.frombuffer(data, np.uint64, 1), steps.view("<u8").ravel())), dtype=np.uint64)
+
+
 def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each key at one level; all hash functions are sums of them."""
     first = mix(keys + np.uint64(level * int(_ONE) & (1 << 64) - 1))
@@ -217,9 +238,24 @@ class Scorer:
         return [np.diff(texts.offsets) - 1, sums[0].astype(np.int64), sums[1], sums[2]]
 
 
+@contextmanager
+def _without_rest(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written here go when it is written, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -275,7 +311,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             names=["order", "segment", "size", "data", "counts", "n", "total"])
 
     folder = fresh_folder(spark, "ngram-lm")
-    docs.select("text").mapInArrow(count, _PART).groupBy("order", "segment").applyInArrow(merge, _KEPT).write.parquet(folder)
+    with _without_rest(spark):
+        docs.select("text").mapInArrow(count, _PART).groupBy("order", "segment").applyInArrow(merge, _KEPT).write.parquet(folder)
     kept = spark.read.schema(_KEPT).parquet(folder)
     held = kept.agg(F.sum(F.octet_length("data") + F.coalesce(F.octet_length("counts"), F.lit(0))).alias("n")).first()["n"] or 0
     # one row per length and level
@@ -287,11 +324,15 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     return Model(folder, kept, order, bits, sum(s[1] for s in single), sum(s[0] for s in single), texts, held, tuple(means))
 
 
+def _files(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+
+
 class _Whole:
     """All segments of a model in one worker, each byte of them once."""
 
     def __init__(self, folder: str, order: int, bits: int, most: int):
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        store, base = _files(folder)
         files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
         self.bits = bits
         self.start, self.size = np.zeros((order + 1, 1 << bits), np.int64), np.full((order + 1, 1 << bits), 64, np.uint64)
@@ -338,6 +379,30 @@ def _whole(folder: str, order: int, bits: int, most: int) -> _Whole:
     return _Whole(folder, order, bits, most)
 
 
+class _Group:
+    """The segments that are asked at once: rows (segment, size, data, counts) in ascending order of segments."""
+
+    def __init__(self, order: int, bits: int, rows: list[tuple[int, int, bytes, bytes | None]]):
+        self.order, self.bits = order, bits
+        self.data = np.frombuffer(b"".join(r[2] for r in rows), np.uint64 if order == 1 else np.uint8)
+        if order == 1:
+            self.counts = np.frombuffer(b"".join(r[3] for r in rows), np.int64)
+            return
+        # a segment that nothing fell into has 64 bits of its own, all clear
+        self.start, self.size = np.full(1 << GROUP, 8 * len(self.data), np.int64), np.full(1 << GROUP, 64, np.uint64)
+        at = 0
+        for segment, size, data, _ in rows:
+            self.start[segment & (1 << GROUP) - 1], self.size[segment & (1 << GROUP) - 1] = 8 * at, size
+            at += len(data)
+        self.data = np.concatenate((self.data, np.zeros(8, np.uint8)))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if self.order == 1:
+            return looked_up(self.data, self.counts, keys)
+        own = _segments(keys, self.order, self.bits) & (1 << GROUP) - 1
+        return probe(self.data, self.start[own], self.size[own], keys & np.uint64((1 << _REST) - 1))
+
+
 def looked_up(known: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(keys), np.int64)
@@ -349,8 +414,8 @@ def _scored(doc_id: pa.Array, column: pa.Array, scorer: Scorer, find: Callable[[
     texts = Sequences(column)
     grams, counts = texts.n_grams(scorer.order, scorer.bits), []
     for n, (_, keys) in enumerate(grams):
-        distinct, place = np.unique(keys, return_inverse=True)
-        counts.append(find(n + 1, distinct)[place])
+        different, place = np.unique(keys, return_inverse=True)
+        counts.append(find(n + 1, different)[place])
     found = scorer.score(texts, grams, counts)
     return pa.RecordBatch.from_arrays([
         doc_id, *(pa.array(x, pa.int64()) for x in found[:2]), *(pa.array(x, pa.float64()) for x in found[2:])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
@@ -385,69 +450,119 @@ def score(docs: DataFrame, model: Model, held: int = HELD) -> DataFrame:
 def _score_routed(rows: DataFrame, model: Model) -> DataFrame:
     """As above; distinct n-grams of blocks of texts travel to the segments, their levels and counts back."""
     scorer, spark = model.scorer(), rows.sparkSession
+    kind = np.uint32 if scorer.tokens < 1 << 32 else np.int64
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in small_batches(batches, "text"):
-            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c).cast(kind)) for c, kind in (("doc_id", pa.int64()), ("text", pa.string()))]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], ["block", "doc_id", "text"])
-            number += 1
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def handed_on() -> pa.RecordBatch:
+            joined = pa.Table.from_batches(waiting).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, joined.num_rows], pa.int32()), pa.concat_arrays(joined.column(c).chunks).cast(t)) for c, t in (("doc_id", pa.int64()), ("text", pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], ["block", "doc_id", "text"])
+
+        for batch in small_batches(batches, "text", BLOCK // 4):
+            waiting.append(batch)
+            # a start and an end of each text count, too
+            size += (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0) + 12 * batch.num_rows
+            if size >= BLOCK:
+                yield handed_on()
+                waiting, size, number = [], 0, number + 1
+        if waiting:
+            yield handed_on()
 
     folder = fresh_folder(spark, "lm-blocks")
     blocked = "block long, doc_id array<long>, text array<string>"
-    rows.mapInArrow(block, blocked).write.parquet(folder)
+    # a row group for each block, so that it can be read alone
+    single = {"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
+    rows.mapInArrow(block, blocked).write.options(compression="zstd", **single).parquet(folder)
     blocks = spark.read.schema(blocked).parquet(folder)
+    # one name per block
+    names = {r["block"]: r["file_name"] for r in blocks.select("block", "_metadata.file_name").collect()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, texts in zip(batch.column("block").to_pylist(), batch.column("text")):
                 for n, (_, keys) in enumerate(Sequences(texts.values).n_grams(scorer.order, scorer.bits)):
-                    keys = np.unique(keys)
-                    cut = [(s, _packed(keys[own], n + 1)) for s, own in _cut(keys, n + 1, scorer.bits)]
+                    keys = distinct(keys)
+                    cut = [(s, _steps(keys[own])) for s, own in _cut(keys, n + 1, scorer.bits, GROUP)]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([n + 1] * len(cut), pa.int32()), pa.array([c[0] for c in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()),
-                        pa.array([c[1] for c in cut], pa.binary())], ["order", "segment", "block", "keys"])
+                        pa.array([c[1] for c in cut], pa.binary())], ["order", "part", "block", "keys"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None,)
+        own, segments, group = None, [], None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                key = row["order"], row["segment"]
-                if row["block"] is None:
-                    # a segment comes before the keys that ask for it
-                    held = key, row
+            out, waiting = [], []
+
+            def handed_on() -> None:
+                if waiting:
+                    values = group.find(np.concatenate([k for _, k in waiting])).astype(kind if own[0] == 1 else np.uint8)  # noqa: B023
+                    cuts = np.cumsum([len(k) for _, k in waiting])  # noqa: B023
+                    out.extend((number, *own, v.tobytes()) for (number, _), v in zip(waiting, np.split(values, cuts[:-1])))  # noqa: B023
+                    waiting.clear()  # noqa: B023
+
+            n_waiting = 0
+            columns = [batch.column(c) for c in ("segment", "size", "data", "counts")]
+            for i, key in enumerate(zip(batch.column("order").to_pylist(), batch.column("part").to_pylist())):
+                if key != own:
+                    handed_on()
+                    own, segments, group, n_waiting = key, [], None, 0
+                number = batch.column("block")[i].as_py()
+                if number is None:
+                    # segments come before the keys that ask for them
+                    segments.append(tuple(c[i].as_py() for c in columns))
                     continue
-                keys = _opened(row["keys"], row["order"])
-                if held[0] != key:
-                    values = np.zeros(len(keys), np.int64)
-                elif row["order"] == 1:
-                    values = looked_up(np.frombuffer(held[1]["data"], np.uint64), np.frombuffer(held[1]["counts"], np.int64), keys)
-                else:
-                    values = probe(np.frombuffer(held[1]["data"], np.uint8), 0, held[1]["size"], keys)
-                out.append((row["block"], *key, values.astype(np.int64 if row["order"] == 1 else np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "order", "segment", "values"])
+                if group is None:
+                    group, segments = _Group(own[0], scorer.bits, segments), []
+                keys = _keys(batch.column("keys")[i].as_py())
+                waiting.append((number, keys))
+                n_waiting += len(keys)
+                if n_waiting >= ASKED:
+                    handed_on()
+                    n_waiting = 0
+            handed_on()
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "order", "part", "values"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
+        store, base = _files(folder)
+        last, found = None, {}
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            if last is not None:
+                with store.open_input_file(f"{base}/{names[last]}") as f:
+                    doc_id, text = _block(parquet.ParquetFile(f), last)
+                yield _scored(doc_id, text, scorer, lambda order, keys: np.concatenate(found[order]) if order in found else np.zeros(0, np.int64))
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                n = batch.column("order")[i].as_py()
-                if n is not None:
-                    found.setdefault(n, []).append(np.frombuffer(batch.column("values")[i].as_py(), np.int64 if n == 1 else np.uint8))
-                    continue
-                # the text comes behind its answers; segments ascend with the keys
-                own, found = found, {}
-                yield _scored(batch.column("doc_id")[i].values, batch.column("text")[i].values, scorer, lambda order, keys: np.concatenate(own[order]) if order in own else np.zeros(0, np.int64))  # noqa: B023
-
-    asked = blocks.select("block", "text").mapInArrow(ask, "order int, segment int, block long, keys binary")
-    nothing = F.lit(None)
-    sides = model.kept.select("order", "segment", nothing.cast("long").alias("block"), nothing.cast("binary").alias("keys"), "size", "data", "counts").unionByName(
-        asked.select("order", "segment", "block", "keys", nothing.cast("long").alias("size"), nothing.cast("binary").alias("data"), nothing.cast("binary").alias("counts")))
-    answers = sides.repartition("order", "segment").sortWithinPartitions("order", "segment", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, order int, segment int, values binary")
-    whole = answers.select("*", nothing.cast("array<long>").alias("doc_id"), nothing.cast("array<string>").alias("text")).unionByName(
-        blocks.select("block", nothing.cast("int").alias("order"), nothing.cast("int").alias("segment"), nothing.cast("binary").alias("values"), "doc_id", "text"))
-    return whole.repartition("block").sortWithinPartitions("block", F.col("order").asc_nulls_last(), "segment").mapInArrow(together, _SCORED)
+            for number, n, values in zip(*(batch.column(c).to_pylist() for c in ("block", "order", "values"))):
+                if number != last:
+                    yield from scored()
+                    last, found = number, {}
+                # groups of segments ascend with the keys
+                found.setdefault(n, []).append(np.frombuffer(values, kind if n == 1 else np.uint8))
+        yield from scored()
+
+    asked = blocks.select("block", "text").mapInArrow(ask, "order int, part int, block long, keys binary")
+
+    def missing(*columns: str) -> list[Column]:
+        return [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in columns)]
+
+    kept = model.kept.select("order", F.shiftright("segment", GROUP).alias("part"), *missing("block long", "keys binary"), "segment", "size", "data", "counts")
+    sides = kept.unionByName(asked.select("*", *missing("segment int", "size long", "data binary", "counts binary")))
+    answers = sides.repartition("order", "part").sortWithinPartitions("order", "part", F.col("block").asc_nulls_first(), "segment").mapInArrow(answer, "block long, order int, part int, values binary")
+    return answers.repartition("block").sortWithinPartitions("block", "order", "part").mapInArrow(together, _SCORED)
+
+
+def _block(file: parquet.ParquetFile, number: int) -> tuple[pa.Array, pa.Array]:
+    """Ids and texts of a block in its file."""
+    for i in range(file.num_row_groups):
+        numbers = file.read_row_group(i, ["block"]).column("block").to_pylist()
+        if number in numbers:
+            row = file.read_row_group(i).slice(numbers.index(number), 1)
+            return tuple(pa.concat_arrays([c.values for c in row.column(name).combine_chunks()]) for name in ("doc_id", "text"))
+    raise ValueError(f"block {number} is not in its file")
 
 
 def held_out(doc_id: Column) -> Column:

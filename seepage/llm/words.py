@@ -26,6 +26,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of ``x``, ascending: by sorting, which is many times faster than the hash table of ``np.unique``."""
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 @cache
 def white_space() -> np.ndarray:
     """The separators of ``[^\\x20\\x09-\\x0D]+``."""
@@ -160,7 +168,7 @@ def word_shingles(words: Words, width: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            out.append(distinct(rolled[a : b - width + 1]))
         elif b > a:
             whole = (marked[a:b] * factors[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
             out.append(mix(np.array([whole], np.uint64)))

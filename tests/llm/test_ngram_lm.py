@@ -123,3 +123,29 @@ def test_edges(spark, documents):
     alone = ngram_lm.score(docs, nothing).collect()
     assert len(alone) == 7 and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in alone)
     assert ngram_lm.score(docs.filter(F.col("doc_id") > 100), nothing).collect() == []
+
+
+def test_a_block_asks_many_segments_at_once(spark, small, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SEGMENT", 2_000)
+    model = ngram_lm.train(small)
+    assert model.bits >= 6
+    blocks, sent = 4, []
+
+    def counted(self, *a, repartition=type(small).repartition):
+        sent.append(self.count())
+        return repartition(self, *a)
+
+    texts = small.repartition(blocks)
+    near = sorted(map(tuple, ngram_lm.score(texts, model).collect()))
+    monkeypatch.setattr(type(small), "repartition", counted)
+    far = ngram_lm.score(texts, model, held=0)
+    # segments and keys on the way there
+    assert sent[0] - model.kept.count() <= blocks * 3 * (2**model.bits // 32)
+    assert sorted(map(tuple, far.collect())) == near
+
+
+def test_keys_by_their_steps():
+    rng = np.random.default_rng(7)
+    for keys in ([5], [0, 1], [0, (1 << 64) - 1], np.unique(rng.integers(0, 1 << 52, 1000)), np.unique(rng.integers(0, 1 << 9, 300))):
+        keys = np.array(keys, np.uint64)
+        assert (ngram_lm._keys(ngram_lm._steps(keys)) == keys).all()
