@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from seepage.llm.components import components
 from seepage.llm.tables import stored
-from seepage.llm.words import Words, small_batches, word_shingles
+from seepage.llm.words import Words, distinct, small_batches, word_shingles
 
 #: Words of a shingle, and the least similarity in percent.
 WIDTH, PERCENT = 5, 80
@@ -62,7 +62,7 @@ _EMPTY = np.zeros(0, np.uint64)
 
 def token_sets(words: Words, width: int) -> list[np.ndarray]:
     """Shingle sets as ascending numbers of ``_BYTES`` bytes."""
-    return [np.unique(s >> np.uint64(64 - 8 * _BYTES)) for s in word_shingles(words, width)]
+    return [distinct(s >> np.uint64(64 - 8 * _BYTES)) for s in word_shingles(words, width)]
 
 
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -110,7 +110,7 @@ class _Postings:
 
     def pack(self, keys: np.ndarray | None = None) -> bytes:
         """With ``keys``, the key of each document that occurs, in ascending order of places, is added."""
-        used = np.unique(self.place[self.place < _KNOWN]) if keys is not None else _EMPTY
+        used = distinct(self.place[self.place < _KNOWN]) if keys is not None else _EMPTY
         head = np.array([len(self.tokens), len(used)], np.int64).tobytes()
         added = _planes(used.astype(np.uint32), 4) + keys[used].tobytes() if keys is not None else b""
         return head + _planes(self.tokens, _BYTES) + _planes(self.place, 4) + added
@@ -131,7 +131,7 @@ class _Postings:
 
 def _shared(tokens: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the postings by token, for each in that order whether different sets hold its token, and where tokens start."""
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
     ordered = tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     key = keys[order]
@@ -160,7 +160,7 @@ def _looked_up(ranked: list[_Postings], tokens: np.ndarray) -> np.ndarray:
     if not ranked:
         return np.zeros(len(tokens), np.uint32)
     known, ranks = np.concatenate([p.tokens for p in ranked]), np.concatenate([p.place for p in ranked])
-    order = np.argsort(known, kind="stable")
+    order = np.argsort(known)
     known, ranks = known[order], ranks[order]
     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
     return np.where(known[at] == tokens, ranks[at], np.uint32(0))
@@ -220,7 +220,7 @@ class _Chunk:
         marks, held = np.unique(tokens[shared], return_counts=True)
         single = np.concatenate((tokens[~shared], marks))
         holder = np.concatenate((place[~shared], _KNOWN + held.astype(np.uint32)))
-        order = np.argsort(single, kind="stable")
+        order = np.argsort(single)
         single, holder = single[order], holder[order]
         edges = np.searchsorted(_bucket(single, buckets), np.arange(buckets + 1)).tolist()
         for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
