@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from seepage.llm.components import components
 from seepage.llm.tables import stored
 from seepage.llm.words import Words, distinct, small_batches, word_shingles
+from seepage.sources.checkpoint import shuffles_dropped
 
 #: Words of a shingle, and the least similarity in percent.
 WIDTH, PERCENT = 5, 80
@@ -517,7 +518,8 @@ def sized_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     """
     # about seven bytes a word; only the number of buckets follows from it
     total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 7
-    found = stored(partnered(docs, total, width, percent, carry=True), "carried")
+    with shuffles_dropped(docs.sparkSession):
+        found = stored(partnered(docs, total, width, percent, carry=True), "carried")
     # equal sets of different chunks have one id
     sets = stored(found.filter("tokens is not null").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"]), "sets")
     rows = found.filter("tokens is null").select(F.col("doc_id").alias("node"), F.col("row_id").alias("doc_id"), "source", "size")
@@ -532,7 +534,8 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     tied = classes(docs, width)
     total = tied.agg(F.sum("n_shingles")).first()[0] or 0
     reps = tied.filter("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    sets = stored(partnered(docs, total, width, percent).join(reps, "doc_id", "left_semi"), "sets")
+    with shuffles_dropped(docs.sparkSession):
+        sets = stored(partnered(docs, total, width, percent).join(reps, "doc_id", "left_semi"), "sets")
     found = components(links(sets, percent))
     out = tied.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -23,7 +23,6 @@ keys, and its texts are read again where they were written.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,11 +31,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs, parquet
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage.llm.words import Words, distinct, mix, small_batches
-from seepage.sources.checkpoint import fresh_folder
+from seepage.sources.checkpoint import fresh_folder, shuffles_dropped
 
 #: Longest n-grams, exponent of the weight of shorter n-grams.
 ORDER, WEIGHT = 3, 0.85
@@ -238,21 +237,6 @@ class Scorer:
         return [np.diff(texts.offsets) - 1, sums[0].astype(np.int64), sums[1], sums[2]]
 
 
-@contextmanager
-def _without_rest(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written here go when it is written, not when the driver happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
     order = np.argsort(keys)
@@ -311,7 +295,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             names=["order", "segment", "size", "data", "counts", "n", "total"])
 
     folder = fresh_folder(spark, "ngram-lm")
-    with _without_rest(spark):
+    with shuffles_dropped(spark):
         docs.select("text").mapInArrow(count, _PART).groupBy("order", "segment").applyInArrow(merge, _KEPT).write.parquet(folder)
     kept = spark.read.schema(_KEPT).parquet(folder)
     held = kept.agg(F.sum(F.octet_length("data") + F.coalesce(F.octet_length("counts"), F.lit(0))).alias("n")).first()["n"] or 0
